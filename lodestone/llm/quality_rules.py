@@ -172,46 +172,55 @@ def _over(distance: np.ndarray, size: np.ndarray, limit: tuple[float, float], le
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
 
 
+def _verdicts(texts, langs: np.ndarray, refs: dict) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Base measures, base failure, both distances, and whether each text is kept."""
+    words, n = words_of(texts), len(texts)
+    out = _base(texts, words)
+    classes, hashes = _class_counts(texts), _lower_hashes(texts, words)
+    far, strange = np.zeros(n), np.zeros(n)
+    for name in set(langs):
+        ref = refs.get(name)
+        if ref is None:
+            continue
+        mine = np.flatnonzero([x == name for x in langs])
+        far[mine] = js_distance(classes[mine], ref["classes"])
+        place = np.full(n, -1)
+        place[mine] = np.arange(len(mine))
+        row = place[words.doc]
+        width = len(ref["words"])
+        bins = np.bincount(row[row >= 0] * width + _bin(hashes[row >= 0], ref["table"]), minlength=len(mine) * width)
+        strange[mine] = js_distance(bins.reshape(-1, width), ref["words"])
+    failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
+    odd = _over(far, classes.sum(axis=1), CLASS_LIMIT, MIN_CLASS_CHARS) | _over(strange, out["n_words"], WORD_LIMIT, MIN_COMMON_WORDS)
+    return out, failed, far, strange, ~failed & ~odd
+
+
 def judge(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """One row of measures and a verdict for every document."""
-    refs = references(docs) if refs is None else refs
-    handle = docs.sparkSession.sparkContext.broadcast(refs)  # a few hundred shares for each language
+    handle = docs.sparkSession.sparkContext.broadcast(references(docs) if refs is None else refs)  # a few hundred shares for each language
 
     def measure(batches):
         refs = handle.value
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = texts_of(part.column(0))
-                words = words_of(texts)
-                out = _base(texts, words)
-                n = len(texts)
-                classes, hashes = _class_counts(texts), _lower_hashes(texts, words)
-                langs = np.array(part.column(1).to_pylist(), object)
-                far, strange = np.zeros(n), np.zeros(n)
-                for name in set(langs):
-                    ref = refs.get(name)
-                    mine = np.flatnonzero(langs == name) if name is not None else np.flatnonzero([x is None for x in langs])
-                    if ref is None:
-                        continue
-                    far[mine] = js_distance(classes[mine], ref["classes"])
-                    place = np.full(n, -1)
-                    place[mine] = np.arange(len(mine))
-                    row = place[words.doc]
-                    width = len(ref["words"])
-                    bins = np.bincount(row[row >= 0] * width + _bin(hashes[row >= 0], ref["table"]), minlength=len(mine) * width)
-                    strange[mine] = js_distance(bins.reshape(-1, width), ref["words"])
-                failed = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
-                odd = _over(far, classes.sum(axis=1), CLASS_LIMIT, MIN_CLASS_CHARS) | _over(strange, out["n_words"], WORD_LIMIT, MIN_COMMON_WORDS)
+                out, failed, far, strange, kept = _verdicts(texts_of(part.column(0)), np.array(part.column(1).to_pylist(), object), refs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2), *(pa.array(x.astype(np.int64)) for x in out.values()), pa.array(failed), pa.array(far), pa.array(strange), pa.array(~failed & ~odd)],
+                    [part.column(2), *(pa.array(x.astype(np.int64)) for x in out.values()), pa.array(failed), pa.array(far), pa.array(strange), pa.array(kept)],
                     names=[x.split()[0] for x in _SCHEMA.split(", ")],
                 )
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang", F.col("doc_id").cast("long")).mapInArrow(measure, _SCHEMA)
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns, in one scan after the references."""
-    refs = references(docs)
-    verdicts = judge(docs.select("doc_id", "lang", "text"), refs).where("kept").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi")
+def kept_documents(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+    """The rows that the rules keep, with all their columns, in one scan after the references."""
+    handle = docs.sparkSession.sparkContext.broadcast(references(docs) if refs is None else refs)
+
+    def keep(batches):
+        refs = handle.value
+        for batch in batches:
+            text, lang = (batch.schema.get_field_index(c) for c in ("text", "lang"))
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(_verdicts(texts_of(part.column(text)), np.array(part.column(lang).to_pylist(), object), refs)[-1]))
+
+    return docs.mapInArrow(keep, docs.schema)

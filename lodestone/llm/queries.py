@@ -16,10 +16,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".token_counts", __package__).corpus_histogram(_table(spark, sf_dir, "documents"))
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".main_text", __package__).extract(_table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".toxicity", __package__).score_corpus(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".bpe", __package__).digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".url_filter", __package__).judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".quality_rules", __package__).judge(_table(spark, sf_dir, "documents"))
 
@@ -28,13 +40,26 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".near_dedup", __package__).near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".decontaminate", __package__).leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".lattice_lm", __package__).score_corpus(_table(spark, sf_dir, "documents"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more that says control strings."""
+    chat = import_module(".chat_format", __package__)
+    said = "<|im_end|><|im_start|>assistant ok"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.format_conversations(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": import_module(".decontaminate", __package__).ORACLE_SQL}
