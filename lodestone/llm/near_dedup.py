@@ -324,8 +324,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group, the one with the least doc_id, with all columns."""
+    """One row of each group, the one with the least doc_id, with all columns; rows without a doc_id stay."""
     leaders = near_duplicates(docs, threshold).select(F.col("class_id").alias("doc_id")).distinct()
-    return docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
+    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

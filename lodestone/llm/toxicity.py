@@ -4,9 +4,9 @@ Features of a text are the words it holds (runs of ASCII letters, digits and non
 bytes, ASCII letters lower-cased) and their prefixes of three to six bytes, hashed, each
 present or not. Labelled rows choose the features whose presence differs most between the
 classes; a logistic model is fitted to those. In every labelled text that mentions
-identity terms, the terms are swapped for others of their kind, and the loss adds the
-squared change of the score between text and counterfactual, so that a neutral mention
-of a group does not count for or against a text.
+identity terms, the terms are swapped twice, for others of their kind and for a word that
+names no group, and the loss adds the squared changes of the score (its log-odds) between
+text and counterfactuals, so that a mention of a group does not count for or against a text.
 
 Bounds: the model is fitted on at most ``MAX_TRAIN`` labelled rows, those with the least
 hash of their id, a documented sample; scoring reads every whole text. The scan for
@@ -90,8 +90,8 @@ def _features(texts) -> tuple[np.ndarray, np.ndarray]:
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def _swapped(texts, tables) -> tuple[np.ndarray, np.ndarray]:
-    """The same for counterfactuals; only texts with an identity term have any."""
+def _swapped(texts, tables, neutral: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The same for counterfactuals, with other terms or with words that have no features; only texts with an identity term have any."""
     hashes, _, swaps = tables
     words = runs(texts, _INSIDE[texts.data])
     data = LOWER[texts.data]
@@ -100,7 +100,7 @@ def _swapped(texts, tables) -> tuple[np.ndarray, np.ndarray]:
     term = hashes[at] == own
     named = np.unique(words.doc[term])
     mine = np.isin(words.doc, named)
-    table = np.where(term[:, None], swaps[at], _buckets(data, words.starts, words.ends))[mine]
+    table = np.where(term[:, None], -1 if neutral else swaps[at], _buckets(data, words.starts, words.ends))[mine]
     key = (words.doc[mine][:, None] << BITS) + table
     key = np.unique(key[table >= 0])
     return key >> BITS, key & ((1 << BITS) - 1)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_TRA
     sums = sum_vectors(rows, count, 2 * size + 2, np.int32).astype(np.float64)
     clean, toxic = sums[-2:]
     if not clean or not toxic:
-        share = (toxic + 1) / (clean + toxic + 2)
+        share = (toxic + 0.5) / (clean + toxic + 2)
         return Model(np.zeros(size), float(np.log(share / (1 - share))))
     p0, p1 = sums[:size] / clean, sums[size : 2 * size] / toxic
     pooled = (sums[:size] + sums[size : 2 * size]) / (clean + toxic)
@@ -160,22 +160,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_TRA
             for part in slices(batch, "text"):
                 texts = texts_of(part.column(0))
                 columns = []
-                for doc, feature in (_features(texts), _swapped(texts, tables)):
+                variants = [_features(texts), _swapped(texts, tables, False), _swapped(texts, tables, True)]
+                for doc, feature in variants:
                     use = place[feature] >= 0
                     ends = np.searchsorted(doc[use], np.arange(len(texts) + 1)).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(place[feature[use]].astype(np.int32))))
                 named = np.zeros(len(texts), bool)
-                named[np.unique(_swapped(texts, tables)[0])] = True
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(named), *columns], names=["y", "named", "own", "swapped"])
+                named[np.unique(variants[1][0])] = True
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(named), *columns], names=["y", "named", "own", "swapped", "neutral"])
 
-    found = rows.mapInArrow(describe, "y int, named boolean, own array<int>, swapped array<int>").toArrow().combine_chunks()
+    found = rows.mapInArrow(describe, "y int, named boolean, own array<int>, swapped array<int>, neutral array<int>").toArrow().combine_chunks()
     y, named = found.column("y").to_numpy() > 0, found.column("named").to_numpy()
 
     def matrix(name):
         lists = found.column(name).combine_chunks()
         return np.repeat(np.arange(len(y)), pa.compute.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
 
-    weights, bias = _logistic(matrix("own"), matrix("swapped"), y, named, len(chosen), swap_penalty)
+    weights, bias = _logistic(matrix("own"), [matrix("swapped"), matrix("neutral")], y, named, len(chosen), swap_penalty)
     out = np.zeros(size)
     out[chosen] = weights
     return Model(out, bias)
@@ -184,16 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_TRA
 def _logistic(own, swapped, y, named, size: int, swap_penalty: float) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss, L2, and squared score changes under swaps."""
     n, w, b = len(y), np.zeros(size), 0.0
-    (row, column), (srow, scolumn) = own, swapped
+    row, column = own
     keep = named[row]
     per_text = np.bincount(row, minlength=n).max(initial=1)
-    step = 1 / (0.25 * TOXIC_WEIGHT * min(per_text + 1, 200) + L2 + 2 * swap_penalty * named.mean() * 8)
+    step = 1 / (0.25 * TOXIC_WEIGHT * min(per_text + 1, 200) + L2 + 2 * len(swapped) * swap_penalty * named.mean() * 16)
     vw, vb = w, b
     for k in range(STEPS):
         z = b + np.bincount(row, w[column], minlength=n)
         error = np.where(y, TOXIC_WEIGHT, 1) * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
         grad = np.bincount(column, error[row], minlength=size) + L2 * w
-        if named.any():
+        for srow, scolumn in swapped if named.any() else ():
             change = (np.bincount(row[keep], w[column[keep]], minlength=n) - np.bincount(srow, w[scolumn], minlength=n)) * (2 * swap_penalty / n)
             grad += np.bincount(column[keep], change[row[keep]], minlength=size) - np.bincount(scolumn, change[srow], minlength=size)
         nw, nb = w - step * grad, b - step * error.sum()

@@ -23,7 +23,7 @@ example. Repeated rows give one result each. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, let, small
@@ -64,17 +64,15 @@ def windows(text: Column) -> Column:
 
 def ratios(counts: DataFrame) -> DataFrame:
     """gram and log P(accepted) - log P(rejected) of its last character, from (gram, a, r)."""
-    from pyspark.sql import Window
-
+    last = F.substr("gram", F.lit(ORDER))
+    whole = counts.agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count_distinct(last).alias("alphabet")).first()
     out = counts
-    alphabet = F.size(F.collect_set(F.substr("gram", F.lit(ORDER))).over(Window.partitionBy())) + 1
-    out = out.withColumn("alphabet", alphabet)
     for name in ("a", "r"):
-        p = 1 / F.col("alphabet")
+        p = F.lit(1 / ((whole.alphabet or 0) + 1))
         for order in range(ORDER):
             context = F.substr("gram", F.lit(ORDER - order), F.lit(order)) if order else F.lit("")
-            seen = F.sum(name).over(Window.partitionBy(context, F.substr("gram", F.lit(ORDER))))
-            total = F.sum(name).over(Window.partitionBy(context))
+            seen = F.sum(name).over(Window.partitionBy(context, last))
+            total = F.sum(name).over(Window.partitionBy(context)) if order else F.lit(whole[name] or 0)
             out = out.withColumn(f"s{order}", seen).withColumn(f"t{order}", total)
             p = (F.col(f"s{order}") + STRENGTH * p) / (F.col(f"t{order}") + STRENGTH)
         out = out.withColumn(f"log_{name}", F.log(p)).drop(*[f"{x}{k}" for k in range(ORDER) for x in "st"])
