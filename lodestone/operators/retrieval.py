@@ -71,7 +71,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
         part = queries.where(F.col("qid").between(ids[at], ids[min(at + block, len(ids)) - 1])) if ids else queries
         rows = part.orderBy("qid").collect()
         q_ids = np.array([r.qid for r in rows], np.int64)
-        q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
+        q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), len(rows[0].vector) if rows else 0)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         handle = queries.sparkSession.sparkContext.broadcast((q_ids, q))
 
@@ -123,7 +123,7 @@ def symbol_grades(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     last = F.element_at(F.split("name", r"\."), -1)
     keys = names.select("id", F.explode(F.array(F.struct(F.col("name").alias("key"), F.lit(0).alias("grade")), F.struct(last.alias("key"), F.when(last != F.col("name"), 1).alias("grade")))).alias("k")).where("k.grade is not null")
     keys = keys.select("id", F.lower("k.key").alias("key"), "k.grade")
-    asked = candidates.select("qid", F.lower(F.explode("names")).alias("key"))
+    asked = candidates.select("qid", F.explode(F.transform("names", F.lower)).alias("key"))
     return asked.join(keys, "key").groupBy("qid", "id").agg(F.min("grade").alias("grade"))
 
 

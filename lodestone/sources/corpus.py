@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import all_matches, excluded
+from ..operators.chunks import decode_bytes
 
 # Folders, files and suffixes that decide what a corpus is.
 SKIP_DIRS = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", ".mypy_cache", ".pytest_cache", ".idea", ".vscode")
@@ -38,10 +40,6 @@ def selected(files: DataFrame, exclude: str = "", max_bytes: int = 400_000) -> D
 
 def scan(spark: SparkSession, root: str, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
     """path (relative to the root), type, length, sha256 and text of a source tree; undecodable and binary files are dropped."""
-    import pandas as pd
-
-    from ..operators.chunks import decode_bytes
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = F.lit(root.rstrip("/") + "/")
     files = files.withColumn("path", F.substr("path", F.locate(root.rstrip("/"), "path") + F.length(base)))
