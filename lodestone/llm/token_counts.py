@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .shared import cut
 
 BLOCK = 1024
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """length, n_docs, docs_at_least, tokens_at_least, truncated_total (each text cut to this length), fraction_at_most."""
-    counts = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
+    counts = cut(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")))
     counts = counts.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
