@@ -18,8 +18,8 @@ as one conversation is one output record. Hot conversations are folded message b
 in as many tasks as there are.
 
 Edge cases: null texts and roles are empty; ties in sequence are folded in order of event
-kind, role and text; repeated events count as often as they occur (a repeated ``message``
-event of its own message id is one more message in ``as_events``); unknown event kinds and
+kind, role and a hash of the text; repeated events count as often as they occur (in a table of
+turns, a repeated row is one more turn; equal turns come in order of role and text); unknown event kinds and
 rows without a conversation are left out; a deleted message gives no turn; an empty table
 gives no conversations. Other columns are ignored.
 """
@@ -50,38 +50,40 @@ def _role_in(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """conv_id, at (where the message comes), role and text of every message that is left.
+def fold(events: DataFrame, keys: tuple[str, ...] = ("message_id",)) -> DataFrame:
+    """conv_id, keys, at (the sequence of its first event), role and text of every message that is left.
 
-    ``events`` has conv_id, message_id, seq, kind, role and text.
+    ``events`` has conv_id, the keys of a message, seq, kind, role and text. Windows sort by
+    small columns only, and a log that is already partitioned by conversation and message
+    keys is not shuffled again.
     """
     kind = F.when(F.col("kind").isin(*KINDS), F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")))
     events = events.where("conv_id is not null").withColumn("k", kind).where("k is not null")
-    events = events.select("conv_id", "message_id", "seq", "k", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = F.struct("seq", "k", "role", "text")
-    message = Window.partitionBy("conv_id", "message_id")
-    events = events.withColumn("e", order).withColumn("last_set", F.max(F.when(F.col("k") != 4, order)).over(message)).withColumn("at", F.min(order).over(message))
-    live = events.where("last_set is null or e >= last_set")
-    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list("e")), lambda e: F.when(e["k"] == 2, "").otherwise(e["text"])))
-    folded = live.groupBy("conv_id", "message_id").agg(F.first("at").alias("at"), F.max("last_set.k").alias("set_by"), text.alias("text"))
-    roles = events.groupBy("conv_id", "message_id").agg(F.max(F.when(F.col("role") != "", F.struct("seq", "k", "role"))).alias("r"))
-    return folded.where("set_by is null or set_by != 5").join(roles, ["conv_id", "message_id"]).select("conv_id", "message_id", "at", F.coalesce("r.role", F.lit("")).alias("role"), "text")
+    events = events.select("conv_id", *keys, "seq", "k", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = F.struct("seq", "k", "role", F.xxhash64("text").alias("h"))
+    message = Window.partitionBy("conv_id", *keys)
+    events = events.withColumn("e", order).withColumns({
+        "last_set": F.max(F.when(F.col("k") != 4, F.col("e"))).over(message), "at": F.min("e").over(message),
+        "named": F.max(F.when(F.col("role") != "", F.col("e"))).over(message),
+    }).where("last_set is null or (e >= last_set and last_set.k != 5)")
+    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("e", "text"))), lambda x: F.when(x["e"]["k"] == 2, "").otherwise(x["text"])))
+    return events.groupBy("conv_id", *keys).agg(F.first("at")["seq"].alias("at"), F.coalesce(F.first("named")["role"], F.lit("")).alias("role"), text.alias("text"))
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns (conv_id, turn, role, text) as a log of ``message`` events; equal turns stay separate messages."""
+    """A table of turns (conv_id, turn, role, text) as a log of ``message`` events keyed by turn and nth; equal turns stay separate messages."""
     each = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select("conv_id", F.struct("turn", F.row_number().over(each).alias("n")).alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return conversations.select("conv_id", "turn", F.row_number().over(each).alias("nth"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
-def render(messages: DataFrame) -> DataFrame:
+def render(messages: DataFrame, keys: tuple[str, ...] = ("message_id",)) -> DataFrame:
     """conv_id, formatted, and pieces (text, loss) whose concatenation it is."""
     pieces = F.array(
         F.struct(F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
         F.struct(escape(F.col("text")).alias("text"), (F.col("role") == LOSS_ROLE).alias("loss")),
         F.struct(F.lit(f"{END}\n").alias("text"), F.lit(False).alias("loss")),
     )
-    one = messages.select("conv_id", F.struct("at", "message_id", pieces.alias("p")).alias("m"))
+    one = messages.select("conv_id", F.struct("at", *keys, pieces.alias("p")).alias("m"))
     whole = one.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     whole = whole.select("conv_id", F.flatten(F.transform("ms", lambda m: m["p"])).alias("pieces"))
     return whole.select("conv_id", F.concat_ws("", F.transform("pieces", lambda p: p["text"])).alias("formatted"), "pieces")
@@ -111,4 +113,5 @@ def digests(rendered: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    return render(fold(as_events(conversations)))
+    keys = ("turn", "nth")
+    return render(fold(as_events(conversations), keys), keys)
