@@ -31,7 +31,7 @@ from .bytes_ import LOWER, WHITE, keyed, runs, slices, span_hashes, texts_of, wi
 CLASSES = ("lower", "upper", "digit", "white", "stop", "symbol", "other_ascii", "other")
 COMMON_SHARE = 0.002
 #: A limit is ``floor + slack / sqrt(size)``: a sample's distance from its own source shrinks so.
-CLASS_LIMIT, WORD_LIMIT = (0.22, 2.0), (0.28, 1.0)
+CLASS_LIMIT, WORD_LIMIT = (0.22, 2.0), (0.34, 1.0)
 #: Shorter texts (code points, words) are not judged by that histogram.
 MIN_CLASS_CHARS = 100
 MIN_COMMON_WORDS = 40
