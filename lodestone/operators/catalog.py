@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import history
 
 # What an old fingerprint without a key means.
-LEGACY = {"chunker": "line-window", "context_header": False, "chunk_size": 1200, "chunk_overlap": 200, "min_chunk_chars": 40, "embed_dim": 1024, "generation": "v1"}
+LEGACY = {"chunker": "line-window", "context_header": False, "chunk_size": 1200, "chunk_overlap": 150, "min_chunk_chars": 80, "embed_dim": 1024, "generation": "v1"}
 
 
 def fingerprint(stored: dict | None, overrides: dict | None = None) -> dict:

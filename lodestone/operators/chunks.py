@@ -17,7 +17,8 @@ CHUNK_SCHEMA = "doc_id long, path string, chunk_index int, line_start int, line_
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, section, title, line_start, line_end, n_chars of headed sections; headings in fenced code do not count.
 
-    A fence opens with three backticks or tildes and closes with the same mark.
+    A line of three backticks or tildes opens a fence or closes it, whichever mark it has
+    (``markdown_chunks`` asks for the same mark).
     """
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line"))
     w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -31,7 +32,7 @@ def sections(docs: DataFrame) -> DataFrame:
     return grouped.where("inked = 1").drop("inked")
 
 
-def line_windows(text: str, size: int = 1200, overlap: int = 200, least: int = 40) -> Iterator[tuple[int, int, str]]:
+def line_windows(text: str, size: int = 1200, overlap: int = 150, least: int = 80) -> Iterator[tuple[int, int, str]]:
     """(first line, last line, text) of overlapping windows of lines that reach ``size`` characters."""
     lines, at = text.splitlines(), 0
     while at < len(lines):
@@ -94,27 +95,50 @@ def python_scopes(source: str) -> list[dict]:
     return found
 
 
-def chunk(docs: DataFrame, size: int = 1200, overlap: int = 200, least: int = 40) -> DataFrame:
-    """Chunks of each row of (doc_id, path, text): Python by scopes (line windows if it does not parse), the rest by line windows."""
+def markdown_chunks(path: str, text: str, size: int = 1200, overlap: int = 150, least: int = 80, header: bool = True) -> Iterator[dict]:
+    """Sections under headings outside fences; a short one gives its title to the next, a long one is cut into line windows."""
+    lines = text.splitlines()
+    starts, fence = [(0, "(intro)")], None
+    for i, line in enumerate(lines):
+        if m := re.match(FENCE, line):
+            fence = m[1] if fence is None else None if m[1] == fence else fence
+        elif fence is None and (m := re.match(HEADING, line)):
+            starts.append((i, m[2].strip()))
+    parent = None
+    for (a, title), (b, _) in zip(starts, [*starts[1:], (len(lines), "")], strict=True):
+        body = "\n".join(lines[a:b]).strip()
+        if not body:
+            continue
+        if len(body) < least:
+            parent = title if title != "(intro)" else parent
+            continue
+        section = f"{parent} > {title}" if parent and title != "(intro)" else title
+        parent = None
+        cut = [(1, b - a, body)] if len(body) <= 1.5 * size else line_windows(body, size, overlap, least)
+        for first, last, part in cut:
+            head = f"# {path} > {section}"
+            yield {"path": path, "line_start": a + first, "line_end": a + last, "symbol": None, "kind": "section", "enclosing": [section], "text": part if not header or part.startswith(head) else f"{head}\n{part}"}
+
+
+def chunk(docs: DataFrame, size: int = 1200, overlap: int = 150, least: int = 80, generation: int = 3) -> DataFrame:
+    """Chunks of each row of (doc_id, path, text): Python by definitions, Markdown by sections, the rest by line windows."""
     import pandas as pd
 
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 
-    def of(doc_id, path, text):
-        if path and path.endswith(".py"):
-            try:
-                lines = text.removeprefix("﻿").splitlines()
-                for s in python_scopes(text):
-                    yield s["line_start"], s["line_end"], s["symbol"], s["kind"], s["enclosing"], "\n".join(lines[s["line_start"] - 1 : s["line_end"]])
-                return
-            except (SyntaxError, ValueError, RecursionError):
-                pass
-        for a, b, body in line_windows(text, size, overlap, least):
-            yield a, b, None, "window", [], body
+    def of(path: str, text: str) -> Iterator[dict]:
+        from .python_chunks import python_chunks
+
+        settings = {"size": size, "overlap": overlap, "least": least}
+        if path.endswith(".py"):
+            return python_chunks(path, text, generation, **settings)
+        if path.endswith((".md", ".markdown")):
+            return markdown_chunks(path, text, **settings)
+        return ({"path": path, "line_start": a, "line_end": b, "symbol": None, "kind": "window", "enclosing": None, "text": body} for a, b, body in line_windows(text, size, overlap, least))
 
     def run(frames):
         for frame in frames:
-            rows = [(d, p, i, a, b, s, k, e, t) for d, p, x in zip(frame.doc_id, frame.path, frame.text, strict=True) for i, (a, b, s, k, e, t) in enumerate(of(d, p, x or ""))]
+            rows = [c | {"doc_id": d, "chunk_index": i} for d, p, x in zip(frame.doc_id, frame.path, frame.text, strict=True) for i, c in enumerate(of(p or "", x or ""))]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "path", "text").mapInPandas(run, CHUNK_SCHEMA)

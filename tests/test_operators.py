@@ -169,9 +169,10 @@ def test_chunks(spark):
     long = "".join(f"row {i}\n" for i in range(40))
     spans = chunks.pieces(long, 50, 10)
     assert spans[0][0] == 0 and spans[-1][1] == len(long) and all(long[b - 1] == "\n" and c <= b for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
-    docs = spark.createDataFrame([(1, "a.py", SOURCE), (2, "bad.py", "def (\n" * 30), (3, "n.txt", None)], "doc_id long, path string, text string")
-    rows = chunks.chunk(docs).collect()
-    assert {(r.doc_id, r.kind) for r in rows} == {(1, k) for k in ("module_doc", "assign", "function", "method", "class")} | {(2, "window")}
+    docs = spark.createDataFrame([(1, "a.py", SOURCE), (2, "bad.py", "def (\n" * 30), (3, "n.txt", None), (4, "r.md", "# A\n\n## B\n" + "long enough words " * 9)], "doc_id long, path string, text string")
+    rows = chunks.chunk(docs, least=30).collect()
+    assert {(r.doc_id, r.kind) for r in rows} == {(1, k) for k in ("function", "class", "method", "assign")} - {(1, "assign")} | {(2, None), (4, "section")}
+    assert [r.enclosing for r in rows if r.doc_id == 4] == [["A > B"]] and [r.chunk_index for r in rows if r.doc_id == 1] == list(range(sum(r.doc_id == 1 for r in rows)))
     md = "intro\n# One\nbody\n```\n# no heading\n```\n## Two\n\n~~~\n# no\n~~~"
     got = [(r.title, r.line_start, r.line_end) for r in chunks.sections(spark.createDataFrame([(1, md)], "doc_id long, text string")).orderBy("section").collect()]
     assert got == [("(intro)", 1, 1), ("One", 2, 6), ("Two", 7, 11)]
