@@ -48,9 +48,9 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     asked = sized_broadcast(terms.select("term").distinct(), 48)
     postings = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    average = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
-    # One row of corpus totals beside each term.
-    idf = df.join(F.broadcast(corpus)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), average.alias("avgdl"))
+    totals = corpus.select(F.struct("n", "avgdl")).scalar()
+    average = F.when(totals["avgdl"] > 0, totals["avgdl"]).otherwise(1.0)
+    idf = df.select("term", F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), average.alias("avgdl"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(idf, "term").select("term", "doc_id", weight.alias("w")).join(terms, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_k(scored, k, ("qid",), [F.desc("score"), F.asc("doc_id")])

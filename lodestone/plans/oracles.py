@@ -144,4 +144,28 @@ SQL: dict[str, str] = {
         SELECT from_state, to_state, subject, seq FROM m WHERE from_state IS NOT NULL AND from_state <> to_state AND (from_state, to_state) NOT IN (('O', 'P'), ('P', 'F'))""",
     "corpus_scan": "SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text)) AS n_bytes FROM documents WHERE octet_length(encode(text)) <= 20000 AND lang <> 'es'",
     "revision_prune": "SELECT c_nationkey AS project, c_custkey AS revision FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey DESC) > 3",
+    "safe_paths": """WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://(.*)$', 1), '[?#].*$', '') || CASE WHEN page_id % 5 = 0 THEN '/../x' ELSE '' END AS path FROM pages),
+        s AS (SELECT *, string_split(path, '/') AS parts, lower(string_split(path, '/')[-1]) AS name FROM p)
+        SELECT page_id, len(list_filter(parts, lambda x: x IN ('', '.', '..') OR lower(x) = '.git')) = 0 AND length(path) BETWEEN 1 AND 4096 AS safe,
+        CASE WHEN name LIKE 'readme%' THEN 0 WHEN regexp_matches(path, '^docs?/') THEN 1 WHEN len(parts) = 1 THEN 2 WHEN name IN ('changelog.md', 'release-notes.md', 'license.md', 'license') THEN 9 ELSE 3 END AS priority,
+        regexp_matches(lower(path), '(^|/)tests?/') OR regexp_matches(name, '^(test_|conftest\\.)|(_test|\\.test|\\.spec)\\.[^.]*$') AS is_test FROM s""",
+    "captured_content": "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN NULL ELSE text END AS content, sha256(text) AS sha256, octet_length(encode(text)) AS n_bytes FROM conversations",
+    "budget_pack": """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+        r AS (SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS held, NULL::BIGINT AS turn FROM t WHERE n = 1 UNION ALL
+              SELECT r.conv_id, t.n, CASE WHEN held + size <= 800 THEN held + size ELSE held END, CASE WHEN held + size <= 800 THEN t.turn END FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
+        SELECT conv_id, turn FROM r WHERE turn IS NOT NULL""",
+    "path_resolution": """WITH f AS (SELECT DISTINCT 'd' || s_suppkey % 3 || '/s/f' || s_suppkey % 70 AS path FROM supplier), a AS (SELECT DISTINCT CASE WHEN s_suppkey % 2 = 0 THEN './' ELSE '' END || 's/f' || s_suppkey % 90 AS asked FROM supplier)
+        SELECT asked, CASE WHEN count(path) = 1 THEN max(path) END AS path FROM a LEFT JOIN f ON suffix(path, '/' || replace(asked, './', '')) GROUP BY asked""",
+    "next_sequence": """SELECT o_custkey, o_orderkey, coalesce(n, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS seq FROM orders LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) USING (o_custkey) WHERE o_orderstatus <> 'F'""",
+    "first_match": """SELECT n_nationkey, coalesce((SELECT min(s_name) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000), (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900), (SELECT min(c_name) FROM customer WHERE c_nationkey = n_nationkey)) AS value FROM nation""",
+    "reference_files": f"""WITH {bm25(4)}, c AS (SELECT qid, rank AS n, source AS path, lang AS section, doc_id % 50 AS line_start, score FROM bm_top JOIN documents USING (doc_id) WHERE qid % 2 = 1 OR rank IN (1, 3)),
+        f AS (SELECT qid, path, list(n ORDER BY n) AS citations, list(section ORDER BY n) AS s, max(score) AS best_score, qid % 2 = 0 AS cited, min(line_start) AS line, count(*) AS chunk_count, min(n) AS first FROM c GROUP BY qid, path)
+        SELECT qid, path, citations, list_filter(s, lambda x, i: list_position(s, x) = i) AS sections, best_score, cited, line, chunk_count, row_number() OVER (PARTITION BY qid ORDER BY first) AS place FROM f""",
+    "sse_frames": "SELECT user_id::VARCHAR AS trace, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_type AS event, props AS data FROM events",
+    "user_sessions": """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE)::INT, 1) AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+        SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, k""",
+    "point_lookup": "SELECT doc_id, source, 0.0::DOUBLE AS score FROM documents WHERE doc_id IN (SELECT item_id * 30 FROM benchmark)",
+    "index_names": """WITH c AS (SELECT c_custkey, c_name, regexp_replace(regexp_replace(regexp_replace(c_name, '[^A-Za-z0-9._-]', '-', 'g'), '-{2,}', '-', 'g'), '^[._-]+|[._-]+$', '', 'g') AS safe, c_mktsegment FROM customer)
+        SELECT c_custkey, CASE WHEN safe = c_name AND length(safe) <= 16 THEN safe ELSE regexp_replace(substring(CASE WHEN length(safe) > 16 THEN regexp_replace(substring(safe, 1, 7), '[._-]+$', '') ELSE safe END, 1, 7), '[._-]+$', '') || '-' || substring(sha256(c_name), 1, 8) END AS component,
+        replace(lower(trim(c_mktsegment)), '_', '-') AS segment FROM c""",
 }

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import records as R
 from ..functions import text as T
-from ..operators import chunks, evaluate, history, retrieval
+from ..operators import assemble, chunks, evaluate, history, retrieval
 from ..streaming import sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,8 +230,8 @@ def idle_conversations(spark, d):
 def retention_preview(spark, d):
     rows = table(spark, d, "events")
     policy = spark.createDataFrame([("click", 7), ("view", 14), ("purchase", 21)], "mode string, days int")
-    newest = rows.agg(F.max("ts").alias("newest"))
-    old = rows.join(F.broadcast(policy), F.col("event_type") == F.col("mode")).join(F.broadcast(newest)).where(F.col("ts") < F.col("newest") - F.make_dt_interval("days"))
+    newest = rows.agg(F.max("ts")).scalar()
+    old = rows.join(F.broadcast(policy), F.col("event_type") == F.col("mode")).where(F.col("ts") < newest - F.make_dt_interval("days"))
     return old.groupBy("mode").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
@@ -410,3 +411,82 @@ def corpus_scan(spark, d):
 def revision_prune(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_custkey").alias("revision"), "c_acctbal")
     return history.beyond_last_k(rows, ("project",), (F.desc_nulls_last("c_acctbal"), F.desc("revision")), 3).select("project", "revision")
+
+
+@query
+def safe_paths(spark, d):
+    path = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://(.*)$", 1), r"[?#].*$", "")
+    rows = table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.concat(path, F.lit("/../x"))).otherwise(path).alias("path"))
+    return rows.select("page_id", R.is_safe_path(F.col("path")).alias("safe"), R.document_priority(F.col("path")).alias("priority"), R.is_test_path(F.col("path")).alias("is_test"))
+
+
+@query
+def captured_content(spark, d):
+    mode = F.when(F.col("turn") % 2 == 0, "metadata").otherwise("full")
+    return table(spark, d, "conversations").select("conv_id", "turn", R.captured(F.col("text"), mode).alias("c")).select("conv_id", "turn", "c.content", "c.sha256", F.col("c.n_bytes").cast("long").alias("n_bytes"))
+
+
+@query
+def budget_pack(spark, d):
+    """Turns of each conversation that fit 800 characters when taken in order."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return assemble.pack(rows, "conv_id", "turn", "size", 800)
+
+
+@query
+def path_resolution(spark, d):
+    key, rows = F.col("s_suppkey"), table(spark, d, "supplier")
+    files = rows.select(F.concat(F.lit("d"), (key % 3).cast("string"), F.lit("/s/f"), (key % 70).cast("string")).alias("path")).distinct()
+    asked = rows.select(F.concat(F.when(key % 2 == 0, "./").otherwise(""), F.lit("s/f"), (key % 90).cast("string")).alias("asked"))
+    return assemble.resolve_paths(asked, files)
+
+
+@query
+def next_sequence(spark, d):
+    """Open orders numbered after the finished ones of their customer."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    done = rows.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("seq"))
+    return assemble.next_sequence(done, "o_custkey", "seq", rows.where("o_orderstatus != 'F'").select("o_custkey", "o_orderkey"), "o_orderkey").select("o_custkey", "o_orderkey", F.col("seq").cast("long").alias("seq"))
+
+
+@query
+def first_match(spark, d):
+    """A nation's contact: a rich supplier, else a rich customer, else any customer."""
+    keys = table(spark, d, "nation").select("n_nationkey")
+    supplier = table(spark, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"), "s_name")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_name", "c_acctbal")
+    return assemble.first_match(keys, "n_nationkey", (supplier, "s_name"), (customers.where("c_acctbal > 9900"), "c_name"), (customers, "c_name"))
+
+
+@query
+def reference_files(spark, d):
+    """File roll-up of the four best documents of each question; even questions cite the first and third."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("path"), F.col("lang").alias("section"))
+    contexts = lexical(spark, d, 4).join(docs, "doc_id").select("qid", F.col("rank").alias("n"), "path", "section", (F.col("doc_id") % 50).alias("line_start"), (F.col("doc_id") % 50 + 9).alias("line_end"), "score")
+    cited = questions(spark, d).select("qid", F.when(F.col("qid") % 2 == 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array().cast("array<int>")).alias("cited"))
+    return assemble.reference_files(assemble.references(contexts, cited, True)).select("qid", "path", "citations", "sections", "best_score", "cited", "line", F.col("chunk_count").cast("long").alias("chunk_count"), "place")
+
+
+@query
+def sse_frames(spark, d):
+    """Events written as one stream of frames for each user, and read back."""
+    rows = table(spark, d, "events").select(F.col("user_id").cast("string").alias("trace"), "event_id", sse.serialise(F.col("event_type"), F.col("props")).alias("frame"))
+    text = rows.groupBy("trace").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("event_id", "frame"))), lambda x: x["frame"])).alias("text"))
+    return sse.frames(text)
+
+
+@query
+def user_sessions(spark, d):
+    return sse.sessions(table(spark, d, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+@query
+def point_lookup(spark, d):
+    asked = retrieval.sized_broadcast(table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("doc_id")), 16)
+    return table(spark, d, "documents").join(asked, "doc_id", "left_semi").select("doc_id", "source", F.lit(0.0).alias("score"))
+
+
+@query
+def index_names(spark, d):
+    name = R.safe_component(F.col("c_name"), "repository", 16)
+    return table(spark, d, "customer").select("c_custkey", name.alias("component"), R.normalized_name(F.col("c_mktsegment")).alias("segment"))
