@@ -157,13 +157,51 @@ def decode_bytes(raw: bytes | None) -> str | None:
     return None if "\0" in text[:4096] else text
 
 
+# Decorator names of routes.
+VERBS = ("get", "post", "put", "patch", "delete", "head", "options", "websocket", "route")
+
+
+def _constant(node) -> str | None:
+    """A literal path; an f-string with its expressions in braces."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value
+    if isinstance(node, ast.JoinedStr):
+        return "".join(p.value if isinstance(p, ast.Constant) else "{" + ast.unparse(p.value) + "}" for p in node.values)
+    return None
+
+
+def _keyword(call: ast.Call, *names: str) -> str:
+    return next((v for k in call.keywords if k.arg in names and (v := _constant(k.value)) is not None), "")
+
+
 def route_lines(source: str) -> list[tuple[str, str, int]]:
-    """(method, path, line) of decorated web routes of a Python module."""
+    """(method, path, line) of decorated web routes of a Python module, with the prefixes of their router.
+
+    A router is a name that is assigned a call; its prefix is that of the call and of an
+    ``include_router`` or ``register_blueprint`` in the same module. Names bound to mocks
+    have no routes.
+    """
+    tree = ast.parse(source)
+    made: dict[str, ast.Call] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call):
+            made |= {t.id: node.value for t in node.targets if isinstance(t, ast.Name)}
+    mounted = {
+        ast.unparse(c.args[0]): _keyword(c, "prefix", "url_prefix")
+        for c in ast.walk(tree) if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr in ("include_router", "register_blueprint") and c.args
+    }
     out = []
-    for node in ast.walk(ast.parse(source)):
+    for node in ast.walk(tree):
         for d in getattr(node, "decorator_list", []):
-            if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and re.fullmatch("get|post|put|patch|delete|head|options|route|websocket", d.func.attr) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
-                methods = next((k.value for k in d.keywords if k.arg == "methods"), None)
-                listed = [e.value.upper() for e in methods.elts if isinstance(e, ast.Constant)] if isinstance(methods, ast.List | ast.Tuple) else [d.func.attr.upper() if d.func.attr != "route" else "GET"]
-                out += [(m, d.args[0].value, node.lineno) for m in listed]
+            if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS):
+                continue
+            path = _constant(d.args[0]) if d.args else _keyword(d, "path", "rule") or None
+            owner = ast.unparse(d.func.value)
+            call = made.get(owner)
+            if path is None or call is not None and "Mock" in ast.unparse(call.func):
+                continue
+            prefix = mounted.get(owner, "") + (_keyword(call, "prefix", "url_prefix") if call is not None else "")
+            methods = next((k.value.elts for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List | ast.Tuple | ast.Set)), None)
+            verbs = [e.value.upper() for e in methods if isinstance(e, ast.Constant)] if methods is not None else ["GET" if d.func.attr == "route" else d.func.attr.upper()]
+            out += [(v, prefix + path, node.lineno) for v in verbs]
     return sorted(out, key=lambda r: r[2])

@@ -78,3 +78,25 @@ def test_broken_source_and_enclosing():
     assert enclosing(["export function go() {", "  a()"], 1) == ["function go"]
     broken = list(python_chunks("a.py", "\n".join([*lines, "def ("] * 20), 3))
     assert broken and all(c["kind"] is None for c in broken)
+
+
+def test_routes_have_their_prefixes():
+    from lodestone.operators.chunks import route_lines
+
+    source = '''
+router = APIRouter(prefix="/pay")
+app.include_router(router, prefix="/v1")
+fake = MagicMock()
+
+@router.get(f"/{kind}/x")
+def a(): pass
+
+@app.route("/b", methods=["post", "PUT"])
+@fake.get("/no")
+def b(): pass
+
+class C:
+    @app.delete(path="/c")
+    def c(self): pass
+'''
+    assert route_lines(source) == [("GET", "/v1/pay/{kind}/x", 7), ("POST", "/b", 11), ("PUT", "/b", 11), ("DELETE", "/c", 15)]
