@@ -31,16 +31,22 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: Identifiers that may have several camel-case parts: one look ahead spares the others two regexes each.
+DIVISIBLE = r"(?=[A-Za-z0-9_]*(?:_|[a-z0-9][A-Z]|[A-Z][A-Z0-9]))" + IDENTIFIER
+
+
 def tokenize(text: Column) -> Column:
     """Lower-cased words, then parts of snake-case words, then parts of camel-case names; duplicates stay."""
 
     def of(t: Column) -> Column:
-        words = all_matches(F.lower(t), WORD)
-        snake = F.flatten(F.transform(F.filter(words, lambda w: F.contains(w, F.lit("_"))), lambda w: F.filter(F.split(w, "_"), lambda p: F.length(p) > 1)))
-        names = all_matches(t, IDENTIFIER)
-        pieces = F.transform(names, lambda w: all_matches(F.regexp_replace(w, "([A-Z])([A-Z][a-z])", "$1 $2"), CAMEL))
+        pieces = F.transform(all_matches(t, DIVISIBLE), lambda w: all_matches(F.regexp_replace(w, "([A-Z])([A-Z][a-z])", "$1 $2"), CAMEL))
         camel = F.flatten(F.transform(F.filter(pieces, lambda p: F.size(p) > 1), lambda p: F.filter(F.transform(p, F.lower), lambda x: F.length(x) > 1)))
-        return F.concat(words, snake, camel)
+
+        def with_parts(words: Column) -> Column:
+            snake = F.flatten(F.transform(F.filter(words, lambda w: F.contains(w, F.lit("_"))), lambda w: F.filter(F.split(w, "_"), lambda p: F.length(p) > 1)))
+            return F.concat(words, snake, camel)
+
+        return let(all_matches(F.lower(t), WORD), with_parts)
 
     return let(F.coalesce(text, F.lit("")), of)
 
