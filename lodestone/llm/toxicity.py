@@ -2,7 +2,7 @@
 
 Features of a text are the words it holds (runs of ASCII letters, digits and non-ASCII
 bytes, ASCII letters lower-cased) and their prefixes of three to six bytes, hashed, each
-present or not. Labelled rows choose the features whose presence differs most between the
+present or not, and present more than once or not. Labelled rows choose the features whose presence differs most between the
 classes; a logistic model is fitted to those. In every labelled text that mentions
 identity terms, the terms are swapped twice, for others of their kind and for a word that
 names no group, and the loss adds the squared changes of the score (its log-odds) between
@@ -33,6 +33,9 @@ MAX_TRAIN = 20_000
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
 FEATURES = 2048
+#: A feature needs this many standard errors between the classes: of 2 ** BITS features without meaning about one has more.
+LEAST_Z = 4.5
+_MASK = (1 << BITS) - 1
 L2, SWAP_PENALTY, STEPS = 3e-5, 1.0, 400
 #: What a toxic row weighs in the loss, as most rows are not toxic.
 TOXIC_WEIGHT = 2.0
@@ -85,9 +88,16 @@ def _features(texts) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, feature) pairs: the text's place and the feature's number, in order."""
     words = runs(texts, _INSIDE[texts.data])
     table = _buckets(LOWER[texts.data], words.starts, words.ends)
-    key = (words.doc[:, None] << BITS) + table
-    key = np.unique(key[table >= 0])
-    return key >> BITS, key & ((1 << BITS) - 1)
+    return _present(words.doc, table)
+
+
+def _present(doc: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs in order; what a text holds twice or more is one feature more."""
+    key, count = np.unique(((doc[:, None] << BITS) + table)[table >= 0], return_counts=True)
+    often = key[count > 1]
+    again = (often & ~_MASK) + ((often & _MASK) * 0x9E3B + 0x1F35B & _MASK)
+    key = np.unique(np.concatenate((key, again)))
+    return key >> BITS, key & _MASK
 
 
 def _swapped(texts, tables, neutral: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +111,7 @@ def _swapped(texts, tables, neutral: bool) -> tuple[np.ndarray, np.ndarray]:
     named = np.unique(words.doc[term])
     mine = np.isin(words.doc, named)
     table = np.where(term[:, None], -1 if neutral else swaps[at], _buckets(data, words.starts, words.ends))[mine]
-    key = (words.doc[mine][:, None] << BITS) + table
-    key = np.unique(key[table >= 0])
-    return key >> BITS, key & ((1 << BITS) - 1)
+    return _present(words.doc[mine], table)
 
 
 class Model:
@@ -151,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_TRA
     tables = _identity_tables()
     identity = np.unique(np.concatenate((tables[1].ravel(), tables[2].ravel())))
     chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = np.union1d(chosen[z[chosen] > 0], identity[identity >= 0])
+    chosen = np.union1d(chosen[z[chosen] > LEAST_Z], identity[identity >= 0])
     place = np.full(size, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
 
