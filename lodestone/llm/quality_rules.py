@@ -95,15 +95,20 @@ def _parts(batches):
             yield part, texts, words_of(texts)
 
 
+def _languages(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The languages of a column, null among them, and the index of each row's."""
+    coded = column.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
 def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | None, dict]:
     """Class shares and common-word shares of every language with enough tokens."""
 
     def local(batches):
         seen: dict = {}
         for part, texts, words in _parts(batches):
-            langs = np.array([x if x is not None else "\0" for x in part.column(1).to_pylist()], object)
+            names, code = _languages(part.column(1))
             hashes = _lower_hashes(texts, words)
-            names, code = np.unique(langs.astype(str), return_inverse=True)
             for k, name in enumerate(names):
                 values, counts = np.unique(hashes[code[words.doc] == k], return_counts=True)
                 a, b = seen.get(name, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
@@ -112,7 +117,7 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
         for name, (values, counts) in seen.items():
             often = counts >= COMMON_SHARE * counts.sum()
             if often.any():
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(often.sum())), "h": pa.array(values[often].astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(often.sum()), pa.string()), "h": pa.array(values[often].astype(np.int64))})
 
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     found = text.mapInArrow(local, "lang string, h long").groupBy("lang").agg(F.array_sort(F.collect_set("h")).alias("hs"))
@@ -122,16 +127,16 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
     def exact(batches):
         total: dict = {}
         for part, texts, words in _parts(batches):
-            langs = np.array([x if x is not None else "\0" for x in part.column(1).to_pylist()], object).astype(str)
+            names, code = _languages(part.column(1))
             hashes, classes = _lower_hashes(texts, words), _class_counts(texts)
-            for name in np.unique(langs):
+            for k, name in enumerate(names):
                 table = common.get(name, np.zeros(0, np.uint64))
-                mine = langs == name
+                mine = code == k
                 bins = np.bincount(_bin(hashes[mine[words.doc]], table), minlength=len(table) + 1)
                 row = np.concatenate((classes[mine].sum(axis=0), bins))
                 total[name] = total[name] + row if name in total else row
         if total:
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total)), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "v": pa.array([x.tolist() for x in total.values()], pa.list_(pa.int64()))})
 
     counted = text.mapInArrow(exact, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n"))
     out: dict = {}
@@ -142,7 +147,7 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
             table = common.get(r.lang, np.zeros(0, np.uint64))
             keep = bins[:-1] >= COMMON_SHARE * bins.sum()
             shares = np.concatenate((bins[:-1][keep], [bins[:-1][~keep].sum() + bins[-1]])) / bins.sum()
-            out[None if r.lang == "\0" else r.lang] = {"classes": v[:k] / v[:k].sum(), "table": table[keep], "words": shares}
+            out[r.lang] = {"classes": v[:k] / v[:k].sum(), "table": table[keep], "words": shares}
     return out
 
 

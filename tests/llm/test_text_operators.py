@@ -141,6 +141,24 @@ def test_quality_rejects_odd_histograms(spark):
     assert [verdict[i] for i in range(42)] == [True] * 40 + [False] * 2
 
 
+def test_quality_judges_null_as_a_language(spark):
+    rng = random.Random(3)
+
+    def prose(letters):
+        return [" ".join(rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(6)) for _ in range(150)) for _ in range(40)]
+
+    def odd(letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(6)) + "***" for _ in range(150))
+
+    plain, capitals = prose("abcdefgh"), prose("ABCDEFGH")
+    rows = [*((t, None) for t in [*plain, odd("abcdefgh"), capitals[0]]), *((t, "") for t in [*capitals, odd("ABCDEFGH"), plain[0]])]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    assert set(quality_rules.references(docs)) == {None, ""}
+    verdict = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert [verdict[i] for i in range(84)] == ([True] * 40 + [False] * 2) * 2
+    assert {r.doc_id for r in quality_rules.kept_documents(docs).collect()} == {i for i in verdict if verdict[i]}
+
+
 def test_js_distance():
     assert quality_rules.js_distance(np.array([[1.0, 0], [0, 1], [1, 1], [0, 0]]), np.array([1.0, 0])).round(4).tolist() == [0, 1, 0.5579, 0]
 
