@@ -12,12 +12,16 @@ mark no article) lose their covered tokens, and blocks of links; what is unique
 Repeats inside a marked article are prose that pages share (copies, quotes, common
 passages), so there they are only counted (``n_repeated``) and not removed.
 
-Pages are range-partitioned by host and page, so a hot host spreads over many tasks and
-each suffix array covers at most ``GROUP_BYTES`` of HTML of one host.
+A host is dealt by page id into groups of about ``GROUP_BYTES`` of HTML, each with its own
+suffix array, so a hot host spreads over many tasks. For hosts of more than one group the
+hashes of all windows of ``DEPTH`` tokens are compared beyond the groups as well: they are
+shuffled by hash, those of two groups or more go back to these groups, and windows found
+there count like those of the array. Repeats are those of the host's pages, however the
+pages are dealt.
 
 Edge cases: null or empty html gives an empty text; a null url counts as an empty host;
 repeated rows give one result each (a page is not distinct from its own copies with the
-same page_id); unclosed elements end with their parent; other columns are ignored.
+same page_id, which are all dealt to one group; no run crosses from one row to the next); unclosed elements end with their parent; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytes_ import span_hashes
+from .bytes_ import mix, span_hashes, windows
+from .shared import cut, small
 
 DEPTH = 16
 MIN_PAGES = 2
 GROUP_BYTES = 4 << 20
 MAX_LINK_SHARE = 0.5
+#: Windows that a task collects before it sends them, and HTML bytes whose windows one bucket of hashes holds on average.
+SENT_WINDOWS = 1 << 21
+BUCKET_BYTES = 32 << 20
 
 # HTML element names and words of class, id and role attributes.
 RAW = frozenset("script style noscript template textarea title iframe svg math object select option canvas audio video head".split())
@@ -131,12 +139,14 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
     return blocks
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages: int = MIN_PAGES) -> np.ndarray:
+def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages: int = MIN_PAGES, row: np.ndarray | None = None) -> np.ndarray:
     """Which tokens lie in a run of ``depth`` tokens that occurs on ``min_pages`` distinct pages.
 
     Suffixes are ranked by their first 1, 2, 4, ... ``depth`` tokens; suffixes of equal rank
     stand together in the suffix array and share that many tokens. ``page`` does not decrease.
+    ``row`` tells apart copies of a page; no run crosses its borders.
     """
+    row = page if row is None else row
     n = len(tokens)
     inside = np.zeros(n + 1, np.int64)
     if n >= depth:
@@ -147,7 +157,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages
             pair = rank[: len(rank) - step] * np.int64(n + 1) + rank[step:]
             rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
             width += step
-        whole = np.flatnonzero(page[: len(rank)] == page[depth - 1 :])
+        whole = np.flatnonzero(row[: len(rank)] == row[depth - 1 :])
         order = whole[np.argsort(rank[whole], kind="stable")]  # the suffix array, each group in page order
         group = np.concatenate(([0], np.cumsum(np.diff(rank[order]) != 0)))[: len(order)]
         new_page = np.ones(len(order), np.int64)
@@ -159,9 +169,9 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages
     return np.cumsum(inside[:n]) > 0
 
 
-def _finish(pages: list[tuple]) -> tuple[list[str], list[int]]:
-    """Texts and counts of repeated tokens for pages (page_id, url, html) of one host."""
-    read = [[b for b in read_blocks(p[2]) if b[1] != "boilerplate"] for p in pages]
+def _tokens(sources: list[str]) -> tuple[list[list[tuple]], np.ndarray, list[int], np.ndarray]:
+    """Blocks that are not boilerplate, by page; their tokens, the tokens of each block, and each token's row."""
+    read = [[b for b in read_blocks(x) if b[1] != "boilerplate"] for x in sources]
     words: list[bytes] = []
     sizes = []
     for blocks in read:
@@ -172,13 +182,28 @@ def _finish(pages: list[tuple]) -> tuple[list[str], list[int]]:
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
     tokens = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
+    return read, tokens, sizes, np.repeat(np.repeat(np.arange(len(read)), [len(b) for b in read]), sizes)
+
+
+def _keys(tokens: np.ndarray, row: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows, told apart by host (one salt a row), and where each begins."""
+    found, at = windows(tokens, row, DEPTH)
+    return mix(found + salt[row[at]]), at
+
+
+def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int = 0) -> tuple[list[str], list[int]]:
+    """Texts and counts of repeated tokens for pages (page_id, url, html) of one host; ``elsewhere`` has keys of windows that other groups hold too."""
+    read, tokens, sizes, row = _tokens([p[2] for p in pages])
     ids = {k: i for i, k in enumerate(sorted({str(p[0]) for p in pages}))}
-    order_ok = [ids[str(p[0])] for p in pages]
-    page_of_block = np.repeat(np.array(order_ok, np.int64), [len(b) for b in read])
-    page = np.repeat(page_of_block, sizes)
+    page = np.array([ids[str(p[0])] for p in pages], np.int64)[row]
     by_page = np.argsort(page, kind="stable")
     covered = np.zeros(len(tokens), bool)
-    covered[by_page] = repeated(tokens[by_page], page[by_page])
+    covered[by_page] = repeated(tokens[by_page], page[by_page], row=row[by_page])
+    if elsewhere is not None and len(elsewhere):
+        keys, at = _keys(tokens, row, np.full(len(pages), salt, np.int64).astype(np.uint64))
+        hits = at[np.isin(keys, elsewhere)]
+        inside = np.bincount(hits, minlength=len(tokens) + 1) - np.bincount(hits + DEPTH, minlength=len(tokens) + 1)
+        covered |= np.cumsum(inside[:-1]) > 0
     begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
     total = np.concatenate(([0], np.cumsum(covered)))
     texts, counts, k = [], [], 0
@@ -207,28 +232,113 @@ def host_of(url):
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, and n_repeated (tokens of the text that other pages of the host share)."""
 
-    def out(group):
-        texts, counts = _finish(group)
+    def out(group, elsewhere, salt):
+        texts, counts = _finish(group, np.frombuffer(b"".join(elsewhere), np.uint64), salt)
         return pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in group], pa.int64()), pa.array([p[1] for p in group], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
             names=["page_id", "url", "text", "n_chars", "n_repeated"],
         )
 
     def run(batches):
-        group, host, size = [], None, 0
+        group, at, elsewhere, salt = [], None, [], 0
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
+            columns = [batch.column(i) for i in range(7)]
             for i in range(batch.num_rows):
-                h, page_id, url, source = (c[i].as_py() for c in columns)
-                if group and (h != host or size + len(source) > GROUP_BYTES):
-                    yield out(group)
-                    group, size = [], 0
-                host = h
-                group.append((page_id, url, source))
-                size += len(source)
+                dealt, kind, page_id, url, source, host, keys = (c[i].as_py() for c in columns)
+                if dealt != at:
+                    if group:
+                        yield out(group, elsewhere, salt)
+                    group, at, elsewhere = [], dealt, []
+                if kind:
+                    salt = host
+                    group.append((page_id, url, source))
+                else:
+                    elsewhere.append(keys)
         if group:
-            yield out(group)
+            yield out(group, elsewhere, salt)
 
     source = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    dealt = source.repartitionByRange("host", "page_id").sortWithinPartitions("host", "page_id")
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+    sizes = source.groupBy("host").agg(F.sum(F.length("html")).alias("size")).where(F.col("size") > GROUP_BYTES)
+    large = cut(sizes.select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"), "size"))
+    total = large.agg(F.sum("size")).first()[0] or 0
+    n = F.coalesce("n", F.lit(1))
+    dealt = source.join(small(large, 128), "host", "left").select(
+        F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", "html", F.xxhash64("host").alias("host"), F.lit(None).cast("binary").alias("keys"), n.alias("n")
+    )
+    rows = dealt.drop("n")
+    if total:
+        found = shared_windows(dealt.where("n > 1").select("dealt", "host", "html"), -(-total // BUCKET_BYTES))
+        none = F.lit(None)
+        rows = rows.unionByName(found.select("dealt", F.lit(0).alias("kind"), none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), none.cast("long").alias("host"), "keys"))
+    ordered = rows.repartition("dealt").sortWithinPartitions("dealt", "kind", "page_id")
+    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+
+
+def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(dealt, keys): for each group of pages, packed keys of its windows that other groups hold too.
+
+    ``dealt`` has the group, the host's hash and the html of each page. Keys travel packed,
+    each once for a group and task, and meet by key in buckets of bounded size.
+    """
+
+    def send(batches):
+        held, n = [], 0
+
+        def packed():
+            key, group = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = key % np.uint64(buckets)
+            order = np.lexsort((key, group, bucket))
+            key, group, bucket = key[order], group[order], bucket[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+            key, group, bucket = key[new], group[new], bucket[new]
+            ends = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int64()), "keys": pa.array([key[a:b].tobytes()], pa.binary()), "groups": pa.array([group[a:b].tobytes()], pa.binary())})
+
+        for batch in batches:
+            group, host = (batch.column(i).to_numpy() for i in range(2))
+            _, tokens, _, row = _tokens(batch.column(2).to_pylist())
+            keys, at = _keys(tokens, row, host.astype(np.uint64))
+            if len(keys):
+                held.append((keys, group[row[at]]))
+                n += len(keys)
+            if n >= SENT_WINDOWS:
+                yield from packed()
+                held, n = [], 0
+        if held:
+            yield from packed()
+
+    def meet(keys: list[bytes], groups: list[bytes]):
+        key, group = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(groups), np.int64)
+        order = np.lexsort((group, key))
+        key, group = key[order], group[order]
+        more = np.zeros(len(key) + 1, bool)  # sorted by key and group: a key is shared if its first and last group differ
+        more[1:-1] = key[1:] == key[:-1]
+        first = np.maximum.accumulate(np.where(~more[:-1], np.arange(len(key)), 0))
+        last = np.minimum.accumulate(np.where(~more[1:], np.arange(len(key)), len(key))[::-1])[::-1]
+        new = ~more[:-1]
+        new[1:] |= group[1:] != group[:-1]
+        keep = np.flatnonzero((group[first] != group[last]) & new)
+        keep = keep[np.argsort(group[keep], kind="stable")]
+        key, group = key[keep], group[keep]
+        ends = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(key)] if len(key) else [0]
+        spans = list(zip(ends[:-1], ends[1:], strict=True))
+        return pa.RecordBatch.from_pydict({"dealt": pa.array([int(group[a]) for a, _ in spans], pa.int64()), "keys": pa.array([key[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    def receive(batches):
+        at, keys, groups = None, [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bucket = batch.column(0)[i].as_py()
+                if keys and bucket != at:
+                    yield meet(keys, groups)
+                    keys, groups = [], []
+                at = bucket
+                keys.append(batch.column(1)[i].as_py())
+                groups.append(batch.column(2)[i].as_py())
+        if keys:
+            yield meet(keys, groups)
+
+    sent = dealt.mapInArrow(send, "bucket long, keys binary, groups binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(receive, "dealt long, keys binary")

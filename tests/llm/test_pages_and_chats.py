@@ -30,6 +30,30 @@ def test_main_text_removes_what_pages_of_a_host_share(spark):
     assert main_text.extract(pages.limit(0)).count() == 0
 
 
+def test_main_text_repeats_are_those_of_the_host(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = [" ".join(f"s{k}x{i}" for i in range(20)) for k in range(6)]
+    rows = []
+    for i in range(120):
+        own = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(30))
+        parts = [f"<p>{own}</p>", *(f"<p>{shared[k]}</p>" for k in range(6) if i in (k, 119 - k) or k == 0 and i % 7 == 0)]
+        rows.append((i if i < 118 else 118, f"http://{'h' if i % 10 else 'small'}.example/{i}", "".join(parts)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (whole, group_bytes) = (collections.defaultdict(list), main_text.GROUP_BYTES)
+    for r in rows:
+        whole[r[1].split("/")[2]].append(r)
+    expected = {}
+    for group in whole.values():
+        for r, text, n in zip(group, *main_text._finish(group), strict=True):
+            expected[r[1]] = (text, n)
+    assert sum("s0x" in t for t, _ in expected.values()) < sum("s0x" in r[2] for r in rows)
+    for size in (group_bytes, 1500):
+        monkeypatch.setattr(main_text, "GROUP_BYTES", size)
+        for n in (1, 5):
+            got = main_text.extract(pages.repartition(n)).collect()
+            assert {r.url: (r.text, r.n_repeated) for r in got} == expected and len(got) == len(rows)
+
+
 def test_repeated_runs_against_brute_force():
     import numpy as np
 
