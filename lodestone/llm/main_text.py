@@ -1,9 +1,12 @@
 """Operator 1, HTML extraction: page structure, and suffix arrays over the pages of a host.
 
 A page is read into blocks of text, each with the elements around it. Scripts, styles,
-menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are
-known by element name, role, class or id and settle a block as boilerplate; an ``article``
-or ``main`` element settles it as content. The token streams of all blocks that are not
+menus, page headers, footers and forms are known by element name or role and settle a
+block as boilerplate; an ``article`` or ``main`` element settles it as content, whatever
+the classes around it say. Words of a class or id (sidebars, notices, adverts, comments)
+only cast doubt: where the array can see the block (``DEPTH`` tokens or more), it loses its
+covered tokens and what is unique stays, on pages that mark an article only inside of it;
+shorter blocks go by their word, and headings inside an article are not doubted. The token streams of all blocks that are not
 boilerplate already are concatenated for the pages of a host, and a suffix array, sorted
 to a depth of ``DEPTH`` tokens by prefix doubling, shows which runs of ``DEPTH`` tokens or
 more occur on ``MIN_PAGES`` distinct pages. Blocks that structure leaves open (pages that
@@ -57,16 +60,20 @@ MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond popup modal overlay login signup pagination pager widget complementary contentinfo search".split()
 )
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ROLE = re.compile(r"""\brole\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PIECES = re.compile(r"[a-z]+")
 
 
-def _marked(attributes: str) -> bool:
-    return any(w in MARKS for value in _ATTRIBUTE.findall(attributes) for w in _PIECES.findall(value.lower()))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _marked(attributes: str, which: re.Pattern) -> bool:
+    return any(w in MARKS for value in which.findall(attributes) for w in _PIECES.findall(value.lower()))
 
 
 def read_blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, zone, share of characters in links) of the page's blocks; zones are content, open and boilerplate."""
+    """(text, zone, share of characters in links) of the page's blocks; zones are content, open, boilerplate, and doubt and inner (a class or id word, outside and inside of content)."""
     blocks: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
@@ -113,17 +120,21 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else (at if name == "head" else len(page))
         elif name not in VOID and not tag[3].endswith("/"):
-            if name in CONTENT and not _marked(tag[3]):
+            role = _marked(tag[3], _ROLE)
+            if name in CONTENT and not role and (name == "main" or not _marked(tag[3], _NAMED)):
                 # A content element ends menus and headers that were left open before it.
                 while zone == "boilerplate" and stack and stack[-1][0] in BOILERPLATE | {"header", "ul", "ol", "li", "a", "p"}:
                     leave(len(stack) - 1)
-                own = "boilerplate" if zone == "boilerplate" else "content"
-            elif zone == "boilerplate" or name in BOILERPLATE or name not in ("body", "html") and _marked(tag[3]):
+                own = zone if zone in ("boilerplate", "inner") else "content"
+            elif zone == "boilerplate" or name in BOILERPLATE or name not in ("body", "html") and role:
                 own = "boilerplate"
-            elif name == "header" and zone != "content":
+            elif name == "header" and zone not in ("content", "inner"):
                 own = "boilerplate"
+            elif name not in ("body", "html") and _marked(tag[3], _NAMED):
+                inside = zone in ("content", "inner")
+                own = None if inside and name in HEADINGS else "inner" if inside else "doubt"
             else:
-                own = zone
+                own = None
             if name == "p":  # a paragraph ends the one before it
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
@@ -131,7 +142,7 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
                         break
                     if stack[k][0] in BLOCKS:
                         break
-                own = zone if own != "boilerplate" else own
+            own = own or zone
             stack.append((name, own))
             zone = own
     text.append(page[at:])
@@ -208,7 +219,7 @@ def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int =
     total = np.concatenate(([0], np.cumsum(covered)))
     texts, counts, k = [], [], 0
     for blocks in read:
-        marked = any(b[1] == "content" for b in blocks)
+        marked = any(b[1] in ("content", "inner") for b in blocks)
         kept, n = [], 0
         for whole, zone, link_share in blocks:
             a, b = begins[k], begins[k + 1]
@@ -216,7 +227,7 @@ def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int =
             if zone == "content":
                 kept.append(whole)
                 n += int(total[b] - total[a])
-            elif not marked and link_share <= MAX_LINK_SHARE:
+            elif (zone == "inner" or not marked) and (zone == "open" or b - a >= DEPTH) and link_share <= MAX_LINK_SHARE:
                 unique = whole if total[b] == total[a] else " ".join(w for w, c in zip(whole.split(" "), covered[a:b], strict=True) if not c)
                 if unique:
                     kept.append(unique)

@@ -54,6 +54,25 @@ def test_main_text_repeats_are_those_of_the_host(spark, monkeypatch):
             assert {r.url: (r.text, r.n_repeated) for r in got} == expected and len(got) == len(rows)
 
 
+def test_main_text_class_words_only_cast_doubt():
+    rng = random.Random(5)
+    shared = " ".join(f"shared{i}" for i in range(30))
+
+    def own():
+        return " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(25))
+
+    a, b, c, d, e, f = (own() for _ in range(6))
+    pages = [
+        f"<div class='site has-sidebar'><nav>Menu</nav><article><h2 id='search'>Search trees</h2><p>{a}</p></article></div><div class='ad'>{own()}</div>",
+        f"<main class='content no-sidebar'><p>{b}</p><div class='notice'>{shared}</div></main>",
+        f"<article><p>{c}</p><div class='promo'>{d} {shared}</div><p class='ad'>Buy<p>so it ends</article><div id='comments'><article class='comment'>{own()}</article></div>",
+        f"<div class='widget'>{e}</div><div class='widget'>{shared}</div><div class='ad'>Buy now</div><div role='complementary'>{own()}</div>",
+        f"<article class='post tag-social'><p>{f}</p></article>",
+    ]
+    texts, _ = main_text._finish([(i, "u", x) for i, x in enumerate(pages)])
+    assert texts == [f"Search trees\n{a}", b, f"{c}\n{d}\nso it ends", e, f]
+
+
 def test_repeated_runs_against_brute_force():
     import numpy as np
 
