@@ -9,16 +9,20 @@ The difference of both log-likelihoods, divided by the number of characters, is
 with a threshold calibrated on the labelled URLs: the point between both classes' means
 that lies equally many standard deviations from each.
 
-Labels come from the table itself. A URL is an example of what to reject when a word of its
-host is one of ``SEEDS``, else of what to accept unless a rule blocks it. Rules that block
-a section say nothing about how a bad URL looks, so their URLs are not learned from.
+Labels come from the table and from ``REJECTED``, a bundled list of words. A URL is an
+example of what to reject when a word of its host is one of ``SEEDS`` or its host contains
+one of ``REJECTED`` of ``CONTAINED`` characters or more, else of what to accept unless a
+rule blocks it. Rules that block a section say nothing about how a bad URL looks, so their
+URLs are not learned from. Every accepted example also gives one made example to reject:
+itself with one label of its host replaced by words of ``REJECTED``, so that the rejected
+class has examples whatever the table holds, and both classes share endings and paths.
 
 All orders are sums over one table of four-character windows, which is broadcast only if
 counted to be small; the windows of a URL are joined with it.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and no windows; its
-score is 0 and the method allows it, as it does all URLs where one of the classes has no
-example. Repeated rows give one result each. Other columns are ignored.
+score is 0 and the method allows it. Where no URL is accepted, the method blocks the
+rejected examples. Repeated rows give one result each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,10 @@ from .shared import cut, let, small
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words that mark a host as an example of what to reject.
 SEEDS = ("ads", "adult", "bets", "casino", "cheap", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
+REJECTED = tuple(
+    "ads adult adulte apuestas bet bets betting bingo blackjack bonus camgirl cams cannabis casino cheap cialis clickbait coupons cracked crypto dating drogen drugs erotic erotica erotik escort escorts fake fetish freebies gambling glücksspiel hacked hentai hookup jackpot juegos kasino keygen kredit levitra loans lottery lotto milf naked nude nudes onlyfans paris-sportif payday pharma pharmacy phishing pills poker porn porno prestamos replica replicas roulette sex sexy slots spam spielbank steroids strip swingers tabletten torrents tramadol viagra warez wetten xanax xxx".split()
+)
+CONTAINED = 5
 ORDER = 4
 STRENGTH = 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +70,23 @@ def windows(text: Column) -> Column:
     return F.when(text != "", grams).otherwise(F.array().cast("array<string>"))
 
 
+def made(host: Column, path: Column) -> Column:
+    """Host and path with one label before the last replaced by one or two words of ``REJECTED``, chosen by a hash."""
+    words, pick = F.array(*map(F.lit, REJECTED)), F.xxhash64(host, path)
+
+    def word(k: int) -> Column:
+        return F.get(words, F.pmod(F.xxhash64(pick, F.lit(k)), F.lit(len(REJECTED))).cast("int"))
+
+    mark = F.get(F.array(*map(F.lit, ("", "-", None))), F.pmod(F.xxhash64(pick, F.lit(2)), F.lit(3)).cast("int"))
+    name = F.coalesce(F.concat(word(0), mark, word(1)), word(0))
+
+    def replaced(labels: Column) -> Column:
+        at = F.pmod(F.xxhash64(pick, F.lit(3)), F.greatest(F.size(labels) - 1, F.lit(1)))
+        return F.array_join(F.transform(labels, lambda x, i: F.when(i == at, name).otherwise(x)), ".")
+
+    return F.concat(let(F.split(host, r"\."), replaced), path)
+
+
 def ratios(counts: DataFrame) -> DataFrame:
     """gram and log P(accepted) - log P(rejected) of its last character, from (gram, a, r)."""
     last = F.substr("gram", F.lit(ORDER))
@@ -84,18 +109,21 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id"), host.alias("host"), path.alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds)))
+    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))) | F.col("host").rlike("|".join(w for w in REJECTED if len(w) >= CONTAINED))
     rows = cut(rows.withColumns({"rule": rule, "action": action}).withColumn("label", F.when(bad, "r").when(F.coalesce("action", F.lit("allow")) == "allow", "a")))
-    grams = rows.select("rid", "label", F.explode(windows(F.concat("host", "path"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count_if(F.col("label") == "a").alias("a"), F.count_if(F.col("label") == "r").alias("r"))
+    text = F.concat("host", "path")
+    fakes = rows.where("label = 'a' and host != ''").select("rid", F.lit("m").alias("label"), made(F.col("host"), F.col("path")).alias("text"))
+    grams = rows.select("rid", "label", text.alias("text")).unionByName(fakes).select("rid", "label", F.explode(windows(F.col("text"))).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count_if(F.col("label") == "a").alias("a"), F.count_if(F.col("label").isin("r", "m")).alias("r"))
     table = small(cut(ratios(cut(counts))), 48)
-    scored = grams.join(table, "gram").groupBy("rid").agg(F.avg("ratio").alias("score"))
-    scored = cut(rows.join(scored, "rid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
-    fit = {x.label: x for x in scored.where("label is not null and host != ''").groupBy("label").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
+    scores = cut(grams.join(table, "gram").groupBy("rid", (F.coalesce("label", F.lit("")) == "m").alias("made")).agg(F.avg("ratio").alias("score")))
+    scored = cut(rows.join(scores.where("not made").drop("made"), "rid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+    examples = scored.where("label is not null and host != ''").select("label", "score").unionByName(scores.where("made").select(F.lit("r").alias("label"), "score"))
+    fit = {x.label: x for x in examples.groupBy("label").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
     if len(fit) == 2:
         a, r = fit["a"], fit["r"]
         limit = (a.m * (r.s + 1e-9) + r.m * (a.s + 1e-9)) / (a.s + r.s + 2e-9)
         method = F.when((F.col("score") >= limit) | (F.col("host") == "") & (F.col("path") == ""), "allow").otherwise("block")
     else:
-        method = F.lit("allow")
+        method = F.when(F.col("label") == "r", "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")

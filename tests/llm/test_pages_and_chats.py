@@ -141,6 +141,19 @@ def test_url_model_generalises(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_url_model_without_seed_words(spark):
+    rng = random.Random(3)
+    good = [f"http://{w}.example.org/{rng.randint(0, 99)}" for w in ("garden", "library", "weather", "recipes", "history", "museum", "bakery", "hiking") for _ in range(30)]
+    bad = [f"http://{w}.example.org/{rng.randint(0, 99)}" for w in ("casinowin", "kasino", "gambling-hall", "replica-shop", "escorts") for _ in range(3)]
+    urls = good + bad
+    assert not any(set(re.split("[.-]", u.split("/")[2])) & set(url_filter.SEEDS) for u in urls)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert [got[i] for i in range(len(urls))] == ["allow"] * len(good) + ["block"] * len(bad)
+    seeded = spark.createDataFrame([(1, "http://casino-win.example.org/")], "page_id long, url string")
+    assert url_filter.judge(seeded).first().verdict == "block"
+
+
 def said(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
