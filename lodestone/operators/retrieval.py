@@ -10,6 +10,7 @@ from ..functions.text import demoted, tokenize
 
 BROADCAST_BYTES = 8 << 20
 K1, B, RRF_K = 1.5, 0.75, 60
+SYMBOL_POOL = 100
 
 
 def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -127,18 +128,42 @@ def symbol_grades(candidates: DataFrame, symbols: DataFrame) -> DataFrame:
     return asked.join(keys, "key").groupBy("qid", "id").agg(F.min("grade").alias("grade"))
 
 
-def gate(hits: DataFrame, threshold: float, k: int) -> DataFrame:
-    """qid, top_score (greatest vector score of the pool), has_evidence, reason and the contexts that pass, in rank order."""
+def gate(hits: DataFrame, threshold: float, k: int, questions: DataFrame | None = None) -> DataFrame:
+    """qid, top_score (greatest vector score of the pool), has_evidence, reason and the contexts that pass, in rank order.
+
+    Of ``questions`` (qid), those without hits have no score, no contexts and the reason ``empty_index``.
+    """
     passed = F.filter(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))), lambda h: h["score"] >= threshold)
     out = hits.groupBy("qid").agg(F.max("score").alias("top_score"), F.slice(passed, 1, k).alias("passed"))
-    evidence = F.col("top_score") >= threshold
-    return out.select("qid", "top_score", evidence.alias("has_evidence"), F.when(evidence, "ok").otherwise("below_threshold").alias("reason"), F.transform("passed", lambda h: h["id"]).alias("contexts"))
+    if questions is not None:
+        out = questions.select("qid").distinct().join(out, "qid", "left").withColumn("passed", F.coalesce("passed", F.array().cast(out.schema["passed"].dataType)))
+    evidence = F.coalesce(F.col("top_score") >= threshold, F.lit(False))
+    return out.select("qid", "top_score", evidence.alias("has_evidence"), F.when(evidence, "ok").when(F.col("top_score").isNull(), "empty_index").otherwise("below_threshold").alias("reason"), F.transform("passed", lambda h: h["id"]).alias("contexts"))
 
 
-def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, threshold: float = 0.54, use_bm25: bool = True, cap: int = 0, demote: str = "") -> DataFrame:
-    """Hybrid search for all questions: vector pool, lexical pool, fusion, rerank, gate."""
-    semantic = vector_top_k(query_vectors, vectors, pool if use_bm25 or cap else k).withColumnRenamed("vec_id", "id")
-    hits = rrf(semantic, bm25(questions, docs, pool).withColumnRenamed("doc_id", "id")) if use_bm25 else semantic
+def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, threshold: float = 0.54, use_bm25: bool = True, cap: int = 0, demote: str = "", names: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Hybrid search for all questions: vector pool, lexical pool, fusion, rerank, symbol matches first, gate.
+
+    ``names`` has qid and names (symbols that the question names), ``symbols`` id and symbol; both are needed for the last rerank.
+    """
+    own = max(pool if use_bm25 or cap or demote else k, k)
+    widest = own
+    if names is not None and symbols is not None:
+        widest = max(own, SYMBOL_POOL)
+        naming = names.where(F.size("names") > 0).select("qid", F.lit(True).alias("naming")).distinct()
+
+    def pooled(found: DataFrame) -> DataFrame:
+        """Questions that name symbols keep the wider pool, others their own."""
+        if widest == own:
+            return found
+        return found.join(naming, "qid", "left").where((F.col("rank") <= own) | F.col("naming")).drop("naming")
+
+    semantic = pooled(vector_top_k(query_vectors, vectors, widest)).withColumnRenamed("vec_id", "id")
+    hits = rrf(semantic, pooled(bm25(questions, docs, widest)).withColumnRenamed("doc_id", "id")) if use_bm25 else semantic
     if cap or demote:
         hits = cap_rerank(hits.join(docs.select(F.col("doc_id").alias("id"), "path"), "id"), cap, demote).drop("rank").withColumnRenamed("new_rank", "rank")
-    return gate(hits, threshold, k)
+    if names is not None and symbols is not None:
+        hits = grade_rerank(hits, symbol_grades(names, symbols)).drop("rank", "grade").withColumnRenamed("new_rank", "rank")
+    if use_bm25:  # a question without vector hits has no evidence to order, whatever the lexical list says
+        hits = hits.join(semantic.select("qid").distinct(), "qid", "left_semi")
+    return gate(hits, threshold, k, query_vectors)

@@ -78,6 +78,20 @@ def test_fusion_rerank_gate(spark):
     assert {(r.qid, r.id, r.grade) for r in retrieval.symbol_grades(asked, symbols).collect()} == {(1, "k1", 1), (1, "k3", 0), (2, "k1", 0)}
 
 
+def test_search_puts_named_symbols_first(spark):
+    docs = spark.createDataFrame([(i, "word", f"p{i}") for i in range(3)], "doc_id long, text string, path string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.1 * i]) for i in range(3)], "vec_id long, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0])], "qid long, vector array<float>")
+    questions = spark.createDataFrame([(1, "word"), (2, "word")], "qid long, text string")
+    names = spark.createDataFrame([(1, ["RUN"])], "qid long, names array<string>")
+    symbols = spark.createDataFrame([(2, "Service.run")], "id long, symbol string")
+    found = retrieval.search(questions, docs, asked, vectors, names=names, symbols=symbols)
+    assert {r.qid: r.contexts for r in found.collect()} == {1: [2, 0, 1], 2: [0, 1, 2]}
+    assert {r.qid: r.contexts for r in retrieval.search(questions, docs, asked, vectors, k=1, use_bm25=False, names=names, symbols=symbols).collect()} == {1: [2], 2: [0]}
+    none = [r for lexical in (True, False) for r in retrieval.search(questions, docs, asked, vectors.limit(0), use_bm25=lexical).collect()]
+    assert len(none) == 4 and {(r.qid, r.top_score, r.has_evidence, r.reason, tuple(r.contexts)) for r in none} == {(q, None, False, "empty_index", ()) for q in (1, 2)}
+
+
 def test_vector_search_in_blocks(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(8)] + [(9, None)], "vec_id long, vector array<float>")
     asked = rows.where("vec_id in (0, 3, 7)").withColumnRenamed("vec_id", "qid")
