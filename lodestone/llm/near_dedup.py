@@ -11,20 +11,24 @@ random numbers of a shingle come from tables indexed by its hash. Texts that agr
 samples of a band meet in a bucket, and every link is verified by the exact weighted
 Jaccard similarity, at least ``THRESHOLD``.
 
-No bucket emits all its pairs. Texts with equal shingle multisets are one class first. A
-bucket of at most ``SMALL`` classes is compared pair by pair. In a larger one ``HUBS``
-members, those that meet most others, are compared with all members; usually that links
-the whole bucket. Members that are still outside the bucket's main component are compared
-with all others in blocks of bounded size, one matrix product for each pair of blocks, of
-which only links between different components leave the task. So every pair of a bucket
-is either verified or connected already, and the rows made stay in proportion to members.
+No bucket emits all its pairs. Texts with equal shingle multisets are one class first,
+named by a 64-bit hash of the multiset (``cid``). A bucket of at most ``SMALL`` classes is
+compared pair by pair. Of larger ones, each class is compared with the hub of its largest
+bucket, the member that meets most others; usually that links everything. Classes that are
+then outside the main component of one of their buckets are compared with ``HUBS`` members
+of it, and those that are still outside with all its members in blocks of bounded size, one
+matrix product for each pair of blocks, of which only links between different components
+leave the task. So every pair of a bucket is either verified or connected already, and the
+rows made stay in proportion to members: a class is one row with a list of at most
+``BANDS`` buckets wherever texts or components are joined.
 
 Edge cases: null and empty texts, and texts under five words, have no five-word shingle;
 their whole word sequence is their only shingle, so equal ones are copies and the empty
 ones form one class. Repeated rows (also of one doc_id) fall in one class. An empty table
 gives an empty result. Columns other than doc_id and text are ignored. Rows that share a
-doc_id are one document and share a class. Rows with a null doc_id are classed with copies
-that have an id, else get a null class.
+doc_id are one document: their texts are linked whatever they say, each text keeping its
+own links. Rows with a null doc_id are classed by their text like all others; a group in
+which no row has an id gets a null class.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_ import LOWER, mix, slices, span_hashes, texts_of, windows, words_of
-from .shared import cut, sum_vectors
+from .shared import cut, small, sum_vectors
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -45,6 +49,8 @@ SKETCH_BITS = 20
 TABLE_BITS = 14
 SMALL = 12
 HUBS = 4
+#: Buckets of more classes are joined by broadcast while they are few, so that no task gets one whole.
+HOT = 256
 BLOCK, BLOCK_BYTES = 256, 1 << 20
 #: Weights are whole numbers of this part, so similarities do not depend on the order of sums.
 UNIT = round(255 / IDF_SPAN)
@@ -95,9 +101,9 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                 distinct = np.unique(mix(hashes ^ mix(doc.astype(np.uint64))), return_index=True)[1]
                 row = np.bincount((hashes[distinct] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=(1 << SKETCH_BITS) + 1)
                 row[-1] = len(texts)
-                yield row.astype(np.int32)
+                yield row
 
-    sums = sum_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")), count, (1 << SKETCH_BITS) + 1, np.int32)
+    sums = sum_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")), count, (1 << SKETCH_BITS) + 1, np.int64)
     return sums[:-1], int(sums[-1])
 
 
@@ -146,8 +152,17 @@ def _tables_once():
     return _kept[0]
 
 
+def _cids(hashes: np.ndarray, tf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash of each text's shingle multiset; it depends on the text alone."""
+    return mix(np.add.reduceat(mix(hashes ^ mix(tf.astype(np.uint64) + np.uint64(1))), bounds[:-1])).astype(np.int64)
+
+
+def _counts(hashes: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return weights // (UNIT + idf[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.int64))
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, a key of the text's shingle multiset, and the band keys."""
+    """doc_id, the class of the text's shingle multiset, and the band keys."""
     handle = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** SKETCH_BITS bytes
 
     def run(batches):
@@ -155,18 +170,37 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 hashes, weights, bounds = _weighted(texts_of(part.column(0)), idf)
-                total = np.stack([np.add.reduceat(mix(hashes + mix(weights.astype(np.uint64) + np.uint64(s))), bounds[:-1]) for s in (1, 2)], axis=1)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(samples(hashes, weights, bounds).astype(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                same = pa.FixedSizeListArray.from_arrays(pa.array(total.astype(np.int64).ravel()), 2).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(1), same, keys], names=["doc_id", "same", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(_cids(hashes, _counts(hashes, weights, idf), bounds)), keys], names=["doc_id", "cid", "bands"])
 
     source = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    return source.mapInArrow(run, "doc_id long, same array<long>, bands array<long>")
+    return source.mapInArrow(run, "doc_id long, cid long, bands array<long>")
+
+
+def class_column(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with the class of their text in one more column."""
+    flat = np.zeros(1 << SKETCH_BITS, np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            text = batch.schema.get_field_index("text")
+            for part in slices(batch, "text"):
+                hashes, weights, bounds = _weighted(texts_of(part.column(text)), flat)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_cids(hashes, weights // UNIT, bounds))], names=[*part.schema.names, name])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{name}` long"])
+    return docs.mapInArrow(run, schema)
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b and the exact weighted Jaccard similarity of their texts; ``texts`` has rep and text."""
-    handle = texts.sparkSession.sparkContext.broadcast(idf)
+    """a, b and the exact weighted Jaccard similarity of their texts; ``texts`` has cid and text."""
+    joined = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
+    return compared(joined.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a"), idf)
+
+
+def compared(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+    """a, b and similarity of rows that have both texts, ta and tb."""
+    handle = rows.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         idf = handle.value
@@ -186,50 +220,88 @@ def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFra
                 both = sum(np.bincount(r, s[1], minlength=part.num_rows) for s, r in zip(sides, rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(low / (both - low))], names=["a", "b", "similarity"])
 
-    joined = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    joined = joined.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long, similarity double")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """cid, how many classes it meets, and its buckets of two classes or more with their sizes; one row for each class."""
+    members = classes.select("cid", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "cid")
+    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = small(sizes.where(F.col("n") > HOT), 24)
+    rest = members.join(hot, "bucket", "left_anti").join(sizes.where(F.col("n") <= HOT), "bucket")
+    sized = members.join(hot, "bucket").unionByName(rest)
+    return cut(sized.groupBy("cid").agg(F.sum("n").alias("meets"), F.collect_list(F.struct("n", "bucket")).alias("buckets")))
+
+
+def class_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """cid and one text of each asked class (cid, rep), found by the id rep, or by the text where no row has an id."""
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = class_column(docs.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "cid")
+    named = named.join(asked, "cid").where("doc_id = rep").groupBy("cid").agg(F.min("text").alias("text"))
+    bare = class_column(docs.where("doc_id is null"), "cid").groupBy("cid").agg(F.min("text").alias("text"))
+    return named.unionByName(bare.join(asked.where("rep is null").select("cid"), "cid", "left_semi"))
 
 
 def roots_of(classes: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """rep and root (the least rep of its component) of the classes that meet another in a bucket."""
+    """cid and root (the least cid of its component) of the classes (cid, rep, bands) that meet another in a bucket."""
     at_least = F.col("similarity") >= threshold - MARGIN
-    members = classes.select("rep", F.posexplode("bands").alias("band", "key")).select(F.struct("band", "key").alias("bucket"), "rep").distinct()
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(sizes, "bucket"))
-    own = members.groupBy("rep").agg(F.sum("n").alias("meets"))
-    texts = cut(docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).join(own, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text")))
+    own = meetings(classes)
+    texts = cut(class_texts(docs, classes.select("cid", "rep").join(own.select("cid"), "cid", "left_semi")))
 
     # Short buckets: each member against the later ones of its list.
-    lists = members.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list("rep")).alias("m"))
+    short = own.select("cid", F.explode(F.filter("buckets", lambda b: b["n"] <= SMALL)).alias("b")).select("cid", "b.bucket")
+    lists = short.groupBy("bucket").agg(F.sort_array(F.collect_list("cid")).alias("m"))
     pairs = lists.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
     roots = cut(components(own, cut(similarities(pairs, texts, idf).where(at_least))))
 
-    large = members.where(F.col("n") > SMALL).select("bucket", "rep").join(own, "rep")
+    large = cut(own.select("cid", "meets", F.array_sort(F.filter("buckets", lambda b: b["n"] > SMALL)).alias("buckets")).where(F.size("buckets") > 0))
+    if not large.limit(1).count():
+        return roots
+
+    def compare(asked: DataFrame) -> None:
+        """Verify (cid, hub) and merge components; few hubs have many members, so hubs' texts are broadcast while they are small."""
+        nonlocal roots
+        asked = asked.join(roots, "cid").select(F.col("cid").alias("a"), F.col("root").alias("root_a"), F.col("hub").alias("b"))
+        named = cut(asked.select("b").distinct().join(roots.withColumnRenamed("cid", "b"), "b").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b"))
+        rows = asked.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a").join(small(named, F.octet_length("tb") + 24), "b").where("root_a != root")
+        links = compared(rows, idf).where(at_least)
+        by = {side: roots.select(F.col("cid").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
+        links = cut(links.select("a", "b")).join(by["a"], "a").join(small(named.select("b", F.col("root").alias("root_b")), 24), "b")
+        roots = _merged(roots, cut(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
+
+    def outside() -> tuple[DataFrame, DataFrame]:
+        """bucket and cid of classes outside the main component of a bucket, and bucket and main of these buckets."""
+        placed = large.join(roots, "cid").select("cid", "root", F.explode("buckets.bucket").alias("bucket"))
+        parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+        mains = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main")
+        mains = cut(mains)
+        return cut(placed.join(small(mains, 24), "bucket").where("root != main").select("bucket", "cid", "root")), mains
+
+    place = large.select("cid", "meets", F.explode("buckets.bucket").alias("bucket"))
     # One hub for each slot of a bucket: a maximum, which tasks combine before they send it.
-    slot = F.pmod(F.xxhash64("rep"), F.lit(HUBS)).alias("slot")
-    hubs = large.groupBy("bucket", slot).agg(F.max(F.struct("meets", "rep")).alias("x")).select("bucket", F.col("x.rep").alias("hub"))
-    placed = large.join(roots, "rep")
-    hubs = cut(hubs.join(roots.select(F.col("rep").alias("hub"), F.col("root").alias("hub_root")), "hub"))
-    if not hubs.limit(1).count():
+    slot = F.pmod(F.xxhash64("cid"), F.lit(HUBS)).alias("slot")
+    slots = cut(place.groupBy("bucket", slot).agg(F.max(F.struct("meets", "cid")).alias("x")))
+    first = cut(slots.groupBy("bucket").agg(F.max("x")["cid"].alias("hub")))
+    compare(large.select("cid", F.element_at("buckets", -1)["bucket"].alias("bucket")).join(small(first, 24), "bucket").where("cid != hub").select("cid", "hub"))
+
+    left, _ = outside()
+    if not left.limit(1).count():
         return roots
-    pairs = placed.join(hubs, "bucket").where("root != hub_root").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    links = similarities(pairs, texts, idf).where(at_least)
-    by = {side: roots.select(F.col("rep").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
-    roots = _merged(roots, cut(links.join(by["a"], "a").join(by["b"], "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()))
-
-    placed = large.join(roots, "rep").select("bucket", "rep", "root")
-    mains = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = cut(placed.join(mains, "bucket").join(texts, "rep").select("bucket", "rep", "root", "text", (F.col("root") != F.col("main")).alias("outside")))
-    if not placed.limit(1).count():
+    hubs = slots.select("bucket", F.col("x")["cid"].alias("hub")).unionByName(left.groupBy("bucket", slot).agg(F.max("cid").alias("hub")).drop("slot"))
+    compare(left.join(small(hubs, 24), "bucket").where("cid != hub").select("cid", "hub").distinct())
+
+    left, mains = outside()
+    if not left.limit(1).count():
         return roots
+    placed = large.join(roots, "cid").join(texts, "cid").select("cid", "root", "text", F.explode("buckets.bucket").alias("bucket")).join(small(mains, 24), "bucket")
+    placed = cut(placed.select("bucket", "cid", "root", "text", (F.col("root") != F.col("main")).alias("outside")))
     return _merged(roots, cut(block_links(placed, idf, threshold).distinct()))
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The roots after their links (a, b) have joined them."""
-    top = components(roots.select(F.col("root").alias("rep")).distinct(), links).select(F.col("rep").alias("root"), F.col("root").alias("top"))
-    return cut(roots.join(top, "root").select("rep", F.col("top").alias("root")))
+    top = components(roots.select(F.col("root").alias("cid")).distinct(), links).select(F.col("cid").alias("root"), F.col("root").alias("top"))
+    return cut(roots.join(top.where("root != top"), "root", "left").select("cid", F.coalesce("top", "root").alias("root")))
 
 
 def block_links(placed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -247,7 +319,7 @@ def block_links(placed: DataFrame, idf: np.ndarray, threshold: float) -> DataFra
 
     def side(rows, own, other, n_own, n_other):
         # Copies of a block for each block that it meets, so that a large bucket is shared by many tasks.
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("rep"), F.col(n_own)).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {n_other} - 1)")))
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("cid"), F.col(n_own)).cast("int")).withColumn(other, F.explode(F.expr(f"sequence(0, {n_other} - 1)")))
         return rows.groupBy("bucket", "left", "right").agg(F.collect_list(row).alias(f"{own}_rows"))
 
     pairs = side(placed.where("outside"), "left", "right", "n_left", "n_right").join(side(placed, "right", "left", "n_right", "n_left"), ["bucket", "left", "right"])
@@ -296,35 +368,51 @@ def _similar(sides, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.n
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rep and root, the least node that it is linked to over any number of links."""
+    """cid and root, the least node that it is linked to over any number of links."""
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    touched = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("root")))
+    touched = cut(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("root")))
     while True:
         # The least root among neighbours, then the root of that root: paths halve in each turn.
-        least = edges.join(touched, F.col("b") == F.col("rep")).groupBy("a").agg(F.min("root").alias("m"))
-        step = touched.join(least, F.col("rep") == F.col("a")).select("rep", "root", F.least("root", "m").alias("new"))
-        up = touched.select(F.col("rep").alias("new"), F.col("root").alias("higher"))
-        moved = cut(step.join(up, "new", "left").select("rep", F.coalesce("higher", "new").alias("new"), (F.coalesce("higher", "new") != F.col("root")).alias("moved")))
-        touched = moved.select("rep", F.col("new").alias("root"))
+        least = edges.join(touched, F.col("b") == F.col("cid")).groupBy("a").agg(F.min("root").alias("m"))
+        step = touched.join(least, F.col("cid") == F.col("a")).select("cid", "root", F.least("root", "m").alias("new"))
+        up = touched.select(F.col("cid").alias("new"), F.col("root").alias("higher"))
+        moved = cut(step.join(up, "new", "left").select("cid", F.coalesce("higher", "new").alias("new"), (F.coalesce("higher", "new") != F.col("root")).alias("moved")))
+        touched = moved.select("cid", F.col("new").alias("root"))
         if not moved.where("moved").limit(1).count():
             break
-    return nodes.select("rep").join(touched, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"))
+    return nodes.select("cid").join(touched, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
+
+
+def shared_ids(signed: DataFrame) -> DataFrame:
+    """Links (a, b) of classes whose rows have one doc_id."""
+    pairs = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("top"), F.collect_set("cid").alias("all")).where("a != top")
+    return pairs.select("a", F.explode("all").alias("b")).where("a != b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its group) and rep (the least doc_id with an equal shingle multiset), for each row."""
+    """doc_id, class_id (the least doc_id of its group), rep (the least doc_id with an equal shingle multiset) and root (a class of the group), for each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     idf = inverse_frequencies(docs)
     signed = cut(signatures(docs, idf))
-    classes = signed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    roots = roots_of(classes.where("rep is not null").select("rep", "bands"), docs, idf, threshold)
-    named = classes.select("same", "rep").join(roots, "rep", "left").select("same", "rep", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "rep")
+    classes = cut(signed.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    roots = roots_of(classes, docs, idf, threshold)
+    same_id = cut(shared_ids(signed))
+    if same_id.limit(1).count():
+        every = classes.select("cid").join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"))
+        by = {side: every.select(F.col("cid").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"}
+        links = same_id.join(by["a"], "a").join(by["b"], "b").where("root_a != root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        roots = _merged(every, cut(links.distinct()))
+    named = cut(classes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root")))
+    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    named = named.join(least, "root").select("cid", "rep", "class_id", "root")
+    return signed.select("doc_id", "cid").join(named, "cid").select("doc_id", "class_id", "rep", "root")
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each group, the one with the least doc_id, with all columns; rows without a doc_id stay."""
-    leaders = near_duplicates(docs, threshold).select(F.col("class_id").alias("doc_id")).distinct()
-    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group with all columns: one with the least doc_id; of a group without an id, one of its rows."""
+    found = near_duplicates(docs, threshold).select("class_id", "root")
+    leaders = found.select(F.col("class_id").alias("doc_id")).where("doc_id is not null").distinct()
+    kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    bare = class_column(docs.where("doc_id is null"), "_cid").dropDuplicates(["_cid"])
+    leaders = found.where("class_id is null").select(F.col("root").alias("_cid")).distinct()
+    return kept.unionByName(bare.join(leaders, "_cid", "left_semi").select(docs.columns))

@@ -37,11 +37,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The frame with a broadcast hint if its counted rows fit the limit, else unchanged.
 
-    The frame should be a materialised one (see ``cut``), as it is counted first.
+    ``row_bytes`` is the width of a row of fixed size, or a column with each row's own. The
+    frame should be a materialised one (see ``cut``), as it is counted first.
     """
+    if isinstance(row_bytes, Column):
+        return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
 
 

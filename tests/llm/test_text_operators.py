@@ -209,15 +209,27 @@ def test_near_duplicates(spark):
     assert len(found) == len(rows) + 4
     kept = near_dedup.representatives(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(expected.values())) and ids.count(None) == 3
+    bare = [r.text for r in kept.collect() if r.doc_id is None]
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(expected.values())) and bare == ["nobody else says this"]
     nothing = spark.createDataFrame([], docs.schema)
     assert near_dedup.near_duplicates(nothing).count() == near_dedup.representatives(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Each text of a repeated id keeps its own links, and the id joins them."""
+    rng = random.Random(13)
+    a, b, c = (" ".join(f"{x}{rng.randint(0, 10**6)}" for _ in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (5, f"{b} tail"), (6, f"{a} tail"), (7, c), (None, f"{c} tail"), (None, "alone and without an id"), (None, "alone and without an id"), (9, "alone and with an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == {(1, 1), (5, 1), (6, 1), (7, 7), (None, 7), (None, None), (9, 9)} and len(found) == len(rows)
+    assert sorted(str(r.doc_id) for r in near_dedup.representatives(docs).collect()) == ["1", "7", "9", "None"]
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     """A cloud of texts around an absent base, of which few pairs are near: hubs alone cannot join it."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HOT", 16)
     rng = random.Random(11)
     base = [f"b{i}" for i in range(120)]
     rows = []
@@ -237,7 +249,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 
 
 def test_weighted_similarity_is_exact(spark):
-    texts = spark.createDataFrame([(1, "a b c d e f a b c d e g"), (2, "a b c d e f g h"), (3, ""), (4, "")], "rep long, text string")
+    texts = spark.createDataFrame([(1, "a b c d e f a b c d e g"), (2, "a b c d e f g h"), (3, ""), (4, "")], "cid long, text string")
     pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 3)], "a long, b long")
     flat = np.zeros(1 << near_dedup.SKETCH_BITS, np.uint8)
     found = {(r.a, r.b): r.similarity for r in near_dedup.similarities(pairs, texts, flat).collect()}
