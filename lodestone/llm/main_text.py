@@ -3,19 +3,21 @@
 A page is read into blocks of text, each with the elements around it. Scripts, styles,
 menus, page headers, footers and forms are known by element name or role and settle a
 block as boilerplate; an ``article`` or ``main`` element settles it as content, whatever
-the classes around it say. Words of a class or id (sidebars, notices, adverts, comments)
-only cast doubt: where the array can see the block (``DEPTH`` tokens or more), it loses its
-covered tokens and what is unique stays, on pages that mark an article only inside of it;
-shorter blocks go by their word, and headings inside an article are not doubted. The token streams of all blocks that are not
-boilerplate already are concatenated for the pages of a host, and a suffix array, sorted
-to a depth of ``DEPTH`` tokens by prefix doubling, shows which runs of ``DEPTH`` tokens or
-more occur on ``MIN_PAGES`` distinct pages. Blocks that structure leaves open (pages that
-mark no article) lose their covered tokens, and blocks of links; what is unique stays.
-
-Repeats inside a marked article are prose that pages share (copies, quotes, common
-passages), so there they are only counted (``n_repeated``) and not removed.
-
-A host is dealt by page id into groups of about ``GROUP_BYTES`` of HTML, each with its own
+the classes around it say. Names in a class or id (sidebars, notices, adverts, comments)
+only cast doubt. The array decides about all blocks that are then uncertain: on pages that
+mark an article the doubted blocks inside of it, on other pages all blocks outside of
+boilerplate. Short doubted blocks (under ``DEPTH`` tokens, which the array cannot see) and
+blocks of links go; so do doubted blocks outside of a marked article. Headings inside an
+article are not doubted.
+
+The token streams of uncertain blocks are concatenated for the pages of a host, and a
+suffix array, sorted to a depth of ``DEPTH`` tokens by prefix doubling, shows which runs of
+``DEPTH`` tokens or more occur on ``MIN_PAGES`` distinct pages. These tokens go, what is
+unique stays. Prose inside a marked article is settled by its place: it takes no part, so
+copies, quotes and passages that pages share stay. Pages without uncertain blocks are
+finished where they are read; only uncertain pages move, as text and not as HTML.
+
+A host is dealt by page id into groups of about ``GROUP_BYTES`` of text, each with its own
 suffix array, so a hot host spreads over many tasks. For hosts of more than one group the
 hashes of all windows of ``DEPTH`` tokens are compared beyond the groups as well: they are
 shuffled by hash, those of two groups or more go back to these groups, and windows found
@@ -24,13 +26,16 @@ pages are dealt.
 
 Edge cases: null or empty html gives an empty text; a null url counts as an empty host;
 repeated rows give one result each (a page is not distinct from its own copies with the
-same page_id, which are all dealt to one group; no run crosses from one row to the next); unclosed elements end with their parent; other columns are ignored.
+same page_id, which are all dealt to one group; no run crosses from one row to the next);
+very long pages are read in time in proportion to their length; unclosed elements end with
+their parent; a tag that never closes is text; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,7 @@ DEPTH = 16
 MIN_PAGES = 2
 GROUP_BYTES = 4 << 20
 MAX_LINK_SHARE = 0.5
-#: Windows that a task collects before it sends them, and HTML bytes whose windows one bucket of hashes holds on average.
+#: Windows that a task collects before it sends them, and bytes of text whose windows one bucket of hashes holds on average.
 SENT_WINDOWS = 1 << 21
 BUCKET_BYTES = 32 << 20
 
@@ -59,17 +64,24 @@ CONTENT = frozenset("article main".split())
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond popup modal overlay login signup pagination pager widget complementary contentinfo search".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_ROLE = re.compile(r"""\brole\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_PIECES = re.compile(r"[a-z]+")
+#: Names that only say that something is a box; a name such as ``ad-box`` is its first part.
+BOXES = frozenset("area bar block body bottom box center col column container content footer form group header holder inner item items label left line link links list main outer panel right row section slot text title top unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The last alternative takes all the rest of a page in which a tag never closes, so no stretch is read more than twice.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z].*\Z""", re.S)
+_NAMED = re.compile(r"""(?<![\w:.-])(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_ROLE = re.compile(r"""(?<![\w:.-])role\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PARTS = re.compile(r"[-_]+")
 
 
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+def _marks(name: str) -> bool:
+    """Whether a name of a class attribute is a mark, ends with one (cookie-banner), or is one and boxes (ad-box)."""
+    parts = [x.rstrip("0123456789") for x in _PARTS.split(name) if x]
+    return bool(parts) and (name in MARKS or parts[-1] in MARKS and parts[0] not in ("has", "no", "with", "without") or parts[0] in MARKS and all(x in BOXES or not x for x in parts[1:]))
 
 
 def _marked(attributes: str, which: re.Pattern) -> bool:
-    return any(w in MARKS for value in which.findall(attributes) for w in _PIECES.findall(value.lower()))
+    return any(_marks(w) for value in which.findall(attributes) for w in value.strip("\"'").lower().split())
 
 
 def read_blocks(page: str) -> list[tuple[str, str, float]]:
@@ -79,29 +91,37 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
     text: list[str] = []
     linked, in_link, at = 0, 0, 0
     zone = "open"
+    held: Counter[str] = Counter()  # open elements by name
+    endless: set[str] = set()  # names of raw elements that the rest of the page does not close
 
     def close() -> None:
         nonlocal linked
-        whole = "".join(text)
-        if "&" in whole:
-            whole = entities.unescape(whole)
-        whole = " ".join(whole.split())
+        whole = " ".join("".join(text).split())
         if whole:
             blocks.append((whole, zone, min(1.0, linked / len(whole))))
         text.clear()
         linked = 0
 
+    def add(piece: str) -> None:
+        # Each piece alone: no reference runs over a tag.
+        nonlocal linked
+        text.append(entities.unescape(piece) if "&" in piece else piece)
+        linked += len(piece) * (in_link > 0)
+
     def leave(upto: int) -> None:
         nonlocal zone
+        for name, _ in stack[upto:]:
+            held[name] -= 1
         del stack[upto:]
         zone = stack[-1][1] if stack else "open"
 
     while (tag := _TAG.search(page, at)) is not None:
         if tag.start() > at:
-            text.append(page[at : tag.start()])
-            linked += (tag.start() - at) * (in_link > 0)
+            add(page[at : tag.start()])
         at = tag.end()
         if tag[2] is None:
+            if page[tag.start() + 1].isalpha():
+                add(tag[0])
             continue
         name = tag[2].lower()
         if name in BLOCKS:
@@ -111,14 +131,16 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
         if name == "a":
             in_link = 0 if tag[1] else 1
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if held[name] else ():
                 if stack[k][0] == name:
                     leave(k)
                     break
         elif name in RAW:
-            if not tag[3].endswith("/"):
+            if not tag[3].endswith("/") and name not in endless:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else (at if name == "head" else len(page))
+                if not end:
+                    endless.add(name)
         elif name not in VOID and not tag[3].endswith("/"):
             role = _marked(tag[3], _ROLE)
             if name in CONTENT and not role and (name == "main" or not _marked(tag[3], _NAMED)):
@@ -135,7 +157,7 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
                 own = None if inside and name in HEADINGS else "inner" if inside else "doubt"
             else:
                 own = None
-            if name == "p":  # a paragraph ends the one before it
+            if name == "p" and held["p"]:  # a paragraph ends the one before it
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
                         leave(k)
@@ -144,8 +166,9 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
                         break
             own = own or zone
             stack.append((name, own))
+            held[name] += 1
             zone = own
-    text.append(page[at:])
+    add(page[at:])
     close()
     return blocks
 
@@ -180,20 +203,35 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages
     return np.cumsum(inside[:n]) > 0
 
 
-def _tokens(sources: list[str]) -> tuple[list[list[tuple]], np.ndarray, list[int], np.ndarray]:
-    """Blocks that are not boilerplate, by page; their tokens, the tokens of each block, and each token's row."""
-    read = [[b for b in read_blocks(x) if b[1] != "boilerplate"] for x in sources]
+def settle(page: str) -> list[tuple[str, bool]]:
+    """Blocks (text, uncertain) of a page that structure keeps or leaves to the array."""
+    blocks = read_blocks(page)
+    marked = any(zone in ("content", "inner") for _, zone, _ in blocks)
+    out = []
+    for text, zone, link_share in blocks:
+        if zone == "content":
+            out.append((text, False))
+        elif zone == "inner" or not marked and zone in ("open", "doubt"):
+            if link_share <= MAX_LINK_SHARE and (zone == "open" or text.count(" ") + 1 >= DEPTH):
+                out.append((text, True))
+    return out
+
+
+def _tokens(texts: list[list[str]]) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """Tokens of the uncertain blocks of pages, how many each block has, and each token's row."""
     words: list[bytes] = []
-    sizes = []
-    for blocks in read:
-        for b in blocks:
-            w = b[0].encode("utf-8", "surrogatepass").split(b" ")
+    sizes, per_row = [], []
+    for blocks in texts:
+        before = len(words)
+        for text in blocks:
+            w = text.encode("utf-8", "surrogatepass").split(b" ")
             sizes.append(len(w))
             words += w
+        per_row.append(len(words) - before)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
     tokens = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - lengths, ends)
-    return read, tokens, sizes, np.repeat(np.repeat(np.arange(len(read)), [len(b) for b in read]), sizes)
+    return tokens, sizes, np.repeat(np.arange(len(texts)), per_row)
 
 
 def _keys(tokens: np.ndarray, row: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,8 +241,8 @@ def _keys(tokens: np.ndarray, row: np.ndarray, salt: np.ndarray) -> tuple[np.nda
 
 
 def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int = 0) -> tuple[list[str], list[int]]:
-    """Texts and counts of repeated tokens for pages (page_id, url, html) of one host; ``elsewhere`` has keys of windows that other groups hold too."""
-    read, tokens, sizes, row = _tokens([p[2] for p in pages])
+    """Texts, and how many tokens went, of pages (page_id, url, blocks) of one host; ``elsewhere`` has keys of windows that other groups hold too."""
+    tokens, sizes, row = _tokens([[t for t, uncertain in p[2] if uncertain] for p in pages])
     ids = {k: i for i, k in enumerate(sorted({str(p[0]) for p in pages}))}
     page = np.array([ids[str(p[0])] for p in pages], np.int64)[row]
     by_page = np.argsort(page, kind="stable")
@@ -215,22 +253,18 @@ def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int =
         hits = at[np.isin(keys, elsewhere)]
         inside = np.bincount(hits, minlength=len(tokens) + 1) - np.bincount(hits + DEPTH, minlength=len(tokens) + 1)
         covered |= np.cumsum(inside[:-1]) > 0
-    begins = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-    total = np.concatenate(([0], np.cumsum(covered)))
-    texts, counts, k = [], [], 0
-    for blocks in read:
-        marked = any(b[1] in ("content", "inner") for b in blocks)
+    texts, counts, k, a = [], [], 0, 0
+    for _, _, blocks in pages:
         kept, n = [], 0
-        for whole, zone, link_share in blocks:
-            a, b = begins[k], begins[k + 1]
-            k += 1
-            if zone == "content":
-                kept.append(whole)
-                n += int(total[b] - total[a])
-            elif (zone == "inner" or not marked) and (zone == "open" or b - a >= DEPTH) and link_share <= MAX_LINK_SHARE:
-                unique = whole if total[b] == total[a] else " ".join(w for w, c in zip(whole.split(" "), covered[a:b], strict=True) if not c)
-                if unique:
-                    kept.append(unique)
+        for text, uncertain in blocks:
+            if uncertain:
+                gone = covered[a : a + sizes[k]]
+                a, k = a + sizes[k], k + 1
+                n += int(gone.sum())
+                if gone.any():
+                    text = " ".join(w for w, c in zip(text.split(" "), gone, strict=True) if not c)
+            if text:
+                kept.append(text)
         texts.append("\n".join(kept))
         counts.append(n)
     return texts, counts
@@ -240,14 +274,33 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("uncertain", pa.bool_())]))
+
+
+def _read(batches):
+    """Finished texts of settled pages; blocks of the others and the bytes of their uncertain text."""
+    for batch in batches:
+        found = [settle(x or "") for x in batch.column(3).to_pylist()]
+        open_ = [any(u for _, u in blocks) for blocks in found]
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(batch.column(i) for i in range(3)),
+                pa.array([None if o else "\n".join(t for t, _ in blocks) for blocks, o in zip(found, open_, strict=True)], pa.string()),
+                pa.array([[{"text": t, "uncertain": u} for t, u in blocks] if o else None for blocks, o in zip(found, open_, strict=True)], _BLOCKS),
+                pa.array([sum(len(t.encode("utf-8", "surrogatepass")) for t, u in blocks if u) for blocks in found], pa.int64()),
+            ],
+            names=["host", "page_id", "url", "text", "blocks", "size"],
+        )
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, and n_repeated (tokens of the text that other pages of the host share)."""
+    """page_id, url, text, n_chars, and n_removed (tokens that went because other pages of the host have them too)."""
 
     def out(group, elsewhere, salt):
         texts, counts = _finish(group, np.frombuffer(b"".join(elsewhere), np.uint64), salt)
         return pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in group], pa.int64()), pa.array([p[1] for p in group], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_repeated"],
+            names=["page_id", "url", "text", "n_chars", "n_removed"],
         )
 
     def run(batches):
@@ -255,40 +308,44 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(i) for i in range(7)]
             for i in range(batch.num_rows):
-                dealt, kind, page_id, url, source, host, keys = (c[i].as_py() for c in columns)
+                dealt, kind, page_id, url, blocks, host, keys = (c[i].as_py() for c in columns)
                 if dealt != at:
                     if group:
                         yield out(group, elsewhere, salt)
                     group, at, elsewhere = [], dealt, []
                 if kind:
                     salt = host
-                    group.append((page_id, url, source))
+                    group.append((page_id, url, [(b["text"], b["uncertain"]) for b in blocks]))
                 else:
                     elsewhere.append(keys)
         if group:
             yield out(group, elsewhere, salt)
 
-    source = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    sizes = source.groupBy("host").agg(F.sum(F.length("html")).alias("size")).where(F.col("size") > GROUP_BYTES)
-    large = cut(sizes.select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"), "size"))
-    total = large.agg(F.sum("size")).first()[0] or 0
+    source = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    read = source.mapInArrow(_read, "host string, page_id long, url string, text string, blocks array<struct<text:string,uncertain:boolean>>, size long")
+    settled = read.where("blocks is null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_removed"))
+    open_ = cut(read.where("blocks is not null").drop("text"))
+    if not open_.limit(1).count():
+        return settled
+    sizes = open_.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_BYTES)
+    large = cut(sizes.select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"), F.col("size").alias("all")))
+    total = large.agg(F.sum("all")).first()[0] or 0
     n = F.coalesce("n", F.lit(1))
-    dealt = source.join(small(large, 128), "host", "left").select(
-        F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", "html", F.xxhash64("host").alias("host"), F.lit(None).cast("binary").alias("keys"), n.alias("n")
+    dealt = open_.join(small(large, 128), "host", "left").select(
+        F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", "blocks", F.xxhash64("host").alias("host"), F.lit(None).cast("binary").alias("keys"), n.alias("n")
     )
     rows = dealt.drop("n")
     if total:
-        found = shared_windows(dealt.where("n > 1").select("dealt", "host", "html"), -(-total // BUCKET_BYTES))
-        none = F.lit(None)
-        rows = rows.unionByName(found.select("dealt", F.lit(0).alias("kind"), none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), none.cast("long").alias("host"), "keys"))
+        found = shared_windows(dealt.where("n > 1").select("dealt", "host", F.transform(F.filter("blocks", lambda b: b["uncertain"]), lambda b: b["text"]).alias("texts")), -(-total // BUCKET_BYTES))
+        rows = rows.unionByName(found.select("dealt", F.lit(0).alias("kind"), "keys"), allowMissingColumns=True)
     ordered = rows.repartition("dealt").sortWithinPartitions("dealt", "kind", "page_id")
-    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_repeated long")
+    return settled.unionByName(ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed long"))
 
 
 def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
     """(dealt, keys): for each group of pages, packed keys of its windows that other groups hold too.
 
-    ``dealt`` has the group, the host's hash and the html of each page. Keys travel packed,
+    ``dealt`` has the group, the host's hash and the uncertain texts of each page. Keys travel packed,
     each once for a group and task, and meet by key in buckets of bounded size.
     """
 
@@ -309,7 +366,7 @@ def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             group, host = (batch.column(i).to_numpy() for i in range(2))
-            _, tokens, _, row = _tokens(batch.column(2).to_pylist())
+            tokens, _, row = _tokens(batch.column(2).to_pylist())
             keys, at = _keys(tokens, row, host.astype(np.uint64))
             if len(keys):
                 held.append((keys, group[row[at]]))

@@ -13,8 +13,12 @@ PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><a
 <section id="comments"><article class="comment"><p>First!</p></article></section><footer>&copy; x</footer></body></html>"""
 
 
+def finish(pages):
+    return main_text._finish([(i, u, main_text.settle(x or "")) for i, u, x in pages])
+
+
 def test_main_text_of_a_marked_article():
-    texts, _ = main_text._finish([(1, "u", PAGE)])
+    texts, _ = finish([(1, "u", PAGE)])
     assert texts == ["Head & tail\nOne two three\nfour five\nsix\nseven\neight <9>"]
 
 
@@ -44,14 +48,14 @@ def test_main_text_repeats_are_those_of_the_host(spark, monkeypatch):
         whole[r[1].split("/")[2]].append(r)
     expected = {}
     for group in whole.values():
-        for r, text, n in zip(group, *main_text._finish(group), strict=True):
+        for r, text, n in zip(group, *finish(group), strict=True):
             expected[r[1]] = (text, n)
     assert sum("s0x" in t for t, _ in expected.values()) < sum("s0x" in r[2] for r in rows)
     for size in (group_bytes, 1500):
         monkeypatch.setattr(main_text, "GROUP_BYTES", size)
-        for n in (1, 5):
+        for n in (1, 4, 40):
             got = main_text.extract(pages.repartition(n)).collect()
-            assert {r.url: (r.text, r.n_repeated) for r in got} == expected and len(got) == len(rows)
+            assert {r.url: (r.text, r.n_removed) for r in got} == expected and len(got) == len(rows)
 
 
 def test_main_text_class_words_only_cast_doubt():
@@ -69,10 +73,38 @@ def test_main_text_class_words_only_cast_doubt():
         f"<div class='widget'>{e}</div><div class='widget'>{shared}</div><div class='ad'>Buy now</div><div role='complementary'>{own()}</div>",
         f"<article class='post tag-social'><p>{f}</p></article>",
     ]
-    texts, _ = main_text._finish([(i, "u", x) for i, x in enumerate(pages)])
+    texts, _ = finish([(i, "u", x) for i, x in enumerate(pages)])
     assert texts == [f"Search trees\n{a}", b, f"{c}\n{d}\nso it ends", e, f]
 
 
+def test_main_text_of_names_that_only_look_like_marks():
+    cases = {
+        "<div class='page has-sidebar'><article><p>one</p></article></div>": "one",
+        "<div id='search-results'><main><p>two</p></main></div>": "two",
+        "<article><p data-id='ad-7' data-class=ad>three</p><p class='banner-year'>four</p><p class='social-history'>five</p><h2 class='article-header'>six</h2></article>": "three\nfour\nfive\nsix",
+        "<article><p>se<b>ven</b> &<b>amp;</b> &amp;lt;</article>": "seven &amp; &lt;",
+        "<article><p title=it's>eight</p><p title='a > b' lang=\"x>y\">nine</p></article>": "eight\nnine",
+        "<article><p class='ad-box'>buy</p><div class='newsletter-signup'>mail</div><div class='site-cookie-banner'>ok?</div><p>ten <b</article>": "ten",
+        "<article><p>eleven</p> <b and no end": "eleven\n<b and no end",
+    }
+    for page, text in cases.items():
+        assert finish([(1, "u", page)])[0] == [text], page
+
+
+def test_main_text_reads_in_linear_time(spark):
+    import time
+
+    hard = ["<a " * 300_000, "<a =\"" * 200_000, "<! " * 300_000, "<head>" * 100_000, "<script>" * 100_000, "<b>" * 100_000 + "<p>" * 100_000 + "</i>" * 100_000, "<!-- " * 200_000]
+    began = time.perf_counter()
+    for page in hard:
+        main_text.settle(page)
+    assert time.perf_counter() - began < 20
+    long = " ".join(f"w{i}" for i in range(700_000))
+    rows = [(1, "http://a.b/", f"<article><p>{long}</p></article>"), (2, "http://a.b/2", f"<p>{long}</p>"), (2, "http://a.b/2", f"<p>{long}</p>"), (1, "http://a.b/", f"<article><p>{long}</p></article>")]
+    got = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 4 and all(r.text == long and r.n_chars == len(long) for r in got)
+
+
 def test_repeated_runs_against_brute_force():
     import numpy as np
 
