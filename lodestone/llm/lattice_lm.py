@@ -1,11 +1,12 @@
 """Operator 9, LM scoring: marginal probability over all subword segmentations.
 
-The vocabulary is an existing subword vocabulary. Its scores (an order of pieces) give the
-first piece probabilities, which the training rows refine by expectation maximisation, so
-that the unigram weights fit the corpus. A word is its lower-cased bytes after a space;
-the log-space forward recursion over its lattice sums the weight of every segmentation
-into pieces, single bytes being the fallback. A text's probability is the product over
-its words and one end symbol, and is reported as log10.
+The vocabulary is an existing subword vocabulary and its scores weigh the pieces: the file
+scores pieces by order (0, -1, -2, ...), which are read as ranks of a Zipf-Mandelbrot law.
+A word is its lower-cased bytes after a space; the log-space forward recursion over its
+lattice sums the weight of every segmentation into pieces, single bytes being the
+fallback. A text's probability is the product over its words and one end symbol, and is
+reported as log10. ``rounds`` of expectation maximisation on the training words can refine
+the weights; the registered query takes the vocabulary's own.
 
 Beside it stands the additive word-unigram base score. Counts of the training words are
 one table (word, count), and its mass point is a head of at most ``HEAD_WORDS`` words,
@@ -14,8 +15,9 @@ outside the head is frequent, so that join has no hot key.
 
 Edge cases: a null or empty text is one end symbol; repeated rows are trained on and
 scored once each; a null doc_id is hashed as the text ``null``; with no training rows
-every token is unknown and the pieces keep their prior; any text length works, texts being
-taken in windows of bounded size; other columns are ignored.
+every token is unknown; any text length works, texts being taken in windows of bounded
+size, and words over ``LONG_WORD`` bytes in stretches that hand on the last forward values;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from .shared import cut, sum_vectors
 
 HEAD_WORDS = 1 << 18
 WINDOW_BYTES = 8 << 20
-ROUNDS = 2
+#: Words of more bytes go through the lattice in stretches of this many.
+LONG_WORD = 1 << 14
 _FILTER_BITS = 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,10 +111,12 @@ class Lattice:
             self.ids.append(ids)
             self.weights.append(np.where(ids < 0, -np.inf, pieces.log_p[ids]))
 
-    def forward(self) -> np.ndarray:
+    def forward(self, before: np.ndarray | None = None) -> np.ndarray:
+        """Log weights of all ways to each position; ``before`` has those of the first positions, else the first is the start."""
         alpha = np.full((len(self.ids[0]), self.size + 1), -np.inf)
-        alpha[:, 0] = 0
-        for j in range(1, self.size + 1):
+        known = 1 if before is None else before.shape[1]
+        alpha[:, :known] = 0 if before is None else before
+        for j in range(known, self.size + 1):
             alpha[:, j] = _log_sum(np.stack([alpha[:, j - w] + self.weights[w - 1][:, j - w] for w in range(1, min(j, len(self.ids)) + 1)]))
         return alpha
 
@@ -146,11 +151,27 @@ def _by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
 def word_log_p(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Natural log of each word's marginal probability."""
     out = np.zeros(len(starts))
-    for block, matrix in _by_length(data, starts, ends):
-        out[block] = Lattice(pieces, matrix).forward()[:, -1]
+    long = np.flatnonzero(ends - starts > LONG_WORD)
+    short = np.flatnonzero(ends - starts <= LONG_WORD)
+    for block, matrix in _by_length(data, starts[short], ends[short]):
+        out[short[block]] = Lattice(pieces, matrix).forward()[:, -1]
+    for i in long:
+        out[i] = _long_log_p(pieces, np.concatenate(([np.uint8(32)], data[starts[i] : ends[i]])))
     return out
 
 
+def _long_log_p(pieces: Pieces, word: np.ndarray) -> float:
+    """The same for one long word: each stretch begins with as many bytes as the longest piece may reach back."""
+    back = pieces.longest
+    at = min(len(word), max(LONG_WORD, back))
+    alpha = Lattice(pieces, word[None, :at]).forward()
+    while at < len(word):
+        upto = min(len(word), at + max(LONG_WORD, back))
+        alpha = Lattice(pieces, word[None, at - back : upto]).forward(alpha[:, -back - 1 :])
+        at = upto
+    return float(alpha[0, -1])
+
+
 def _expected(pieces: Pieces, data, starts, ends, counts) -> np.ndarray:
     """Expected uses of each piece over all segmentations of counted words."""
     total = np.zeros(len(pieces.log_p))
@@ -203,8 +224,8 @@ class Model:
         self.train_tokens, self.distinct = train_tokens, distinct
 
 
-def fit(texts: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Model:
-    """Count words and fit piece weights on all rows of a frame with a column ``text``."""
+def fit(texts: DataFrame, path: str | None = None, rounds: int = 0) -> Model:
+    """Count words of all rows of a frame with a column ``text``, and refine piece weights on them in ``rounds`` if asked to."""
     names, log_p = _prior(path or vocabulary_path())
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = cut(word_counts(texts))
@@ -303,7 +324,7 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
     )
 
 
-def score_corpus(docs: DataFrame, path: str | None = None, folds: int = 10) -> DataFrame:
+def score_corpus(docs: DataFrame, path: str | None = None, folds: int = 10, rounds: int = 0) -> DataFrame:
     """Train on the rows outside the held-out fold, score every row."""
     held_out = crc_remainder(F.col("doc_id"), folds) == 0
-    return score(docs, fit(docs.where(~held_out), path), held_out)
+    return score(docs, fit(docs.where(~held_out), path, rounds), held_out)

@@ -368,10 +368,42 @@ def test_lattice_probability_sums_all_segmentations():
     assert uses[names.index(b" a")] == pytest.approx(3 * 0.02 / whole) and uses[names.index(b"ab")] == pytest.approx(3 * 0.01 / whole)
 
 
+def test_lattice_of_long_words(monkeypatch):
+    names, log_p = lattice_lm._prior(lattice_lm.vocabulary_path())
+    pieces, rng = lattice_lm.Pieces(list(names), log_p), random.Random(6)
+    data = np.frombuffer("".join(rng.choice(["the", "ing", "é", "x", "tion"]) for _ in range(400)).encode(), np.uint8)
+    whole = lattice_lm.word_log_p(pieces, data, np.array([0, 5]), np.array([len(data), 900]))
+    for size in (1, 40, 100):
+        monkeypatch.setattr(lattice_lm, "LONG_WORD", size)
+        assert lattice_lm.word_log_p(pieces, data, np.array([0, 5]), np.array([len(data), 900])) == pytest.approx(whole)
+
+
+def marginals(names, log_p):
+    """Log10 of a word's probability by the plain recursion over positions."""
+    weight = dict(zip(names, np.exp(log_p), strict=False))
+    longest = max(map(len, names))
+
+    def of(word):
+        raw = b" " + word.encode()
+        total = [1.0] + [0.0] * len(raw)
+        scale = 0.0
+        for j in range(1, len(raw) + 1):
+            for i in range(max(0, j - longest), j):
+                piece = raw[i:j]
+                total[j] += total[i] * (weight.get(piece, 0) if j - i > 1 else weight.get(piece, math.exp(log_p[len(names) + raw[i]])))
+            if total[j] and max(total[max(0, j - longest) : j + 1]) < 1e-200:
+                total, scale = [t * 1e200 for t in total], scale - 200
+        return math.log10(total[-1]) + scale
+
+    return of
+
+
 @pytest.mark.parametrize("head", [1 << 18, 3])
 def test_lattice_scores(spark, monkeypatch, head):
     monkeypatch.setattr(lattice_lm, "HEAD_WORDS", head)
     docs = awkward(spark)
+    names, log_p = lattice_lm._prior(lattice_lm.vocabulary_path())
+    of = marginals(names, log_p)
     rows = docs.collect()
     tokens = [[*words(lower(r.text)), None] for r in rows]
     name = ["null" if r.doc_id is None else str(r.doc_id) for r in rows]
@@ -385,6 +417,10 @@ def test_lattice_scores(spark, monkeypatch, head):
         for got in found[r.doc_id]:
             assert (got.held_out, got.n_tokens, got.n_known, got.train_tokens) == (o, len(ts), sum(c[t] > 0 for t in ts), n)
             assert got.base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts))
+            if len(ts) < 5000 and max((len(t or "") for t in ts), default=0) < 100:
+                assert got.score == pytest.approx(sum(of(t) for t in ts if t is not None) + log_p[-1] / math.log(10))
             assert got.score < 0
+    refined = {r.doc_id: r.score for r in lattice_lm.score_corpus(docs, rounds=2).collect()}
+    assert sum(refined.values()) > sum(r.score for rs in found.values() for r in rs[:1])
     assert sum(map(len, found.values())) == len(rows)
     assert lattice_lm.score_corpus(empty(spark)).count() == 0
