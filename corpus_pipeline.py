@@ -1,4 +1,11 @@
-"""Five stages from raw documents to deduplicated, decontaminated, encoded ones."""
+"""Five stages from raw documents to deduplicated, decontaminated, encoded ones.
+
+Edge cases: null and empty texts, and texts under 20 words, fail the base rules of the first
+stage; repeated rows and copies leave one row, the one with the least doc_id; rows without a
+doc_id are judged, deduplicated and decontaminated by their text like all others; very long
+texts go through whole; further columns are carried along, except that the last stage
+replaces columns of the names it adds; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -33,13 +40,13 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids."""
+    """The documents with their token ids and the digest of the text decoded from them."""
     return bpe.encoded(docs)
 
 
-STAGES = [("quality rules", quality), ("toxicity", toxicity), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding", encode)]
+STAGES = [("quality rules", quality), ("toxicity", toxicity), ("MinHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("BPE encoding and decoding", encode)]
 
-#: Classifier, sampling and encoder have no SQL form; the tests hold each stage against a brute-force version.
+#: Classifier, sampling and encoder have no SQL form; the tests hold the stages against plain code.
 ORACLE_SQL = None
 
 

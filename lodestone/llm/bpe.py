@@ -250,11 +250,14 @@ def _source(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def encoded(docs: DataFrame, path: str | None = None, column: str = "ids") -> DataFrame:
-    """The documents with their ids (an array of int) in one more column."""
+def encoded(docs: DataFrame, path: str | None = None, column: str = "ids", decoded: str = "decoded_sha256") -> DataFrame:
+    """The documents with two more columns: their ids (an array of int) and the digest of the text decoded from these.
+
+    Columns of these names that the documents have already are replaced.
+    """
     path = path or vocabulary_path()
-    kept = [c for c in docs.columns if c != column]
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{column}` array<int>"])
+    kept = [c for c in docs.columns if c not in (column, decoded)]
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept] + [f"`{column}` array<int>", f"`{decoded}` string"])
 
     def run(batches):
         coder = codec(path)
@@ -265,7 +268,8 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "ids") -> Da
                 raw = [x[1] for x in coder.encode_batch([t if t is not None else "" for t in part.column(where).to_pylist()], False)]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*kept, column])
+                back = pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in raw], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, back], names=[*kept, column, decoded])
 
     return docs.select(*kept).mapInArrow(run, schema)
 

@@ -76,6 +76,38 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.row_number().over(each).alias("nth"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def replayed(conversations: DataFrame) -> DataFrame:
+    """A table of turns as the log of how they might have come about; folding it gives the turns again.
+
+    A hash of the turn decides: the message at once; streamed deltas; a draft and its edit; or
+    a draft, its regeneration and the deltas of that. Every seventh turn is followed by a
+    message that is deleted again. Texts are sent once, only drafts come on top.
+    """
+    each = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = conversations.select("conv_id", "turn", F.row_number().over(each).alias("nth"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(28))
+    size = F.ceil(F.length("text") / 3).cast("int")
+    draft, none = F.lit("<|im_end|> a draft & no more"), F.lit("")
+
+    def event(step: int, kind: str, text: Column, role: Column | None = None, nth: Column | None = None) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), (none if role is None else role).alias("role"), text.alias("text"), (F.col("nth") if nth is None else nth).alias("nth"))
+
+    deltas = [event(4 + i, "delta", F.substr("text", F.lit(i) * size + 1, size)) for i in range(3)]
+    role = F.coalesce("role", none)
+    ways = [
+        [event(1, "message", F.col("text"), role)],
+        [event(1, "message", none, role), *deltas],
+        [event(1, "message", draft, role), event(2, "delta", draft), event(3, "edit", F.col("text"))],
+        [event(1, "message", draft, role), event(2, "delta", draft), event(3, "regenerate", none), *deltas],
+    ]
+    events = F.when(way % 4 == 0, F.array(*ways[0]))
+    for k in (1, 2, 3):
+        events = events.when(way % 4 == k, F.array(*ways[k]))
+    stray = F.array(event(8, "message", draft, role, -F.col("nth")), event(9, "delete", none, None, -F.col("nth")))
+    events = F.concat(events, F.when(way < 4, stray).otherwise(F.slice(stray, 1, 0)))
+    return rows.select("conv_id", "turn", F.explode(events).alias("x")).select("conv_id", "turn", "x.nth", F.struct("turn", "x.step").alias("seq"), "x.kind", "x.role", "x.text")
+
+
 def render(messages: DataFrame, keys: tuple[str, ...] = ("message_id",)) -> DataFrame:
     """conv_id, formatted, and pieces (text, loss) whose concatenation it is."""
     pieces = F.array(
@@ -115,3 +147,26 @@ def digests(rendered: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     keys = ("turn", "nth")
     return render(fold(as_events(conversations), keys), keys)
+
+
+def format_replayed(conversations: DataFrame) -> DataFrame:
+    keys = ("turn", "nth")
+    return render(fold(replayed(conversations), keys), keys)
+
+
+ORACLE_SQL = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)
+), turns AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS nth, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows_
+), sized AS (
+  SELECT *, length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('<|im_start|><|im_end|>') + 2 AS n FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, nth)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, nth) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

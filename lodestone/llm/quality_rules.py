@@ -10,7 +10,9 @@ enough for the histogram to mean anything. Base rules reject very short and self
 Common words come from two passes that cover all documents: a word with a share of
 ``COMMON_SHARE`` of a language must reach that share of the language's tokens in some
 task, so the tasks' local common words (at most 1 / COMMON_SHARE each) contain all
-global ones; the second pass counts exactly those candidates.
+global ones; the second pass counts exactly those candidates. A task hands on its common
+words of a language after every ``FLUSH_TOKENS`` tokens, which holds likewise for these
+parts, so its memory is bounded.
 
 Edge cases: a null text is empty (no words; ``base_failed``); a null language is a
 language of its own; a language with fewer than ``min_reference_words`` tokens judges
@@ -36,6 +38,7 @@ CLASS_LIMIT, WORD_LIMIT = (0.22, 2.0), (0.34, 1.0)
 MIN_CLASS_CHARS = 100
 MIN_COMMON_WORDS = 40
 
+FLUSH_TOKENS = 1 << 22
 WINDOW = 8
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -106,6 +109,13 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
 
     def local(batches):
         seen: dict = {}
+
+        def common_words(name):
+            values, counts = seen.pop(name)
+            often = values[counts >= COMMON_SHARE * counts.sum()]
+            if len(often):
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(often), pa.string()), "h": pa.array(often.astype(np.int64))})
+
         for part, texts, words in _parts(batches):
             names, code = _languages(part.column(1))
             hashes = _lower_hashes(texts, words)
@@ -113,11 +123,12 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
                 values, counts = np.unique(hashes[code[words.doc] == k], return_counts=True)
                 a, b = seen.get(name, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 values, inverse = np.unique(np.concatenate((a, values)), return_inverse=True)
-                seen[name] = values, np.bincount(inverse, np.concatenate((b, counts)), minlength=len(values)).astype(np.int64)
-        for name, (values, counts) in seen.items():
-            often = counts >= COMMON_SHARE * counts.sum()
-            if often.any():
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * int(often.sum()), pa.string()), "h": pa.array(values[often].astype(np.int64))})
+                counts = np.bincount(inverse, np.concatenate((b, counts)), minlength=len(values)).astype(np.int64)
+                seen[name] = values, counts
+                if counts.sum() >= FLUSH_TOKENS:
+                    yield from common_words(name)
+        for name in list(seen):
+            yield from common_words(name)
 
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
     found = text.mapInArrow(local, "lang string, h long").groupBy("lang").agg(F.array_sort(F.collect_set("h")).alias("hs"))

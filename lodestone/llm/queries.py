@@ -49,12 +49,12 @@ def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one more that says control strings."""
+    """All conversations, and one more that says control strings, rebuilt from logs of messages, deltas, edits and regenerations."""
     chat = import_module(".chat_format", __package__)
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.digests(chat.format_conversations(rows))
+    return chat.digests(chat.format_replayed(rows))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": import_module(".decontaminate", __package__).ORACLE_SQL}
+    return {"op8_decontamination": import_module(".decontaminate", __package__).ORACLE_SQL, "op10_chat_format": import_module(".chat_format", __package__).ORACLE_SQL}

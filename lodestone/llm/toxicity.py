@@ -8,8 +8,8 @@ identity terms, the terms are swapped twice, for others of their kind and for a
 names no group, and the loss adds the squared changes of the score (its log-odds) between
 text and counterfactuals, so that a mention of a group does not count for or against a text.
 
-Bounds: the model is fitted on at most ``MAX_TRAIN`` labelled rows, those with the least
-hash of their id, a documented sample; scoring reads every whole text. The scan for
+Bounds: the model is fitted on at most ``MAX_TRAIN`` labelled ids, those with the least
+hash, a documented sample, and one text (the least) of each; scoring reads every whole text. The scan for
 features sends fixed-size vectors only.
 
 Edge cases: null and empty texts have no features and get the bias alone; rows whose label
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_ import LOWER, crc_remainder, mix, runs, slices, span_hashes, texts_of
-from .shared import sum_vectors
+from .shared import cut, sum_vectors
 
 MAX_TRAIN = 20_000
 BITS = 18
@@ -130,7 +130,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame, folds: int, limit: int) -
     labels = labels.where("toxic is not null and doc_id is not null").where(crc_remainder(F.col("doc_id"), folds) != 0)
     sample = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(sample), "doc_id").select("text", "toxic")  # MAX_TRAIN short rows
+    rows = rows.join(F.broadcast(sample), "doc_id")  # MAX_TRAIN short rows
+    return cut(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, limit: int = MAX_TRAIN, swap_penalty: float = SWAP_PENALTY) -> Model:

@@ -6,8 +6,9 @@ variable-order Markov models over the characters of host and path, one for accep
 one for rejected URLs: the probability of a character after a context of three backs off
 to contexts of two, one and none, each order weighing by how often its context was seen.
 The difference of both log-likelihoods, divided by the number of characters, is compared
-with a threshold calibrated on the labelled URLs: the point between both classes' means
-that lies equally many standard deviations from each.
+with a threshold calibrated on a fifth of the labelled URLs, chosen by a hash, that the
+models have not seen (on all of them where that fifth lacks a class): the point between both
+classes' means that lies equally many standard deviations from each.
 
 Labels come from the table and from ``REJECTED``, a bundled list of words. A URL is an
 example of what to reject when a word of its host is one of ``SEEDS`` or its host contains
@@ -41,6 +42,8 @@ REJECTED = tuple(
 CONTAINED = 5
 ORDER = 4
 STRENGTH = 2.0
+#: One part of so many is held out of the models for the threshold.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,6 +107,17 @@ def ratios(counts: DataFrame) -> DataFrame:
     return out.select("gram", (F.col("log_a") - F.col("log_r")).alias("ratio"))
 
 
+def threshold_parts(spread: list) -> dict[str, tuple[float, float]]:
+    """Mean and standard deviation of each label's scores, from rows (label, n, m, q) of parts."""
+    out = {}
+    for label in {x.label for x in spread}:
+        part = [x for x in spread if x.label == label]
+        n = sum(x.n for x in part)
+        mean, square = sum(x.n * x.m for x in part) / n, sum(x.n * x.q for x in part) / n
+        out[label] = mean, max(square - mean * mean, 0.0) ** 0.5
+    return out
+
+
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row."""
     host, path = parts(F.col("url"))
@@ -113,16 +127,19 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     rows = cut(rows.withColumns({"rule": rule, "action": action}).withColumn("label", F.when(bad, "r").when(F.coalesce("action", F.lit("allow")) == "allow", "a")))
     text = F.concat("host", "path")
     fakes = rows.where("label = 'a' and host != ''").select("rid", F.lit("m").alias("label"), made(F.col("host"), F.col("path")).alias("text"))
-    grams = rows.select("rid", "label", text.alias("text")).unionByName(fakes).select("rid", "label", F.explode(windows(F.col("text"))).alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count_if(F.col("label") == "a").alias("a"), F.count_if(F.col("label").isin("r", "m")).alias("r"))
+    held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+    grams = rows.select("rid", "label", text.alias("text")).unionByName(fakes).select("rid", "label", held.alias("held"), F.explode(windows(F.col("text"))).alias("gram"))
+    learn = ~F.col("held")
+    counts = grams.groupBy("gram").agg(F.count_if((F.col("label") == "a") & learn).alias("a"), F.count_if(F.col("label").isin("r", "m") & learn).alias("r"))
     table = small(cut(ratios(cut(counts))), 48)
-    scores = cut(grams.join(table, "gram").groupBy("rid", (F.coalesce("label", F.lit("")) == "m").alias("made")).agg(F.avg("ratio").alias("score")))
+    scores = cut(grams.join(table, "gram").groupBy("rid", (F.coalesce("label", F.lit("")) == "m").alias("made")).agg(F.avg("ratio").alias("score"), F.first("held").alias("held")))
     scored = cut(rows.join(scores.where("not made").drop("made"), "rid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
-    examples = scored.where("label is not null and host != ''").select("label", "score").unionByName(scores.where("made").select(F.lit("r").alias("label"), "score"))
-    fit = {x.label: x for x in examples.groupBy("label").agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("s")).collect()}
+    examples = scored.where("label is not null and host != ''").select("label", "score", "held").unionByName(scores.where("made").select(F.lit("r").alias("label"), "score", "held"))
+    spread = examples.groupBy("label", "held").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.avg(F.col("score") * F.col("score")).alias("q")).collect()
+    fit = threshold_parts([x for x in spread if x.held]) if len({x.label for x in spread if x.held}) == 2 else threshold_parts(spread)
     if len(fit) == 2:
-        a, r = fit["a"], fit["r"]
-        limit = (a.m * (r.s + 1e-9) + r.m * (a.s + 1e-9)) / (a.s + r.s + 2e-9)
+        (am, a_s), (rm, rs) = fit["a"], fit["r"]
+        limit = (am * (rs + 1e-9) + rm * (a_s + 1e-9)) / (a_s + rs + 2e-9)
         method = F.when((F.col("score") >= limit) | (F.col("host") == "") & (F.col("path") == ""), "allow").otherwise("block")
     else:
         method = F.when(F.col("label") == "r", "block").otherwise("allow")

@@ -231,6 +231,26 @@ def test_chat_query(spark, sf_dir):
     assert not re.search("Python|Arrow|Pandas", queries.op10_chat_format(spark, sf_dir)._jdf.queryExecution().toString())
 
 
+def test_chat_query_replays_logs(spark, sf_dir, tmp_path):
+    """The log holds every kind of event, and folding it gives the turns that plain SQL digests."""
+    import duckdb
+
+    rng = random.Random(8)
+    texts = [None, "", "a", "ab", "&amp; <|im_start|>", "😀é" * 50, "x" * 30_000, *(" ".join(rng.choice("abc") for _ in range(20)) for _ in range(30))]
+    rows = [(c, t % 9 if t != 20 else None, rng.choice(["user", "assistant", "system", None, "a\nb"]), x) for c in (1, 2, 3, None) for t, x in enumerate(texts)]
+    table = spark.createDataFrame([*rows, rows[40], rows[40]], "conv_id long, turn long, role string, text string")
+    log = chat_format.replayed(table)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == set(chat_format.KINDS)
+    plain = sorted(map(tuple, chat_format.digests(chat_format.format_conversations(table)).collect()))
+    assert sorted(map(tuple, chat_format.digests(chat_format.format_replayed(table)).collect())) == plain and len(plain) == 3
+    for frame, got in ((table, plain), (spark.read.parquet(f"{sf_dir}/conversations.parquet"), queries.op10_chat_format(spark, sf_dir).collect())):
+        base = duckdb.connect()
+        base.register("conversations", frame.toArrow())
+        expected = {r[0]: r for r in base.sql(chat_format.ORACLE_SQL).fetchall()}
+        assert expected.pop(-1)[1] == 2
+        assert {tuple(r)[0]: tuple(r) for r in got if tuple(r)[0] != -1} == expected
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
@@ -255,6 +275,41 @@ def test_pipeline(spark, sf_dir):
         assert kept == expected and after.count() == len(kept)
         at = after
     out = pipeline.run(spark, sf_dir)
-    counts = {r.doc_id: r.n_tokens for r in bpe.lengths(docs).collect()}
-    got = {r.doc_id: len(r.ids) for r in out.collect()}
-    assert got == {i: counts[i] for i in kept}
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(bpe.vocabulary_path()), {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == kept
+    for i, r in got.items():
+        assert list(r.ids) == library.encode(texts[i], add_special_tokens=False).ids and r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, extra columns with clashing names, and empty tables, held against plain code."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(21)
+    vocabulary = ["the", "of", "and", "to", *(f"w{rng.randint(0, 10**6)}" for _ in range(300))]
+
+    def prose(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    item = prose(30)
+    base = [prose(120) for _ in range(30)]
+    texts = [*base, base[0], f"{base[1]} and more", f"{prose(100)} {item} {prose(20)}", None, "", "too short", prose(20_000), "ha " * 200, f"toxicword {prose(90)} toxicword"]
+    rows = [(i, t, "en" if i % 4 else None, "s", len(t or ""), "c", 1) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, f"{prose(100)} {item}", "en", None, None, None, None), (None, prose(100), None, "s", 1, "c", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cid string, ids int"
+    labels = [(i, 1, 0) for i in range(30)] + [(len(texts) - 1, 1, 1), (None, None, None)]
+    for name, got, types in (("documents", rows, schema), ("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, item), (None, None)], "item_id long, text string")):
+        spark.createDataFrame(got, types).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = pipeline.run(spark, str(tmp_path)).collect()
+    ids = sorted(r.doc_id for r in found if r.doc_id is not None)
+    failed = {i for i, t in enumerate(texts) if len((t or "").split()) < 20 or i == texts.index("ha " * 200)}
+    gone = failed | {texts.index(base[0], 1), 31, 32}  # an exact copy, a near one, a benchmark passage
+    toxic = {len(texts) - 1}
+    assert set(ids) - toxic == set(range(len(texts))) - gone - toxic and len(ids) == len(set(ids))
+    assert [r.text for r in found if r.doc_id is None] == [rows[-1][1]]
+    assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and r.cid == "c" for r in found)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -70,8 +70,8 @@ def test_bpe_equals_the_library(spark):
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
     encoded = bpe.encoded(docs)
-    assert encoded.columns == [c for c in docs.columns if c != "ids"] + ["ids"]
-    assert [len(r.ids) for r in encoded.collect()] == [r.n_tokens for r in bpe.digests(docs).collect()]
+    assert encoded.columns == [c for c in docs.columns if c != "ids"] + ["ids", "decoded_sha256"]
+    assert [(len(r.ids), r.decoded_sha256) for r in encoded.collect()] == [(r.n_tokens, r.decoded_sha256) for r in bpe.digests(docs).collect()]
     assert bpe.digests(empty(spark)).count() == 0
 
 
@@ -102,6 +102,19 @@ def test_length_histogram(spark):
     assert token_counts.corpus_histogram(empty(spark)).count() == 0
 
 
+def test_length_histogram_of_texts(spark):
+    """The query's table end to end against the tokenizers library, with null, empty, long and repeated texts."""
+    from tokenizers import Tokenizer
+
+    library, docs = Tokenizer.from_file(bpe.vocabulary_path()), awkward(spark)
+    lengths = [len(library.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()]
+    got = {r.length: r for r in token_counts.corpus_histogram(docs).collect()}
+    assert set(got) == set(lengths) and max(lengths) > 30_000
+    for n, r in got.items():
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least) == (lengths.count(n), sum(x >= n for x in lengths), sum(x for x in lengths if x >= n))
+        assert r.truncated_total == sum(min(x, n) for x in lengths)
+
+
 def base_measures(text):
     ws = words(text)
     grams = collections.defaultdict(list)
@@ -159,6 +172,44 @@ def test_quality_judges_null_as_a_language(spark):
     assert {r.doc_id for r in quality_rules.kept_documents(docs).collect()} == {i for i in verdict if verdict[i]}
 
 
+def test_quality_verdicts_against_brute_force(spark, monkeypatch):
+    """References and distances by plain counters."""
+    monkeypatch.setattr(quality_rules, "FLUSH_TOKENS", 700)
+    rng = random.Random(12)
+    common = ["the", "Of", "und", "à", "in"]
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else "".join(rng.choice("abcdeÉü ") for _ in range(6)) for _ in range(rng.randint(15, 200))) for _ in range(40)]
+    texts += ["#*$ " * 3 + t.upper() for t in texts[:4]] + [" ".join(str(rng.randint(0, 10**6)) for _ in range(80)), None, ""]
+    docs = spark.createDataFrame([(i, t, "xy"[i % 2] if i % 5 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+
+    def kinds(t):
+        out = [0] * 8
+        for c in t:
+            k = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 if c in " \t\n\v\f\r" else 4 if c in ".,;:!?'\"()-" else 5 if c in "#*$%&|<>" else 6 if c < "\x80" else (1 if c < "ß" else 0) if "À" <= c <= "ÿ" else 7
+            out[k] += 1
+        return out
+
+    rows = [(r.doc_id, r.text or "", r.lang) for r in docs.collect()]
+    refs = {}
+    for lang in {r[2] for r in rows}:
+        mine = [t for _, t, x in rows if x == lang]
+        c = collections.Counter(w for t in mine for w in words(lower(t)))
+        n = sum(c.values())
+        table = [w for w in c if c[w] >= quality_rules.COMMON_SHARE * n]
+        k = np.sum([kinds(t) for t in mine], axis=0)
+        refs[lang] = (k / k.sum(), table, np.array([*(c[w] for w in table), n - sum(c[w] for w in table)]) / n) if n >= 500 else None
+    got = {r.doc_id: r for r in quality_rules.judge(docs, quality_rules.references(docs, 500)).collect()}
+    assert any(not got[i].kept and not got[i].base_failed for i in got) and sum(got[i].kept for i in got) > 20
+    for i, t, lang in rows:
+        ws, ref, size = words(lower(t)), refs[lang], len(t)
+        c = collections.Counter(ws)
+        far = float(quality_rules.js_distance(np.array([kinds(t)], float), ref[0])[0])
+        p = np.array([*(c[w] for w in ref[1]), len(ws) - sum(c[w] for w in ref[1])], float)
+        strange = float(quality_rules.js_distance(p[None], ref[2])[0])
+        assert (got[i].class_distance, got[i].word_distance) == pytest.approx((far, strange), abs=1e-9)
+        odd = size >= 100 and far > 0.22 + 2 / math.sqrt(size) or len(ws) >= 40 and strange > 0.34 + 1 / math.sqrt(len(ws))
+        assert got[i].kept == (not base_measures(t)[-1] and not odd)
+
+
 def test_js_distance():
     assert quality_rules.js_distance(np.array([[1.0, 0], [0, 1], [1, 1], [0, 0]]), np.array([1.0, 0])).round(4).tolist() == [0, 1, 0.5579, 0]
 
@@ -342,6 +393,9 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert gap(model) < gap(plain)
     clean = toxicity.clean_documents(docs, table, model)
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if r.predicted == 0}
+    repeated = docs.unionByName(docs.where("doc_id = 8").selectExpr("doc_id", "text", "lang", "score").crossJoin(spark.range(500)).drop("id"))
+    again = toxicity.fit(repeated, table)
+    assert np.array_equal(again.weights, model.weights) and again.bias == model.bias  # a repeated id is one example
     nobody = toxicity.score_corpus(docs, table.limit(0)).collect()
     assert {r.predicted for r in nobody} == {0}
     assert toxicity.score_corpus(docs.limit(0), table).count() == 0
