@@ -31,22 +31,26 @@ def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-#: Identifiers that may have several camel-case parts: one look ahead spares the others two regexes each.
-DIVISIBLE = r"(?=[A-Za-z0-9_]*(?:_|[a-z0-9][A-Z]|[A-Z][A-Z0-9]))" + IDENTIFIER
+#: ``WORD`` for lower-cased text; no alternative gives back what it has taken.
+LOWER_WORD = r"[a-z_][a-z0-9_]*+|[0-9]++|[가-힣]{2,}+"
+SEVERAL = r"_|[a-z0-9][A-Z]|[A-Z][A-Z0-9]"
+#: Identifiers that may have several camel-case parts, looked for at the start of a run of word characters only.
+DIVISIBLE = rf"(?<![A-Za-z0-9_])[0-9]*+(?=[A-Za-z0-9_]*?(?:{SEVERAL}))([A-Za-z_][A-Za-z0-9_]*+)"
 
 
 def tokenize(text: Column) -> Column:
     """Lower-cased words, then parts of snake-case words, then parts of camel-case names; duplicates stay."""
+    none = F.array().cast("array<string>")
 
     def of(t: Column) -> Column:
-        pieces = F.transform(all_matches(t, DIVISIBLE), lambda w: all_matches(F.regexp_replace(w, "([A-Z])([A-Z][a-z])", "$1 $2"), CAMEL))
+        pieces = F.transform(all_matches(t, DIVISIBLE, 1), lambda w: all_matches(F.regexp_replace(w, "([A-Z])([A-Z][a-z])", "$1 $2"), CAMEL))
         camel = F.flatten(F.transform(F.filter(pieces, lambda p: F.size(p) > 1), lambda p: F.filter(F.transform(p, F.lower), lambda x: F.length(x) > 1)))
 
         def with_parts(words: Column) -> Column:
             snake = F.flatten(F.transform(F.filter(words, lambda w: F.contains(w, F.lit("_"))), lambda w: F.filter(F.split(w, "_"), lambda p: F.length(p) > 1)))
-            return F.concat(words, snake, camel)
+            return F.concat(words, F.when(F.contains(t, F.lit("_")), snake).otherwise(none), F.when(t.rlike(SEVERAL), camel).otherwise(none))
 
-        return let(all_matches(F.lower(t), WORD), with_parts)
+        return let(all_matches(F.lower(t), LOWER_WORD), with_parts)
 
     return let(F.coalesce(text, F.lit("")), of)
 

@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def materialized(df: DataFrame) -> DataFrame:
-    """Rows written to the shared checkpoint folder and read again (a plain checkpoint folder of its own in tests)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = getattr(spark, "_lodestone_graph", None) or tempfile.mkdtemp(prefix="lodestone-graph-")
-        spark._lodestone_graph = folder
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..lineage import cut, small
 
 
 def latest(df: DataFrame, by: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
@@ -107,14 +94,14 @@ def ancestors(edges: DataFrame, starts: DataFrame, local_bytes: int = 8 << 20) -
     edges = edges.where("parent is not null")
     if edges.limit(local_bytes // 16 + 1).count() * 16 <= local_bytes:
         return _walked(edges, starts)
-    seen = materialized(starts.select(F.col("node").alias("start"), "node").distinct())
+    seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     frontier = seen
     while True:
         step = frontier.join(edges, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
-        frontier = materialized(step.join(seen, ["start", "node"], "left_anti"))
+        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
         if not frontier.limit(1).count():
             return seen
-        seen = materialized(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
 
 
 def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -6,18 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import demoted, tokenize
+from ..functions.text import demoted, let, tokenize
+from ..lineage import cut, small
 
-BROADCAST_BYTES = 8 << 20
 K1, B, RRF_K = 1.5, 0.75, 60
 SYMBOL_POOL = 100
 
 
-def sized_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
-    """A broadcast hint if the counted rows are few, else the frame as it is (a shuffled join follows)."""
-    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...], order: list[Column]) -> DataFrame:
     """The first ``k`` rows of each group with their rank; Spark plans a group limit before the shuffle."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -33,28 +28,114 @@ def term_frequencies(tokens: DataFrame) -> DataFrame:
 
 
 def document_frequencies(tokens: DataFrame) -> DataFrame:
-    """term, df (documents, not occurrences) and cf (occurrences)."""
-    return term_frequencies(tokens).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """term, df (documents, not occurrences) and cf (occurrences).
+
+    Each document marks the first of its equal tokens, so one sum by term does, which tasks
+    combine before they send it.
+    """
+
+    def marked(s: Column) -> Column:
+        return F.transform(s, lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get(s, i - 1) != t)).alias("first")))
+
+    rows = tokens.select(F.explode(let(F.sort_array("tokens"), marked)).alias("t"))
+    return rows.groupBy("t.term").agg(F.count_if("t.first").alias("df"), F.count("*").alias("cf"))
+
+
+def blocks_of(queries: DataFrame, size: int) -> list[DataFrame]:
+    """The queries in parts of about ``size`` rows, dealt by a hash of their id."""
+    n = -(-queries.count() // size)
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) for i in range(n)] if n > 1 else [queries]
+
+
+def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id, dl and, for those of the sorted terms that a document has, their places and how often it has them; documents are tokenised once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    handle = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))  # the terms of one block of questions
 
+    def find(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            place = pc.index_in(lists.flatten(), value_set=handle.value)
+            hit = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            key, tf = np.unique(np.repeat(np.arange(len(dl)), dl)[hit] * len(terms) + place.drop_null().to_numpy(), return_counts=True)
+            ends = np.searchsorted(key, np.arange(len(dl) + 1) * max(len(terms), 1)).astype(np.int32)
+            held = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (key % max(len(terms), 1), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dl, pa.int64()), *held], names=["doc_id", "dl", "terms", "tf"])
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    return document_tokens(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "tokens").mapInArrow(find, "doc_id long, dl long, terms array<int>, tf array<int>")
+
+
+def bm25(questions: DataFrame, docs: DataFrame, k: int = 10, block: int = 1024) -> DataFrame:
     """qid, doc_id, score, rank. ``questions`` has qid and text, ``docs`` doc_id and text.
 
-    Postings are cut to the questions' terms before they are counted, so the shuffle
-    carries (document, term) pairs that can score and nothing else.
+    Questions are taken in blocks. For each, one pass over the documents keeps the postings
+    of the block's terms (document by document, so nothing is shuffled), from which totals
+    and document frequencies come. A second pass over these postings scores documents
+    against all questions of the block, and a task sends on its own best ``k`` rows of each
+    question only, however frequent a term is.
     """
-    terms = questions.select("qid", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    tokens = document_tokens(docs, "doc_id", "text").withColumn("dl", F.greatest(F.size("tokens"), F.lit(1)))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    asked = sized_broadcast(terms.select("term").distinct(), 48)
-    postings = tokens.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    totals = corpus.select(F.struct("n", "avgdl")).scalar()
-    average = F.when(totals["avgdl"] > 0, totals["avgdl"]).otherwise(1.0)
-    idf = df.select("term", F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), average.alias("avgdl"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(idf, "term").select("term", "doc_id", weight.alias("w")).join(terms, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, ("qid",), [F.desc("score"), F.asc("doc_id")])
+    import pyarrow as pa
+
+    out = None
+    for part in blocks_of(questions, block):
+        asked = part.select(F.col("qid").cast("long"), F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).toArrow()
+        terms, place = np.unique(asked.column("term").to_numpy(), return_inverse=True)
+        q_ids, q_row = np.unique(asked.column("qid").to_numpy(), return_inverse=True)
+        held = cut(postings(docs.select("doc_id", "text"), terms.tolist()))
+        n, total = held.agg(F.count("*"), F.sum("dl")).first()
+        df = np.zeros(len(terms))
+        for r in held.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
+            df[r.t] = r["count"]
+        order = np.argsort(place, kind="stable")
+        by_term = np.split(q_row[order], np.searchsorted(place[order], np.arange(1, len(terms)))) if len(terms) else []
+        handle = questions.sparkSession.sparkContext.broadcast((q_ids, by_term, np.log(1 + (n - df + 0.5) / (df + 0.5)), (total or 0) / n if n and total else 1.0))
+
+        def score(batches, handle=handle):
+            q_ids, by_term, idf, average = handle.value
+            best: list = []
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    rows = batch.slice(at, 2048)
+                    ids, dl = rows.column(0).to_numpy(zero_copy_only=False), np.maximum(rows.column(1).to_numpy(), 1)
+                    lists = rows.column(2)
+                    row = np.repeat(np.arange(len(dl)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                    term, tf = lists.flatten().to_numpy(), rows.column(3).flatten().to_numpy()
+                    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / average))
+                    sums = np.zeros((len(q_ids), len(dl)))
+                    order = np.argsort(term, kind="stable")
+                    for x in np.split(order, np.flatnonzero(np.diff(term[order])) + 1) if len(order) else ():
+                        sums[np.ix_(by_term[term[x[0]]], row[x])] += weight[x]
+                    best.append(_best(q_ids, ids, np.round(sums, 6), k, sums > 0))
+                if len(best) > 64:
+                    best = [_merge(best, k)]
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merge(best, k)], names=["qid", "doc_id", "score"])
+
+        found = held.where(F.size("terms") > 0).select("doc_id", "dl", "terms", "tf").mapInArrow(score, "qid long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return top_k(out, k, ("qid",), [F.desc("score"), F.asc("doc_id")])
+
+
+def _best(q_ids: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, use: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """qid, id and score of each query's best ``k`` columns, of equal scores the least ids."""
+    keep = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+    row, column = np.repeat(np.arange(len(q_ids)), keep.shape[1]), keep.ravel()
+    if use is not None:
+        taken = use[row, column]
+        row, column = row[taken], column[taken]
+    return q_ids[row], ids[column], score[row, column]
+
+
+def _merge(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each query over several results."""
+    q, ids, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[keep], score[keep]
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
@@ -66,30 +147,29 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
     """
     import pyarrow as pa
 
-    ids = [r[0] for r in queries.select("qid").orderBy("qid").collect()]
     out = None
-    for at in range(0, max(len(ids), 1), block):
-        part = queries.where(F.col("qid").between(ids[at], ids[min(at + block, len(ids)) - 1])) if ids else queries
-        rows = part.orderBy("qid").collect()
-        q_ids = np.array([r.qid for r in rows], np.int64)
-        q = np.array([r.vector for r in rows], np.float64).reshape(len(rows), len(rows[0].vector) if rows else 0)
+    for part in blocks_of(queries, block):
+        rows = part.select("qid", "vector").where("vector is not null").toArrow().combine_chunks()
+        q_ids = rows.column("qid").to_numpy().astype(np.int64)
+        q = rows.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(q_ids), -1) if len(q_ids) else np.zeros((0, 0))
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         handle = queries.sparkSession.sparkContext.broadcast((q_ids, q))
 
         def search(batches, handle=handle):
             q_ids, q = handle.value
+            best: list = []
             for batch in batches:
                 if not batch.num_rows or not len(q_ids):
                     continue
-                ids = batch.column(0).to_numpy()
                 v = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(batch.num_rows, -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                score = np.round(q @ v.T, 6)
-                keep = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                row = np.repeat(np.arange(len(q_ids)), keep.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(ids[keep.ravel()]), pa.array(score[row, keep.ravel()])], names=["qid", "vec_id", "score"])
+                for at in range(0, len(q_ids), 256):
+                    best.append(_best(q_ids[at : at + 256], batch.column(0).to_numpy(), np.round(q[at : at + 256] @ v.T, 6), k))
+                best = [_merge(best, k)]
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best[0]], names=["qid", "vec_id", "score"])
 
-        found = vectors.select("vec_id", "vector").where("vector is not null").mapInArrow(search, "qid long, vec_id long, score double")
+        found = vectors.select(F.col("vec_id").cast("long"), "vector").where("vector is not null").mapInArrow(search, "qid long, vec_id long, score double")
         out = found if out is None else out.unionByName(found)
     return top_k(out, k, ("qid",), [F.desc("score"), F.asc("vec_id")])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
+from ..lineage import cut, small
 from ..operators import assemble, chunks, evaluate, history, retrieval
 from ..streaming import sse
 
@@ -41,7 +42,7 @@ def semantic(spark, d, k, where=None):
 
 def fused(spark, d):
     """Benchmark questions against documents; the vector of a question or document is the one of its number."""
-    ids = retrieval.sized_broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), 16)
+    ids = small(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), 16)
     return retrieval.rrf(semantic(spark, d, 20, ids).withColumnRenamed("vec_id", "id"), lexical(spark, d, 20).withColumnRenamed("doc_id", "id"))
 
 
@@ -482,7 +483,7 @@ def user_sessions(spark, d):
 
 @query
 def point_lookup(spark, d):
-    asked = retrieval.sized_broadcast(table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("doc_id")), 16)
+    asked = small(table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("doc_id")), 16)
     return table(spark, d, "documents").join(asked, "doc_id", "left_semi").select("doc_id", "source", F.lit(0.0).alias("score"))
 
 
