@@ -1,35 +1,17 @@
-"""Lineage cuts and small driver-side gathers used by several operators."""
+"""Small helpers used by several operators: values computed once, and sums of vectors."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A table is broadcast only when a count has shown it to be below this many bytes.
-BROADCAST_BYTES = 8 << 20
+from ..lineage import cut, small
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_lodestone_scratch", None) or tempfile.mkdtemp(prefix="lodestone-")
-        spark._lodestone_scratch = folder
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "let", "small", "sum_vectors"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,17 +19,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """The frame with a broadcast hint if its counted rows fit the limit, else unchanged.
-
-    ``row_bytes`` is the width of a row of fixed size, or a column with each row's own. The
-    frame should be a materialised one (see ``cut``), as it is counted first.
-    """
-    if isinstance(row_bytes, Column):
-        return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df
-    return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
-
-
 def sum_vectors(df: DataFrame, mapper, size: int, dtype=np.float64, slice_size: int = 1 << 14) -> np.ndarray:
     """Sum over all rows of fixed-size vectors that ``mapper(batches)`` yields once per task.
 
