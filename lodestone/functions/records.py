@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,10 +89,65 @@ def strict_id(value: Column) -> Column:
 
 
 def json_in_text(text: Column) -> Column:
-    """The outermost JSON object of a model's answer, without thoughts and fences; null if none parses."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    found = F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit(""))
-    return let(found, lambda j: F.when(F.try_parse_json(j).isNotNull(), j))
+    """The first JSON object in a model's answer, without thoughts and fences, written compactly; null if there is none."""
+    @F.pandas_udf("string")
+    def first_object(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def of(t: str | None) -> str | None:
+            at = (t or "").find("{")
+            while at >= 0:
+                try:
+                    return json.dumps(decoder.raw_decode(t, at)[0], ensure_ascii=False)
+                except ValueError:
+                    at = t.find("{", at + 1)
+            return None
+
+        return texts.map(of)
+
+    bare = F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
+    fenced = F.regexp_extract(bare, r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    return first_object(F.coalesce(F.nullif(fenced, F.lit("")), bare))
+
+
+def canonical_hash(value: Column) -> Column:
+    """First 16 hex digits of the SHA-256 of a JSON text with sorted keys and no spaces; null for what is no JSON."""
+    @F.pandas_udf("string")
+    def canonical(texts: pd.Series) -> pd.Series:
+        def of(t: str | None) -> str | None:
+            try:
+                return json.dumps(json.loads(t or ""), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return texts.map(of)
+
+    return F.left(F.sha2(canonical(value), 256), F.lit(16))
+
+
+def selected_code(items: Column) -> Column:
+    """One text of selected pieces (path, text), each under its path; blank pieces go, nothing is null."""
+    shown = F.transform(items, lambda x: F.when(F.coalesce(x["path"], F.lit("")) != "", F.concat(F.lit("# "), x["path"], F.lit("\n"), F.coalesce(x["text"], F.lit("")))).otherwise(x["text"]))
+    return F.nullif(F.concat_ws("\n\n", F.filter(shown, lambda t: F.trim(t, F.lit(" \t\r\n")) != "")), F.lit(""))
+
+
+def enclosing_scopes(stored: Column) -> Column:
+    """Scopes that a store keeps as a JSON list; anything else is an empty list."""
+    return F.coalesce(F.from_json(stored, "array<string>"), F.array().cast("array<string>"))
+
+
+def embedding_error(vector: Column, dimension: int) -> Column:
+    """What is wrong with an embedding: missing, of another dimension, or not finite; null for a sound one."""
+    size = F.size(vector)
+    return (
+        F.when(vector.isNull(), "missing").when(size != dimension, F.format_string(f"dimension %d, not {dimension}", size))
+        .when(F.exists(vector, lambda x: F.isnan(x) | x.isNull() | (F.abs(x) == float("inf"))), "not finite")
+    )
+
+
+def kept_keys(values: Column, allowed: tuple[str, ...], limit: int = 512) -> Column:
+    """A map without the keys that are not allowed, texts cut to a limit."""
+    return F.transform_values(F.map_filter(values, lambda k, _: k.isin(*allowed)), lambda _, v: F.left(v, F.lit(limit)))
 
 
 def valid_claims(claims: Column, allowed: Column, limit: int = 12) -> Column:

@@ -111,10 +111,16 @@ def redacted(text: Column, limit: int = 512) -> Column:
     return F.when(flat != "", F.left(F.regexp_replace(flat, SECRET, "$1=<redacted>"), F.lit(limit)))
 
 
-def token_estimate(text: Column) -> Column:
-    """ascii / 2.8 + other * 0.6 + 1, as a whole number."""
+def token_estimate(text: Column, ascii_chars: float = 2.8, other_tokens: float = 0.6) -> Column:
+    """ascii / 2.8 + other * 0.6 + 1, as a whole number; both coefficients are settings."""
     ascii_ = F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
-    return F.floor(ascii_ / 2.8 + (F.length(text) - ascii_) * 0.6).cast("long") + 1
+    return F.floor(ascii_ / ascii_chars + (F.length(text) - ascii_) * other_tokens).cast("long") + 1
+
+
+def token_estimate_mixed(text: Column, korean: float = 1.4, rest: float = 3.2) -> Column:
+    """Hangul syllables / 1.4 + others / 3.2, as a whole number."""
+    hangul = F.length(F.regexp_replace(text, "[^가-힣]", ""))
+    return F.floor(hangul / korean + (F.length(text) - hangul) / rest).cast("long")
 
 
 def context_header(path: Column, section: Column, enclosing: Column, text: Column) -> Column:

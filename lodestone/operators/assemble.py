@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import fitting
+
 
 def references(contexts: DataFrame, cited: DataFrame, cited_only: bool) -> DataFrame:
     """Contexts (qid, n, path, section, line_start, line_end, score) with a cited flag; numbers never change.
@@ -39,14 +41,7 @@ def quota(rows: DataFrame, by: tuple[str, ...], per: str, order: list[Column], e
 
 def pack(rows: DataFrame, by: str, order: str, size: str, limit: int) -> DataFrame:
     """Rows of each group that fit a budget when taken in order; one that does not fit is skipped, later ones may fit."""
-    zero = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<long>").alias("kept"))
-
-    def step(acc, x):
-        held = acc["held"] + x["size"]
-        return F.when(held <= limit, F.struct(held.alias("held"), F.array_append(acc["kept"], x["o"]).alias("kept"))).otherwise(acc)
-
-    lists = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("size")))).alias("xs"))
-    return lists.select(by, F.explode(F.aggregate("xs", zero, step)["kept"]).alias(order))
+    return fitting(rows.select(by, order, size), (by,), [order], size, limit).where("fits").select(by, order)
 
 
 def resolve_paths(asked: DataFrame, files: DataFrame) -> DataFrame:

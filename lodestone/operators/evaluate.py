@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .retrieval import gate
 
-def first_relevant_rank(hits: DataFrame, relevant: Column) -> DataFrame:
-    """qid, rank of the first relevant hit (null if none) and the greatest score."""
-    return hits.groupBy("qid").agg(F.min(F.when(relevant, F.col("rank"))).alias("rank"), F.max("score").alias("top_score"))
+
+def first_relevant_rank(hits: DataFrame, relevant: Column, questions: DataFrame | None = None) -> DataFrame:
+    """qid, rank of the first relevant hit (null if none) and the greatest score; ``questions`` (qid) without hits have nulls."""
+    found = hits.groupBy("qid").agg(F.min(F.when(relevant, F.col("rank"))).alias("rank"), F.max("score").alias("top_score"))
+    return found if questions is None else questions.select("qid").distinct().join(found, "qid", "left")
+
+
+def pipeline_rows(hits: DataFrame, relevant: Column, threshold: float, k: int, questions: DataFrame) -> DataFrame:
+    """qid, answerable, rank, top_score, has_evidence, reason and passed ids when whole answers are evaluated.
+
+    A rank counts within the contexts that pass the gate, and only answerable questions have one.
+    ``hits`` has qid, id, rank and score, ``questions`` qid and answerable.
+    """
+    passed = hits.where(F.col("score") >= threshold).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("place") <= k)
+    first = passed.groupBy("qid").agg(F.min(F.when(relevant, F.col("place"))).alias("place"))
+    gated = gate(hits.select("qid", "id", "rank", "score"), threshold, k, questions)
+    rows = questions.select("qid", "answerable").join(gated, "qid").join(first, "qid", "left")
+    return rows.select("qid", "answerable", F.when(F.col("answerable"), F.col("place")).alias("rank"), "top_score", "has_evidence", "reason", F.col("contexts").alias("passed"))
 
 
 def metrics(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -74,8 +90,6 @@ def gold_matches(hits: DataFrame, gold: DataFrame) -> DataFrame:
 
 def suite_errors(questions: DataFrame, tags: list[str]) -> DataFrame:
     """id and messages for every question that breaks a rule of the suite."""
-    from pyspark.sql import Window
-
     ok_id = F.coalesce(F.col("id"), F.lit("")).rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$")
     rules = [
         (~ok_id, "bad id"),

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import folded
+
 FRAME_SCHEMA = "trace string, seq long, event string, data string"
 
 
@@ -17,7 +19,12 @@ def frames(raw: DataFrame) -> DataFrame:
     event = F.regexp_extract("block", r"(?m)^event:[ ]?([^\r\n]*)", 1)
     data = F.concat_ws("\n", F.regexp_extract_all("block", F.lit(r"(?m)^data:[ ]?([^\r\n]*)"), F.lit(1)))
     rows = rows.select("trace", F.col("at").cast("long").alias("seq"), F.when(event == "", "message").otherwise(event).alias("event"), data.alias("data"))
-    return rows.where("startswith(ltrim(data), '{') and try_parse_json(data) is not null")
+    return rows.where(is_json_object(F.col("data")))
+
+
+def is_json_object(data):
+    """Whether a text is one JSON object and nothing after it."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(data)).startswith("OBJECT") & F.rtrim(data, F.lit(" \t\r\n")).endswith("}"), F.lit(False))
 
 
 def serialise(event, data):
@@ -26,20 +33,25 @@ def serialise(event, data):
 
 def batch_deltas(events: DataFrame, limit: int) -> DataFrame:
     """trace, batch and joined text: buffered deltas are flushed at ``limit`` bytes or at the next other event."""
-    size = F.octet_length("text")
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "kind", "text", size.alias("size"))))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("held"), F.array().cast("array<struct<batch:int,text:string>>").alias("out"))
-
-    def step(acc, e):
-        is_delta = e["kind"] == "delta"
-        held = F.when(is_delta, acc["held"] + e["size"]).otherwise(0)
-        full = (held >= limit) | ~is_delta
-        out = F.when(is_delta, F.concat(acc["out"], F.array(F.struct(acc["batch"].alias("batch"), e["text"].alias("text"))))).otherwise(acc["out"])
-        begins = full & (is_delta | (acc["held"] > 0))
-        return F.struct((acc["batch"] + begins.cast("int")).alias("batch"), F.when(full, 0).otherwise(held).alias("held"), out.alias("out"))
-
-    folded = events.groupBy("trace").agg(ordered.alias("es")).select("trace", F.explode(F.aggregate("es", zero, step)["out"]).alias("x"))
-    return folded.groupBy("trace", "x.batch").agg(F.concat_ws("", F.collect_list("x.text")).alias("text"))
+
+    def start():
+        batch, held = 0, 0
+
+        def step(kind, size):
+            nonlocal batch, held
+            mine = batch
+            if kind == "delta":
+                held += size or 0
+            if kind != "delta" and held or kind == "delta" and held >= limit:
+                batch, held = batch + 1, 0
+            return mine
+
+        return step
+
+    rows = events.select("trace", "seq", "kind", "text", F.octet_length("text").alias("size"))
+    numbered = folded(rows, ("trace",), ["seq"], ("kind", "size"), start, "batch long").where("kind = 'delta'")
+    pieces = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return numbered.groupBy("trace", "batch").agg(F.concat_ws("", F.transform(pieces, lambda x: x["text"])).alias("text"))
 
 
 def frame_stream(chunks: DataFrame) -> DataFrame:

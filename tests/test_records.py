@@ -1,5 +1,7 @@
 """Identifier, prompt, assembly and fact operators on small tables."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def test_validators(spark):
 
 
 def test_model_output(spark):
-    assert each(spark, ['<think>{"a":0}</think>```json\n{"a": 1}\n```', "none", '{"a": '], R.json_in_text) == ['{"a": 1}', None, None]
+    assert each(spark, ['<think>{"a":0}</think>```json\n{"a": 1}\n```', "none", '{"a": ', 'so {x} {"b": {"c": 2}} and {"d": 3}'], R.json_in_text) == ['{"a": 1}', None, None, '{"b": {"c": 2}}']
+    assert each(spark, ['{"b":1, "a":[1.0,"é"]}', ' {"a":[1.0,"é"],"b":1}', "x"], R.canonical_hash) == [hashlib.sha256('{"a":[1.0,"é"],"b":1}'.encode()).hexdigest()[:16]] * 2 + [None]
     claims = spark.createDataFrame([([("ok [1]", [1, 1]), ("bad", [1, 9]), ("", [1]), ("[2]", [2]), ("none", [])],)], "c array<struct<text:string,evidence_ids:array<int>>>")
     (row,) = claims.select(R.valid_claims(F.col("c"), F.array(F.lit(1), F.lit(2))).alias("x")).collect()
     assert [(c.text, c.evidence_ids) for c in row.x] == [("ok", [1])]
