@@ -109,22 +109,29 @@ def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     rows = edges.select(F.col("child").cast("long"), F.col("parent").cast("long")).toArrow()
-    child, parent = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    nodes, place = np.unique(np.concatenate([rows.column(0).to_numpy(), rows.column(1).to_numpy()]), return_inverse=True)
+    child, parent = np.split(place.astype(np.int32), 2)
     order = np.argsort(child, kind="stable")
-    handle = edges.sparkSession.sparkContext.broadcast((child[order], parent[order]))
+    handle = edges.sparkSession.sparkContext.broadcast((nodes, np.searchsorted(child[order], np.arange(len(nodes) + 1)), parent[order]))
 
     def walk(batches):
-        child, parent = handle.value
+        nodes, begins, parent = handle.value
         for batch in batches:
             for start in batch.column(0).to_pylist():
-                seen = frontier = np.array([start], np.int64)
+                at = int(np.searchsorted(nodes, start))
+                if at == len(nodes) or nodes[at] != start:
+                    yield pa.RecordBatch.from_arrays([pa.array([start]), pa.array([start])], names=["start", "node"])
+                    continue
+                seen = np.zeros(len(nodes), bool)
+                seen[at] = True
+                frontier = np.array([at])
                 while len(frontier):
-                    a, b = np.searchsorted(child, frontier, "left"), np.searchsorted(child, frontier, "right")
-                    size = b - a
-                    at = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    frontier = np.setdiff1d(parent[at], seen)
-                    seen = np.union1d(seen, frontier)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), start, np.int64)), pa.array(seen)], names=["start", "node"])
+                    size = begins[frontier + 1] - begins[frontier]
+                    to = parent[np.repeat(begins[frontier] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    frontier = np.unique(to[~seen[to]])
+                    seen[frontier] = True
+                found = nodes[seen]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), start, np.int64)), pa.array(found)], names=["start", "node"])
 
     return starts.where("node is not null").select(F.col("node").cast("long").alias("node")).distinct().mapInArrow(walk, "start long, node long")
 

@@ -221,8 +221,8 @@ def gate(hits: DataFrame, threshold: float, k: int, questions: DataFrame | None
     return out.select("qid", "top_score", evidence.alias("has_evidence"), F.when(evidence, "ok").when(F.col("top_score").isNull(), "empty_index").otherwise("below_threshold").alias("reason"), F.transform("passed", lambda h: h["id"]).alias("contexts"))
 
 
-def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, threshold: float = 0.54, use_bm25: bool = True, cap: int = 0, demote: str = "", names: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
-    """Hybrid search for all questions: vector pool, lexical pool, fusion, rerank, symbol matches first, gate.
+def reranked(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, use_bm25: bool = True, cap: int = 0, demote: str = "", names: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """qid, id, rank, score of all questions' hits: vector pool, lexical pool, fusion, rerank, symbol matches first.
 
     ``names`` has qid and names (symbols that the question names), ``symbols`` id and symbol; both are needed for the last rerank.
     """
@@ -246,4 +246,10 @@ def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vect
         hits = grade_rerank(hits, symbol_grades(names, symbols)).drop("rank", "grade").withColumnRenamed("new_rank", "rank")
     if use_bm25:  # a question without vector hits has no evidence to order, whatever the lexical list says
         hits = hits.join(semantic.select("qid").distinct(), "qid", "left_semi")
-    return gate(hits, threshold, k, query_vectors)
+    return hits.select("qid", "id", "rank", "score")
+
+
+def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, k: int = 4, threshold: float = 0.54, every: DataFrame | None = None, **options) -> DataFrame:
+    """Hybrid search for all questions: ``reranked`` hits, and the gate. ``every`` (qid) names questions that may have no vector."""
+    hits = reranked(questions, docs, query_vectors, vectors, k=k, **options)
+    return gate(hits, threshold, k, query_vectors if every is None else every)

@@ -1 +1,6 @@
+"""Registered queries and their SQL twins."""
 
+from . import oracles, queries, snapshots, surveys
+
+QUERIES = queries.QUERIES | snapshots.QUERIES | surveys.QUERIES
+SQL = oracles.SQL | snapshots.SQL | surveys.SQL

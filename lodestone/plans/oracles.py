@@ -123,6 +123,7 @@ SQL: dict[str, str] = {
     "unresolved_diff": f"WITH {EDGES} SELECT DISTINCT parent AS node FROM edges EXCEPT SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0",
     "unindexed_union": "SELECT doc_id, quality, true AS indexed FROM labels UNION ALL SELECT doc_id, NULL, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "ancestors": f"WITH RECURSIVE {REACHED} SELECT start, node FROM reached",
+    "ancestors_by_level": "WITH RECURSIVE r AS (SELECT s_suppkey AS start, s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 0 UNION SELECT start, node // 2 FROM r WHERE node >= 2) SELECT start, node FROM r",
     "ahead_behind": f"""WITH RECURSIVE {REACHED}, s AS (SELECT max(node) AS t, min(node) AS b FROM starts) SELECT (SELECT count(*) FROM reached WHERE start = t AND node NOT IN (SELECT node FROM reached WHERE start = b)) AS ahead,
         (SELECT count(*) FROM reached WHERE start = b AND node NOT IN (SELECT node FROM reached WHERE start = t)) AS behind FROM s""",
     "merge_bases": f"""WITH RECURSIVE {REACHED}, common AS (SELECT node FROM reached GROUP BY node HAVING count(DISTINCT start) = 2),
@@ -138,7 +139,6 @@ SQL: dict[str, str] = {
         SELECT trace, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_events, min(seq) FILTER (kind = 'delta') AS first_delta, round(sum(CASE WHEN kind = 'delta' THEN size ELSE 0 END), 4) AS delta_size, arg_max(model, seq) FILTER (model IS NOT NULL) AS model,
         CASE WHEN count_if(kind = 'completed') > 0 THEN 'completed' ELSE 'running' END AS status FROM e GROUP BY trace""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
-    "candidate_quota": f"WITH {bm25(20)}, s AS (SELECT b.*, d.source FROM bm_top b JOIN documents d USING (doc_id)), c AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY score DESC, doc_id) AS nth FROM s QUALIFY nth <= 2) SELECT qid, doc_id, source, nth, row_number() OVER (PARTITION BY qid ORDER BY nth, score DESC, doc_id) AS place FROM c QUALIFY place <= 12",
     "purge_preview": """WITH k AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM k)) SELECT 'orders' AS table_name, count(*) AS n FROM o UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
     "illegal_transitions": """WITH s AS (SELECT o_custkey AS subject, o_orderkey AS seq, o_orderstatus AS state FROM orders), m AS (SELECT subject, seq, lag(state) OVER (PARTITION BY subject ORDER BY seq) AS from_state, state AS to_state FROM s)
         SELECT from_state, to_state, subject, seq FROM m WHERE from_state IS NOT NULL AND from_state <> to_state AND (from_state, to_state) NOT IN (('O', 'P'), ('P', 'F'))""",

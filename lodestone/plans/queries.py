@@ -329,6 +329,13 @@ def ancestors(spark, d):
     return reached(spark, d)
 
 
+@query
+def ancestors_by_level(spark, d):
+    """Walked level by level, as graphs are that do not fit a task: suppliers' lines of n // 2."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("child"))
+    return history.ancestors(rows.where("child >= 2").select("child", F.expr("child div 2").alias("parent")), rows.where("child % 10 = 0").select(F.col("child").alias("node")), local_bytes=0)
+
+
 @query
 def ahead_behind(spark, d):
     a, b = newest(spark, d)
@@ -381,13 +388,6 @@ def event_windows(spark, d):
     return sse.event_windows(table(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query
-def candidate_quota(spark, d):
-    hits = lexical(spark, d, 20).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    nth = hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "source").orderBy(F.desc("score"), "doc_id"))).where("nth <= 2")
-    return nth.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("nth", F.desc("score"), "doc_id"))).where("place <= 12").select("qid", "doc_id", "source", "nth", "place")
-
-
 @query
 def purge_preview(spark, d):
     keys = table(spark, d, "customer").where("c_nationkey = 7").select("c_custkey")

@@ -5,8 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lodestone.plans.oracles import SQL
-from lodestone.plans.queries import QUERIES
+from lodestone.plans import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
