@@ -261,3 +261,78 @@ def test_frame_stream_keeps_the_rest(spark, tmp_path):
             pytest.skip("stateful Python processors need protobuf")
         raise
     assert {(r.event, r.data) for r in spark.table("frames").collect()} == {("x", '{"n": 1}'), ("message", '{"n": 2}')}
+
+
+def test_budgets_pass_over_what_does_not_fit(spark):
+    import random
+
+    from lodestone.operators.ordered import fitting
+
+    rng = random.Random(4)
+    rows = [(g, i, rng.randint(0, 30)) for g in "abc" for i in range(200)] + [("d", 0, None)]
+    got = {(r.g, r.i): r.fits for r in fitting(spark.createDataFrame(rows, "g string, i int, size int").repartition(5), ("g",), ["i"], "size", 500, 40).collect()}
+    for g in "abcd":
+        held = n = 0
+        for _, i, size in sorted(r for r in rows if r[0] == g):
+            fits = held + (size or 0) <= 500 and n < 40
+            assert got[g, i] == fits
+            held, n = held + (size or 0) * fits, n + fits
+
+
+def test_survey_sizes_add_up_in_walk_order(spark):
+    from lodestone.operators import survey
+
+    rows = [("r", p, n, False) for p, n in (("b/x.py", 60), ("a.md", 30), ("z.py", 50), ("b/c/y.py", 20), ("b/a.py", 10), (".env", 1), ("b/.git/k.py", 1), ("docs/readme", 5))]
+    got = {r.path: (r.reason, r.kind, r.unit) for r in survey.survey_files(spark.createDataFrame(rows, "repo string, path string, length long, is_link boolean"), total_bytes=100).collect()}
+    kept = [p for p in got if got[p][0] is None]
+    # Files of a folder come before its folders: a.md, z.py, then b/a.py; b/x.py is too much, b/c/y.py and docs/readme are not.
+    assert sorted(kept) == ["a.md", "b/a.py", "docs/readme", "z.py"] and got["b/x.py"][0] == got["b/c/y.py"][0] == "survey_size_limit"
+    assert got[".env"][0] == "excluded_file" and got["b/.git/k.py"] == ("excluded_directory", "code", "b/.git") and got["docs/readme"][1] == "doc"
+
+
+def test_survey_sections_know_their_fences(spark):
+    from lodestone.operators import survey
+
+    text = "lead\n# Usage\n```\n# no heading\n~~~\n# nor this\n```\n## Other\nx"
+    long = "# Title\n" + "\n".join(f"line {i}" for i in range(60)) + "\n# Limits\nnone"
+    files = spark.createDataFrame([("r", "docs/a.md", text), ("r", "README.md", long), ("r", "changelog.md", "# Usage\nx")], "repo string, path string, text string")
+    got = sorted((r.priority, r.path, r.line_start, r.line_end, r.heading) for r in survey.doc_sections(files).collect())
+    assert got == [(0, "README.md", 1, 40, "Title"), (0, "README.md", 62, 63, "Limits"), (1, "docs/a.md", 2, 7, "Usage"), (2, "README.md", 41, 61, "Title (continued)"), (3, "docs/a.md", 1, 1, "intro"), (3, "docs/a.md", 8, 9, "Other"), (4, "changelog.md", 1, 2, "Usage")]
+
+
+def test_pages_and_cursors(spark):
+    from lodestone.operators import views
+
+    rows = spark.range(7).withColumnRenamed("id", "k")
+    first = views.page(rows, [F.asc("k")], 3).collect()
+    second = views.page(rows, [F.asc("k")], 3, first[0].next_cursor).collect()
+    third = views.page(rows, [F.asc("k")], 3, second[0].next_cursor).collect()
+    assert [[r.k for r in p] for p in (first, second, third)] == [[0, 1, 2], [3, 4, 5], [6]] and third[0].next_cursor is None
+    for bad in ("", "xx", "djE6LTE="):
+        with pytest.raises(ValueError):
+            views.page(rows, [F.asc("k")], 3, bad)
+    with pytest.raises(ValueError):
+        views.page(rows, [F.asc("k")], 0)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestone import lineage
+
+    def session(master, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+
+    assert lineage.shared_dir(session("spark://x", "hdfs:/a/")) == "hdfs:/a"
+    assert lineage.shared_dir(session("local[4]", None))
+    for master in ("spark://x", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            lineage.shared_dir(session(master, None))
+
+
+def test_deltas_come_in_order_however_they_are_dealt(spark):
+    from lodestone.streaming import sse
+
+    rows = [("t", i, "delta" if i % 7 else "tool", f"<{i}>") for i in range(200)]
+    got = sse.batch_deltas(spark.createDataFrame(rows, "trace string, seq int, kind string, text string").repartition(4), 12).orderBy("batch").collect()
+    assert "".join(r.text for r in got) == "".join(r[3] for r in rows if r[2] == "delta") and len(got) > 30
