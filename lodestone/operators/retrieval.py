@@ -176,8 +176,9 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
 
 def rrf(vector_hits: DataFrame, lexical_hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """qid, id, rrf, score, rank from ranked lists (qid, id, rank[, score]); a hit that only the lexical list has scores 0."""
-    both = vector_hits.select("qid", "id", "rank", "score").unionByName(lexical_hits.select("qid", "id", "rank", F.lit(None).cast("double").alias("score")))
-    fused = both.groupBy("qid", "id").agg(F.round(F.sum(1 / (k + F.col("rank"))), 9).alias("rrf"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    part = lambda c: F.coalesce(1 / (k + F.col(c)), F.lit(0.0))
+    both = vector_hits.select("qid", "id", F.col("rank").alias("v"), "score").join(lexical_hits.select("qid", "id", F.col("rank").alias("l")), ["qid", "id"], "full_outer")
+    fused = both.select("qid", "id", F.round(part("v") + part("l"), 9).alias("rrf"), F.coalesce("score", F.lit(0.0)).alias("score"))
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rrf"), "id")))
 
 

@@ -212,7 +212,7 @@ def filtered_page(spark, d):
 
 
 @query("""WITH s AS (SELECT l_orderkey AS path, l_partkey * 10000 + l_suppkey AS i, l_returnflag || ', (' || l_linestatus || '),' || l_linestatus AS symbol, l_quantity::INT AS line_end FROM lineitem),
-  n AS (SELECT path, i, trim(unnest(string_split(symbol, ','))) AS name, unnest(range(0, 3)) AS place FROM s), k AS (SELECT path, name, min(i * 10 + place) AS lead_at FROM n WHERE name <> '' AND NOT starts_with(name, '(') GROUP BY path, name)
+  n AS (SELECT path, i, symbol, trim(unnest(string_split(symbol, ','))) AS name, unnest(range(0, 3)) AS place FROM s), k AS (SELECT path, name, min(ROW(i, symbol, place)) AS lead_at FROM n WHERE name <> '' AND NOT starts_with(name, '(') GROUP BY path, name)
   SELECT s.path, 'code' AS type, count(*) AS chunks, max(line_end) AS line_max, any_value(l.symbols) AS symbols FROM s JOIN (SELECT path, list(name ORDER BY lead_at) AS symbols FROM k GROUP BY path) l USING (path) GROUP BY s.path""")
 def index_files(spark, d):
     return views.index_files(table(spark, d, "lineitem").selectExpr("l_orderkey AS path", "CAST(NULL AS string) AS type", "l_partkey * 10000 + l_suppkey AS chunk_index", "int(l_quantity) AS line_end", "concat(l_returnflag, ', (', l_linestatus, '),', l_linestatus) AS symbol"))
