@@ -239,7 +239,9 @@ def class_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     named = class_column(docs.join(asked.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "cid")
     named = named.join(asked, "cid").where("doc_id = rep").groupBy("cid").agg(F.min("text").alias("text"))
     bare = class_column(docs.where("doc_id is null"), "cid").groupBy("cid").agg(F.min("text").alias("text"))
-    return named.unionByName(bare.join(asked.where("rep is null").select("cid"), "cid", "left_semi"))
+    bare = bare.join(asked.where("rep is null").select("cid"), "cid", "left_semi")
+    # Both sides are dealt by cid; cut, so that Spark does not zip their partitions, which adaptive execution may number differently.
+    return named.unionByName(cut(bare))
 
 
 def roots_of(classes: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
