@@ -29,6 +29,21 @@ def is_safe_path(path: Column) -> Column:
     return F.coalesce((F.length(path).between(1, 4096)) & ~path.rlike(r"[\x00\\]|^[A-Za-z]:") & segments, F.lit(False))
 
 
+def is_git_ref(ref: Column) -> Column:
+    """A branch ref under ``refs/heads/`` by the rules of git's own check."""
+    bad = ref.rlike(r"\.\.|@\{|//|[\x00-\x20\x7f~^:?*\[\\]|/\.|\.lock(/|$)|[./]$")
+    return F.coalesce(ref.rlike("^refs/heads/[^/.].*") & ~bad & (F.length(ref) <= 255), F.lit(False))
+
+
+def resolved_alias(name: Column, aliases: str) -> Column:
+    """The index a name stands for in a list ``name=index, ...``, which wins over the name itself."""
+    pairs = [x.partition("=")[::2] for x in aliases.split(",") if "=" in x]
+    out = normalized_name(name)
+    for key, value in reversed([(k.strip().lower().replace("_", "-"), v.strip()) for k, v in pairs]):
+        out = F.when(normalized_name(name) == key, value).otherwise(out)
+    return out
+
+
 def repository_name(remote: Column) -> Column:
     """Last segment of a remote without ``.git``; null where nothing is left."""
     clean = F.regexp_replace(F.replace(F.trim(remote), F.lit("\\"), F.lit("/")), "/+$", "")

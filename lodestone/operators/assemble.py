@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import citations, no_evidence
 from .ordered import fitting
 
 
@@ -33,6 +34,21 @@ def reference_files(references_: DataFrame) -> DataFrame:
     )
 
 
+def final_answers(answers: DataFrame, contexts: DataFrame, cited_only: bool = True) -> DataFrame:
+    """qid, answer, no_evidence, cited and references (n, path) of answers (qid, answer); one that says it found nothing has neither.
+
+    ``contexts`` has qid, n and path; citations count within a question's own contexts.
+    """
+    none = no_evidence(F.col("answer"))
+    given = contexts.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", "path"))).alias("given"))
+    rows = answers.join(given, "qid", "left").withColumn("given", F.coalesce("given", F.array().cast(given.schema["given"].dataType)))
+    rows = rows.withColumn("cited", citations(F.col("answer"), F.size("given")))
+    shown = F.filter("given", lambda g: F.array_contains(F.col("cited"), g["n"])) if cited_only else F.col("given")
+    shown = F.when(none, F.slice("given", 1, 0)).when(F.size("cited") == 0, F.col("given")).otherwise(shown)
+    empty = F.array().cast("array<int>")
+    return rows.select("qid", F.when(none, "NO_EVIDENCE").otherwise(F.col("answer")).alias("answer"), none.alias("no_evidence"), F.when(none, empty).otherwise(F.col("cited")).alias("cited"), shown.alias("references"))
+
+
 def quota(rows: DataFrame, by: tuple[str, ...], per: str, order: list[Column], each: int, total: int) -> DataFrame:
     """At most ``each`` rows of one ``per`` value and ``total`` of a group, in one order."""
     nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by, per).orderBy(*order))).where(F.col("nth") <= each)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,17 +43,20 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._numbers = itertools.count(time.time_ns())
 
     def _record(self, project: str, revision: str, status: str, **meta) -> None:
-        row = [(project, revision, status, json.dumps(meta, sort_keys=True))]
-        self.spark.createDataFrame(row, "project string, revision string, status string, meta string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/revisions")
+        # Records of one writer are told apart by their number where the clock does not.
+        row = [(project, revision, status, json.dumps(meta, sort_keys=True), next(self._numbers))]
+        self.spark.createDataFrame(row, "project string, revision string, status string, meta string, number long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.folder}/revisions")
 
     def revisions(self) -> DataFrame:
-        rows = self.spark.read.schema("project string, revision string, status string, meta string, at timestamp").parquet(f"{self.folder}/revisions")
-        return history.latest(rows, ("project", "revision"), (F.desc("at"),))
+        """The last record of each revision; those that were dropped are gone."""
+        rows = self.spark.read.schema("project string, revision string, status string, meta string, number long, at timestamp").parquet(f"{self.folder}/revisions")
+        return history.latest(rows, ("project", "revision"), (F.desc("at"), F.desc("number"))).where("status != 'dropped'")
 
     def active(self, project: str) -> str | None:
-        found = self.revisions().where((F.col("project") == project) & (F.col("status") == "active")).orderBy(F.desc("at")).limit(1).collect()
+        found = self.revisions().where((F.col("project") == project) & (F.col("status") == "active")).orderBy(F.desc("at"), F.desc("number")).limit(1).collect()
         return found[0].revision if found else None
 
     def path(self, project: str, revision: str) -> str:
@@ -90,6 +95,45 @@ class Catalog:
         kept = old.join(touched, "path", "left_anti") if old is not None else fresh.limit(0)
         return self.build(project, kept.unionByName(fresh), settings)
 
+    def upsert(self, project: str, fresh: DataFrame, order: str = "seq") -> str:
+        """A revision of the active chunks in which fresh ones of the same id take the place of old ones."""
+        old = self.chunks(project)
+        kept = old.join(fresh.select("chunk_id"), "chunk_id", "left_anti") if old is not None else fresh.limit(0)
+        return self.build(project, kept.unionByName(last_write(fresh, order=order)))
+
+    def _delete(self, path: str) -> None:
+        """Take away one exact path of this folder; nothing happens where there is none."""
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+    def abandon(self, project: str, revision: str, reason: str) -> bool:
+        """Mark a revision that is not readable as failed and take its chunks away; active and retired ones stay."""
+        found = self.revisions().where((F.col("project") == project) & (F.col("revision") == revision)).collect()
+        if not found or found[0].status not in ("building", "failed"):
+            return False
+        self._record(project, revision, "failed", reason=reason)
+        self._delete(self.path(project, revision))
+        return True
+
+    def repair(self, reason: str = "builder is gone") -> int:
+        """Abandon all builds that never ended; returns how many."""
+        left = self.revisions().where("status = 'building'").collect()
+        return sum(self.abandon(r.project, r.revision, reason) for r in left)
+
+    def drop(self, project: str, side_cars: tuple[str, ...] = ("lexical", "queries")) -> int:
+        """Delete an index by its exact name: records first, so that no reader finds it, then chunks, then what lies beside them.
+
+        Side-cars are folders ``name/project=...``. Doing it twice does no harm; returns how many revisions went.
+        """
+        gone = self.revisions().where(F.col("project") == project).collect()
+        for r in gone:
+            self._record(project, r.revision, "dropped")
+        self._delete(f"{self.folder}/chunks/project={project}")
+        for name in side_cars:
+            self._delete(f"{self.folder}/{name}/project={project}")
+        return len(gone)
+
     def prunable(self, keep: int = 2) -> DataFrame:
         retired = self.revisions().where("status = 'retired'")
         return history.beyond_last_k(retired, ("project",), (F.desc("at"), F.desc("revision")), keep).select("project", "revision")

@@ -88,6 +88,15 @@ def gold_matches(hits: DataFrame, gold: DataFrame) -> DataFrame:
     return hits.join(gold, same & F.coalesce(touches, F.lit(True)) & named, "left_semi")
 
 
+def field_errors(lines: DataFrame, known: tuple[str, ...] = ("id", "question", "answerable", "type", "gold", "tags", "note"), required: tuple[str, ...] = ("id", "question", "answerable", "gold", "tags")) -> DataFrame:
+    """line and messages of suite lines (line, text) that are no JSON object, lack a required field or have an unknown one."""
+    keys = F.json_object_keys(F.when(F.ltrim("text").startswith("{"), F.col("text")))
+    absent = F.transform(F.array_except(F.array(*map(F.lit, required)), keys), lambda k: F.concat(F.lit("missing "), k))
+    strange = F.transform(F.array_except(keys, F.array(*map(F.lit, known))), lambda k: F.concat(F.lit("unknown "), k))
+    found = lines.select("line", F.when(keys.isNull(), F.array(F.lit("not an object"))).otherwise(F.concat(absent, F.array_sort(strange))).alias("errors"))
+    return found.where(F.size("errors") > 0)
+
+
 def suite_errors(questions: DataFrame, tags: list[str]) -> DataFrame:
     """id and messages for every question that breaks a rule of the suite."""
     ok_id = F.coalesce(F.col("id"), F.lit("")).rlike("^[A-Za-z0-9][A-Za-z0-9._-]*$")

@@ -136,6 +136,20 @@ def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.where("node is not null").select(F.col("node").cast("long").alias("node")).distinct().mapInArrow(walk, "start long, node long")
 
 
+def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs (old, new) with whether old is new or one of its ancestors; null where either is missing."""
+    reached = ancestors(edges, pairs.select(F.col("new").alias("node")).distinct()).select(F.col("start").alias("new"), F.col("node").alias("old"), F.lit(True).alias("hit"))
+    joined = pairs.join(reached, ["new", "old"], "left")
+    return joined.select("old", "new", F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), F.coalesce("hit", F.lit(False))).alias("is_ancestor"))
+
+
+def sequenced(events: DataFrame, by: str, order: tuple[str, ...], at: str) -> DataFrame:
+    """Events with their number in a trace from 1, and milliseconds since its first."""
+    w = Window.partitionBy(by).orderBy(*order)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    return events.withColumn("sequence", F.row_number().over(w)).withColumn("elapsed_ms", (micros - F.min(micros).over(Window.partitionBy(by))) / 1000)
+
+
 def ahead_behind(reached: DataFrame, base, target) -> DataFrame:
     """How many ancestors each of two starts has alone."""
     sides = reached.where(F.col("start").isin(base, target)).groupBy("node").agg(F.max((F.col("start") == F.lit(target)).cast("int")).alias("t"), F.max((F.col("start") == F.lit(base)).cast("int")).alias("b"))

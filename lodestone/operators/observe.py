@@ -71,6 +71,17 @@ def forget_index(log: DataFrame, index_id: str) -> DataFrame:
     return log.where(~F.col("index_id").eqNullSafe(F.lit(index_id)))
 
 
+def save_run(rows: DataFrame, folder: str, run_id: str) -> None:
+    """Evaluation rows (label, mode and what a question yielded) as one JSON line a cell and mode, under the run's id."""
+    cells = rows.groupBy("label", "mode").agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c not in ("label", "mode")]))).alias("rows"))
+    cells.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("errorifexists").json(f"{folder.rstrip('/')}/{run_id}")
+
+
+def save_status(status: DataFrame, folder: str) -> None:
+    """A status table as one CSV file with a header, the last one replaced."""
+    status.coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+
 def report(metrics: DataFrame, title: str) -> str:
     """A markdown table of a few metric rows, rates as percentages."""
     columns = metrics.columns

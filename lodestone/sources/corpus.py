@@ -57,8 +57,14 @@ def suite(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
 
 
+def unreadable_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Files among saved runs that ``runs`` passes over, as they are no run."""
+    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    return files.where(F.get_json_object("value", "$.run_id").isNull()).select("file")
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row of each cell, mode and question row of saved evaluation runs."""
+    """One row of each cell, mode and question row of saved evaluation runs; ``unreadable_runs`` names what is left out."""
     row = "struct<id:string,answerable:boolean,tags:array<string>,rank:int,top_score:double,has_evidence:boolean,ms:double>"
     schema = f"run_id string, cells array<struct<label:string,modes:map<string,struct<rows:array<{row}>>>>>"
     cells = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).select("run_id", F.explode("cells").alias("c"))
@@ -66,6 +72,25 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     return modes.select("run_id", "label", "mode", F.explode("m.rows").alias("r")).select("run_id", "label", "mode", "r.*")
 
 
+def commit_records(raw: DataFrame, limit: int) -> DataFrame:
+    """repo, position, sha, tree, parents, author, authored_at, committed_at, subject and truncated, from NUL-separated logs.
+
+    ``raw`` has repo and text, the output of a log in topological order whose records are
+    seven fields with a NUL after each (sha, tree, parents, author, author date, commit date,
+    subject). Control characters and repeated white space go; more than ``limit`` records
+    mean that the history was cut, and the rest is left out.
+    """
+    fields = F.split("text", "\x00")
+    n = F.floor((F.size(fields) - 1) / 7).cast("int")
+    rows = raw.select("repo", fields.alias("f"), n.alias("n")).where("n > 0").select("repo", "f", "n", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(limit)))).alias("position"))
+    at = lambda i: F.element_at("f", (F.col("position") - 1) * 7 + i)
+    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
+    return rows.select(
+        "repo", "position", F.trim(at(1), F.lit(" \n\r")).alias("sha"), at(2).alias("tree"), F.filter(F.split(at(3), " "), lambda p: p != "").alias("parents"), F.left(clean(at(4)), F.lit(512)).alias("author"),
+        F.try_to_timestamp(at(5)).alias("authored_at"), F.try_to_timestamp(at(6)).alias("committed_at"), F.left(clean(at(7)), F.lit(1024)).alias("subject"), (F.col("n") > limit).alias("truncated"),
+    )
+
+
 def commits(log: DataFrame, limit: int) -> tuple[DataFrame, bool]:
     """Commits with control characters and repeated white space cleaned from texts, and whether a limit cut the log."""
     clean = F.trim(F.regexp_replace(F.regexp_replace("message", r"[\x00-\x1f\x7f]", " "), r"\s+", " "))
