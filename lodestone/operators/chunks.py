@@ -174,34 +174,78 @@ def _keyword(call: ast.Call, *names: str) -> str:
     return next((v for k in call.keywords if k.arg in names and (v := _constant(k.value)) is not None), "")
 
 
-def route_lines(source: str) -> list[tuple[str, str, int]]:
-    """(method, path, line) of decorated web routes of a Python module, with the prefixes of their router.
+def route_owners(source: str) -> list[tuple[str, str, int, str]]:
+    """(method, path, line, owner) of decorated web routes of a Python module, with the prefixes known in it.
 
-    A router is a name that is assigned a call; its prefix is that of the call and of an
-    ``include_router`` or ``register_blueprint`` in the same module. Names bound to mocks
-    have no routes.
+    An owner is looked up where its decorator stands: a name bound in a function hides the
+    module's, and classes do not lend their names to functions inside them. Its prefix is
+    that of the call that made it and of an ``include_router`` or ``register_blueprint`` in
+    the same module. Names bound to mocks, or patched in by a parameter, have no routes.
     """
     tree = ast.parse(source)
-    made: dict[str, ast.Call] = {}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Assign) and isinstance(node.value, ast.Call):
-            made |= {t.id: node.value for t in node.targets if isinstance(t, ast.Name)}
     mounted = {
         ast.unparse(c.args[0]): _keyword(c, "prefix", "url_prefix")
         for c in ast.walk(tree) if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr in ("include_router", "register_blueprint") and c.args
     }
-    out = []
-    for node in ast.walk(tree):
-        for d in getattr(node, "decorator_list", []):
+    out: list[tuple[str, str, int, str]] = []
+    hidden = object()
+
+    def bound(body: list[ast.stmt]) -> dict:
+        """Names that statements bind themselves, not those inside of definitions; what is no call hides the name."""
+        found: dict = {}
+        todo = list(reversed(body))
+        while todo:
+            node = todo.pop()
+            if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+                found[node.name] = hidden
+                continue
+            if isinstance(node, ast.Assign | ast.AnnAssign):
+                for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                    if isinstance(t, ast.Name):
+                        found[t.id] = node.value if isinstance(node.value, ast.Call) else None
+            todo += [c for c in reversed(list(ast.iter_child_nodes(node))) if isinstance(c, ast.stmt | ast.ExceptHandler)]
+        return found
+
+    def emit(node, scopes: list[dict]) -> None:
+        for d in node.decorator_list:
             if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.func.attr in VERBS):
                 continue
             path = _constant(d.args[0]) if d.args else _keyword(d, "path", "rule") or None
             owner = ast.unparse(d.func.value)
-            call = made.get(owner)
-            if path is None or call is not None and "Mock" in ast.unparse(call.func):
+            call = next((s[owner] for s in reversed(scopes) if owner in s), None)
+            if path is None or call is hidden or call is not None and "Mock" in ast.unparse(call.func):
                 continue
             prefix = mounted.get(owner, "") + (_keyword(call, "prefix", "url_prefix") if call is not None else "")
             methods = next((k.value.elts for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List | ast.Tuple | ast.Set)), None)
             verbs = [e.value.upper() for e in methods if isinstance(e, ast.Constant)] if methods is not None else ["GET" if d.func.attr == "route" else d.func.attr.upper()]
-            out += [(v, prefix + path, node.lineno) for v in verbs]
+            out.extend((v, prefix + path, node.lineno, owner) for v in verbs)
+
+    def visit(node: ast.AST, scopes: list[dict], own: list[dict]) -> None:
+        """``scopes`` are those that functions see, ``own`` those of the statement itself."""
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
+                emit(child, own)
+                a = child.args
+                names = dict.fromkeys([x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]], hidden)
+                inner = [*scopes, names | bound(child.body)]
+                visit(child, inner, inner)
+            elif isinstance(child, ast.ClassDef):
+                emit(child, own)
+                visit(child, scopes, [*scopes, bound(child.body)])
+            else:
+                visit(child, scopes, own)
+
+    top = [bound(tree.body)]
+    visit(tree, top, top)
     return sorted(out, key=lambda r: r[2])
+
+
+def route_lines(source: str) -> list[tuple[str, str, int]]:
+    """(method, path, line) of decorated web routes of a Python module."""
+    return [r[:3] for r in route_owners(source)]
+
+
+def mounts(source: str) -> list[tuple[str, str, int]]:
+    """(router, prefix, line) of routers that a module mounts, by the name it has for them."""
+    calls = [c for c in ast.walk(ast.parse(source)) if isinstance(c, ast.Call) and isinstance(c.func, ast.Attribute) and c.func.attr in ("include_router", "register_blueprint") and c.args]
+    return [(ast.unparse(c.args[0]), _keyword(c, "prefix", "url_prefix"), c.lineno) for c in calls]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import is_test_path
-from .chunks import python_scopes, route_lines
+from .chunks import mounts, python_scopes, route_owners
 
 FACTS = "path string, fact string, name string, target string, line_start int, line_end int"
 
@@ -36,7 +36,7 @@ def without_literals(source: str) -> str:
 
 
 def module_facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
-    """(fact, name, target, first line, last line): symbol, import, call, route and marker rows of one module."""
+    """(fact, name, target, first line, last line): symbol, import, call, route, route_owner, mount and marker rows of one module."""
     tree = ast.parse(source.removeprefix("﻿"))
     out = [("symbol", s["symbol"], s["kind"], s["line_start"], s["line_end"]) for s in python_scopes(source)]
     owner: dict[int, str] = {}
@@ -50,7 +50,9 @@ def module_facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
             out += [("import", f"{'.' * node.level}{node.module or ''}.{a.name}", a.asname, node.lineno, node.lineno) for a in node.names]
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
             out.append(("call", owner.get(node.lineno, "(module)"), ast.unparse(node.func), node.lineno, node.end_lineno or node.lineno))
-    out += [("route", method, path, line, line) for method, path, line in route_lines(source)]
+    for method, path, line, router in route_owners(source):
+        out += [("route", method, path, line, line), ("route_owner", router, f"{method} {path}", line, line)]
+    out += [("mount", router, prefix, line, line) for router, prefix, line in mounts(source)]
     bare = without_literals(source)
     text = bare if '"__main__"' not in source and "'__main__'" not in source else bare + "\n__main__"
     out += [("marker", m, None, 1, 1) for m in ENTRY_MARKERS if m in text]
@@ -94,6 +96,27 @@ def call_edges(facts: DataFrame) -> DataFrame:
     return calls.join(unique, "key", "left").select("path", "caller", "called", "line_start", F.col("d.path").alias("target_path"), F.col("d.name").alias("target_symbol"))
 
 
+def mounted_routes(facts: DataFrame) -> DataFrame:
+    """path, method, url, line of all routes, with the prefix under which another module mounts their router.
+
+    A mount names a router by an import, ``router`` of a module or ``module.router``; the
+    module is found by the end of its path. A router that several modules mount has a route
+    for each of them.
+    """
+    imports = facts.where("fact = 'import'").select("path", F.coalesce("target", F.element_at(F.split("name", r"\."), -1)).alias("local"), F.regexp_replace("name", r"^\.+", "").alias("full"))
+    asked = facts.where("fact = 'mount'").select("path", F.col("target").alias("prefix"), F.split("name", r"\.").alias("n"))
+    named = asked.withColumn("local", F.col("n")[0]).join(imports, ["path", "local"])
+    full = F.split(F.concat_ws(".", "full", F.array_join(F.slice("n", 2, 99), ".")), r"\.")
+    full = F.filter(full, lambda x: x != "")
+    wanted = named.select("prefix", F.array_join(F.slice(full, F.lit(1), F.size(full) - 1), "/").alias("module"), F.element_at(full, -1).alias("router")).where("module != ''").distinct()
+    rows = facts.where("fact = 'route_owner'").select("path", F.col("name").alias("router"), F.split("target", " ").alias("t"), "line_start")
+    parts = F.split(F.regexp_replace("path", r"(/__init__)?\.py$", ""), "/")
+    keyed = rows.withColumn("parts", parts).select("path", "router", "t", "line_start", F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, 99), "/"))).alias("module"))
+    found = keyed.join(wanted, ["module", "router"]).select("path", "router", "line_start", "t", "prefix").distinct()
+    every = rows.join(found, ["path", "router", "line_start", "t"], "left")
+    return every.select("path", F.col("t")[0].alias("method"), F.concat(F.coalesce("prefix", F.lit("")), F.col("t")[1]).alias("url"), F.col("line_start").alias("line"))
+
+
 def repository_summary(files: DataFrame) -> DataFrame:
     """Counts by suffix (top 8) and folder (top 15)."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))

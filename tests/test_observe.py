@@ -41,3 +41,40 @@ def test_log_and_report(spark, tmp_path):
     assert "| x | 50.0 % | — |" in text
     detail = observe.conversation_detail(spark.createDataFrame([(1,), (2,)], "conv_id int"), spark.createDataFrame([(1, 1, "b", "y"), (1, 0, "a", "x")], "conv_id int, turn int, role string, text string"))
     assert {r.conv_id: r.messages and [m.role for m in r.messages] for r in detail.collect()} == {1: ["a", "b"], 2: None}
+
+
+def test_revisions_are_upserted_abandoned_repaired_and_dropped(spark, tmp_path):
+    from lodestone.operators.catalog import Catalog
+
+    store = Catalog(spark, str(tmp_path / "index"))
+    rows = lambda *r: spark.createDataFrame(list(r), "chunk_id string, path string, seq int, text string")
+    first = store.build("p", rows(("a", "x", 1, "old"), ("b", "x", 1, "b")))
+    store.upsert("p", rows(("a", "x", 1, "newer"), ("a", "x", 2, "newest"), ("c", "y", 1, "c")))
+    assert {(r.chunk_id, r.text) for r in store.chunks("p").collect()} == {("a", "newest"), ("b", "b"), ("c", "c")}
+    assert not store.abandon("p", first, "retired ones stay") and store._any()
+    store._record("p", "lost", "building")
+    rows(("z", "z", 1, "z")).write.parquet(store.path("p", "lost"))
+    assert store.repair() == 1 and not (tmp_path / "index/chunks/project=p/revision=lost").exists()
+    assert {r.revision: r.status for r in store.revisions().collect()}["lost"] == "failed"
+    store.build("q", rows(("q", "q", 1, "q")))
+    (tmp_path / "index/lexical/project=p").mkdir(parents=True)
+    assert store.drop("p") == 3 and store.drop("p") == 0
+    assert {r.project for r in store.revisions().collect()} == {"q"} and store.chunks("p") is None and store.chunks("q").count() == 1
+    assert not (tmp_path / "index/lexical/project=p").exists() and not (tmp_path / "index/chunks/project=p").exists()
+
+
+def test_runs_are_saved_and_read_again(spark, tmp_path):
+    from lodestone.operators import observe
+    from lodestone.sources import corpus
+
+    rows = spark.createDataFrame([("cell", "retrieval", "q1", True, 1), ("cell", "retrieval", "q2", False, None)], "label string, mode string, id string, answerable boolean, rank int")
+    observe.save_run(rows, str(tmp_path / "runs"), "r1")
+    saved = spark.read.json(str(tmp_path / "runs/r1"))
+    assert saved.select("run_id", "label", "mode").collect()[0] == ("r1", "cell", "retrieval") and [x.id for x in saved.first().rows] == ["q1", "q2"]
+    observe.save_status(rows, str(tmp_path / "status"))
+    observe.save_status(rows.limit(1), str(tmp_path / "status"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "status")).count() == 1
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/a.json").write_text('{"run_id": "a", "cells": []}')
+    (tmp_path / "old/b.json").write_text("{broken")
+    assert [r.file.rsplit("/", 1)[1] for r in corpus.unreadable_runs(spark, str(tmp_path / "old")).collect()] == ["b.json"]

@@ -100,3 +100,44 @@ class C:
     def c(self): pass
 '''
     assert route_lines(source) == [("GET", "/v1/pay/{kind}/x", 7), ("POST", "/b", 11), ("PUT", "/b", 11), ("DELETE", "/c", 15)]
+
+
+def test_routes_belong_to_the_scope_of_their_decorator():
+    from lodestone.operators.chunks import route_owners
+
+    source = '''
+from unittest import mock
+app = FastAPI()
+api = APIRouter(prefix="/api")
+
+def make(api):
+    @api.get("/hidden by a parameter")
+    def a(): ...
+    sub = APIRouter(prefix="/sub")
+    @sub.post("/made here")
+    def b():
+        @app.get("/module's own")
+        def c(): ...
+    return sub
+
+def fake():
+    app = mock.Mock()
+    @app.get("/mocked")
+    def d(): ...
+
+class Views:
+    api = APIRouter(prefix="/class")
+    @api.get("/of the class")
+    def e(self):
+        @api.get("/of the module")
+        def f(): ...
+
+@sub.get("/unknown owner")
+def g(): ...
+
+@api.route("/both", methods=["GET", "put"])
+def h(): ...
+'''
+    assert [(m, p) for m, p, _, _ in route_owners(source)] == [
+        ("POST", "/sub/made here"), ("GET", "/module's own"), ("GET", "/class/of the class"), ("GET", "/api/of the module"), ("GET", "/unknown owner"), ("GET", "/api/both"), ("PUT", "/api/both"),
+    ]
