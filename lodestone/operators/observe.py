@@ -89,3 +89,26 @@ def report(metrics: DataFrame, title: str) -> str:
     show = lambda r, c: "—" if r[c] is None else f"{100 * r[c]:.1f} %" if c in rates else str(r[c])
     lines = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
     return "\n".join([*lines, *("| " + " | ".join(show(r, c) for c in columns) + " |" for r in metrics.orderBy(*columns[:2]).collect())]) + "\n"
+
+
+def stage_rollup(calls: DataFrame) -> DataFrame:
+    """Each run's stages: calls, cache hits, seconds and whether all went well; ``calls`` has run, stage, cached, seconds and problem."""
+    return calls.groupBy("run", "stage").agg(
+        F.count("*").alias("calls"), F.count_if("cached").alias("cached"), F.round(F.sum(F.when(~F.col("cached"), F.col("seconds")).otherwise(0.0)), 3).alias("seconds"),
+        F.count("problem").alias("problems"), F.when(F.count("problem") == 0, "complete").when(F.count("problem") < F.count("*"), "partial").otherwise("failed").alias("status"),
+    )
+
+
+def progress(steps: DataFrame) -> DataFrame:
+    """Each run's processed and total items and its share; a share of nothing is null."""
+    out = steps.groupBy("run").agg(F.count_if("done").alias("processed"), F.count("*").alias("total"))
+    return out.withColumn("share", F.when(F.col("total") > 0, F.round(F.col("processed") / F.col("total"), 4)))
+
+
+def repository_list(repositories: DataFrame, branches: DataFrame, runs: DataFrame) -> DataFrame:
+    """Repositories (repository_id, created_at) with their branches, how many are tracked, and their last run's state."""
+    tracked = branches.groupBy("repository_id").agg(F.count("*").alias("branches"), F.count_if("tracked").alias("tracked"))
+    last = runs.groupBy("repository_id").agg(F.max_by("state", F.struct("started_at", "run_id")).alias("last_state"))
+    none = F.lit(0)
+    joined = repositories.join(tracked, "repository_id", "left").join(last, "repository_id", "left")
+    return joined.select("repository_id", F.coalesce("branches", none).alias("branches"), F.coalesce("tracked", none).alias("tracked"), F.coalesce("last_state", F.lit("never")).alias("last_state"))

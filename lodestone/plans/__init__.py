@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import oracles, queries, snapshots, sources, surveys
+from . import columns, oracles, queries, snapshots, sources, surveys
 
-QUERIES = queries.QUERIES | snapshots.QUERIES | surveys.QUERIES | sources.QUERIES
-SQL = oracles.SQL | snapshots.SQL | surveys.SQL | sources.SQL
+QUERIES = queries.QUERIES | snapshots.QUERIES | surveys.QUERIES | sources.QUERIES | columns.QUERIES
+SQL = oracles.SQL | snapshots.SQL | surveys.SQL | sources.SQL | columns.SQL
