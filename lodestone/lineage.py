@@ -42,3 +42,16 @@ def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES)
     if isinstance(row_bytes, Column):
         return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, for passes that cost far more than its rows are wide; larger ones unchanged.
+
+    A scan is not split below ``spark.sql.files.openCostInBytes``, so tables under that size
+    a core cannot keep all cores busy. What is larger has splits enough and is not shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes"))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) <= least * cores else df

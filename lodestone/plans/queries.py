@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
-from ..lineage import cut, small
+from ..lineage import small, spread
 from ..operators import assemble, chunks, evaluate, history, retrieval
 from ..streaming import sse
 
@@ -26,12 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def lexical(spark, d, k):
-    return retrieval.bm25(questions(spark, d), table(spark, d, "documents").select("doc_id", "text"), k)
+    return retrieval.bm25(questions(spark, d), documents(spark, d), k)
 
 
 def semantic(spark, d, k, where=None):
@@ -69,7 +73,7 @@ def bm25_topk(spark, d):
 
 @query
 def token_df(spark, d):
-    return retrieval.document_frequencies(retrieval.document_tokens(table(spark, d, "documents"), "doc_id", "text"))
+    return retrieval.document_frequencies(retrieval.document_tokens(documents(spark, d), "doc_id", "text"))
 
 
 @query
@@ -367,7 +371,7 @@ def glob_filter(spark, d):
 
 @query
 def redact(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.redacted(F.col("text")).alias("redacted")).where("redacted is not null")
+    return documents(spark, d).select("doc_id", T.redacted(F.col("text")).alias("redacted")).where("redacted is not null")
 
 
 @query
