@@ -7,9 +7,11 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lineage import spread
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
