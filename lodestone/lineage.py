@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
