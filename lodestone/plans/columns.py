@@ -85,9 +85,10 @@ def resolved_indexes(spark, d):
     return catalog.resolve(projects, table(spark, d, "nation").selectExpr("concat('N_', n_nationkey) AS name"))
 
 
-@query("""SELECT p_brand AS path, list_sort(list(DISTINCT {'line_start': p_size, 'line_end': p_size + 5})) AS lines, list_sort(list(DISTINCT p_type)) AS symbols, list_sort(list(DISTINCT p_partkey % 3)) AS queries FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand AS path, list_sort(list(DISTINCT [p_size, p_size + 5])) AS lines, list_sort(list(DISTINCT p_type)) AS symbols, list_sort(list(DISTINCT p_partkey % 3)) AS queries FROM part GROUP BY p_brand""")
 def evidence_rollup(spark, d):
-    return assemble.evidence_rollup(table(spark, d, "part").selectExpr("p_brand AS path", "p_size AS line_start", "p_size + 5 AS line_end", "p_type AS symbol", "p_partkey % 3 AS query"))
+    found = assemble.evidence_rollup(table(spark, d, "part").selectExpr("p_brand AS path", "p_size AS line_start", "p_size + 5 AS line_end", "p_type AS symbol", "p_partkey % 3 AS query"))
+    return found.withColumn("lines", F.transform("lines", lambda x: F.array(x["line_start"], x["line_end"])))
 
 
 @query("""WITH h AS (SELECT p_partkey % 20 AS qid, row_number() OVER (PARTITION BY p_partkey % 20 ORDER BY p_partkey) AS rank, p_brand AS path, CASE WHEN p_size % 2 = 0 THEN p_type END AS symbol FROM part),
