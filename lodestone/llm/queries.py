@@ -59,9 +59,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_replayed(rows))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".source_audit", __package__).audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": import_module(".decontaminate", __package__).ORACLE_SQL, "op10_chat_format": import_module(".chat_format", __package__).ORACLE_SQL}
+    modules = {"op8_decontamination": "decontaminate", "op10_chat_format": "chat_format", "op13_source_audit": "source_audit"}
+    return {name: import_module(f".{module}", __package__).ORACLE_SQL for name, module in modules.items()}
