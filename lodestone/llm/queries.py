@@ -59,6 +59,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_replayed(rows))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".collocations", __package__).collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".source_audit", __package__).audit(_table(spark, sf_dir, "documents"))
 
@@ -68,5 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    modules = {"op8_decontamination": "decontaminate", "op10_chat_format": "chat_format", "op13_source_audit": "source_audit"}
+    modules = {"op8_decontamination": "decontaminate", "op10_chat_format": "chat_format", "op11_collocations": "collocations", "op13_source_audit": "source_audit"}
     return {name: import_module(f".{module}", __package__).ORACLE_SQL for name, module in modules.items()}
