@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .bytes_ import LOWER, mix, runs, slices, texts_of
+from .combine import Combiner, counted
 from .shared import cut, small
 from .source_audit import lang_hashes, string_hashes
 
 MIN_COUNT, TOP, MAX_WORDS, SUBSUME_PERCENT = 100, 2000, 5, 100
-HELD_ROWS = 1 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -90,8 +90,8 @@ def _short(batches):
     """Hashes of words and pairs with their counts."""
     for p in _pieces(batches):
         own = mix(p.hashes[p.code] + lang_hashes(p.langs)[p.lang])
-        yield np.unique(own, return_counts=True)
-        yield np.unique(_longer(own, p, 2)[p.joined], return_counts=True)
+        yield counted(own)
+        yield counted(_longer(own, p, 2)[p.joined])
 
 
 def _chains(p: Pieces, pairs: sketch.Possible, longest: int):
@@ -114,40 +114,30 @@ def _long(pairs, cells: int, longest: int):
         for p in _pieces(batches):
             for k, h, open_ in _chains(p, bits, longest):
                 if k > 2:
-                    yield np.unique(h[open_], return_counts=True)
+                    yield counted(h[open_])
 
     return run
 
 
 def _counter(pairs, pair_cells: int, rest, rest_cells: int, longest: int):
-    """Exact counts of what the sketches let through, as (lang, phrase, words, n); with no words, all words of a language."""
+    """Exact counts of what the sketches let through, as (lang, phrase, n); the empty phrase counts all words of a language."""
 
     def run(batches):
         short, long = sketch.Possible(pairs.value, pair_cells), sketch.Possible(rest.value, rest_cells) if longest > 2 else None
-        held: list[pa.Table] = []
-        n = 0
-
-        def merged() -> pa.Table:
-            out = pa.concat_tables(held).group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")])
-            return out.select(["lang", "phrase", "words", "n_sum"]).rename_columns(["lang", "phrase", "words", "n"])
-
-        def sent(table: pa.Table):
-            return table.set_column(1, "phrase", pc.cast(table["phrase"], pa.string())).to_batches(max_chunksize=1 << 16)
+        sums = Combiner(["lang"], "phrase", ["n"])
 
         def add(p: Pieces, places: np.ndarray, counts: np.ndarray, k: int):
             parts = [p.words.take(pa.array(p.code[places + j])) for j in range(k)]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if k > 1 else parts[0] if k else pa.array([""] * len(places), pa.large_string())
-            lang = pa.array(p.langs, pa.string()).take(pa.array(p.lang[places]))
-            held.append(pa.table({"lang": lang, "phrase": phrase, "words": pa.array(np.full(len(places), k, np.int32)), "n": pa.array(counts.astype(np.int64))}))
-            return len(places)
+            return sums.add([(x,) for x in p.langs], p.lang[places], phrase, np.arange(len(places)), counts)
 
         for p in _pieces(batches):
             size = len(p.words)
             _, at, counts = np.unique(p.lang, return_index=True, return_counts=True)
-            n += add(p, at, counts, 0)
+            yield from add(p, at, counts, 0)
             key, at, counts = np.unique(p.lang * size + p.code, return_index=True, return_counts=True)
             fit = short.test(mix(p.hashes[key % size] + lang_hashes(p.langs)[key // size]))
-            n += add(p, at[fit], counts[fit], 1)
+            yield from add(p, at[fit], counts[fit], 1)
             # phrases of one length get codes by (code of the one shorter, next word): exact, without hashes
             codes, before = p.lang * size + p.code, None
             for k, h, open_ in _chains(p, short, longest):
@@ -159,17 +149,10 @@ def _counter(pairs, pair_cells: int, rest, rest_cells: int, longest: int):
                 if not len(places):
                     break
                 _, at, inverse, counts = np.unique(codes[places] * size + p.code[places + k - 1], return_index=True, return_inverse=True, return_counts=True)
-                n += add(p, places[at], counts, k)
+                yield from add(p, places[at], counts, k)
                 codes = np.zeros(len(codes), np.int64)
                 codes[places] = inverse
-            if n > HELD_ROWS:
-                held[:] = [merged()]
-                n = held[0].num_rows
-                if n > HELD_ROWS // 2:
-                    yield from sent(held.pop())
-                    n = 0
-        if held:
-            yield from sent(merged())
+        yield from sums.flush()
 
     return run
 
@@ -178,13 +161,15 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """(lang, phrase, words, n) of all phrases of 1 to ``longest`` words with ``n >= min_count``; ``words`` 0 has all words of a language."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    short = sketch.possible(docs, _short, min_count, sketch.sized(2 * words, min_count))
+    n_words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    short = sketch.possible(docs, _short, min_count, sketch.sized(2 * n_words, min_count))
     pairs = sc.broadcast(short.bits)
-    long = sketch.possible(docs, _long(pairs, short.cells, longest), min_count, sketch.sized(words, min_count)) if longest > 2 else short
+    long = sketch.possible(docs, _long(pairs, short.cells, longest), min_count, sketch.sized(n_words, min_count)) if longest > 2 else short
     rest = sc.broadcast(long.bits)
-    rows = docs.mapInArrow(_counter(pairs, short.cells, rest, long.cells, longest), "lang string, phrase string, words int, n long")
-    return cut(rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("words") == 0)))
+    rows = docs.mapInArrow(_counter(pairs, short.cells, rest, long.cells, longest), "lang string, phrase string, n long")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words")
+    counts = rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= min_count) | (F.col("phrase") == ""))
+    return cut(counts.select("lang", "phrase", words, "n"))
 
 
 def scored(frequent: DataFrame, percent: int = SUBSUME_PERCENT) -> DataFrame:

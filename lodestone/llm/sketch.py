@@ -24,7 +24,7 @@ from .bytes_ import mix
 
 DEPTH = 2
 BLOCK = 1 << 20
-HELD = 6 << 20
+HELD = 3 << 20
 MIN_CELLS, MAX_CELLS = 1 << 21, 1 << 30
 
 Counted = Iterator[tuple[np.ndarray, np.ndarray]]
@@ -41,10 +41,10 @@ def sized(counted: int, threshold: int) -> int:
 def cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
     """A row of cells for each level of the sketch; levels share no cell."""
     width = np.uint64(cells // DEPTH - 1)
-    out, h = np.empty((DEPTH, len(hashes)), np.int64), hashes
+    out, h = np.empty((DEPTH, len(hashes)), np.uint32), hashes
     for level in range(DEPTH):
         h = mix(h + np.uint64(0x9E3779B97F4A7C15))
-        out[level] = (h & width).astype(np.int64) + level * (cells // DEPTH)
+        out[level] = (h & width).astype(np.uint32) + np.uint32(level * (cells // DEPTH))
     return out
 
 
@@ -52,7 +52,7 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Distinct keys in order, and the sum of the counts of each."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[first], np.add.reduceat(counts[order], first)
@@ -69,7 +69,7 @@ class Possible:
         at = cells_of(hashes, self.cells)
         out = np.ones(len(hashes), bool)
         for row in at:
-            out &= (self.bits[row >> 3] >> (7 - (row & 7)).astype(np.uint8)) & 1 == 1
+            out &= (self.bits[row >> 3] >> (np.uint32(7) - (row & np.uint32(7))).astype(np.uint8)) & 1 == 1
         return out
 
 
@@ -82,15 +82,15 @@ def possible(df: DataFrame, mapper: Callable[[Iterator], Counted], threshold: in
 
         codec = pa.Codec("zstd", compression_level=1)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+        n, most = 0, 1 << 20
 
         def merged():
             keys, counts = add_up(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
-            return keys, np.minimum(counts, threshold)
+            return keys, np.minimum(counts, threshold).astype(np.int32)
 
         def sent(keys, counts):
             """One row for each touched block: its counts, saturated in a byte or two, compressed."""
-            edges = np.searchsorted(keys, np.arange(0, cells + block, block))
+            edges = np.searchsorted(keys, np.arange(0, cells + block, block, dtype=np.int64))
             kind = np.uint8 if threshold < 256 else np.uint16 if threshold < 65536 else np.int64
             for k in np.flatnonzero(np.diff(edges)):
                 a, b = edges[k], edges[k + 1]
@@ -100,14 +100,15 @@ def possible(df: DataFrame, mapper: Callable[[Iterator], Counted], threshold: in
 
         for hashes, counts in mapper(batches):
             for row in cells_of(hashes, cells):
-                held.append((row, counts.astype(np.int64)))
+                held.append((row, np.minimum(counts, threshold).astype(np.int32)))
                 n += len(row)
-            if n > 2 * HELD:
+            if n > most:
                 held[:] = [merged()]
                 n = len(held[0][0])
+                most = max(1 << 20, min(2 * n, n + (1 << 20)))
                 if n > HELD:
                     yield from sent(*held.pop())
-                    n = 0
+                    n, most = 0, 1 << 20
         if held:
             yield from sent(*merged())
 

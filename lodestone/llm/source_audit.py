@@ -26,19 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sketch
 from .bytes_ import LOWER, Texts, mix, runs, slices, span_hashes, texts_of
+from .combine import Combiner, counted, distinct
 from .shared import cut, small
 
 MIN_DOCS, TOP_TERMS = 10, 10
 BILLION = 1_000_000_000
-#: Rows of (language, source, term) that a task holds before it sends them on.
-HELD_ROWS = 1 << 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -84,8 +82,8 @@ def _documents(batches) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, lis
 def _frequencies(batches):
     """Hashes of the distinct (language, term) of each document."""
     for lang, langs, _, _, doc, term, terms in _documents(batches):
-        seen = np.unique(doc * len(terms) + term)
-        key, n = np.unique(lang[seen // len(terms)] * len(terms) + seen % len(terms), return_counts=True)
+        seen = distinct(doc * len(terms) + term)
+        key, n = counted(lang[seen // len(terms)] * len(terms) + seen % len(terms))
         yield mix(string_hashes(terms)[key % len(terms)] + lang_hashes(langs)[key // len(terms)]), n
 
 
@@ -94,13 +92,7 @@ def _counter(cells: int, sent):
 
     def run(batches):
         test = sketch.Possible(sent.value, cells).test
-        held: list[pa.Table] = []
-        n = 0
-
-        def merged() -> pa.Table:
-            out = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-            return out.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
-
+        sums = Combiner(["lang", "source"], "term", ["n", "docs"])
         for lang, langs, source, sources, doc, term, terms in _documents(batches):
             size = len(terms)
             hashes = string_hashes(terms)
@@ -109,31 +101,18 @@ def _counter(cells: int, sent):
             kept = alive[lang[doc], term]
             doc, term = doc[kept], term[kept]
             group = lang * len(sources) + source
-            key, count = np.unique(group[doc] * size + term, return_counts=True)
-            seen = np.unique(doc * size + term)
-            _, docs = np.unique(group[seen // size] * size + seen % size, return_counts=True)
-            of = key // size
-            held.append(pa.table({
-                "lang": pa.array(langs, pa.string()).take(pa.array(of // len(sources))), "source": pa.array(sources, pa.string()).take(pa.array(of % len(sources))),
-                "term": terms.take(pa.array(key % size)), "n": pa.array(count), "docs": pa.array(docs),
-            }))
-            n += len(key)
-            if n > HELD_ROWS:
-                held[:] = [merged()]
-                n = held[0].num_rows
-                if n > HELD_ROWS // 2:
-                    yield from _strings(held.pop()).to_batches(max_chunksize=1 << 16)
-                    n = 0
-        if held:
-            yield from _strings(merged()).to_batches(max_chunksize=1 << 16)
+            key, count = counted(group[doc] * size + term)
+            seen = distinct(doc * size + term)
+            _, docs = counted(group[seen // size] * size + seen % size)
+            pairs = [(a, b) for a in langs for b in sources]
+            # codes anew, so that only surviving terms become strings
+            used, code = np.unique(key % size, return_inverse=True)
+            yield from sums.add(pairs, key // size, terms.take(pa.array(used)), code, count, docs)
+        yield from sums.flush()
 
     return run
 
 
-def _strings(table: pa.Table) -> pa.Table:
-    return table.set_column(2, "term", pc.cast(table["term"], pa.string()))
-
-
 def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
     """Count of each kept term in each group with its total in the language, and all groups with their documents.
 
@@ -148,7 +127,7 @@ def term_counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, D
     sent = spark.sparkContext.broadcast(bits.bits)
     rows = docs.mapInArrow(_counter(bits.cells, sent), "lang string, source string, term string, n long, docs long")
     summed = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    term = Window.partitionBy("lang", "term")
+    term = Window.partitionBy("term", "lang")
     counts = summed.select("lang", "source", "term", "n", F.sum("n").over(term).alias("total"), F.sum("docs").over(term).alias("_docs"), (F.row_number().over(term.orderBy("source")) == 1).alias("first"))
     return cut(counts.filter(F.col("_docs") >= min_docs).drop("_docs")), groups
 
@@ -185,7 +164,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
 
     # terms that both have: what the pair adds beyond the sums over each one's own terms
     side = lambda s: shares.select("lang", "term", *[F.col(c).alias(c + s) for c in ("source", "p", "none")])
-    both = side("1").join(side("2"), ["lang", "term"]).filter("source1 < source2")
+    both = side("1").join(side("2"), ["term", "lang"]).filter("source1 < source2")
     c = F.col
     more = apart(c("p1"), c("p2")) - apart(c("p1"), c("none2")) - apart(c("none1"), c("p2")) + apart(c("none1"), c("none2"))
     both = both.groupBy("lang", "source1", "source2").agg(F.sum(more).alias("value"))
