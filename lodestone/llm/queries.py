@@ -63,6 +63,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".collocations", __package__).collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_module(".compression_classifier", __package__).score_corpus(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_module(".source_audit", __package__).audit(_table(spark, sf_dir, "documents"))
 
