@@ -5,11 +5,14 @@ All functions take files of many repositories at once (``repo``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import all_matches, excluded, let
+from ..lineage import cut, small
 from ..sources.corpus import CODE_SUFFIXES, DOC_SUFFIXES, SKIP_DIRS, SKIP_FILES
 from .ordered import fitting, folded
 
@@ -21,6 +24,8 @@ PRIORITY = r"(?i)install|setup|usage|run|config|architect|overview|feature|limit
 LOW_VALUE = r"(?i)^(changelog|release[-_]?notes?|history|news|changes)\b"
 STOP_TERMS = ("the", "and", "코드", "기능")
 INTRO_LINES = 40
+#: Bytes of terms in one automaton.
+TERM_BYTES = 4 << 20
 
 
 def is_test(path: Column) -> Column:
@@ -114,11 +119,54 @@ def fence_state(lines: DataFrame) -> DataFrame:
     return folded(lines, ("repo", "path"), ["i"], ("mark",), start, "fenced boolean")
 
 
-def terms_of(asked: DataFrame) -> list:
-    """(qid, term) of a stated query set (qid, queries), the part of it that goes to every task."""
+def terms_of(asked: DataFrame) -> DataFrame:
+    """(qid, term) of questions (qid, queries): their distinct words of two characters or more, but for stop words."""
     words = F.array_distinct(all_matches(F.lower(F.array_join("queries", " ")), r"[\p{L}\p{N}_]+"))
-    rows = asked.select("qid", F.explode(words).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOP_TERMS))
-    return sorted((r.qid, r.term) for r in rows.collect())
+    return asked.select(F.col("qid").cast("long").alias("qid"), F.explode(words).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*STOP_TERMS))
+
+
+def automata(terms: DataFrame, limit: int = TERM_BYTES) -> Iterator:
+    """Aho-Corasick automata of all distinct terms, in runs of at most ``limit`` bytes of terms; an automaton takes some 30 times that."""
+    import ahocorasick
+
+    words = terms.select("term").distinct()
+    n = max(1, -(-(words.agg(F.sum(F.octet_length("term"))).first()[0] or 0) // limit))
+    for i in range(n):
+        found = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for (term,) in words.where(F.pmod(F.xxhash64("term"), F.lit(n)) == i).toLocalIterator():
+            found.add_word(term, term)
+        if len(found):
+            found.make_automaton()
+            yield found
+
+
+def term_hits(rows: DataFrame, text: Column, terms: DataFrame, least: int, limit: int = TERM_BYTES) -> DataFrame:
+    """Rows with each term of more than ``least`` characters that their text holds, once for each row and term.
+
+    One pass over the rows for each automaton, whatever the number of terms; terms meet
+    their questions in a join.
+    """
+    import pyarrow as pa
+
+    columns = rows.columns
+    said = rows.select(*columns, text.alias("_said")).where("_said is not null")
+    schema = T.StructType([*rows.schema.fields, T.StructField("term", T.StringType())])
+    out = rows.sparkSession.createDataFrame([], schema)
+    for found in automata(terms.where(F.length("term") > least), limit):
+        handle = rows.sparkSession.sparkContext.broadcast(found)
+
+        def scan(batches, handle=handle):
+            for batch in batches:
+                at, words = [], []
+                for i, t in enumerate(batch.column(len(columns)).to_pylist()):
+                    held = {term for _, term in handle.value.iter(t)}
+                    at += [i] * len(held)
+                    words += sorted(held)
+                taken = batch.select(columns).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(words, pa.string())], names=[*columns, "term"])
+
+        out = out.unionByName(said.mapInArrow(scan, schema))
+    return out
 
 
 def candidates(asked: DataFrame, symbols: DataFrame, calls: DataFrame, lines: DataFrame, each: int = 2, total: int = 12) -> DataFrame:
@@ -129,26 +177,30 @@ def candidates(asked: DataFrame, symbols: DataFrame, calls: DataFrame, lines: Da
     holds a term 1; tests 1 less for definitions and calls. ``symbols`` has path, symbol,
     line_start, line_end, ``calls`` path, line, target, ``lines`` path, line, text.
     """
-    terms = terms_of(asked)
-    table = F.array(*[F.struct(F.lit(q).cast("long").alias("qid"), F.lit(t).alias("term")) for q, t in terms]) if terms else F.array().cast("array<struct<qid:bigint,term:string>>")
+    terms = cut(terms_of(asked).distinct())
+    asking = small(terms, F.octet_length("term") + 48)
 
-    def matched(text: Column, least: int) -> Column:
-        return F.filter(table, lambda x: (F.length(x["term"]) > least) & F.contains(text, x["term"]))
+    def matched(rows: DataFrame, text: Column, least: int) -> DataFrame:
+        return term_hits(rows, text, terms, least).join(asking, "term")
 
     paths = asked.select("qid", F.explode("paths").alias("path")).distinct()
     test = is_test(F.col("path")).cast("int")
     hay = F.lower(F.concat("path", F.lit(" "), "symbol"))
-    named = symbols.select("path", "symbol", "line_start", "line_end", F.explode(matched(hay, 1)).alias("x")).groupBy(F.col("x.qid").alias("qid"), "path", "symbol", "line_start", "line_end").agg((3 * F.count("*")).alias("s"))
+    named = matched(symbols.select("path", "symbol", "line_start", "line_end"), hay, 1).groupBy("qid", "path", "symbol", "line_start", "line_end").agg((3 * F.count("*")).alias("s"))
     wanted = symbols.select("path", "symbol", "line_start", "line_end").join(paths, "path").select("qid", "path", "symbol", "line_start", "line_end", F.lit(10).cast("long").alias("s"))
     found = named.withColumn("named", F.lit(True)).unionByName(wanted.withColumn("named", F.lit(False)))
     found = found.groupBy("qid", "path", "symbol", "line_start", "line_end").agg(F.sum("s").alias("s"), F.bool_or("named").alias("named"))
     by_symbol = found.select("qid", "path", "line_start", "line_end", F.when(F.col("named"), "symbol").otherwise("path").alias("origin"), (F.col("s") - test).alias("score"))
     target = F.lower(F.element_at(F.split("target", r"\."), -1))
-    called = calls.select("path", "line", F.explode(F.array_distinct(F.transform(matched(target, 2), lambda x: x["qid"]))).alias("qid"))
+    # equal calls of one line count one by one, the terms of a call once
+    same = calls.groupBy("path", "line", "target").agg(F.count("*").alias("n"))
+    called = matched(same, target, 2).select("qid", "path", "line", "target", "n").distinct().select("qid", "path", "line", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     by_call = called.select("qid", "path", F.greatest(F.col("line") - 5, F.lit(1)).alias("line_start"), (F.col("line") + 30).alias("line_end"), F.lit("call").alias("origin"), (5 - test).cast("long").alias("score"))
     ends = lines.groupBy("path").agg(F.max("line").alias("n"))
     by_path = ends.join(paths, "path").select("qid", "path", F.lit(1).alias("line_start"), F.least("n", F.lit(60)).alias("line_end"), F.lit("path").alias("origin"), F.lit(8).cast("long").alias("score"))
-    at = lines.select("path", "line", F.explode(F.array_distinct(F.transform(matched(F.lower("text"), 2), lambda x: x["qid"]))).alias("qid")).groupBy("qid", "path").agg(F.min("line").alias("line"))
+    # a file's first line with a term, then its first line for a question
+    first = term_hits(lines.select("path", "line", "text"), F.lower("text"), terms, 2).groupBy("path", "term").agg(F.min("line").alias("line"))
+    at = first.join(asking, "term").groupBy("qid", "path").agg(F.min("line").alias("line"))
     by_line = at.select("qid", "path", F.greatest(F.col("line") - 5, F.lit(1)).alias("line_start"), (F.col("line") + 30).alias("line_end"), F.lit("line").alias("origin"), F.lit(1).cast("long").alias("score"))
     rows = by_symbol.unionByName(by_call).unionByName(by_path).unionByName(by_line).where("score != 0")
     order = [F.desc("score"), F.asc("path"), F.asc("line_start"), F.asc("origin"), F.asc("line_end")]
