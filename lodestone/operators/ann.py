@@ -143,10 +143,10 @@ def _centroids(cells: DataFrame) -> np.ndarray:
 
 def probed(spark: SparkSession, path: str, cells: np.ndarray, n_cells: int) -> DataFrame:
     """cell, vec_id and vector of some cells; other shelves are not opened, other row groups not read."""
+    if not len(cells):
+        return spark.createDataFrame([], "cell int, vec_id long, vector array<double>")
     width = -(-max(n_cells, 1) // SHELVES)
     rows = spark.read.parquet(f"{path}/vectors")
-    if not len(cells):
-        return rows.where("false").select("cell", "vec_id", "vector")
     rows = rows.where(F.col("shelf").isin(np.unique(cells // width).tolist()))
     if len(cells) < n_cells:
         runs = np.split(np.sort(cells), np.flatnonzero(np.diff(np.sort(cells)) > 1) + 1)
@@ -221,6 +221,25 @@ def _round(spark: SparkSession, path: str, q_ids: np.ndarray, q: np.ndarray, ask
     return _scored(probed(spark, path, cell, asked.shape[1]), q_ids, q, {int(c): np.flatnonzero(asked[:, c]) for c in cell}, k)
 
 
+def probes_for(spark: SparkSession, path: str, target: float = 0.95, k: int = 10, sample: int = 256) -> int:
+    """The least number of probes that finds a share ``target`` of the true hits of sampled vectors of the index (least hashes of the id)."""
+    if not cells_table(spark, path).agg(F.sum("n")).first()[0]:
+        return 1
+    stored = spark.read.parquet(f"{path}/vectors")
+    picked = cut(stored.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).select(F.col("vec_id").alias("qid"), "vector"))
+    hits = cut(search(picked, path, k, probes=4, exact=True).select("qid", "vec_id"))
+    homes = hits.join(stored.select("vec_id", "cell"), "vec_id").groupBy("qid", "cell").agg(F.count("*").alias("n")).toArrow()  # k rows a sampled vector
+    rows = picked.toArrow().combine_chunks()
+    centroids = _centroids(cells_table(spark, path))
+    order = np.argsort(-(_matrix(rows.column("vector").combine_chunks()) @ centroids.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    row = {q: i for i, q in enumerate(rows.column("qid").to_pylist())}
+    found = np.zeros(len(centroids))
+    for q, cell, n in zip(*(homes.column(c).to_pylist() for c in ("qid", "cell", "n")), strict=True):
+        found[place[row[q], cell]] += n
+    return int(np.searchsorted(np.cumsum(found) / found.sum(), target - 1e-9)) + 1
+
+
 def recall(found: DataFrame, truth: DataFrame, k: int = 10) -> float:
     """Share of the true first ``k`` (qid, vec_id) that were found."""
     truth = truth.where(F.col("rank") <= k).select("qid", "vec_id")

@@ -60,15 +60,15 @@ def _blocks(run: str, stretch: int):
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([None], pa.string()), pa.array([None], pa.int32()), *own, pa.array([[]], pa.list_(pa.int32())), pa.array([[]], pa.list_(pa.int32()))], names=["stretch", "term", "shelf", "docs", "tf", "dl", "edge_tf", "edge_dl"])
 
     def deal(batches):
-        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, n, held, size, step = TaskContext.get().partitionId(), 0, [], 0, min(64, stretch)
 
         def out():
             ids = np.concatenate([h[0] for h in held])
             yield from emit(f"{run}-{task}-{n}", ids, pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 dl = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 held.append((part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten(), dl))
                 size += held[-1][1].nbytes
