@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .bytes_ import LOWER, mix, runs, slices, texts_of
-from .combine import Combiner, counted
+from .combine import Combiner, counted, distinct
 from .shared import cut, small
 from .source_audit import lang_hashes, string_hashes
 
 MIN_COUNT, TOP, MAX_WORDS, SUBSUME_PERCENT = 100, 2000, 5, 100
 SLICE = 2 << 20
+#: Bytes of text that a task counts before it sends its sums; more tasks would send the same phrases more often.
+TASK_BYTES = 128 << 20
+_MARK = np.uint64(0x51ED270B)
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -108,13 +111,24 @@ def _chains(p: Pieces, pairs: sketch.Possible, longest: int):
         yield k, h, open_
 
 
-def _long(pairs, cells: int, longest: int):
+def _marks(p: Pieces) -> np.ndarray:
+    """Hashes of each place's word, apart from those of phrases."""
+    return mix(p.hashes[p.code] + lang_hashes(p.langs)[p.lang] + _MARK)
+
+
+def _long(pairs, cells: int, longest: int, min_count: int):
+    """Hashes of longer phrases with their counts, and marks of the words of possible pairs."""
+
     def run(batches):
         bits = sketch.Possible(pairs.value, cells)
         for p in _pieces(batches):
             for k, h, open_ in _chains(p, bits, longest):
                 if k > 2:
                     yield counted(h[open_])
+                else:
+                    at = np.flatnonzero(open_)
+            marked = distinct(_marks(p)[np.union1d(at, at + 1)])
+            yield marked, np.full(len(marked), min_count)
 
     return run
 
@@ -123,7 +137,7 @@ def _counter(pairs, pair_cells: int, rest, rest_cells: int, longest: int):
     """Exact counts of what the sketches let through, as (lang, phrase, n); the empty phrase counts all words of a language."""
 
     def run(batches):
-        short, long = sketch.Possible(pairs.value, pair_cells), sketch.Possible(rest.value, rest_cells) if longest > 2 else None
+        short, long = sketch.Possible(pairs.value, pair_cells), sketch.Possible(rest.value, rest_cells)
         sums = Combiner(["lang"], "phrase", ["n"])
 
         def add(p: Pieces, places: np.ndarray, counts: np.ndarray, k: int):
@@ -136,7 +150,8 @@ def _counter(pairs, pair_cells: int, rest, rest_cells: int, longest: int):
             _, at, counts = np.unique(p.lang, return_index=True, return_counts=True)
             yield from add(p, at, counts, 0)
             key, at, counts = np.unique(p.lang * size + p.code, return_index=True, return_counts=True)
-            fit = short.test(mix(p.hashes[key % size] + lang_hashes(p.langs)[key // size]))
+            own = p.hashes[key % size] + lang_hashes(p.langs)[key // size]
+            fit = short.test(mix(own)) & long.test(mix(own + _MARK))
             yield from add(p, at[fit], counts[fit], 1)
             # phrases of one length get codes by (code of the one shorter, next word): exact, without hashes
             codes, before = p.lang * size + p.code, None
@@ -158,13 +173,16 @@ def _counter(pairs, pair_cells: int, rest, rest_cells: int, longest: int):
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = MAX_WORDS) -> DataFrame:
-    """(lang, phrase, words, n) of all phrases of 1 to ``longest`` words with ``n >= min_count``; ``words`` 0 has all words of a language."""
+    """(lang, phrase, words, n) of all phrases of 2 to ``longest`` words with ``n >= min_count`` and of their words; ``words`` 0 has all words of a language."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n_words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    size, cores = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, sc.defaultParallelism
+    n_words = size // 6
+    # full rounds of all cores
+    docs = docs.coalesce(cores * max(1, -(-size // (TASK_BYTES * cores))))
     short = sketch.possible(docs, _short, min_count, sketch.sized(2 * n_words, min_count))
     pairs = sc.broadcast(short.bits)
-    long = sketch.possible(docs, _long(pairs, short.cells, longest), min_count, sketch.sized(n_words, min_count)) if longest > 2 else short
+    long = sketch.possible(docs, _long(pairs, short.cells, longest, min_count), min_count, sketch.sized(n_words, min_count))
     rest = sc.broadcast(long.bits)
     rows = docs.mapInArrow(_counter(pairs, short.cells, rest, long.cells, longest), "lang string, phrase string, n long")
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))).alias("words")

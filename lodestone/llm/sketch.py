@@ -6,10 +6,10 @@ at the threshold, and what stays is one bit a cell. A cell never holds less than
 of any hash that falls into it, so a hash whose cells are not all set is below the threshold
 for certain; a hash whose cells are set may be anything and is left to an exact count.
 
-Memory: a task holds at most ``HELD`` distinct cells and sends them when there are more; an
-executor adds blocks of ``BLOCK`` bytes; the bits are ``cells / 8`` bytes, at most
+Memory: a task counts in an array of up to ``DENSE`` cells; of larger sketches it holds at
+most ``HELD`` distinct cells and sends them when there are more. An executor adds blocks of ``BLOCK`` bytes; the bits are ``cells / 8`` bytes, at most
 ``MAX_CELLS / 8`` in each worker and on the driver. ``sized`` picks the cells for a number
-of counted things, so that a cell's share of rare ones is an eighth of the threshold; beyond
+of counted things, so that a cell's mean load is a quarter of the threshold; beyond
 ``MAX_CELLS`` the sketch lets more through to the exact count, and results stay the same.
 """
 
@@ -24,7 +24,7 @@ from .bytes_ import mix
 
 DEPTH = 2
 BLOCK = 1 << 20
-HELD = 3 << 20
+HELD, DENSE = 3 << 20, 1 << 26
 MIN_CELLS, MAX_CELLS = 1 << 21, 1 << 30
 
 Counted = Iterator[tuple[np.ndarray, np.ndarray]]
@@ -33,7 +33,7 @@ Counted = Iterator[tuple[np.ndarray, np.ndarray]]
 def sized(counted: int, threshold: int) -> int:
     """Cells (a power of two) for so many counted things."""
     cells = MIN_CELLS
-    while cells < MAX_CELLS and cells * threshold < 8 * counted * DEPTH:
+    while cells < MAX_CELLS and cells * threshold < 4 * counted * DEPTH:
         cells *= 2
     return cells
 
@@ -76,11 +76,12 @@ class Possible:
 def possible(df: DataFrame, mapper: Callable[[Iterator], Counted], threshold: int, cells: int) -> Possible:
     """The bits of all (hashes, counts) that ``mapper(batches)`` yields in all tasks."""
     block = min(BLOCK, cells)
+    kind = np.uint8 if threshold < 256 else np.uint16 if threshold < 65536 else np.int64
 
     def partial(batches):
         import pyarrow as pa
 
-        codec = pa.Codec("zstd", compression_level=1)
+        codec = pa.Codec("zstd", compression_level=3)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         n, most = 0, 1 << 20
 
@@ -89,15 +90,24 @@ def possible(df: DataFrame, mapper: Callable[[Iterator], Counted], threshold: in
             return keys, np.minimum(counts, threshold).astype(np.int32)
 
         def sent(keys, counts):
-            """One row for each touched block: its counts, saturated in a byte or two, compressed."""
+            """One row for each touched block: gaps between its cells and their counts, byte by byte, compressed."""
             edges = np.searchsorted(keys, np.arange(0, cells + block, block, dtype=np.int64))
-            kind = np.uint8 if threshold < 256 else np.uint16 if threshold < 65536 else np.int64
             for k in np.flatnonzero(np.diff(edges)):
                 a, b = edges[k], edges[k + 1]
-                row = np.zeros(block, kind)
-                row[keys[a:b] - k * block] = counts[a:b]
-                yield pa.RecordBatch.from_pydict({"k": pa.array([int(k)], pa.int32()), "v": pa.array([codec.compress(row.tobytes(), asbytes=True)], pa.binary())})
-
+                place = (keys[a:b] - np.uint32(k * block)).astype("<u4")
+                gaps = np.diff(place, prepend=np.zeros(1, "<u4"))
+                planes = np.concatenate([gaps.view(np.uint8).reshape(-1, 4).T.ravel(), counts[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+                yield pa.RecordBatch.from_pydict({"k": pa.array([int(k)], pa.int32()), "n": pa.array([int(b - a)], pa.int32()), "v": pa.array([codec.compress(planes.tobytes(), asbytes=True)], pa.binary())})
+
+        if cells <= DENSE:
+            table = np.zeros(cells, kind)
+            for hashes, counts in mapper(batches):
+                for row in cells_of(hashes, cells):
+                    at, more = add_up(row, np.minimum(counts, threshold))
+                    table[at] = np.minimum(table[at] + more, threshold)
+            used = np.flatnonzero(table)
+            yield from sent(used.astype(np.uint32), table[used])
+            return
         for hashes, counts in mapper(batches):
             for row in cells_of(hashes, cells):
                 held.append((row, np.minimum(counts, threshold).astype(np.int32)))
@@ -116,18 +126,20 @@ def possible(df: DataFrame, mapper: Callable[[Iterator], Counted], threshold: in
         import pyarrow as pa
 
         codec = pa.Codec("zstd")
-        kind = np.uint8 if threshold < 256 else np.uint16 if threshold < 65536 else np.int64
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                row = np.frombuffer(codec.decompress(v.as_buffer(), block * np.dtype(kind).itemsize), kind)
-                # both are at most the threshold, so what is left up to it is never negative
-                sums[k] = sums[k] + np.minimum(row, threshold - sums[k]) if k in sums else row
+            for k, n, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                gaps, counts = np.frombuffer(codec.decompress(v.as_buffer(), 8 * n), np.uint8).reshape(2, 4, n)
+                gaps, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in (gaps, counts))
+                row = sums.setdefault(k, np.zeros(block, kind))
+                at = np.cumsum(gaps)
+                # saturated at the threshold, so that no sum overflows
+                row[at] = np.minimum(row[at].astype(np.int64) + counts, threshold)
         for k, row in sums.items():
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([np.packbits(row >= threshold).tobytes()], pa.binary())})
 
     n = cells // block
-    summed = df.mapInArrow(partial, "k int, v binary").repartition(min(n, 256), "k").mapInArrow(merge, "k int, v binary")
+    summed = df.mapInArrow(partial, "k int, n int, v binary").repartition(min(n, 256), "k").mapInArrow(merge, "k int, v binary")
     bits = np.zeros(cells // 8, np.uint8)
     for k, v in summed.collect():
         bits[k * block // 8 : (k + 1) * block // 8] = np.frombuffer(bytes(v), np.uint8)
