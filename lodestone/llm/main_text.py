@@ -3,8 +3,9 @@
 A page is read into blocks of text, each with the elements around it. Scripts, styles,
 menus, page headers, footers and forms are known by element name or role and settle a
 block as boilerplate; an ``article`` or ``main`` element settles it as content, whatever
-the classes around it say. Names in a class or id (sidebars, notices, adverts, comments)
-only cast doubt. The array decides about all blocks that are then uncertain: on pages that
+the classes around it say. Names of adverts and reader comments in a class or id settle what is
+below them too, but for an article inside of a wrapper so named; other names (sidebars,
+notices) only cast doubt. The array decides about all blocks that are then uncertain: on pages that
 mark an article the doubted blocks inside of it, on other pages all blocks outside of
 boilerplate. Short doubted blocks (under ``DEPTH`` tokens, which the array cannot see) and
 blocks of links go; so do doubted blocks outside of a marked article. Headings inside an
@@ -64,6 +65,8 @@ CONTENT = frozenset("article main".split())
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription share sharing social related recommended sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond popup modal overlay login signup pagination pager widget complementary contentinfo search".split()
 )
+#: Of these, names of adverts and reader comments, which are no part of an article however unique they are.
+AWAY = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsored comment comments commentlist disqus".split())
 #: Names that only say that something is a box; a name such as ``ad-box`` is its first part.
 BOXES = frozenset("area bar block body bottom box center col column container content footer form group header holder inner item items label left line link links list main outer panel right row section slot text title top unit wrap wrapper zone".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -74,18 +77,18 @@ _ROLE = re.compile(r"""(?<![\w:.-])role\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I
 _PARTS = re.compile(r"[-_]+")
 
 
-def _marks(name: str) -> bool:
+def _marks(name: str, known: frozenset = MARKS) -> bool:
     """Whether a name of a class attribute is a mark, ends with one (cookie-banner), or is one and boxes (ad-box)."""
     parts = [x.rstrip("0123456789") for x in _PARTS.split(name) if x]
-    return bool(parts) and (name in MARKS or parts[-1] in MARKS and parts[0] not in ("has", "no", "with", "without") or parts[0] in MARKS and all(x in BOXES or not x for x in parts[1:]))
+    return bool(parts) and (name in known or parts[-1] in known and parts[0] not in ("has", "no", "with", "without") or parts[0] in known and all(x in BOXES or not x for x in parts[1:]))
 
 
-def _marked(attributes: str, which: re.Pattern) -> bool:
-    return any(_marks(w) for value in which.findall(attributes) for w in value.strip("\"'").lower().split())
+def _marked(attributes: str, which: re.Pattern, known: frozenset = MARKS) -> bool:
+    return any(_marks(w, known) for value in which.findall(attributes) for w in value.strip("\"'").lower().split())
 
 
 def read_blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, zone, share of characters in links) of the page's blocks; zones are content, open, boilerplate, and doubt and inner (a class or id word, outside and inside of content)."""
+    """(text, zone, share of characters in links) of the page's blocks; zones are content, open, boilerplate, doubt and inner (a class or id word, outside and inside of content), away and gone (the same of adverts and comments; an article may stand in the former)."""
     blocks: list[tuple[str, str, float]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
@@ -147,14 +150,14 @@ def read_blocks(page: str) -> list[tuple[str, str, float]]:
                 # A content element ends menus and headers that were left open before it.
                 while zone == "boilerplate" and stack and stack[-1][0] in BOILERPLATE | {"header", "ul", "ol", "li", "a", "p"}:
                     leave(len(stack) - 1)
-                own = zone if zone in ("boilerplate", "inner") else "content"
+                own = zone if zone in ("boilerplate", "inner", "gone") else "content"
             elif zone == "boilerplate" or name in BOILERPLATE or name not in ("body", "html") and role:
                 own = "boilerplate"
             elif name == "header" and zone not in ("content", "inner"):
                 own = "boilerplate"
             elif name not in ("body", "html") and _marked(tag[3], _NAMED):
-                inside = zone in ("content", "inner")
-                own = None if inside and name in HEADINGS else "inner" if inside else "doubt"
+                inside, away = zone in ("content", "inner"), _marked(tag[3], _NAMED, AWAY)
+                own = None if zone in ("gone", "away") or inside and name in HEADINGS else "gone" if inside and away else "inner" if inside else "away" if away else "doubt"
             else:
                 own = None
             if name == "p" and held["p"]:  # a paragraph ends the one before it

@@ -58,6 +58,17 @@ def test_main_text_repeats_are_those_of_the_host(spark, monkeypatch):
             assert {r.url: (r.text, r.n_removed) for r in got} == expected and len(got) == len(rows)
 
 
+def test_main_text_has_no_comments_or_adverts_however_unique():
+    words = lambda n: " ".join(f"unique{n}x{i}" for i in range(30))
+    pages = [
+        f"<article><p>Main prose.</p><div class='comments'><p>{words(1)}</p><article>{words(2)}</article></div><p>More.</p></article>",
+        f"<article><p>Main.</p><div class='advert'>{words(3)}<p>{words(4)}</p></div><aside>{words(5)}</aside></article>",
+        f"<div class='ad-wrapper'><article><p>{words(6)}</p></article>{words(7)}</div>",
+        f"<div><p>{words(8)}</p><div id='comments'><p>{words(9)}</p></div></div>",
+    ]
+    assert finish([(i, "u", x) for i, x in enumerate(pages)])[0] == ["Main prose.\nMore.", "Main.", words(6), words(8)]
+
+
 def test_main_text_class_words_only_cast_doubt():
     rng = random.Random(5)
     shared = " ".join(f"shared{i}" for i in range(30))
