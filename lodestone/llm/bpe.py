@@ -7,7 +7,7 @@ many different words form one matrix, so each step is a few array operations for
 them; a word that is done leaves the matrix. Words over ``SHORT_BYTES`` go through a heap
 over the same ranks, as scanning a long array for each merge takes quadratic time.
 
-Words are encoded once for each worker's cache (two generations of about ``CACHE_WORDS``, the
+Words are encoded once for each worker's cache (two generations of about ``CACHE_BYTES``, the
 older of which is dropped in turn)
 and texts are looked up word by word. Decoding goes back from ids to bytes by a table and
 reads them as UTF-8, with U+FFFD for what is not.
@@ -30,9 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytes_ import slices
+
 SHORT_BYTES = 32
-CACHE_WORDS = 250_000
-SLICE_ROWS = 256
+#: Bytes of words in one generation of the cache; longer words than ``CACHED_BYTES`` stay for one slice only.
+CACHE_BYTES, CACHED_BYTES = 4 << 20, 64
+SLICE_BYTES = 1 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -112,6 +115,8 @@ class Codec:
         self.texts: dict[str, str] = {}
         self.ids: dict[str, bytes] = {}
         self.older: tuple[dict[str, str], dict[str, bytes]] = ({}, {})
+        self.long: list[str] = []
+        self.held = 0
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.begins = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
         self.all_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
@@ -183,11 +188,15 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Have all the words in the cache: from its older half, or else encoded."""
-        if len(self.texts) > CACHE_WORDS:
-            self.older, self.texts, self.ids = (self.texts, self.ids), {}, {}
+        for w in self.long:
+            del self.texts[w], self.ids[w]
+        self.long = []
+        if self.held > CACHE_BYTES:
+            self.older, self.texts, self.ids, self.held = (self.texts, self.ids), {}, {}, 0
         new = words.difference(self.texts)
         for w in new.intersection(self.older[0]):
             self.texts[w], self.ids[w] = self.older[0][w], self.older[1][w]
+            self.held += len(w)
         raw = sorted([(len(b := w.encode()), w, b) for w in new.difference(self.texts)], key=itemgetter(0))
         n_short = sum(x[0] <= SHORT_BYTES for x in raw)
         for at in range(0, len(raw), 8192):
@@ -200,6 +209,8 @@ class Codec:
             for (_, w, _), ids, end in zip(part, found, ends.tolist(), strict=True):
                 self.texts[w], self.ids[w] = ",".join(map(str, ids)), flat[begin:end]
                 begin = end
+        self.held += sum(n for n, _, _ in raw if n <= CACHED_BYTES)
+        self.long = [w for n, w, _ in raw if n > CACHED_BYTES]
         for content, i in self.special.items():
             self.texts[content], self.ids[content] = str(i), np.array([i], np.int32).tobytes()
 
@@ -241,8 +252,7 @@ def codec(path: str) -> Codec:
 def _batches(batches, path, decimals=True):
     coder = codec(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            part = batch.slice(at, SLICE_ROWS)
+        for part in slices(batch, batch.schema.names[0], SLICE_BYTES):
             yield part, coder, coder.encode_batch(part.column(0).to_pylist(), decimals)
 
 
@@ -263,8 +273,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "ids", decod
         coder = codec(path)
         for batch in batches:
             where = batch.schema.get_field_index("text")
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, "text", SLICE_BYTES):
                 raw = [x[1] for x in coder.encode_batch([t if t is not None else "" for t in part.column(where).to_pylist()], False)]
                 ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), np.int32)))
