@@ -104,8 +104,12 @@ def _languages(column: pa.Array) -> tuple[list[str | None], np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
 
 
-def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | None, dict]:
-    """Class shares and common-word shares of every language with enough tokens."""
+#: The key of the whole table's reference; no language has it.
+WHOLE = ("whole table",)
+
+
+def references(docs: DataFrame, min_reference_words: int = 2000) -> dict:
+    """Class shares and common-word shares of every language with enough tokens, and of the whole table for all others."""
 
     def local(batches):
         seen: dict = {}
@@ -151,17 +155,31 @@ def references(docs: DataFrame, min_reference_words: int = 2000) -> dict[str | N
 
     counted = text.mapInArrow(exact, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "n")).groupBy("lang", "i").agg(F.sum("n").alias("n"))
     out: dict = {}
+    every: list[tuple] = []
     for r in counted.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("v")).collect():
         v = np.array([x.n for x in r.v], np.float64)
         k, bins = len(CLASSES), v[len(CLASSES) :]
+        table = common.get(r.lang, np.zeros(0, np.uint64))
+        every.append((v[:k], table, bins))
         if bins.sum() >= min_reference_words:
-            table = common.get(r.lang, np.zeros(0, np.uint64))
             keep = bins[:-1] >= COMMON_SHARE * bins.sum()
             shares = np.concatenate((bins[:-1][keep], [bins[:-1][~keep].sum() + bins[-1]])) / bins.sum()
             out[r.lang] = {"classes": v[:k] / v[:k].sum(), "table": table[keep], "words": shares}
+    if len(out) < len(every) and sum(bins.sum() for _, _, bins in every):
+        out[WHOLE] = _pooled(every)
     return out
 
 
+def _pooled(every: list[tuple]) -> dict:
+    """The reference of the whole table, for languages that have too few words of their own: sums over languages of classes and of their common words."""
+    classes = sum(c for c, _, _ in every)
+    table, inverse = np.unique(np.concatenate([t for _, t, _ in every]), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate([b[:-1] for _, _, b in every]), minlength=len(table))
+    total = sum(b.sum() for _, _, b in every)
+    keep = counts >= COMMON_SHARE * total
+    return {"classes": classes / classes.sum(), "table": table[keep], "words": np.append(counts[keep], total - counts[keep].sum()) / total}
+
+
 def _bin(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The place of each hash in the sorted table; absent ones get the last bin."""
     if not len(table):
@@ -195,7 +213,7 @@ def _verdicts(texts, langs: np.ndarray, refs: dict) -> tuple[dict[str, np.ndarra
     classes, hashes = _class_counts(texts), _lower_hashes(texts, words)
     far, strange = np.zeros(n), np.zeros(n)
     for name in set(langs):
-        ref = refs.get(name)
+        ref = refs.get(name, refs.get(WHOLE))
         if ref is None:
             continue
         mine = np.flatnonzero([x == name for x in langs])
