@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, let, small
+from .shared import cut, free_name, let, small
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -116,7 +116,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     text = F.coalesce("text", F.lit(""))
     key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text)).alias("doc_key")
     held = cut(found(docs.select(key, text.alias("text")), benchmark.select(F.xxhash64(text).alias("item_key"), "text"), threshold).select("doc_key").distinct())
-    return docs.withColumn("_doc_key", key).join(small(held.withColumnRenamed("doc_key", "_doc_key"), 32), "_doc_key", "left_anti").select(docs.columns)
+    own = free_name(docs, "_doc_key")
+    return docs.withColumn(own, key).join(small(held.withColumnRenamed("doc_key", own), 32), own, "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = r"""

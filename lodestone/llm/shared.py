@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, small
 
-__all__ = ["cut", "let", "small", "sum_vectors"]
+__all__ = ["cut", "free_name", "let", "small", "sum_vectors"]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -19,6 +19,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sum_vectors(df: DataFrame, mapper, size: int, dtype=np.float64, slice_size: int = 1 << 14) -> np.ndarray:
     """Sum over all rows of fixed-size vectors that ``mapper(batches)`` yields once per task.
 
