@@ -3,8 +3,9 @@
 A text is the multiset of its five-word shingles (words ``[^\\x20\\x09-\\x0D]+``, ASCII
 letters lower-cased). A shingle weighs its count times an inverse document frequency in
 [1, 1 + IDF_SPAN]; the span is narrow on purpose, so that a group of copies that holds a
-third of all rows, whose shared shingles are frequent, stays as similar as it looks. Document frequencies
-of all documents are gathered in a sketch of fixed size, less its mean load.
+third of all rows, whose shared shingles are frequent, stays as similar as it looks. Frequencies are
+exact and count from the share of documents on at which a shingle is one of the ``SHARED`` most
+held ones at most; rarer shingles all weigh most.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples from each text; the
 random numbers of a shingle come from tables indexed by its hash. Texts that agree on all
@@ -38,14 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .bytes_ import LOWER, mix, slices, span_hashes, texts_of, windows, words_of
-from .shared import cut, small, sum_vectors
+from .combine import counted
+from .shared import cut, free_name, small
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 4
 IDF_SPAN = 0.2
-SKETCH_BITS = 20
+SHARED = 1 << 18
 TABLE_BITS = 14
 SMALL = 12
 HUBS = 4
@@ -76,7 +79,7 @@ def _shingles(texts) -> tuple[np.ndarray, np.ndarray]:
     return full, doc
 
 
-def _weighted(texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _weighted(texts, idf: Frequencies) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles sorted by (text, hash), their weights in parts of ``UNIT``, and where each text starts."""
     hashes, doc = _shingles(texts)
     order = np.lexsort((hashes, doc))
@@ -86,32 +89,61 @@ def _weighted(texts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.flatnonzero(new)
     tf = np.diff(np.append(first, len(hashes)))
     hashes, doc = hashes[first], doc[first]
-    weight = tf * (UNIT + idf[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.int64))
+    weight = tf * (UNIT + idf.of(hashes))
     return hashes, weight, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold a shingle of each sketch cell, and the number of documents."""
+class Frequencies:
+    """Inverse document frequencies, 0 to 255: of shingles that many documents share by their exact number, 255 for all others."""
+
+    def __init__(self, hashes: np.ndarray, idf: Frequencies):
+        self.hashes, self.idf = hashes, idf
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.full(len(hashes), 255, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.idf[at], 255).astype(np.int64)
 
-    def count(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                texts = texts_of(part.column(0))
-                hashes, doc = _shingles(texts)
-                distinct = np.unique(mix(hashes ^ mix(doc.astype(np.uint64))), return_index=True)[1]
-                row = np.bincount((hashes[distinct] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=(1 << SKETCH_BITS) + 1)
-                row[-1] = len(texts)
-                yield row
 
-    sums = sum_vectors(docs.select(F.coalesce("text", F.lit("")).alias("text")), count, (1 << SKETCH_BITS) + 1, np.int64)
-    return sums[:-1], int(sums[-1])
+def _held(batches) -> sketch.Counted:
+    """Hashes of each text's distinct shingles, with the number of texts of a slice that hold them."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            hashes, doc = _shingles(texts_of(part.column(0)))
+            order = np.lexsort((hashes, doc))
+            hashes, doc = hashes[order], doc[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+            yield counted(hashes[new])
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """0 to 255 for each sketch cell: 255 for a shingle that one document has, 0 for one that all have."""
-    df, n = document_frequencies(docs)
-    own = np.maximum(df - df.mean(), 1) if len(df) else df
-    return np.round(255 * np.clip(1 - np.log(own) / np.log(max(n, 2)), 0, 1)).astype(np.uint8)
+def inverse_frequencies(docs: DataFrame, shared: int = SHARED) -> Frequencies:
+    """Exact document frequencies of all shingles that a ``1 / shared`` of the corpus' shingles (at least) have as theirs.
+
+    A merged count-min sketch rules the others out, which keep the full weight; a second pass
+    counts what is left. The frequencies of the table sum to no more than all shingles, so it
+    has ``shared`` rows at most, whatever the size of the corpus.
+    """
+    text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    total = text.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    least = max(2, -(-((total.size or 0) // 6) // shared))
+    bits = sketch.possible(text, _held, least, sketch.sized((total.size or 0) // 6, least))
+    sent = docs.sparkSession.sparkContext.broadcast(bits.bits)
+
+    def count(batches):
+        test = sketch.Possible(sent.value, bits_cells).test
+        for hashes, n in _held(batches):
+            fit = test(hashes)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[fit].view(np.int64)), pa.array(n[fit])], names=["h", "n"])
+
+    bits_cells = bits.cells
+    found = text.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # SHARED rows at most
+    hashes, df = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    span = np.log(max(total.n, least + 1) / least)
+    idf = np.round(255 * np.clip(1 - np.log(np.maximum(df, least) / least) / span, 0, 1))
+    return Frequencies(hashes[order], idf.astype(np.uint8)[order])
 
 
 def _tables(seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,13 +189,13 @@ def _cids(hashes: np.ndarray, tf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(hashes ^ mix(tf.astype(np.uint64) + np.uint64(1))), bounds[:-1])).astype(np.int64)
 
 
-def _counts(hashes: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return weights // (UNIT + idf[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.int64))
+def _counts(hashes: np.ndarray, weights: np.ndarray, idf: Frequencies) -> np.ndarray:
+    return weights // (UNIT + idf.of(hashes))
 
 
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, idf: Frequencies) -> DataFrame:
     """doc_id, the class of the text's shingle multiset, and the band keys."""
-    handle = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** SKETCH_BITS bytes
+    handle = docs.sparkSession.sparkContext.broadcast(idf)  # SHARED entries at most
 
     def run(batches):
         idf = handle.value
@@ -179,26 +211,26 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
 
 def class_column(docs: DataFrame, name: str) -> DataFrame:
     """The rows with the class of their text in one more column."""
-    flat = np.zeros(1 << SKETCH_BITS, np.uint8)
+    flat = Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
 
     def run(batches):
         for batch in batches:
             text = batch.schema.get_field_index("text")
             for part in slices(batch, "text"):
                 hashes, weights, bounds = _weighted(texts_of(part.column(text)), flat)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_cids(hashes, weights // UNIT, bounds))], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_cids(hashes, weights // (UNIT + 255), bounds))], names=[*part.schema.names, name])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{name}` long"])
     return docs.mapInArrow(run, schema)
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+def similarities(pairs: DataFrame, texts: DataFrame, idf: Frequencies) -> DataFrame:
     """a, b and the exact weighted Jaccard similarity of their texts; ``texts`` has cid and text."""
     joined = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b")
     return compared(joined.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a"), idf)
 
 
-def compared(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+def compared(rows: DataFrame, idf: Frequencies) -> DataFrame:
     """a, b and similarity of rows that have both texts, ta and tb."""
     handle = rows.sparkSession.sparkContext.broadcast(idf)
 
@@ -244,7 +276,7 @@ def class_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return named.unionByName(cut(bare))
 
 
-def roots_of(classes: DataFrame, docs: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def roots_of(classes: DataFrame, docs: DataFrame, idf: Frequencies, threshold: float = THRESHOLD) -> DataFrame:
     """cid and root (the least cid of its component) of the classes (cid, rep, bands) that meet another in a bucket."""
     at_least = F.col("similarity") >= threshold - MARGIN
     own = meetings(classes)
@@ -306,7 +338,7 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(roots.join(top.where("root != top"), "root", "left").select("cid", F.coalesce("top", "root").alias("root")))
 
 
-def block_links(placed: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def block_links(placed: DataFrame, idf: Frequencies, threshold: float) -> DataFrame:
     """Links (a, b) of roots, found by comparing members outside a bucket's main component with all members."""
     handle = placed.sparkSession.sparkContext.broadcast(idf)
 
@@ -340,14 +372,14 @@ def block_links(placed: DataFrame, idf: np.ndarray, threshold: float) -> DataFra
     return pairs.select("left_rows", "right_rows").mapInArrow(run, "a long, b long")
 
 
-def _similar(sides, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _similar(sides, idf: Frequencies, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows of both sides whose weighted Jaccard similarity reaches the threshold."""
     keys, weights, rows, totals = [], [], [], []
     for texts in sides:
         hashes, weight, bounds = _weighted(texts, idf)
         row = np.repeat(np.arange(len(texts)), np.diff(bounds))
         totals.append(np.bincount(row, weight, minlength=len(texts)))
-        unit = UNIT + idf[hashes >> np.uint64(64 - SKETCH_BITS)].astype(np.int64)
+        unit = UNIT + idf.of(hashes)
         tf = weight // unit
         # A shingle that occurs n times is n different ones, so a product of 0/1 rows counts the lesser n.
         nth = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
@@ -387,8 +419,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def shared_ids(signed: DataFrame) -> DataFrame:
     """Links (a, b) of classes whose rows have one doc_id."""
-    pairs = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("top"), F.collect_set("cid").alias("all")).where("a != top")
-    return pairs.select("a", F.explode("all").alias("b")).where("a != b").distinct()
+    ends = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("top")).where("a != top")
+    return signed.select("doc_id", F.col("cid").alias("b")).join(ends.select("doc_id", "a"), "doc_id").where("a != b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -415,6 +447,7 @@ def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = near_duplicates(docs, threshold).select("class_id", "root")
     leaders = found.select(F.col("class_id").alias("doc_id")).where("doc_id is not null").distinct()
     kept = docs.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    bare = class_column(docs.where("doc_id is null"), "_cid").dropDuplicates(["_cid"])
-    leaders = found.where("class_id is null").select(F.col("root").alias("_cid")).distinct()
-    return kept.unionByName(bare.join(leaders, "_cid", "left_semi").select(docs.columns))
+    own = free_name(docs, "_cid")
+    bare = class_column(docs.where("doc_id is null"), own).dropDuplicates([own])
+    leaders = found.where("class_id is null").select(F.col("root").alias(own)).distinct()
+    return kept.unionByName(bare.join(leaders, own, "left_semi").select(docs.columns))
