@@ -78,7 +78,7 @@ def test_bpe_equals_the_library(spark):
 def test_bpe_cache_generations(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100)
     coder, library, rng = bpe.Codec(bpe.vocabulary_path()), Tokenizer.from_file(bpe.vocabulary_path()), random.Random(3)
     for _ in range(20):
         text = "".join(chr(rng.choice([32, 32, 39, *range(97, 123), rng.randint(160, 0x3000)])) for _ in range(300))
@@ -154,6 +154,17 @@ def test_quality_rejects_odd_histograms(spark):
     assert [verdict[i] for i in range(42)] == [True] * 40 + [False] * 2
 
 
+def test_quality_judges_rare_languages_by_the_whole_table(spark):
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choice(["the", "of", "and", "to", "in"]) if rng.random() < 0.5 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150))
+    odd = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) + "***" for _ in range(150))
+    rows = [*((prose(), "en") for _ in range(40)), (odd, "xx"), (prose(), "yy"), (odd, "en")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    verdicts = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
+    assert not verdicts[40] and verdicts[41] and not verdicts[42]
+    assert quality_rules.WHOLE in quality_rules.references(docs)
+
+
 def test_quality_judges_null_as_a_language(spark):
     rng = random.Random(3)
 
@@ -302,7 +313,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 def test_weighted_similarity_is_exact(spark):
     texts = spark.createDataFrame([(1, "a b c d e f a b c d e g"), (2, "a b c d e f g h"), (3, ""), (4, "")], "cid long, text string")
     pairs = spark.createDataFrame([(1, 2), (3, 4), (1, 3)], "a long, b long")
-    flat = np.zeros(1 << near_dedup.SKETCH_BITS, np.uint8)
+    flat = near_dedup.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     found = {(r.a, r.b): r.similarity for r in near_dedup.similarities(pairs, texts, flat).collect()}
 
     def bag(t):
@@ -478,3 +489,25 @@ def test_lattice_scores(spark, monkeypatch, head):
     assert sum(refined.values()) > sum(r.score for rs in found.values() for r in rs[:1])
     assert sum(map(len, found.values())) == len(rows)
     assert lattice_lm.score_corpus(empty(spark)).count() == 0
+
+
+def test_filters_carry_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f g h", "x", "y", 3), (2, "a b c d e f g h", "p", "q", 4), (None, "one two three four five six", "r", "s", 5), (None, "one two three four five six", "t", "u", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cid string, _doc_key string, root int")
+    kept = near_dedup.representatives(docs)
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    clean = decontaminate.clean_documents(docs, spark.createDataFrame([(7, "one two three four five six")], "item_id long, text string"))
+    assert clean.columns == docs.columns and sorted(tuple(r) for r in clean.collect()) == sorted(rows[:2])
+
+
+def test_frequencies_of_shared_shingles_are_exact(spark):
+    texts = ["a b c d e", "a b c d e", "a b c d e f", None, *[f"w{i} x{i} y{i} z{i} v{i}" for i in range(40)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    idf = near_dedup.inverse_frequencies(docs)
+    assert len(idf.hashes) == 1  # held by three texts; all others by one
+    assert idf.idf[0] == round(255 * (1 - math.log(3 / 2) / math.log(len(texts) / 2)))
+
+
+def test_ids_with_several_texts_link_them(spark):
+    signed = spark.createDataFrame([(1, 10), (1, 30), (1, 20), (1, 10), (2, 10), (None, 5), (None, 6), (3, 40)], "doc_id long, cid long")
+    assert sorted(tuple(r) for r in near_dedup.shared_ids(signed).collect()) == [(10, 20), (10, 30)]
