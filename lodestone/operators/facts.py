@@ -47,7 +47,7 @@ def module_facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
         if isinstance(node, ast.Import):
             out += [("import", a.name, a.asname, node.lineno, node.lineno) for a in node.names]
         elif isinstance(node, ast.ImportFrom):
-            out += [("import", f"{'.' * node.level}{node.module or ''}.{a.name}", a.asname, node.lineno, node.lineno) for a in node.names]
+            out += [("import", f"{'.' * node.level}{node.module + '.' if node.module else ''}{a.name}", a.asname, node.lineno, node.lineno) for a in node.names]
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
             out.append(("call", owner.get(node.lineno, "(module)"), ast.unparse(node.func), node.lineno, node.end_lineno or node.lineno))
     for method, path, line, router in route_owners(source):
