@@ -117,6 +117,16 @@ def mounted_routes(facts: DataFrame) -> DataFrame:
     return every.select("path", F.col("t")[0].alias("method"), F.concat(F.coalesce("prefix", F.lit("")), F.col("t")[1]).alias("url"), F.col("line_start").alias("line"))
 
 
+# Names of a README at the root of a repository, the first that exists is taken.
+README_NAMES = ("README.md", "readme.md", "README.MD", "README.rst", "README.txt", "README")
+
+
+def readmes(files: DataFrame) -> DataFrame:
+    """repo and readme (null if there is none) of every repository in files (repo, path)."""
+    place = F.array_position(F.array(*map(F.lit, README_NAMES)), F.col("path"))
+    return files.groupBy("repo").agg(F.min_by("path", F.nullif(place, F.lit(0))).alias("readme"))
+
+
 def repository_summary(files: DataFrame) -> DataFrame:
     """Counts by suffix (top 8) and folder (top 15)."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))

@@ -102,6 +102,24 @@ def add(docs: DataFrame, path: str, stretch: int = STRETCH) -> None:
     counts.repartition("shelf").write.mode("append").partitionBy("shelf").parquet(f"{path}/terms")
 
 
+def build_errors(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """error and id: rows without an id (or an empty one), ids that several rows have, and, of an index, a count that is not the rows'."""
+    name = F.col("doc_id").cast("string")
+    missing = docs.where(F.coalesce(name, F.lit("")) == "").agg(F.count("*").alias("n")).where("n > 0").select(F.lit("missing_id").alias("error"), F.lit(None).cast("string").alias("id"))
+    twice = docs.where(F.coalesce(name, F.lit("")) != "").groupBy(name.alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate_id").alias("error"), "id")
+    out = missing.unionByName(twice)
+    if path is not None:
+        held = indexed(docs.sparkSession, path)
+        wrong = docs.agg(F.count("*").alias("n")).where(F.col("n") != held).select(F.lit("count_mismatch").alias("error"), F.format_string("%d of %d", F.lit(held), "n").alias("id"))
+        out = out.unionByName(wrong)
+    return out
+
+
+def indexed(spark: SparkSession, path: str) -> int:
+    """How many documents an index holds."""
+    return spark.read.parquet(f"{path}/stretches").agg(F.sum("n")).first()[0] or 0
+
+
 def _asked(spark: SparkSession, path: str, name: str, terms: DataFrame, shelves: list[int]) -> DataFrame:
     """Rows of a table of the index that are about some terms; other shelves are not opened."""
     return spark.read.parquet(f"{path}/{name}").where(F.col("shelf").isin(shelves)).drop("shelf").join(terms, "term", "left_semi")

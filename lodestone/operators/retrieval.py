@@ -250,6 +250,25 @@ def reranked(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, ve
     return hits.select("qid", "id", "rank", "score")
 
 
+def search_indexed(questions: DataFrame, query_vectors: DataFrame, lexical: str | None, vectors: str, *, pool: int = 20, k: int = 4, threshold: float = 0.54, probes: int = 8, exact: bool = True, every: DataFrame | None = None) -> DataFrame:
+    """Hybrid search over stored indexes: the gate's rows with ``hybrid``, whether the lexical list took part.
+
+    A lexical index whose documents are not as many as the vectors has drifted: it is left
+    out, and the hits are those of the vectors alone.
+    """
+    from . import ann, lexical_index
+
+    spark = questions.sparkSession
+    chunks = ann.cells_table(spark, vectors).agg(F.sum("n")).first()[0] or 0
+    hybrid = lexical is not None and lexical_index.indexed(spark, lexical) == chunks
+    semantic = ann.search(query_vectors, vectors, max(pool, k) if hybrid else k, probes, exact).withColumnRenamed("vec_id", "id")
+    hits = semantic.select("qid", "id", "rank", "score")
+    if hybrid:
+        hits = rrf(semantic, lexical_index.search(questions, lexical, max(pool, k)).withColumnRenamed("doc_id", "id"))
+        hits = hits.join(semantic.select("qid").distinct(), "qid", "left_semi")
+    return gate(hits, threshold, k, query_vectors if every is None else every).withColumn("hybrid", F.lit(hybrid))
+
+
 def search(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, k: int = 4, threshold: float = 0.54, every: DataFrame | None = None, **options) -> DataFrame:
     """Hybrid search for all questions: ``reranked`` hits, and the gate. ``every`` (qid) names questions that may have no vector."""
     hits = reranked(questions, docs, query_vectors, vectors, k=k, **options)

@@ -28,28 +28,43 @@ def kind_of(path: Column) -> Column:
     return F.when(suffix.isin(*DOC_SUFFIXES), "doc").when(suffix.isin(*CODE_SUFFIXES), "code")
 
 
-def selected(files: DataFrame, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
-    """Rows of (path, length) that belong to a corpus, with their kind: folders, lock files, globs, suffix, then size."""
-    parts = F.split("path", "/")
-    out = files.where(~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIP_DIRS))))
-    out = out.where(~F.element_at(parts, -1).isin(*SKIP_FILES))
+def belongs(path: Column, length: Column, exclude: str = "", max_bytes: int = 400_000) -> Column:
+    """Whether a file is of a corpus: folders, lock files, globs, suffix, then size."""
+    parts = F.split(path, "/")
+    out = ~F.arrays_overlap(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(*map(F.lit, SKIP_DIRS))) & ~F.element_at(parts, -1).isin(*SKIP_FILES)
     if exclude:
-        out = out.where(~excluded(F.col("path"), exclude))
-    return out.withColumn("type", kind_of(F.col("path"))).where(F.col("type").isNotNull() & (F.col("length") <= max_bytes))
+        out = out & ~excluded(path, exclude)
+    return out & kind_of(path).isNotNull() & (length <= max_bytes)
+
+
+def selected(files: DataFrame, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
+    """Rows of (path, length) that belong to a corpus, with their kind."""
+    return files.where(belongs(F.col("path"), F.col("length"), exclude, max_bytes)).withColumn("type", kind_of(F.col("path")))
+
+
+def source_files(spark: SparkSession, root: str, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
+    """path (relative to the root), length and content of a tree's corpus files.
+
+    The rules stand on file metadata, so Spark applies them to its listing: files of excluded
+    folders, other suffixes and large ones are never opened, and are no part of any task.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = root.split("://")[-1].strip("/") + "/"
+    # file paths in metadata are URLs with escaped characters
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.substr(whole, F.locate(name, whole) + len(name))
+    return files.where(belongs(path, F.col("_metadata.file_size"), exclude, max_bytes)).select(path.alias("path"), "length", "content")
 
 
 def scan(spark: SparkSession, root: str, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
     """path (relative to the root), type, length, sha256 and text of a source tree; undecodable and binary files are dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    files = files.withColumn("path", F.substr("path", F.locate(root.rstrip("/"), "path") + F.length(base)))
 
     @F.pandas_udf("string")
     def decoded(raw: pd.Series) -> pd.Series:
         return raw.map(decode_bytes)
 
-    kept = selected(files, exclude, max_bytes)
-    return kept.select("path", "type", "length", F.sha2("content", 256).alias("sha256"), decoded("content").alias("text")).where("text is not null")
+    kept = source_files(spark, root, exclude, max_bytes)
+    return kept.select("path", kind_of(F.col("path")).alias("type"), "length", F.sha2("content", 256).alias("sha256"), decoded("content").alias("text")).where("text is not null")
 
 
 def suite(spark: SparkSession, path: str) -> DataFrame:
@@ -63,6 +78,13 @@ def unreadable_runs(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.get_json_object("value", "$.run_id").isNull()).select("file")
 
 
+def newest_run(spark: SparkSession, folder: str, prefix: str) -> str | None:
+    """The file of the last run, by name, whose name begins with ``prefix``; null if there is none. No file is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return files.select("path", name.alias("name")).where(F.startswith("name", F.lit(prefix))).agg(F.max_by("path", "name")).first()[0]
+
+
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """One row of each cell, mode and question row of saved evaluation runs; ``unreadable_runs`` names what is left out."""
     row = "struct<id:string,answerable:boolean,tags:array<string>,rank:int,top_score:double,has_evidence:boolean,ms:double>"
