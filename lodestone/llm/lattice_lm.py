@@ -6,7 +6,8 @@ A word is its lower-cased bytes after a space; the log-space forward recursion o
 lattice sums the weight of every segmentation into pieces, single bytes being the
 fallback. A text's probability is the product over its words and one end symbol, and is
 reported as log10. ``rounds`` of expectation maximisation on the training words can refine
-the weights; the registered query takes the vocabulary's own.
+the weights; the registered query takes two rounds and gives scores by the vocabulary's own
+weights beside.
 
 Beside it stands the additive word-unigram base score. Counts of the training words are
 one table (word, count), and its mass point is a head of at most ``HEAD_WORDS`` words,
@@ -217,9 +218,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Pieces with trained weights, and the word counts with their totals."""
+    """Pieces with trained weights, those with the vocabulary's own, and the word counts with their totals."""
 
-    def __init__(self, pieces: Pieces, counts: DataFrame, n_texts: int, train_tokens: int, distinct: int):
+    def __init__(self, pieces: Pieces, own: Pieces, counts: DataFrame, n_texts: int, train_tokens: int, distinct: int):
+        self.own = own
         self.pieces, self.counts, self.n_texts = pieces, counts, n_texts
         self.train_tokens, self.distinct = train_tokens, distinct
 
@@ -227,6 +229,7 @@ class Model:
 def fit(texts: DataFrame, path: str | None = None, rounds: int = 0) -> Model:
     """Count words of all rows of a frame with a column ``text``, and refine piece weights on them in ``rounds`` if asked to."""
     names, log_p = _prior(path or vocabulary_path())
+    own = Pieces(list(names), log_p)
     texts = texts.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = cut(word_counts(texts))
     n_texts = texts.count()
@@ -242,7 +245,7 @@ def fit(texts: DataFrame, path: str | None = None, rounds: int = 0) -> Model:
         uses = sum_vectors(counts, expect, len(log_p))
         uses[-1] = n_texts
         log_p = np.log((uses + 0.1) / (uses.sum() + 0.1 * len(uses)))
-    return Model(Pieces(list(names), log_p), counts, n_texts, r.n + n_texts, r.v + (n_texts > 0))
+    return Model(Pieces(list(names), log_p) if rounds else own, own, counts, n_texts, r.n + n_texts, r.v + (n_texts > 0))
 
 
 def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -268,28 +271,27 @@ def _head(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
     return h[order], c[order], least
 
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
+_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, vocabulary_score double, word binary, tf long"
 
 
 def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
-    """Scores of all rows; ``held_out`` is a boolean column."""
+    """Scores of all rows, by the model's weights and by the vocabulary's own; ``held_out`` is a boolean column."""
     hashes, counts, _ = _head(model.counts, HEAD_WORDS)
-    handle = docs.sparkSession.sparkContext.broadcast((model.pieces, hashes, counts))  # bounded by HEAD_WORDS and the vocabulary
+    handle = docs.sparkSession.sparkContext.broadcast((model.pieces, None if model.own is model.pieces else model.own, hashes, counts))  # bounded by HEAD_WORDS and the vocabulary
     n_texts = model.n_texts
 
     def run(batches):
-        pieces, head, head_counts = handle.value
-        end = pieces.log_p[-1]
+        pieces, own, head, head_counts = handle.value
         for part, texts, data, words, distinct, first, inverse, _ in _unique_words(batches):
             n = len(texts)
-            log_p = word_log_p(pieces, data, words.starts[first], words.ends[first])
+            spans = (data, words.starts[first], words.ends[first])
             at = np.minimum(np.searchsorted(head, distinct), max(len(head) - 1, 0))
             in_head = head[at] == distinct if len(head) else np.zeros(len(distinct), bool)
             log_c = np.where(in_head, np.log10(np.where(in_head, head_counts[at], 1) + 0.1), 0) if len(head) else np.zeros(len(distinct))
             tokens = np.bincount(words.doc, minlength=n)
             known = np.bincount(words.doc, in_head[inverse], minlength=n).astype(np.int64) + (n_texts > 0)
             base = np.bincount(words.doc, log_c[inverse], minlength=n) + np.log10(n_texts + 0.1)
-            total = (np.bincount(words.doc, log_p[inverse], minlength=n) + end) / np.log(10)
+            total = [(np.bincount(words.doc, word_log_p(p, *spans)[inverse], minlength=n) + p.log_p[-1]) / np.log(10) for p in (pieces, own) if p is not None]
             rare = ~in_head[inverse]
             pair, tf = np.unique(words.doc[rare] * max(len(distinct), 1) + inverse[rare], return_counts=True)
             row, word = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
@@ -302,7 +304,7 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate((rid, rid[row]))), pad(part.column(2), pa.int64()), pad(part.column(3), pa.bool_()), pad(pa.array(tokens + 1), pa.int64()),
-                    pad(pa.array(known), pa.int64()), pad(pa.array(base), pa.float64()), pad(pa.array(total), pa.float64()),
+                    pad(pa.array(known), pa.int64()), pad(pa.array(base), pa.float64()), pad(pa.array(total[0]), pa.float64()), pad(pa.array(total[-1]), pa.float64()),
                     pa.concat_arrays([pa.nulls(n, pa.binary()), _gather(data, words.starts[first[word]], words.ends[first[word]])]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(tf)]),
                 ],
                 names=[x.split()[0] for x in _SCORED.split(", ")],
@@ -320,7 +322,7 @@ def score(docs: DataFrame, model: Model, held_out) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        "score",
+        "score", "vocabulary_score",
     )
 
 

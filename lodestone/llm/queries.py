@@ -47,7 +47,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return import_module(".lattice_lm", __package__).score_corpus(_table(spark, sf_dir, "documents"))
+    """The vocabulary's weights, refined on the training rows in two rounds; scores by its own weights are one more column."""
+    return import_module(".lattice_lm", __package__).score_corpus(_table(spark, sf_dir, "documents"), rounds=2)
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
