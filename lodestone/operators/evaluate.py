@@ -114,3 +114,8 @@ def suite_errors(questions: DataFrame, tags: list[str]) -> DataFrame:
     ]
     found = questions.withColumn("errors", F.array_compact(F.array(*[F.when(c, m) for c, m in rules])))
     return found.where(F.size("errors") > 0).select("id", "errors")
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: tuple[float, ...] = (0.5, 0.95, 0.99), digits: int = 1) -> DataFrame:
+    """n and interpolated percentiles (p50 and the like) of a value in each group."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), *[F.round(F.percentile(value, F.lit(x)), digits).alias(f"p{round(100 * x)}") for x in shares])

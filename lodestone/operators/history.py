@@ -136,6 +136,11 @@ def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.where("node is not null").select(F.col("node").cast("long").alias("node")).distinct().mapInArrow(walk, "start long, node long")
 
 
+def unresolved(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Parents (node) that edges name and no known node (node) is."""
+    return edges.select(F.col("parent").alias("node")).distinct().join(known, "node", "left_anti")
+
+
 def is_ancestor(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs (old, new) with whether old is new or one of its ancestors; null where either is missing."""
     reached = ancestors(edges, pairs.select(F.col("new").alias("node")).distinct()).select(F.col("start").alias("new"), F.col("node").alias("old"), F.lit(True).alias("hit"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import kept_keys, page_cursor, page_offset
+from ..lineage import small
 
 # Keys of traces that may be kept, and status codes of errors.
 PROFILE_KEYS = ("embed_model", "embed_dim", "chunker_version", "use_bm25", "pool", "rrf_k", "top_k")
@@ -103,3 +106,39 @@ def refs_view(branches: DataFrame, snapshots: DataFrame) -> DataFrame:
     ready = F.coalesce(F.col("own.state").isin("completed", "already_indexed"), F.lit(False))
     relation = F.when(ready, "current").when(F.col("newest").isNotNull(), "behind").when(F.col("own").isNotNull(), F.col("own.state")).otherwise("none")
     return joined.select("branch", "project_id", relation.alias("relation"), F.when(ready, F.col("own.snapshot_id")).otherwise(F.coalesce("newest", "own.snapshot_id")).alias("snapshot_id"))
+
+
+def lookup(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some ids, with score 0: nothing was searched. A short list of ids goes to the rows."""
+    return rows.join(small(ids.select(key).distinct(), 16), key, "left_semi").withColumn("score", F.lit(0.0))
+
+
+def conversation_list(messages: DataFrame, having: Column) -> DataFrame:
+    """conv_id, n_messages, n_responses, last_turn and last_role of conversations with a message for which ``having`` holds."""
+    asked = messages.where(having).select("conv_id").distinct()
+    return messages.join(asked, "conv_id", "left_semi").groupBy("conv_id").agg(
+        F.count("*").alias("n_messages"), F.count_if(F.col("role") == "assistant").alias("n_responses"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role")
+    )
+
+
+def without(keys: DataFrame, rows: DataFrame, condition: Column, key: str) -> DataFrame:
+    """Distinct keys of which no row meets a condition."""
+    return keys.select(key).distinct().join(rows.where(condition).select(key), key, "left_anti")
+
+
+def retention_preview(rows: DataFrame, policy: DataFrame, mode: str, at: str, key: str) -> DataFrame:
+    """mode, n and first_id of rows that are older than their mode's days (policy: mode, days), counted back from the newest row."""
+    newest = rows.agg(F.max(at)).scalar()
+    old = rows.join(small(policy, 64), F.col(mode) == F.col("mode")).where(F.col(at) < newest - F.make_dt_interval("days"))
+    return old.groupBy("mode").agg(F.count("*").alias("n"), F.min(key).alias("first_id"))
+
+
+def distinct_of(*keys: tuple[DataFrame, str], name: str = "root") -> DataFrame:
+    """The distinct values of one column each of several tables."""
+    return reduce(DataFrame.unionByName, [df.select(F.col(c).alias(name)) for df, c in keys]).distinct()
+
+
+def with_unindexed(indexed: DataFrame, every: DataFrame, key: str) -> DataFrame:
+    """Indexed rows, and all other keys with nulls for what only an index has."""
+    rest = every.select(key).join(indexed, key, "left_anti").withColumn("indexed", F.lit(False))
+    return indexed.withColumn("indexed", F.lit(True)).unionByName(rest, allowMissingColumns=True)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import records as R
 from ..functions import text as T
 from ..lineage import small, spread
-from ..operators import assemble, chunks, evaluate, history, retrieval
+from ..operators import assemble, chunks, evaluate, history, retrieval, views
+from ..sources import corpus
 from ..streaming import sse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,8 +120,7 @@ def metrics_by_tag(spark, d):
 
 @query
 def latency_percentiles(spark, d):
-    p = [F.round(F.percentile("value", F.lit(x)), 1).alias(f"p{round(100 * x)}") for x in (0.5, 0.95, 0.99)]
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), *p)
+    return evaluate.percentiles(table(spark, d, "events"), "event_type", "value")
 
 
 @query
@@ -218,26 +218,19 @@ def head_change_counts(spark, d):
 
 @query
 def conversation_list(spark, d):
-    rows = table(spark, d, "conversations")
-    asked = rows.where("role = 'system'").select("conv_id").distinct()
-    return rows.join(asked, "conv_id", "left_semi").groupBy("conv_id").agg(
-        F.count("*").alias("n_messages"), F.count_if(F.col("role") == "assistant").alias("n_responses"), F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("last_role")
-    )
+    return views.conversation_list(table(spark, d, "conversations"), F.col("role") == "system")
 
 
 @query
 def idle_conversations(spark, d):
     rows = table(spark, d, "conversations")
-    return rows.select("conv_id").distinct().join(rows.where("role = 'assistant' and turn >= 3").select("conv_id"), "conv_id", "left_anti")
+    return views.without(rows, rows, F.expr("role = 'assistant' and turn >= 3"), "conv_id")
 
 
 @query
 def retention_preview(spark, d):
-    rows = table(spark, d, "events")
     policy = spark.createDataFrame([("click", 7), ("view", 14), ("purchase", 21)], "mode string, days int")
-    newest = rows.agg(F.max("ts")).scalar()
-    old = rows.join(F.broadcast(policy), F.col("event_type") == F.col("mode")).where(F.col("ts") < newest - F.make_dt_interval("days"))
-    return old.groupBy("mode").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return views.retention_preview(table(spark, d, "events"), policy, "event_type", "ts", "event_id")
 
 
 @query
@@ -296,8 +289,7 @@ def status_case(spark, d):
 @query
 def roots_union(spark, d):
     parts = [("supplier", "s_nationkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey")]
-    a, b, c = (table(spark, d, t).select(F.col(k).alias("root")) for t, k in parts)
-    return a.unionByName(b).unionByName(c).distinct()
+    return views.distinct_of(*((table(spark, d, t), k) for t, k in parts))
 
 
 def edges(spark, d):
@@ -318,14 +310,12 @@ def reached(spark, d):
 @query
 def unresolved_diff(spark, d):
     known = table(spark, d, "part").where("p_partkey % 4 != 0").select(F.col("p_partkey").alias("node"))
-    return edges(spark, d).select(F.col("parent").alias("node")).distinct().join(known, "node", "left_anti")
+    return history.unresolved(edges(spark, d), known)
 
 
 @query
 def unindexed_union(spark, d):
-    indexed = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("indexed"))
-    rest = table(spark, d, "documents").select("doc_id").join(indexed, "doc_id", "left_anti").withColumn("indexed", F.lit(False))
-    return indexed.unionByName(rest, allowMissingColumns=True)
+    return views.with_unindexed(table(spark, d, "labels").select("doc_id", "quality"), table(spark, d, "documents"), "doc_id")
 
 
 @query
@@ -408,8 +398,7 @@ def illegal_transitions(spark, d):
 
 @query
 def corpus_scan(spark, d):
-    rows = table(spark, d, "documents").where((F.octet_length("text") <= 20000) & (F.col("lang") != "es"))
-    return rows.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return corpus.manifest(table(spark, d, "documents").where("lang != 'es'"), "doc_id", max_bytes=20_000)
 
 
 @query
@@ -487,8 +476,8 @@ def user_sessions(spark, d):
 
 @query
 def point_lookup(spark, d):
-    asked = small(table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("doc_id")), 16)
-    return table(spark, d, "documents").join(asked, "doc_id", "left_semi").select("doc_id", "source", F.lit(0.0).alias("score"))
+    asked = table(spark, d, "benchmark").select((F.col("item_id") * 30).alias("doc_id"))
+    return views.lookup(table(spark, d, "documents"), asked, "doc_id").select("doc_id", "source", "score")
 
 
 @query

@@ -42,6 +42,12 @@ def selected(files: DataFrame, exclude: str = "", max_bytes: int = 400_000) -> D
     return files.where(belongs(F.col("path"), F.col("length"), exclude, max_bytes)).withColumn("type", kind_of(F.col("path")))
 
 
+def manifest(files: DataFrame, *keys: str, max_bytes: int = 400_000) -> DataFrame:
+    """keys, sha256 and n_bytes of texts of at most ``max_bytes``: what an incremental build compares."""
+    size = F.octet_length("text").cast("long")
+    return files.where(size <= max_bytes).select(*keys, F.sha2("text", 256).alias("sha256"), size.alias("n_bytes"))
+
+
 def source_files(spark: SparkSession, root: str, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
     """path (relative to the root), length and content of a tree's corpus files.
 
