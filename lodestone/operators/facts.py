@@ -38,9 +38,10 @@ def without_literals(source: str) -> str:
 def module_facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
     """(fact, name, target, first line, last line): symbol, import, call, route, route_owner, mount and marker rows of one module."""
     tree = ast.parse(source.removeprefix("﻿"))
-    out = [("symbol", s["symbol"], s["kind"], s["line_start"], s["line_end"]) for s in python_scopes(source)]
+    scopes = python_scopes(source)
+    out = [("symbol", s["symbol"], s["kind"], s["line_start"], s["line_end"]) for s in scopes]
     owner: dict[int, str] = {}
-    for s in sorted(python_scopes(source), key=lambda s: s["line_start"]):
+    for s in sorted(scopes, key=lambda s: s["line_start"]):
         if s["kind"] in ("function", "method", "class"):
             owner |= dict.fromkeys(range(s["line_start"], s["line_end"] + 1), s["symbol"])
     for node in ast.walk(tree):

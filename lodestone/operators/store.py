@@ -88,14 +88,16 @@ def lease_claims(requests: DataFrame, repositories: DataFrame, runs: DataFrame,
 
     ``repositories`` has repository_id and active, ``runs`` run_id, repository_id, state,
     generation and lease_until. A live lease refuses a claim, an expired one is ended by it,
-    and generations only grow.
+    and generations only grow. Of several claims on a repository the first (by ``seq``, if
+    requests have it) takes the lease, which refuses the others.
     """
     running = F.col("state") == "running"
     held = runs.groupBy("repository_id").agg(
         F.max("generation").alias("last"), F.max(F.when(running & (F.col("lease_until") > now), F.lit(1))).alias("live"), F.max(F.when(running & (F.col("lease_until") <= now), F.col("run_id"))).alias("expired")
     )
-    joined = requests.select("repository_id").join(repositories.select("repository_id", "active"), "repository_id", "left").join(held, "repository_id", "left")
-    outcome = F.when(F.col("active").isNull(), "not_found").when(~F.col("active"), "inactive").when(F.col("live").isNotNull(), "already_running").otherwise("claimed")
+    turn = F.row_number().over(Window.partitionBy("repository_id").orderBy("seq" if "seq" in requests.columns else "repository_id")).alias("turn")
+    joined = requests.select("repository_id", turn).join(repositories.select("repository_id", "active"), "repository_id", "left").join(held, "repository_id", "left")
+    outcome = F.when(F.col("active").isNull(), "not_found").when(~F.col("active"), "inactive").when(F.col("live").isNotNull() | (F.col("turn") > 1), "already_running").otherwise("claimed")
     claimed = outcome == "claimed"
     return joined.select("repository_id", outcome.alias("outcome"), F.when(claimed, F.coalesce("last", F.lit(0)) + 1).cast("long").alias("generation"), F.when(claimed, F.col("expired")).alias("ended_run"))
 

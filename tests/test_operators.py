@@ -336,3 +336,13 @@ def test_deltas_come_in_order_however_they_are_dealt(spark):
     rows = [("t", i, "delta" if i % 7 else "tool", f"<{i}>") for i in range(200)]
     got = sse.batch_deltas(spark.createDataFrame(rows, "trace string, seq int, kind string, text string").repartition(4), 12).orderBy("batch").collect()
     assert "".join(r.text for r in got) == "".join(r[3] for r in rows if r[2] == "delta") and len(got) > 30
+
+
+def test_one_claim_takes_a_lease(spark):
+    from lodestone.operators import store
+
+    asked = spark.createDataFrame([(1, 2), (1, 1), (2, 1), (3, 1)], "repository_id long, seq int")
+    known = spark.createDataFrame([(1, True), (2, True)], "repository_id long, active boolean")
+    runs = spark.createDataFrame([(9, 2, "running", 4, 100)], "run_id long, repository_id long, state string, generation long, lease_until int")
+    got = sorted(tuple(r) for r in store.lease_claims(asked, known, runs, F.lit(50)).select("repository_id", "outcome").collect())
+    assert got == [(1, "already_running"), (1, "claimed"), (2, "already_running"), (3, "not_found")]
