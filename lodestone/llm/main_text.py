@@ -1,27 +1,26 @@
 """Operator 1, HTML extraction: page structure, and suffix arrays over the pages of a host.
 
-A page is read into blocks of text, each with the elements around it. Scripts, styles,
-menus, page headers, footers and forms are known by element name or role and settle a
-block as boilerplate; an ``article`` or ``main`` element settles it as content, whatever
-the classes around it say. Names of adverts and reader comments in a class or id settle what is
-below them too, but for an article inside of a wrapper so named; other names (sidebars,
-notices) only cast doubt. The array decides about all blocks that are then uncertain: on pages that
-mark an article the doubted blocks inside of it, on other pages all blocks outside of
-boilerplate. Short doubted blocks (under ``DEPTH`` tokens, which the array cannot see) and
-blocks of links go; so do doubted blocks outside of a marked article. Headings inside an
-article are not doubted.
-
-The token streams of uncertain blocks are concatenated for the pages of a host, and a
+A page is read into blocks of text, each with the elements around it. Structure is a prior:
+prose in an ``article`` or ``main`` element is kept, whatever the classes around it say, as
+copies, quotes and passages that articles share are theirs. Scripts and styles are no text.
+Menus, page headers, footers and forms (by element name or role), adverts and reader
+comments (by names in a class or id, but for an article inside of a wrapper so named),
+blocks of links, short doubted blocks (under ``DEPTH`` tokens) and what stands outside of a
+marked article are surroundings. All else is open: on pages that mark an article the blocks
+inside of it that other names (sidebars, notices) cast doubt on, on other pages all blocks
+outside of surroundings. Headings inside an article are not doubted.
+
+Every page's open blocks and surroundings enter the array, each as a stream of tokens. A
 suffix array, sorted to a depth of ``DEPTH`` tokens by prefix doubling, shows which runs of
-``DEPTH`` tokens or more occur on ``MIN_PAGES`` distinct pages. These tokens go, what is
-unique stays. Prose inside a marked article is settled by its place: it takes no part, so
-copies, quotes and passages that pages share stay. Pages without uncertain blocks are
-finished where they are read; only uncertain pages move, as text and not as HTML.
+``DEPTH`` tokens or more occur on ``MIN_PAGES`` distinct pages of the host, be it openly on
+one and in the surroundings of another: so pages that mark their parts show what the same
+text is on pages that do not. Covered tokens go, unique runs of open blocks stay. What is
+unique in the surroundings goes by its prior, as a menu is one however few pages have it.
 
-A host is dealt by page id into groups of about ``GROUP_BYTES`` of text, each with its own
+A host is dealt by page id into groups of about ``GROUP_BYTES`` of html, each with its own
 suffix array, so a hot host spreads over many tasks. For hosts of more than one group the
-hashes of all windows of ``DEPTH`` tokens are compared beyond the groups as well: they are
-shuffled by hash, those of two groups or more go back to these groups, and windows found
+hashes of all windows of ``DEPTH`` tokens in these streams are compared beyond the groups as
+well: they are shuffled by hash, eight bytes and each once for a group and task, those of two groups or more go back to these groups, and windows found
 there count like those of the array. Repeats are those of the host's pages, however the
 pages are dealt.
 
@@ -48,10 +47,14 @@ from .shared import cut, small
 
 DEPTH = 16
 MIN_PAGES = 2
+#: What structure says of a block: prose of an article, open to the array, or surroundings.
+PROSE, OPEN, AROUND = 0, 1, 2
 GROUP_BYTES = 4 << 20
 MAX_LINK_SHARE = 0.5
 #: Windows that a task collects before it sends them, and bytes of text whose windows one bucket of hashes holds on average.
 SENT_WINDOWS = 1 << 21
+#: Pages that are read into blocks at once.
+READ_ROWS = 256
 BUCKET_BYTES = 32 << 20
 
 # HTML element names and words of class, id and role attributes.
@@ -206,22 +209,32 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH, min_pages
     return np.cumsum(inside[:n]) > 0
 
 
-def settle(page: str) -> list[tuple[str, bool]]:
-    """Blocks (text, uncertain) of a page that structure keeps or leaves to the array."""
+def settle(page: str) -> list[tuple[str, int]]:
+    """Blocks (text, kind) of a page in its order; neighbours of one kind that the array does not take apart are joined."""
     blocks = read_blocks(page)
     marked = any(zone in ("content", "inner") for _, zone, _ in blocks)
-    out = []
+    out: list[tuple[list[str], int]] = []
     for text, zone, link_share in blocks:
         if zone == "content":
-            out.append((text, False))
+            kind = PROSE
         elif zone == "inner" or not marked and zone in ("open", "doubt"):
-            if link_share <= MAX_LINK_SHARE and (zone == "open" or text.count(" ") + 1 >= DEPTH):
-                out.append((text, True))
-    return out
+            kind = OPEN if link_share <= MAX_LINK_SHARE and (zone == "open" or text.count(" ") + 1 >= DEPTH) else AROUND
+        else:
+            kind = AROUND
+        if out and kind != OPEN and out[-1][1] == kind:
+            out[-1][0].append(text)
+        else:
+            out.append(([text], kind))
+    return [((" " if kind == AROUND else "\n").join(texts), kind) for texts, kind in out]
+
+
+def streams(blocks: list[tuple[str, int]]) -> list[list[str]]:
+    """The page's open blocks and its surroundings, which no run of tokens joins."""
+    return [[t for t, kind in blocks if kind == k] for k in (OPEN, AROUND)]
 
 
 def _tokens(texts: list[list[str]]) -> tuple[np.ndarray, list[int], np.ndarray]:
-    """Tokens of the uncertain blocks of pages, how many each block has, and each token's row."""
+    """Tokens of lists of blocks, how many each block has, and each token's list."""
     words: list[bytes] = []
     sizes, per_row = [], []
     for blocks in texts:
@@ -244,56 +257,51 @@ def _keys(tokens: np.ndarray, row: np.ndarray, salt: np.ndarray) -> tuple[np.nda
 
 
 def _finish(pages: list[tuple], elsewhere: np.ndarray | None = None, salt: int = 0) -> tuple[list[str], list[int]]:
-    """Texts, and how many tokens went, of pages (page_id, url, blocks) of one host; ``elsewhere`` has keys of windows that other groups hold too."""
-    tokens, sizes, row = _tokens([[t for t, uncertain in p[2] if uncertain] for p in pages])
+    """Texts, and how many tokens the array took, of pages (page_id, url, blocks) of one host; ``elsewhere`` has keys of windows that other groups hold too."""
+    tokens, sizes, row = _tokens([stream for p in pages for stream in streams(p[2])])
     ids = {k: i for i, k in enumerate(sorted({str(p[0]) for p in pages}))}
-    page = np.array([ids[str(p[0])] for p in pages], np.int64)[row]
+    page = np.repeat(np.array([ids[str(p[0])] for p in pages], np.int64), 2)[row]
     by_page = np.argsort(page, kind="stable")
     covered = np.zeros(len(tokens), bool)
     covered[by_page] = repeated(tokens[by_page], page[by_page], row=row[by_page])
     if elsewhere is not None and len(elsewhere):
-        keys, at = _keys(tokens, row, np.full(len(pages), salt, np.int64).astype(np.uint64))
+        keys, at = _keys(tokens, row, np.full(2 * len(pages), salt, np.int64).astype(np.uint64))
         hits = at[np.isin(keys, elsewhere)]
         inside = np.bincount(hits, minlength=len(tokens) + 1) - np.bincount(hits + DEPTH, minlength=len(tokens) + 1)
         covered |= np.cumsum(inside[:-1]) > 0
-    texts, counts, k, a = [], [], 0, 0
+    taken = np.bincount(row[covered] // 2, minlength=len(pages)).tolist()
+    texts, k, a = [], 0, 0
     for _, _, blocks in pages:
-        kept, n = [], 0
-        for text, uncertain in blocks:
-            if uncertain:
+        kept = []
+        for text, kind in blocks:
+            if kind == OPEN:
                 gone = covered[a : a + sizes[k]]
                 a, k = a + sizes[k], k + 1
-                n += int(gone.sum())
                 if gone.any():
                     text = " ".join(w for w, c in zip(text.split(" "), gone, strict=True) if not c)
-            if text:
+            if text and kind != AROUND:
                 kept.append(text)
+        for _, kind in blocks:
+            if kind == AROUND:
+                a, k = a + sizes[k], k + 1
         texts.append("\n".join(kept))
-        counts.append(n)
-    return texts, counts
+    return texts, taken
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("uncertain", pa.bool_())]))
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("kind", pa.int8())]))
 
 
 def _read(batches):
-    """Finished texts of settled pages; blocks of the others and the bytes of their uncertain text."""
-    for batch in batches:
-        found = [settle(x or "") for x in batch.column(3).to_pylist()]
-        open_ = [any(u for _, u in blocks) for blocks in found]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(i) for i in range(3)),
-                pa.array([None if o else "\n".join(t for t, _ in blocks) for blocks, o in zip(found, open_, strict=True)], pa.string()),
-                pa.array([[{"text": t, "uncertain": u} for t, u in blocks] if o else None for blocks, o in zip(found, open_, strict=True)], _BLOCKS),
-                pa.array([sum(len(t.encode("utf-8", "surrogatepass")) for t, u in blocks if u) for blocks in found], pa.int64()),
-            ],
-            names=["host", "page_id", "url", "text", "blocks", "size"],
-        )
+    """Blocks in place of html (the last column), a few pages at a time."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, READ_ROWS):
+            batch = whole.slice(k, READ_ROWS)
+            found = [[{"text": t, "kind": kind} for t, kind in settle(x or "")] for x in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(found, _BLOCKS)], names=["dealt", "kind", "page_id", "url", "host", "blocks"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -311,45 +319,40 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(i) for i in range(7)]
             for i in range(batch.num_rows):
-                dealt, kind, page_id, url, blocks, host, keys = (c[i].as_py() for c in columns)
+                dealt, kind, page_id, url, host, blocks, keys = (c[i].as_py() for c in columns)
                 if dealt != at:
                     if group:
                         yield out(group, elsewhere, salt)
                     group, at, elsewhere = [], dealt, []
                 if kind:
                     salt = host
-                    group.append((page_id, url, [(b["text"], b["uncertain"]) for b in blocks]))
+                    group.append((page_id, url, [(b["text"], b["kind"]) for b in blocks]))
                 else:
                     elsewhere.append(keys)
         if group:
             yield out(group, elsewhere, salt)
 
     source = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    read = source.mapInArrow(_read, "host string, page_id long, url string, text string, blocks array<struct<text:string,uncertain:boolean>>, size long")
-    settled = read.where("blocks is null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_removed"))
-    open_ = cut(read.where("blocks is not null").drop("text"))
-    if not open_.limit(1).count():
-        return settled
-    sizes = open_.groupBy("host").agg(F.sum("size").alias("size")).where(F.col("size") > GROUP_BYTES)
+    sizes = source.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")).where(F.col("size") > GROUP_BYTES)
     large = cut(sizes.select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"), F.col("size").alias("all")))
     total = large.agg(F.sum("all")).first()[0] or 0
     n = F.coalesce("n", F.lit(1))
-    dealt = open_.join(small(large, 128), "host", "left").select(
-        F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", "blocks", F.xxhash64("host").alias("host"), F.lit(None).cast("binary").alias("keys"), n.alias("n")
+    dealt = source.join(small(large, 128), "host", "left").select(
+        F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", F.xxhash64("host").alias("host"), "html", n.alias("n")
     )
-    rows = dealt.drop("n")
+    rows = dealt.drop("n").mapInArrow(_read, "dealt long, kind int, page_id long, url string, host long, blocks array<struct<text:string,kind:tinyint>>")
+    rows = rows.withColumn("keys", F.lit(None).cast("binary"))
     if total:
-        found = shared_windows(dealt.where("n > 1").select("dealt", "host", F.transform(F.filter("blocks", lambda b: b["uncertain"]), lambda b: b["text"]).alias("texts")), -(-total // BUCKET_BYTES))
+        found = shared_windows(dealt.where("n > 1").select("dealt", "host", "html"), -(-total // BUCKET_BYTES))
         rows = rows.unionByName(found.select("dealt", F.lit(0).alias("kind"), "keys"), allowMissingColumns=True)
     ordered = rows.repartition("dealt").sortWithinPartitions("dealt", "kind", "page_id")
-    return settled.unionByName(ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed long"))
+    return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed long")
 
 
 def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
     """(dealt, keys): for each group of pages, packed keys of its windows that other groups hold too.
 
-    ``dealt`` has the group, the host's hash and the uncertain texts of each page. Keys travel packed,
-    each once for a group and task, and meet by key in buckets of bounded size.
+    ``dealt`` has the group, the host's hash and the html of each page. Keys travel packed, each once for a group and task, and meet by key in buckets of bounded size.
     """
 
     def send(batches):
@@ -368,15 +371,16 @@ def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(bucket[a])], pa.int64()), "keys": pa.array([key[a:b].tobytes()], pa.binary()), "groups": pa.array([group[a:b].tobytes()], pa.binary())})
 
         for batch in batches:
-            group, host = (batch.column(i).to_numpy() for i in range(2))
-            tokens, _, row = _tokens(batch.column(2).to_pylist())
-            keys, at = _keys(tokens, row, host.astype(np.uint64))
-            if len(keys):
-                held.append((keys, group[row[at]]))
-                n += len(keys)
-            if n >= SENT_WINDOWS:
-                yield from packed()
-                held, n = [], 0
+            group, host = (np.repeat(batch.column(i).to_numpy(), 2) for i in range(2))
+            for k in range(0, batch.num_rows, READ_ROWS):
+                tokens, _, row = _tokens([s for x in batch.column(2).slice(k, READ_ROWS).to_pylist() for s in streams(settle(x or ""))])
+                keys, at = _keys(tokens, row, host[2 * k :].astype(np.uint64))
+                if len(keys):
+                    held.append((keys, group[2 * k + row[at]]))
+                    n += len(keys)
+                if n >= SENT_WINDOWS:
+                    yield from packed()
+                    held, n = [], 0
         if held:
             yield from packed()
 

@@ -69,6 +69,41 @@ def test_main_text_has_no_comments_or_adverts_however_unique():
     assert finish([(i, "u", x) for i, x in enumerate(pages)])[0] == ["Main prose.\nMore.", "Main.", words(6), words(8)]
 
 
+def test_main_text_learns_surroundings_from_pages_that_mark_them(spark):
+    words = lambda n, k=24: " ".join(f"x{n}y{i}" for i in range(k))
+    menu, lead = words(1), words(2)
+    rows = [
+        (1, "http://h/1", f"<nav>{menu}</nav><article><p>{lead}</p><p>{words(3)}</p></article>"),
+        (2, "http://h/2", f"<div>{menu}</div><p>{words(4)}</p>"),  # one unmarked page: the menu is known from the marked ones
+        (3, "http://h/3", f"<main><p>{words(5)}</p></main><aside>{lead}</aside><footer>{words(6)}</footer>"),
+        (4, "http://h/4", f"<main><p>{lead}</p></main><aside>{lead}</aside>"),  # a teaser of an article takes nothing from it
+        (5, "http://other/5", f"<div>{menu}</div>"),
+    ]
+    expected = {1: (f"{lead}\n{words(3)}", 24), 2: (words(4), 24), 3: (words(5), 24), 4: (lead, 24), 5: (menu, 0)}
+    got = main_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.text, r.n_removed) for r in got} == expected
+
+
+def test_main_text_array_takes_surroundings_of_the_given_pages(spark, sf_dir):
+    """Tokens taken equal those of windows that a plain count finds on two pages of the host."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()
+    seen, streams = collections.defaultdict(set), []
+    for r in rows:
+        host = re.match(r"[^:]*://([^/?#]*)", r.url or "")
+        for stream in main_text.streams(main_text.settle(r.html or "")):
+            words = " ".join(stream).split(" ") if stream else []
+            streams.append((r.page_id, host and host[1].lower(), words))
+            for k in range(len(words) - main_text.DEPTH + 1):
+                seen[streams[-1][1], tuple(words[k : k + main_text.DEPTH])].add(r.page_id)
+    taken = collections.Counter()
+    for page, host, words in streams:
+        covered = {j for k in range(len(words) - main_text.DEPTH + 1) if len(seen[host, tuple(words[k : k + main_text.DEPTH])]) > 1 for j in range(k, k + main_text.DEPTH)}
+        taken[page] += len(covered)
+    got = {r.page_id: r.n_removed for r in queries.op1_main_text(spark, sf_dir).collect()}
+    assert got == dict(taken) and sum(got.values()) > 0
+
+
 def test_main_text_class_words_only_cast_doubt():
     rng = random.Random(5)
     shared = " ".join(f"shared{i}" for i in range(30))
