@@ -53,6 +53,9 @@ GROUP_BYTES = 4 << 20
 MAX_LINK_SHARE = 0.5
 #: Windows that a task collects before it sends them, and bytes of text whose windows one bucket of hashes holds on average.
 SENT_WINDOWS = 1 << 21
+#: Html of a task on average, up to a number of tasks; a task holds one group at a time, so it may read more.
+TASK_BYTES = 16 << 20
+MAX_TASKS = 100_000
 #: Pages that are read into blocks at once.
 READ_ROWS = 256
 BUCKET_BYTES = 32 << 20
@@ -333,23 +336,25 @@ def extract(pages: DataFrame) -> DataFrame:
             yield out(group, elsewhere, salt)
 
     source = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sizes = source.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")).where(F.col("size") > GROUP_BYTES)
-    large = cut(sizes.select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"), F.col("size").alias("all")))
-    total = large.agg(F.sum("all")).first()[0] or 0
+    sizes = cut(source.groupBy("host").agg(F.sum(F.octet_length("html")).alias("size")))
+    is_large = F.col("size") > GROUP_BYTES
+    large = sizes.where(is_large).select("host", F.ceil(F.col("size") / GROUP_BYTES).alias("n"))
+    total, dealt_on = (x or 0 for x in sizes.agg(F.sum("size"), F.sum(F.when(is_large, F.col("size")))).first())
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, min(-(-total // TASK_BYTES), MAX_TASKS))
     n = F.coalesce("n", F.lit(1))
     dealt = source.join(small(large, 128), "host", "left").select(
         F.xxhash64("host", F.pmod(F.xxhash64("page_id"), n)).alias("dealt"), F.lit(1).alias("kind"), "page_id", "url", F.xxhash64("host").alias("host"), "html", n.alias("n")
     )
     rows = dealt.drop("n").mapInArrow(_read, "dealt long, kind int, page_id long, url string, host long, blocks array<struct<text:string,kind:tinyint>>")
     rows = rows.withColumn("keys", F.lit(None).cast("binary"))
-    if total:
-        found = shared_windows(dealt.where("n > 1").select("dealt", "host", "html"), -(-total // BUCKET_BYTES))
+    if dealt_on:
+        found = shared_windows(dealt.where("n > 1").select("dealt", "host", "html"), -(-dealt_on // BUCKET_BYTES), tasks)
         rows = rows.unionByName(found.select("dealt", F.lit(0).alias("kind"), "keys"), allowMissingColumns=True)
-    ordered = rows.repartition("dealt").sortWithinPartitions("dealt", "kind", "page_id")
+    ordered = rows.repartition(tasks, "dealt").sortWithinPartitions("dealt", "kind", "page_id")
     return ordered.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_removed long")
 
 
-def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
+def shared_windows(dealt: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """(dealt, keys): for each group of pages, packed keys of its windows that other groups hold too.
 
     ``dealt`` has the group, the host's hash and the html of each page. Keys travel packed, each once for a group and task, and meet by key in buckets of bounded size.
@@ -415,5 +420,5 @@ def shared_windows(dealt: DataFrame, buckets: int) -> DataFrame:
         if keys:
             yield meet(keys, groups)
 
-    sent = dealt.mapInArrow(send, "bucket long, keys binary, groups binary").repartition("bucket").sortWithinPartitions("bucket")
+    sent = dealt.mapInArrow(send, "bucket long, keys binary, groups binary").repartition(min(buckets, tasks), "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(receive, "dealt long, keys binary")
