@@ -10,7 +10,8 @@ with a threshold calibrated on a fifth of the labelled URLs, chosen by a hash, t
 models have not seen (on all of them where that fifth lacks a class): the point between both
 classes' means that lies equally many standard deviations from each.
 
-Labels come from the table and from ``REJECTED``, a bundled list of words. A URL is an
+Labels come from a table of labelled URLs where the caller has one; then nothing below about
+words applies. Else they come from the table itself and from ``REJECTED``, a bundled list of words. A URL is an
 example of what to reject when a word of its host is one of ``SEEDS`` or its host contains
 one of ``REJECTED`` of ``CONTAINED`` characters or more, else of what to accept unless a
 rule blocks it. Rules that block a section say nothing about how a bad URL looks, so their
@@ -18,12 +19,16 @@ URLs are not learned from. Every accepted example also gives one made example to
 itself with one label of its host replaced by words of ``REJECTED``, so that the rejected
 class has examples whatever the table holds, and both classes share endings and paths.
 
-All orders are sums over one table of four-character windows, which is broadcast only if
-counted to be small; the windows of a URL are joined with it.
+All orders are sums over one table of four-character windows. A table of at most
+``HEAD_GRAMS`` rows is broadcast. Of a larger one the windows that make up one in
+``HEAD_GRAMS`` of all windows' places are, which are no more than that by count; the others
+are joined by shuffle, and as none of them is frequent, no task gets a hot one.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and no windows; its
 score is 0 and the method allows it. Where no URL is accepted, the method blocks the
-rejected examples. Repeated rows give one result each. Other columns are ignored.
+rejected examples. Repeated rows give one result each. Very long URLs are judged whole.
+Labelled URLs without a host, or with another label than accept and reject, teach nothing; if
+the labelled table lacks a class, nothing is blocked. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, let, small
+from .shared import cut, let
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words that mark a host as an example of what to reject.
@@ -41,6 +46,7 @@ REJECTED = tuple(
 )
 CONTAINED = 5
 ORDER = 4
+HEAD_GRAMS = 1 << 17
 STRENGTH = 2.0
 #: One part of so many is held out of the models for the threshold.
 FOLDS = 5
@@ -91,7 +97,7 @@ def made(host: Column, path: Column) -> Column:
 
 
 def ratios(counts: DataFrame) -> DataFrame:
-    """gram and log P(accepted) - log P(rejected) of its last character, from (gram, a, r)."""
+    """gram and log P(accepted) - log P(rejected) of its last character, from (gram, n, a, r)."""
     last = F.substr("gram", F.lit(ORDER))
     whole = counts.agg(F.sum("a").alias("a"), F.sum("r").alias("r"), F.count_distinct(last).alias("alphabet")).first()
     out = counts
@@ -104,7 +110,17 @@ def ratios(counts: DataFrame) -> DataFrame:
             out = out.withColumn(f"s{order}", seen).withColumn(f"t{order}", total)
             p = (F.col(f"s{order}") + STRENGTH * p) / (F.col(f"t{order}") + STRENGTH)
         out = out.withColumn(f"log_{name}", F.log(p)).drop(*[f"{x}{k}" for k in range(ORDER) for x in "st"])
-    return out.select("gram", (F.col("log_a") - F.col("log_r")).alias("ratio"))
+    return out.select("gram", "n", (F.col("log_a") - F.col("log_r")).alias("ratio"))
+
+
+def with_ratios(grams: DataFrame, table: DataFrame, head: int = HEAD_GRAMS) -> DataFrame:
+    """The windows with their ratios from a table (gram, n, ratio), n being how often the window occurs."""
+    if table.limit(head + 1).count() <= head:
+        return grams.join(F.broadcast(table), "gram")
+    total = table.agg(F.sum("n")).first()[0]
+    often = F.col("n") * head >= total
+    first = F.broadcast(table.where(often))
+    return grams.join(first, "gram").unionByName(grams.join(first, "gram", "left_anti").join(table.where(~often), "gram"))
 
 
 def threshold_parts(spread: list) -> dict[str, tuple[float, float]]:
@@ -118,21 +134,27 @@ def threshold_parts(spread: list) -> dict[str, tuple[float, float]]:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row."""
+def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row; ``labelled`` (url, label: accept or reject) takes the place of the words."""
     host, path = parts(F.col("url"))
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id"), host.alias("host"), path.alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, seeds))) | F.col("host").rlike("|".join(w for w in REJECTED if len(w) >= CONTAINED))
-    rows = cut(rows.withColumns({"rule": rule, "action": action}).withColumn("label", F.when(bad, "r").when(F.coalesce("action", F.lit("allow")) == "allow", "a")))
+    rows = rows.withColumns({"rule": rule, "action": action})
+    if labelled is None:
+        rows = rows.withColumns({"label": F.when(bad, "r").when(F.coalesce("action", F.lit("allow")) == "allow", "a"), "asked": F.lit(True)})
+    else:
+        known = F.when(host != "", F.when(F.col("label") == "accept", "a").when(F.col("label") == "reject", "r"))
+        taught = labelled.select((-1 - F.monotonically_increasing_id()).alias("rid"), host.alias("host"), path.alias("path"), known.alias("label"), F.lit(False).alias("asked")).where("label is not null")
+        rows = rows.withColumns({"label": F.lit(None).cast("string"), "asked": F.lit(True)}).unionByName(taught, allowMissingColumns=True)
+    rows = cut(rows)
     text = F.concat("host", "path")
-    fakes = rows.where("label = 'a' and host != ''").select("rid", F.lit("m").alias("label"), made(F.col("host"), F.col("path")).alias("text"))
+    fakes = rows.where(F.lit(labelled is None)).where("label = 'a' and host != ''").select("rid", F.lit("m").alias("label"), made(F.col("host"), F.col("path")).alias("text"))
     held = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
     grams = rows.select("rid", "label", text.alias("text")).unionByName(fakes).select("rid", "label", held.alias("held"), F.explode(windows(F.col("text"))).alias("gram"))
     learn = ~F.col("held")
-    counts = grams.groupBy("gram").agg(F.count_if((F.col("label") == "a") & learn).alias("a"), F.count_if(F.col("label").isin("r", "m") & learn).alias("r"))
-    table = small(cut(ratios(cut(counts))), 48)
-    scores = cut(grams.join(table, "gram").groupBy("rid", (F.coalesce("label", F.lit("")) == "m").alias("made")).agg(F.avg("ratio").alias("score"), F.first("held").alias("held")))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"), F.count_if((F.col("label") == "a") & learn).alias("a"), F.count_if(F.col("label").isin("r", "m") & learn).alias("r"))
+    scores = cut(with_ratios(grams, cut(ratios(cut(counts)))).groupBy("rid", (F.coalesce("label", F.lit("")) == "m").alias("made")).agg(F.avg("ratio").alias("score"), F.first("held").alias("held")))
     scored = cut(rows.join(scores.where("not made").drop("made"), "rid", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
     examples = scored.where("label is not null and host != ''").select("label", "score", "held").unionByName(scores.where("made").select(F.lit("r").alias("label"), "score", "held"))
     spread = examples.groupBy("label", "held").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.avg(F.col("score") * F.col("score")).alias("q")).collect()
@@ -143,4 +165,4 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
         method = F.when((F.col("score") >= limit) | (F.col("host") == "") & (F.col("path") == ""), "allow").otherwise("block")
     else:
         method = F.when(F.col("label") == "r", "block").otherwise("allow")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")
+    return scored.where("asked").select("page_id", "host", "path", "rule", F.coalesce("action", method).alias("verdict"), "score")

@@ -232,6 +232,81 @@ def test_url_model_without_seed_words(spark):
     assert url_filter.judge(seeded).first().verdict == "block"
 
 
+def test_url_model_learns_from_labelled_urls(spark):
+    """Hosts of no listed word are blocked where labels teach it; the list plays no part then."""
+    rng = random.Random(6)
+    good = [f"http://{w}.example.org/{rng.randint(0, 99)}" for w in ("garden", "library", "weather", "casino-history") for _ in range(30)]
+    bad = [f"http://{w}.example.org/{rng.randint(0, 99)}" for w in ("luckyspin", "quickrich", "hotsingles") for _ in range(30)]
+    rows = [(u, "accept") for u in good] + [(u, "reject") for u in bad] + [(None, "reject"), ("http://z.org/", "other"), ("http://y.org/", None)]
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    probe = ["http://luckyspin777.example.org/1", "http://hotsingles-now.example.org/2", "http://gardens.example.org/3", "http://casino-history.example.org/4", None, "http://luckyspin.example.com/"]
+    pages = spark.createDataFrame([(i, u, "reject") for i, u in enumerate(probe)], "page_id long, url string, label string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labelled=labelled).collect()}
+    assert [got[i] for i in range(len(probe))] == ["block", "block", "allow", "allow", "allow", "allow"]
+    assert {r.verdict for r in url_filter.judge(pages, labelled=labelled.where("label = 'accept'")).collect()} == {"allow"}
+    assert {r.verdict for r in url_filter.judge(pages, labelled=labelled.limit(0)).collect()} == {"allow"}
+
+
+def test_url_scores_against_brute_force(spark, monkeypatch):
+    """Counts, back-off, means and the threshold in plain code, with the window table broadcast whole and in part."""
+    import math
+
+    import xxhash
+
+    rng = random.Random(7)
+    sets = {"accept": ("garden", "library", "wetter", "musée"), "reject": ("luckyspin", "quickrich", "singles")}
+    rows = [(f"http://{rng.choice(w)}{rng.randint(0, 9)}.{rng.choice(('org', 'net'))}/{rng.randint(0, 99)}", label) for label, w in sets.items() for _ in range(60)]
+    probe = [f"http://{rng.choice(('gardenspin', 'library', 'rich', 'x'))}{k}.org/a" for k in range(40)] + ["http://garden.org/" + "long/" * 400]
+
+    def windows_of(text):
+        padded = "~~~" + text
+        return [padded[k : k + 4] for k in range(len(text))]
+
+    learned = {"accept": collections.Counter(), "reject": collections.Counter()}
+    every, held = set(), []
+    for url, label in rows:
+        text = url.split("://")[1]
+        hashed = xxhash.xxh64_intdigest(text.encode(), 42)
+        if (hashed - (hashed >> 63 << 64)) % url_filter.FOLDS == 0:
+            held.append((text, label))
+        else:
+            for g in windows_of(text):
+                for order in range(4):
+                    learned[label][g[3 - order : 3], g[3]] += 1
+                    learned[label][g[3 - order : 3], None] += 1
+        every |= {g[3] for g in windows_of(text)}
+    for url in probe:
+        every |= {g[3] for g in windows_of(url.split("://")[1])}
+
+    def log_p(g, label):
+        p = 1 / (len(every) + 1)
+        for order in range(4):
+            c = learned[label]
+            p = (c[g[3 - order : 3], g[3]] + url_filter.STRENGTH * p) / (c[g[3 - order : 3], None] + url_filter.STRENGTH)
+        return math.log(p)
+
+    def score(text):
+        return sum(log_p(g, "accept") - log_p(g, "reject") for g in windows_of(text)) / len(text)
+
+    fit = {}
+    for label in sets:
+        x = [score(t) for t, k in held if k == label]
+        fit[label] = sum(x) / len(x), (sum(v * v for v in x) / len(x) - (sum(x) / len(x)) ** 2) ** 0.5
+    (am, a_s), (rm, rs) = fit["accept"], fit["reject"]
+    limit = (am * rs + rm * a_s) / (a_s + rs)
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    pages = spark.createDataFrame(list(enumerate(probe)), "page_id long, url string")
+    for head in (url_filter.HEAD_GRAMS, 20):
+        monkeypatch.setattr(url_filter.with_ratios, "__defaults__", (head,))
+        got = {r.page_id: r for r in url_filter.judge(pages, rules=(), labelled=labelled).collect()}
+        assert len(got) == len(probe)
+        for k, url in enumerate(probe):
+            expected = score(url.split("://")[1])
+            assert abs(got[k].score - expected) < 1e-9
+            assert got[k].verdict == ("allow" if expected >= limit else "block")
+    assert {r.verdict for r in got.values()} == {"allow", "block"}
+
+
 def said(turns):
     return hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
 
