@@ -412,6 +412,70 @@ def test_toxicity_learns_and_ignores_identity(spark):
     assert toxicity.score_corpus(docs.limit(0), table).count() == 0
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    """Words and prefixes found by a pattern, each hashed alone, present and present again; a very long text among them."""
+
+    rng = random.Random(11)
+    vocabulary = ["Ab", "abc", "ABCDE", "abcdefghij", "woman", "Muslim", "mü", "müßig", "x1", "zorgling", "12", "日本語"]
+    texts = [" ".join(rng.choice(vocabulary) + rng.choice(["", ",", "-", "\n", "'s"]) for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    texts += [None, "", "...", " ".join(f"w{k % 900} zorgling" for k in range(200_000))]
+    generator = np.random.default_rng(3)
+    model = toxicity.Model(generator.normal(0, 0.02, 1 << toxicity.BITS), -0.3)
+
+    def bucket(word, k):
+        raw = np.frombuffer(word, np.uint8)
+        h = toxicity.span_hashes(raw, np.array([0]), np.array([len(raw)]))
+        return int((toxicity.mix(h + np.uint64(k)) if k else h)[0] >> np.uint64(64 - toxicity.BITS))
+
+    def expected(text):
+        counts = {}
+        for word in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+            word = word.lower()  # of bytes: ASCII letters only
+            found = [bucket(word, 0)] + [bucket(word[:width], k) for k, width in enumerate(toxicity.PREFIXES, 1) if len(word) > width]
+            for f in found:
+                counts[f] = counts.get(f, 0) + 1
+        mask = (1 << toxicity.BITS) - 1
+        features = set(counts) | {f * 0x9E3B + 0x1F35B & mask for f, n in counts.items() if n > 1}
+        return 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[f]) for f in features))))
+
+    short = texts[:-1] + [" ".join(f"w{k % 900} zorgling" for k in range(1800))]  # has the features of the very long text
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.scores(docs, model).collect()}
+    for i, text in enumerate(short):
+        assert abs(got[i].score - expected(text)) < 1e-9 and got[i].predicted == (expected(text) >= 0.5), i
+
+
+def test_toxicity_fit_reaches_the_least_of_its_loss():
+    """Log loss, L2 and squared changes under swaps, written with whole matrices: the fitted weights have no slope left."""
+    rng = np.random.default_rng(8)
+    n, size = 120, 10
+    own = rng.random((n, size)) < 0.3
+    swapped = [np.where(rng.random((n, size)) < 0.2, ~own, own) for _ in range(2)]
+    named = rng.random(n) < 0.5
+    y = own[:, 0] ^ (rng.random(n) < 0.2)
+
+    def lists(m, use):
+        return tuple(x.astype(np.int64) for x in np.nonzero(m & use[:, None]))
+
+    def loss(w, b, penalty):
+        z = own @ w + b
+        weight = np.where(y, toxicity.TOXIC_WEIGHT, 1)
+        change = sum(((((own * 1.0 - s) @ w) * named) ** 2).sum() for s in swapped)
+        return (weight * np.where(y, np.logaddexp(0, -z), np.logaddexp(0, z))).sum() / n + toxicity.L2 / 2 * w @ w + penalty * change / n
+
+    for penalty in (0.0, 1.0):
+        w, b = toxicity._logistic(lists(own, np.ones(n, bool)), [lists(s, named) for s in swapped], y, named, size, penalty)
+        least = loss(w, b, penalty)
+        for k in range(size + 1):
+            for step in (-0.05, 0.05):
+                other = w + step * (np.arange(size) == k)
+                assert loss(other, b + step * (k == size), penalty) > least - 1e-4
+        changes = [np.abs(((own * 1.0 - s) @ w)[named]).mean() for s in swapped]
+        if penalty:
+            assert all(new < 0.5 * old for new, old in zip(changes, free, strict=True))
+        free = changes
+
+
 def test_lattice_probability_sums_all_segmentations():
     names = [b" a", b"a", b"b", b"ab", b" ab", b" "]
     p = np.array([0.2, 0.1, 0.1, 0.2, 0.1, 0.05, *[1e-5] * 256, 0.1])
