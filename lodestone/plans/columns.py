@@ -77,11 +77,11 @@ def repository_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", R.repository_name(remote).alias("repository"), branch.alias("branch"), R.safe_component(short, "branch").alias("component"), R.index_id(R.repository_name(remote), short, "v3").alias("index_id"), path.alias("normal"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'n-' || c_nationkey ELSE 'n-' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN '--v' ELSE '@b--v' END || c_custkey END AS project, c_custkey % 3 AS rank, c_custkey AS age, 'n-' || c_nationkey AS base FROM customer WHERE c_nationkey % 2 = 0 AND (c_custkey % 4 > 0 OR c_nationkey = 4)),
+@query("""WITH p AS (SELECT c_custkey AS k, CASE WHEN NOT (c_nationkey % 2 = 0 AND (c_custkey % 4 > 0 OR c_nationkey = 4)) THEN 'other-' || c_custkey WHEN c_custkey % 4 = 0 THEN 'n-' || c_nationkey ELSE 'n-' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN '--v' ELSE '@b--v' END || c_custkey END AS project, c_custkey % 3 AS rank, c_custkey AS age, CASE WHEN c_nationkey % 2 = 0 AND (c_custkey % 4 > 0 OR c_nationkey = 4) THEN 'n-' || c_nationkey ELSE 'other-' || c_custkey END AS base FROM customer),
   a AS (SELECT 'N_' || n_nationkey AS name, 'n-' || n_nationkey AS base FROM nation), j AS (SELECT name, project, row_number() OVER (PARTITION BY name ORDER BY (project <> a.base), rank DESC, age DESC, project) AS n FROM a JOIN p USING (base)) SELECT name, project FROM j WHERE n = 1""")
 def resolved_indexes(spark, d):
     named = "concat('n-', c_nationkey, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN concat('--v', c_custkey) ELSE concat('@b--v', c_custkey) END)"
-    projects = table(spark, d, "customer").where("c_nationkey % 2 = 0 AND (c_custkey % 4 > 0 OR c_nationkey = 4)").selectExpr(f"{named} AS project", "c_custkey % 3 AS chunker_rank", "c_custkey AS indexed_at")
+    projects = table(spark, d, "customer").selectExpr(f"IF(c_nationkey % 2 = 0 AND (c_custkey % 4 > 0 OR c_nationkey = 4), {named}, concat('other-', c_custkey)) AS project", "c_custkey % 3 AS chunker_rank", "c_custkey AS indexed_at")
     return catalog.resolve(projects, table(spark, d, "nation").selectExpr("concat('N_', n_nationkey) AS name"))
 
 
@@ -181,11 +181,11 @@ def progress(spark, d):
     return observe.progress(table(spark, d, "orders").selectExpr("o_custkey AS run", "o_orderstatus = 'F' AS done"))
 
 
-@query("""WITH b AS (SELECT s_nationkey AS r, count(*) AS branches, count_if(s_acctbal > 3000) AS tracked FROM supplier WHERE s_nationkey <> 3 GROUP BY 1), l AS (SELECT c_nationkey AS r, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 4 > 0 GROUP BY 1)
+@query("""WITH b AS (SELECT CASE WHEN s_nationkey = 3 THEN 103 ELSE s_nationkey END AS r, count(*) AS branches, count_if(s_acctbal > 3000) AS tracked FROM supplier GROUP BY 1), l AS (SELECT CASE WHEN c_nationkey % 4 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS r, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS s FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
   SELECT n_nationkey AS repository_id, coalesce(branches, 0) AS branches, coalesce(tracked, 0) AS tracked, coalesce(s, 'never') AS last_state FROM nation LEFT JOIN b ON b.r = n_nationkey LEFT JOIN l ON l.r = n_nationkey""")
 def repository_list(spark, d):
-    branches = table(spark, d, "supplier").where("s_nationkey != 3").selectExpr("s_nationkey AS repository_id", "s_acctbal > 3000 AS tracked")
-    runs = table(spark, d, "orders").join(table(spark, d, "customer").where("c_nationkey % 4 > 0").selectExpr("c_custkey AS o_custkey", "c_nationkey AS repository_id"), "o_custkey").selectExpr("repository_id", "o_orderstatus AS state", "o_orderdate AS started_at", "o_orderkey AS run_id")
+    branches = table(spark, d, "supplier").selectExpr("IF(s_nationkey = 3, 103, s_nationkey) AS repository_id", "s_acctbal > 3000 AS tracked")
+    runs = table(spark, d, "orders").join(table(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "IF(c_nationkey % 4 = 0, c_nationkey + 100, c_nationkey) AS repository_id"), "o_custkey").selectExpr("repository_id", "o_orderstatus AS state", "o_orderdate AS started_at", "o_orderkey AS run_id")
     return observe.repository_list(table(spark, d, "nation").selectExpr("n_nationkey AS repository_id"), branches, runs)
 
 

@@ -135,7 +135,7 @@ SQL: dict[str, str] = {
     "glob_filter": "SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages WHERE regexp_matches(regexp_replace(url, '^[a-z]+://', ''), '^(.*\\.example\\.com/.*|[^/]*/en/[^/]*\\.html|blog\\.[^/]*/de/[^/]*)$')",
     "redact": """SELECT doc_id, substring(regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '(?i)\\b(token|password|secret|authorization|api[_-]?key)[ \\t\\n\\x0B\\f\\r]*[:=][ \\t\\n\\x0B\\f\\r]*([^ \\t\\n\\x0B\\f\\r,;]+)', '\\1=<redacted>', 'g'), 1, 512) AS redacted FROM documents WHERE trim(text) <> ''""",
     "token_estimates": "SELECT doc_id, (floor(length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / 2.8 + (length(text) - length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))) * 0.6) + 1)::BIGINT AS estimate FROM documents",
-    "lifecycle_fold": """WITH e AS (SELECT user_id AS trace, event_id AS seq, CASE event_type WHEN 'click' THEN 'delta' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN 'completed' ELSE event_type END AS kind, abs(value) AS size, CASE WHEN event_id % 3 = 0 THEN 'm' || event_id % 5 END AS model FROM events WHERE event_type <> 'purchase' OR user_id % 2 = 0)
+    "lifecycle_fold": """WITH e AS (SELECT user_id AS trace, event_id AS seq, CASE event_type WHEN 'click' THEN 'delta' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'notice' END ELSE event_type END AS kind, abs(value) AS size, CASE WHEN event_id % 3 = 0 THEN 'm' || event_id % 5 END AS model FROM events)
         SELECT trace, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n_events, min(seq) FILTER (kind = 'delta') AS first_delta, round(sum(CASE WHEN kind = 'delta' THEN size ELSE 0 END), 4) AS delta_size, arg_max(model, seq) FILTER (model IS NOT NULL) AS model,
         CASE WHEN count_if(kind = 'completed') > 0 THEN 'completed' ELSE 'running' END AS status FROM e GROUP BY trace""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",

@@ -371,9 +371,8 @@ def token_estimates(spark, d):
 
 @query
 def lifecycle_fold(spark, d):
-    kind = F.when(F.col("event_type").isin("click", "view"), "delta").when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))
-    rows = table(spark, d, "events").where("event_type != 'purchase' or user_id % 2 = 0")
-    rows = rows.select(F.col("user_id").alias("trace"), F.col("event_id").alias("seq"), kind.alias("kind"), F.abs("value").alias("size"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string"))).alias("model"))
+    kind = F.when(F.col("event_type").isin("click", "view"), "delta").when(F.col("event_type") == "purchase", F.expr("IF(user_id % 2 = 0, 'completed', 'notice')")).otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("trace"), F.col("event_id").alias("seq"), kind.alias("kind"), F.abs("value").alias("size"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("m"), (F.col("event_id") % 5).cast("string"))).alias("model"))
     return history.lifecycle(rows, "trace", "seq").withColumn("delta_size", F.round("delta_size", 4))
 
 

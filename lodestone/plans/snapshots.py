@@ -242,13 +242,13 @@ def trace_metadata(spark, d):
     return kept.select("event_id", "source_count", F.transform("sources", lambda s: s["path"]).alias("paths"), "reference_count", "cited_count", F.col("profile")["embed_model"].alias("model"), F.size("profile").alias("n_profile"))
 
 
-@query("""WITH e AS (SELECT user_id AS request, event_id AS seq, CASE event_type WHEN 'click' THEN 'meta' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'error' ELSE 'done' END ELSE 'delta' END AS event, ['bad_request', 'llm_failed', 'other'][event_id % 3 + 1] AS code, props AS data FROM events WHERE event_id % 40 < user_id % 40),
+@query("""WITH e AS (SELECT user_id AS request, event_id AS seq, CASE WHEN event_id % 40 >= user_id % 40 THEN 'delta' WHEN event_type = 'click' THEN 'meta' WHEN event_type <> 'purchase' THEN 'delta' WHEN event_id % 2 = 0 THEN 'error' ELSE 'done' END AS event, ['bad_request', 'llm_failed', 'other'][event_id % 3 + 1] AS code, props AS data FROM events),
   f AS (SELECT *, min(CASE WHEN event IN ('error', 'done') THEN seq END) OVER (PARTITION BY request) AS fin FROM e)
   SELECT request, CASE WHEN max(fin) IS NULL THEN 500 WHEN any_value(event) FILTER (seq = fin) = 'done' THEN 200 ELSE CASE any_value(code) FILTER (seq = fin) WHEN 'bad_request' THEN 400 WHEN 'llm_failed' THEN 502 ELSE 500 END END AS status,
     arg_max(data, seq) FILTER (event = 'meta' AND (fin IS NULL OR seq < fin)) AS meta, any_value(data) FILTER (seq = fin) AS data FROM f GROUP BY request""")
 def collapsed_events(spark, d):
-    rows = table(spark, d, "events").where("event_id % 40 < user_id % 40").selectExpr(
-        "user_id AS request", "event_id AS seq", "CASE event_type WHEN 'click' THEN 'meta' WHEN 'purchase' THEN IF(event_id % 2 = 0, 'error', 'done') ELSE 'delta' END AS event", "array('bad_request', 'llm_failed', 'other')[int(event_id % 3)] AS code", "props AS data"
+    rows = table(spark, d, "events").selectExpr(
+        "user_id AS request", "event_id AS seq", "CASE WHEN event_id % 40 >= user_id % 40 THEN 'delta' WHEN event_type = 'click' THEN 'meta' WHEN event_type <> 'purchase' THEN 'delta' WHEN event_id % 2 = 0 THEN 'error' ELSE 'done' END AS event", "array('bad_request', 'llm_failed', 'other')[int(event_id % 3)] AS code", "props AS data"
     )
     return views.collapsed(rows)
 
