@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
-from ..operators import assemble, catalog, chunks, facts, history, observe
+from ..operators import assemble, catalog, facts, history, observe
 from ..streaming import sse
 from .queries import table
 
@@ -187,11 +187,3 @@ def repository_list(spark, d):
     branches = table(spark, d, "supplier").selectExpr("IF(s_nationkey = 3, 103, s_nationkey) AS repository_id", "s_acctbal > 3000 AS tracked")
     runs = table(spark, d, "orders").join(table(spark, d, "customer").selectExpr("c_custkey AS o_custkey", "IF(c_nationkey % 4 = 0, c_nationkey + 100, c_nationkey) AS repository_id"), "o_custkey").selectExpr("repository_id", "o_orderstatus AS state", "o_orderdate AS started_at", "o_orderkey AS run_id")
     return observe.repository_list(table(spark, d, "nation").selectExpr("n_nationkey AS repository_id"), branches, runs)
-
-
-@query("""SELECT doc_id, 1 AS n_chunks, length(trim(text)) AS n FROM documents WHERE length(text) BETWEEN 80 AND 1000 AND length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) >= 80 AND NOT regexp_matches(text, '[\\x0b\\x0c\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]')""")
-def short_window_chunks(spark, d):
-    """Texts that fit one window are one chunk, stripped."""
-    docs = table(spark, d, "documents").where(F.length("text").between(80, 1000) & ~F.col("text").rlike("[\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"))
-    found = chunks.chunk(docs.select("doc_id", F.lit("notes").alias("path"), "text")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("n"))
-    return found.select("doc_id", "n_chunks", "n")

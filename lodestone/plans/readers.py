@@ -48,6 +48,13 @@ WINDOWS = f"""t AS (SELECT doc_id, concat_ws('/', lang, source) AS path, regexp_
 SQL["line_window_chunks"] = f"WITH RECURSIVE {WINDOWS} SELECT doc_id, chunk_index, path, line_start, line_end, kind FROM numbered"
 
 
+@query(f"WITH RECURSIVE {WINDOWS} SELECT doc_id, count(*) AS n_chunks, max(length(text)) AS n FROM numbered GROUP BY doc_id")
+def short_window_chunks(spark, d):
+    """How many windows each document has, short ones one, and the length of its longest."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.concat_ws("/", "lang", "source").alias("path"), "text")
+    return chunks.chunk(docs).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("text")).alias("n"))
+
+
 @query(f"WITH RECURSIVE {WINDOWS} SELECT doc_id, chunk_index, line_start, line_end, text FROM numbered")
 def window_chunk_texts(spark, d):
     """The windows of all documents, long ones too, with their texts."""
