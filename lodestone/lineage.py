@@ -44,6 +44,11 @@ def small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.limit(limit // row_bytes + 1).count() * row_bytes <= limit else df
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The rows in tasks of about ``rows``, one a core at least: for passes whose work goes by rows and not by the bytes that a narrow table has."""
+    return df.repartition(max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A small table dealt to all cores, for passes that cost far more than its rows are wide; larger ones unchanged.
 

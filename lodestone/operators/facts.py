@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import is_test_path
-from .chunks import mounts, python_scopes, route_owners
+from .chunks import module_tree, mounts, python_scopes, route_owners
 
 FACTS = "path string, fact string, name string, target string, line_start int, line_end int"
 
@@ -37,23 +37,27 @@ def without_literals(source: str) -> str:
 
 def module_facts(source: str) -> list[tuple[str, str, str | None, int, int]]:
     """(fact, name, target, first line, last line): symbol, import, call, route, route_owner, mount and marker rows of one module."""
-    tree = ast.parse(source.removeprefix("﻿"))
-    scopes = python_scopes(source)
+    tree = module_tree(source)
+    scopes = python_scopes(tree)
     out = [("symbol", s["symbol"], s["kind"], s["line_start"], s["line_end"]) for s in scopes]
     owner: dict[int, str] = {}
     for s in sorted(scopes, key=lambda s: s["line_start"]):
         if s["kind"] in ("function", "method", "class"):
             owner |= dict.fromkeys(range(s["line_start"], s["line_end"] + 1), s["symbol"])
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    calls = [n for n in nodes if isinstance(n, ast.Call)]
+    for node in nodes:
         if isinstance(node, ast.Import):
             out += [("import", a.name, a.asname, node.lineno, node.lineno) for a in node.names]
         elif isinstance(node, ast.ImportFrom):
             out += [("import", f"{'.' * node.level}{node.module + '.' if node.module else ''}{a.name}", a.asname, node.lineno, node.lineno) for a in node.names]
         elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name | ast.Attribute):
             out.append(("call", owner.get(node.lineno, "(module)"), ast.unparse(node.func), node.lineno, node.end_lineno or node.lineno))
-    for method, path, line, router in route_owners(source):
+    for method, path, line, router in route_owners(tree, calls):
         out += [("route", method, path, line, line), ("route_owner", router, f"{method} {path}", line, line)]
-    out += [("mount", router, prefix, line, line) for router, prefix, line in mounts(source)]
+    out += [("mount", router, prefix, line, line) for router, prefix, line in mounts(tree, calls)]
+    if not any(m in source for m in ENTRY_MARKERS):
+        return out
     bare = without_literals(source)
     text = bare if '"__main__"' not in source and "'__main__'" not in source else bare + "\n__main__"
     out += [("marker", m, None, 1, 1) for m in ENTRY_MARKERS if m in text]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from ..lineage import dealt
 from ..operators import assemble, chunks, evaluate, facts, history
 from ..sources import corpus
 from .queries import edges, table
@@ -57,9 +58,13 @@ this takes the short section above into its own name.
 """
 
 
+#: Modules that one task parses.
+MODULES = 10_000
+
+
 def modules(spark, d):
     text = F.replace(F.lit(MODULE), F.lit("{k}"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    return dealt(table(spark, d, "part").select("p_partkey"), MODULES).select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("src/m"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
 
 
 def chunk_rows(spark, d, generation):

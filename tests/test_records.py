@@ -1,11 +1,13 @@
 """Identifier, prompt, assembly and fact operators on small tables."""
 
+import ast
 import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import records as R
+from lodestone.lineage import dealt
 from lodestone.operators import assemble, facts
 
 
@@ -98,3 +100,21 @@ def test_facts(spark):
 @pytest.mark.parametrize(("head", "indexed", "stale"), [("a", "a", False), ("a", "b", True), (None, "b", None)])
 def test_staleness(spark, head, indexed, stale):
     assert spark.createDataFrame([(head, indexed)], "h string, i string").select(R.stale(F.col("h"), F.col("i")).alias("x")).first().x is stale
+
+
+def test_a_module_is_parsed_once(monkeypatch):
+    """One parse a module, and blanked literals only where a marker stands in the text at all."""
+    parsed, blanked = [], []
+    parse, bare = ast.parse, facts.without_literals
+    monkeypatch.setattr(ast, "parse", lambda *a, **k: parsed.append(1) or parse(*a, **k))
+    monkeypatch.setattr(facts, "without_literals", lambda s: blanked.append(1) or bare(s))
+    source = 'from fastapi import APIRouter\nr = APIRouter(prefix="/p")\napp.include_router(r, prefix="/v")\n\n\n@r.get("/x")\ndef f():\n    return g()\n'
+    found = facts.module_facts(source)
+    assert ("route", "GET", "/v/p/x", 7, 7) in found and ("mount", "r", "/v", 3, 3) in found and ("call", "f", "g", 8, 8) in found
+    assert len(parsed) == 1 and not blanked
+    assert [f[1] for f in facts.module_facts('app = FastAPI()\nx = "Flask("\n') if f[0] == "marker"] == ["FastAPI("] and len(blanked) == 1
+
+
+def test_a_narrow_table_is_dealt_by_rows(spark):
+    assert dealt(spark.range(100_000, numPartitions=1), 5_000).rdd.getNumPartitions() == 20
+    assert dealt(spark.range(10, numPartitions=1), 5_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
