@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import is_test_path
+from ..lineage import cut
 from .chunks import module_tree, mounts, python_scopes, route_owners
 
 FACTS = "path string, fact string, name string, target string, line_start int, line_end int"
@@ -94,6 +95,7 @@ def entry_points(files: DataFrame, facts: DataFrame, limit: int = 6) -> DataFram
 
 def call_edges(facts: DataFrame) -> DataFrame:
     """Calls joined with the definitions that carry the called name's last part; ambiguous targets stay null."""
+    facts = cut(facts.where("fact in ('call', 'symbol')"))  # read twice, parsed once
     last = F.element_at(F.split("target", r"\."), -1)
     calls = facts.where("fact = 'call'").select("path", F.col("name").alias("caller"), F.col("target").alias("called"), "line_start", last.alias("key"))
     defined = facts.where("fact = 'symbol' and target in ('function', 'method', 'class')").select(F.element_at(F.split("name", r"\."), -1).alias("key"), F.struct("path", "name").alias("d"))
