@@ -178,5 +178,5 @@ def mounted_routes(spark, d):
     """Every third module's router is mounted by another module under a prefix of its own."""
     key = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("from src import m"), key, F.lit("\nfrom src.m"), key, F.lit(" import router as r\napp.include_router("), F.when(F.col("p_partkey") % 2 == 0, "r").otherwise(F.concat(F.lit("m"), key, F.lit(".router"))), F.lit(", prefix='/v"), key, F.lit("')\n"))
-    mains = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.concat(F.lit("src/main"), key, F.lit(".py")).alias("path"), text.alias("text"))
+    mains = dealt(table(spark, d, "part").select("p_partkey").where("p_partkey % 3 = 0"), MODULES).select(F.concat(F.lit("src/main"), key, F.lit(".py")).alias("path"), text.alias("text"))
     return facts.mounted_routes(facts.python_facts(modules(spark, d).select("path", "text").unionByName(mains)))
