@@ -1,5 +1,7 @@
 """Golden chunks of small Python sources."""
 
+import pyarrow as pa
+
 from lodestone.operators.python_chunks import definitions, enclosing, python_chunks
 
 SOURCE = '''"""Pays."""
@@ -141,3 +143,28 @@ def h(): ...
     assert [(m, p) for m, p, _, _ in route_owners(source)] == [
         ("POST", "/sub/made here"), ("GET", "/module's own"), ("GET", "/class/of the class"), ("GET", "/api/of the module"), ("GET", "/unknown owner"), ("GET", "/api/both"), ("PUT", "/api/both"),
     ]
+
+
+def test_chunks_leave_a_task_in_slices(spark, monkeypatch):
+    """However many rows a batch has, no more than a slice of chunks is held; all chunks come, a null id too."""
+    from lodestone.operators import chunks
+
+    monkeypatch.setattr(chunks, "SLICE_BYTES", 2_000)
+    held = []
+    made = pa.RecordBatch.from_pylist
+
+    class Counted:
+        from_pylist = staticmethod(lambda rows, schema: held.append(sum(len(r["text"]) for r in rows)) or made(rows, schema))
+
+    text = "\n".join(f"line {i} of some text that is long enough" for i in range(200))
+    docs = spark.createDataFrame([(None if i == 3 else i, "a.txt", text) for i in range(20)], "doc_id int, path string, text string")
+    found = chunks.chunk(docs).collect()
+    want = list(chunks.line_windows(text))
+    assert len(found) == 20 * len(want) and sum(r.doc_id is None for r in found) == len(want)
+    # the same function outside of Spark
+    run = {}
+    fake = type("Rows", (), {"select": lambda self, *a: self, "mapInArrow": lambda self, f, schema: run.update(f=f)})()
+    chunks.chunk(fake)
+    monkeypatch.setattr(pa, "RecordBatch", Counted)
+    list(run["f"]([made([{"doc_id": i, "path": "a.txt", "text": text} for i in range(20)])]))
+    assert len(held) > 20 and max(held) <= 2_000 + 1_300
