@@ -38,15 +38,15 @@ def folded(rows: DataFrame, by: tuple[str, ...], order: list, inputs: tuple[str,
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
-def fitting(rows: DataFrame, by: tuple[str, ...], order: list, size: str, limit: int, most: int | None = None) -> DataFrame:
-    """Rows with ``fits``: whether one still fits the group's budget (and count) when its turn comes; one that does not is passed over."""
+def fitting(rows: DataFrame, by: tuple[str, ...], order: list, size: str, limit: int | None, most: int | None = None) -> DataFrame:
+    """Rows with ``fits``: whether one still fits the group's budget (and count; null is none) when its turn comes; one that does not is passed over."""
 
     def start():
         held, n = 0, 0
 
         def step(x):
             nonlocal held, n
-            ok = held + (x or 0) <= limit and (most is None or n < most)
+            ok = (limit is None or held + (x or 0) <= limit) and (most is None or n < most)
             if ok:
                 held, n = held + (x or 0), n + 1
             return ok

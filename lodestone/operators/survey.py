@@ -40,11 +40,12 @@ def walk_order(path: Column) -> Column:
     return F.transform(parts, lambda p, i: F.struct((i < F.size(parts) - 1).alias("folder"), p.alias("name")))
 
 
-def survey_files(files: DataFrame, exclude: str = "", max_bytes: int = 400_000, total_bytes: int = 40_000_000, most: int = 4000) -> DataFrame:
+def survey_files(files: DataFrame, exclude: str = "", max_bytes: int = 400_000, total_bytes: int | None = 40_000_000, most: int | None = 4000) -> DataFrame:
     """repo, path, length, kind, reason of files (repo, path, length, is_link); those with a reason are not read.
 
     ``unit`` names what a reason counts: the topmost folder that is left out, or the file.
-    Sizes add up in the order of a walk; a file that does not fit is passed over.
+    Sizes add up in the order of a walk; a file that does not fit is passed over. Without
+    ``total_bytes`` and ``most`` a repository has no budget, and files are not put in order.
     """
     parts = F.split("path", "/")
     name, suffix = F.element_at(parts, -1), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
@@ -59,6 +60,8 @@ def survey_files(files: DataFrame, exclude: str = "", max_bytes: int = 400_000,
     reason = F.when(folder.isNotNull(), "excluded_directory").when(hidden, "excluded_file").when(~(suffix.isin(*CODE_SUFFIXES) | document | config), "unsupported_extension").when(F.col("length") > max_bytes, "survey_size_limit")
     kind = F.when(is_test(F.col("path")), "test").when(config, "config").when(document, "doc").otherwise("code")
     judged = files.select("repo", "path", "length", F.coalesce(folder, "path").alias("unit"), reason.alias("reason"), kind.alias("kind"))
+    if total_bytes is None and most is None:
+        return judged.select("repo", "path", "length", "unit", "reason", "kind")
     fits = fitting(judged.where("reason is null").withColumn("walk", walk_order(F.col("path"))), ("repo",), ["walk"], "length", total_bytes, most)
     kept = fits.select("repo", "path", "length", "unit", F.when(~F.col("fits"), "survey_size_limit").alias("reason"), "kind")
     return judged.where("reason is not null").unionByName(kept)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import catalog, chunks, evaluate, history, retrieval
+from lodestone.operators import catalog, chunks, evaluate, history, retrieval, store, survey
 from lodestone.sources import corpus
 from lodestone.streaming import sse
 
@@ -346,3 +346,33 @@ def test_one_claim_takes_a_lease(spark):
     runs = spark.createDataFrame([(9, 2, "running", 4, 100)], "run_id long, repository_id long, state string, generation long, lease_until int")
     got = sorted(tuple(r) for r in store.lease_claims(asked, known, runs, F.lit(50)).select("repository_id", "outcome").collect())
     assert got == [(1, "already_running"), (1, "claimed"), (2, "already_running"), (3, "not_found")]
+
+
+def test_choose_branch_meets_no_pairs_of_branches(spark):
+    """Equal to the rule on awkward rows, and one row each side of every join."""
+    branches = spark.createDataFrame([(1, 2, "b1", "h1", "p2", True), (1, 1, "b0", "h0", "p1", True), (1, 5, "b1", "h5", "p5", True), (1, 0, "b9", "h5", "p0", False), (2, 3, None, "h1", "p3", True), (None, 1, "b1", "h1", "pn", True), (4, 1, "b", "h", None, True)], "repository_id int, position int, branch string, head string, project_id string, tracked boolean")
+    asked = spark.createDataFrame([(1, "h5", "b1", "r"), (1, "h5", "b7", "r"), (1, "x", "b7", "r"), (1, None, "b1", "r"), (2, "h1", None, "r"), (3, "abcdefghij", "b", "r"), (None, "h1", "b1", "n"), (4, "h", "b", "r"), (1, "x", "b7", "r")], "repository_id int, commit string, branch string, name string")
+    got = store.choose_branch(asked, branches)
+    want = {(1, "h5", "b1"): "p2", (1, "h5", "b7"): "p5", (1, "x", "b7"): "p1", (1, None, "b1"): "p2", (2, "h1", None): "p3", (3, "abcdefghij", "b"): "r-abcdefgh", (None, "h1", "b1"): "n-h1", (4, "h", "b"): "r-h"}
+    assert {(r.repository_id, r.commit, r.branch): r.project_id for r in got.collect()} == want and got.count() == len(want)
+    # one repository of 3,000 asked and 3,000 branches: nine million pairs before
+    many = spark.range(3_000).selectExpr("1 AS repository_id", "id AS position", "concat('b', id) AS branch", "concat('h', id) AS head", "concat('p', id) AS project_id", "true AS tracked")
+    joined = store.choose_branch(spark.range(3_000).selectExpr("1 AS repository_id", "concat('h', id) AS commit", "'none' AS branch", "'r' AS name"), many)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert joined.count() == 3_000 and all("position" not in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_a_survey_without_a_budget_leaves_no_file_out(spark):
+    rows = spark.range(5_000).selectExpr("'r' AS repo", "concat('src/f', id, '.py') AS path", "20000L AS length", "false AS is_link")
+    assert survey.survey_files(rows).where("reason is null").count() == 2_000  # 40 MB
+    assert survey.survey_files(rows, total_bytes=None).where("reason is null").count() == 4_000
+    assert survey.survey_files(rows, total_bytes=None, most=None).where("reason is null").count() == 5_000
+    assert survey.survey_files(rows, most=None).where("reason is null").count() == 2_000
+
+
+def test_the_registered_survey_has_no_budget(spark, tmp_path):
+    """Larger than the default budget of a repository: every third of 13,500 pages."""
+    from lodestone.plans import surveys
+
+    spark.range(13_500).selectExpr("id AS page_id", "'http://x' AS url", "repeat('x', 10) AS html").write.parquet(f"{tmp_path}/pages.parquet")
+    assert surveys.QUERIES["survey_files"](spark, str(tmp_path)).where("reason = 'survey_size_limit'").count() == 0
