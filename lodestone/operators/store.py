@@ -148,10 +148,14 @@ def choose_branch(asked: DataFrame, branches: DataFrame) -> DataFrame:
     The named tracked branch or one whose head is the commit, whichever comes first, else
     the first tracked branch, else a name made of repository and commit.
     """
-    tracked = branches.where("tracked").select("repository_id", "position", F.col("branch").alias("b"), "head", "project_id")
-    joined = asked.join(tracked, "repository_id", "left")
-    hit = F.coalesce((F.col("b") == F.col("branch")) | (F.col("head") == F.col("commit")), F.lit(False))
-    best = joined.groupBy("repository_id", "commit", "branch", "name").agg(F.min_by("project_id", F.struct(~hit, "position")).alias("project_id"))
+    place = F.min(F.struct("position", "project_id"))
+    tracked = branches.where("tracked")
+    # the first branch of each name, of each head and of all: an answer meets three rows and not all branches of its repository
+    named = tracked.groupBy("repository_id", "branch").agg(place.alias("_named"))
+    headed = tracked.groupBy("repository_id", F.col("head").alias("commit")).agg(place.alias("_headed"))
+    first = tracked.groupBy("repository_id").agg(place.alias("_first"))
+    joined = asked.select("repository_id", "commit", "branch", "name").distinct().join(named, ["repository_id", "branch"], "left").join(headed, ["repository_id", "commit"], "left").join(first, "repository_id", "left")
+    best = joined.withColumn("project_id", F.coalesce(F.least("_named", "_headed"), "_first")["project_id"])
     return best.select("repository_id", "commit", "branch", F.coalesce("project_id", F.concat("name", F.lit("-"), F.left("commit", F.lit(8)))).alias("project_id"))
 
 
