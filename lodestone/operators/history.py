@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_right
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut, small
+from ..lineage import cut, shared_dir, small
+
+#: Edges of a graph that one task walks at a time.
+BLOCK_EDGES = 1 << 19
 
 
 def latest(df: DataFrame, by: tuple[str, ...], order: tuple[Column, ...]) -> DataFrame:
@@ -83,25 +88,103 @@ def commit_status(state: Column, done: Column, locator: Column) -> Column:
     )
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, local_bytes: int = 8 << 20) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, local_bytes: int = 8 << 20, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """start and every node that is reached over (child, parent) edges, the start included.
 
     A graph whose counted edges fit ``local_bytes`` goes to every task as adjacency arrays
-    and each start is walked there. A larger one is walked level by level: the frontier is
-    joined with the edges and cut down to nodes not seen before, so each node is expanded
-    once for each start, whatever the number of paths to it.
+    and each start is walked there. A larger one is walked block by block, see ``_by_blocks``.
     """
     edges = edges.where("parent is not null")
     if edges.limit(local_bytes // 16 + 1).count() * 16 <= local_bytes:
         return _walked(edges, starts)
-    seen = cut(starts.select(F.col("node").alias("start"), "node").distinct())
-    frontier = seen
+    return _by_blocks(edges, starts, block_edges)
+
+
+def _by_blocks(edges: DataFrame, starts: DataFrame, block_edges: int) -> DataFrame:
+    """Ancestors in a graph that no task holds.
+
+    Children are dealt to ranges of ids of about ``block_edges`` edges. A round walks each
+    block that was entered as deep as its edges lead, with what earlier rounds saw there, and
+    hands on the parents that lie in other blocks. So each node is expanded once for each
+    start, and rounds are as many as the blocks that a path enters, never more than levels.
+    """
+    spark = edges.sparkSession
+    edges = cut(edges.select(F.col("child").cast("long").alias("a"), F.col("parent").cast("long").alias("b")).where("a is not null"))
+    starts = cut(starts.where("node is not null").select(F.col("node").cast("long").alias("node")).distinct())
+    blocks = -(-edges.count() // block_edges) or 1
+    ends = sorted(set(edges.agg(F.percentile_approx("a", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or [])) if blocks > 1 else []
+    lanes = max(1, min(starts.count(), spark.sparkContext.defaultParallelism))
+    block = lambda node: F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= node)) if ends else F.lit(0)
+    lane = F.pmod(F.xxhash64("a"), F.lit(lanes)).cast("int")
+    root = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    edges.withColumn("block", block(F.col("a")).cast("int")).write.partitionBy("block").parquet(f"{root}/edges")
+    at = lambda name: spark.read.schema("a long, b long, block int").parquet(f"{root}/{name}")
+    entered, found, rounds = starts.select(F.col("node").alias("a"), F.col("node").alias("b"), block(F.col("node")).cast("int").alias("block")), [], []
+    walk = _block_walk(ends)
     while True:
-        step = frontier.join(edges, F.col("node") == F.col("child")).select("start", F.col("parent").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
-        if not frontier.limit(1).count():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+        active = [r[0] for r in entered.select("block").distinct().collect()]  # numbers of blocks
+        if not active:
+            break
+        rows = at("edges").where(F.col("block").isin(active)).select("block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(None).cast("long").alias("start"), F.lit(0).alias("kind"), "a", "b")
+        seen = [at(f"seen{i}").where(F.col("block").isin(active)) for i, held in enumerate(rounds) if held & set(active)]
+        for kind, part in [*((1, s) for s in seen), (2, entered)]:
+            rows = rows.unionByName(part.select("block", lane.alias("lane"), F.col("a").alias("start"), F.lit(kind).alias("kind"), "a", "b"))
+        dealt = rows.repartition(min(len(active) * lanes, 4 * spark.sparkContext.defaultParallelism), "block", "lane").sortWithinPartitions("block", "lane", "start", "kind")
+        step = cut(dealt.mapInArrow(walk, "start long, node long, inside boolean"))
+        new = step.where("inside").select(F.col("start").alias("a"), F.col("node").alias("b"), block(F.col("node")).cast("int").alias("block"))
+        new.write.partitionBy("block").parquet(f"{root}/seen{len(rounds)}")
+        entered = step.where("not inside").select(F.col("start").alias("a"), F.col("node").alias("b"), block(F.col("node")).cast("int").alias("block"))
+        found.append(step.where("inside").select("start", "node"))
+        rounds.append(set(active))
+    return reduce(DataFrame.unionByName, found) if found else starts.select(F.col("node").alias("start"), "node")
+
+
+def _block_walk(ends: list[int]):
+    import pyarrow as pa
+
+    def pack(start, inside, across):
+        nodes = inside + across
+        return pa.RecordBatch.from_arrays([pa.array([start] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array([True] * len(inside) + [False] * len(across))], names=["start", "node", "inside"])
+
+    def explore(block, parents, seen, entries):
+        """Nodes that are new in the block, and parents of them that lie elsewhere."""
+        inside, across = [], set()
+        for e in entries:
+            if e in seen:
+                continue
+            seen.add(e)
+            open_ = [e]
+            while open_:
+                node = open_.pop()
+                inside.append(node)
+                for p in parents.get(node, ()):
+                    if bisect_right(ends, p) != block:
+                        across.add(p)
+                    elif p not in seen:
+                        seen.add(p)
+                        open_.append(p)
+        return inside, list(across)
+
+    def walk(batches):
+        place, start, parents, seen, entries = None, None, {}, set(), []
+        for batch in batches:
+            for b, l, s, kind, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (b, l) != place or s != start:
+                    if entries:
+                        yield pack(start, *explore(place[0], parents, seen, entries))
+                    if (b, l) != place:
+                        parents = {}
+                    place, start, seen, entries = (b, l), s, set(), []
+                if kind == 0:
+                    parents.setdefault(x, []).append(y)
+                elif kind == 1:
+                    seen.add(y)
+                else:
+                    entries.append(y)
+        if entries:
+            yield pack(start, *explore(place[0], parents, seen, entries))
+
+    return walk
 
 
 def _walked(edges: DataFrame, starts: DataFrame) -> DataFrame:

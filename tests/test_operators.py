@@ -376,3 +376,26 @@ def test_the_registered_survey_has_no_budget(spark, tmp_path):
 
     spark.range(13_500).selectExpr("id AS page_id", "'http://x' AS url", "repeat('x', 10) AS html").write.parquet(f"{tmp_path}/pages.parquet")
     assert surveys.QUERIES["survey_files"](spark, str(tmp_path)).where("reason = 'survey_size_limit'").count() == 0
+
+
+def test_ancestors_block_by_block(spark):
+    """Chains of hundreds of levels take as many rounds as the blocks that they enter, and equal plain code."""
+    pairs = [(n, n // 2) for n in range(2, 1_200)] + [(n, n - 3) for n in range(6, 1_200, 3)] + [(5_000, 4), (7, 6_000), (6_000, None)]
+    up = {}
+    for child, parent in pairs:
+        up.setdefault(child, []).append(parent)
+    edges = spark.createDataFrame(pairs, "child long, parent long")
+    starts = [1_199, 1_197, 1_100, 5_000, 9_999, 7]
+    want = set()
+    for start in starts:
+        todo, seen = [start], {start}
+        while todo:
+            for p in up.get(todo.pop(), ()):
+                if p is not None and p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        want |= {(start, node) for node in seen}
+    frame = spark.createDataFrame([(s,) for s in [*starts, 7, None]], "node long")
+    for block_edges in (1 << 19, 400):
+        rows = history.ancestors(edges, frame, 0, block_edges).collect()
+        assert len(rows) == len(want) and {(r.start, r.node) for r in rows} == want
