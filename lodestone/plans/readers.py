@@ -27,9 +27,9 @@ def query(sql: str):
 
 @query("SELECT lang, source, 'doc' AS type, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS text_bytes FROM documents WHERE source <> 'src1' GROUP BY ALL")
 def scanned_tree(spark, d):
-    """Documents written as a tree of text files, one folder of which the scan leaves out by a glob."""
+    """Documents written as a tree of text files of 512 documents at most, one folder of which the scan leaves out by a glob."""
     root = f"{shared_dir(spark)}/lodestone-tree-{uuid.uuid4().hex}"
-    table(spark, d, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("value")).repartition("lang", "source").write.partitionBy("lang", "source").text(root)
+    table(spark, d, "documents").select("lang", "source", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("lang", "source").option("maxRecordsPerFile", 512).text(root)
     found = corpus.scan(spark, root, "**/source=src1/**", 1 << 40)
     part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)/", 1).alias(name)
     return found.groupBy(part("lang"), part("source"), "type").agg(F.sum("length").alias("length"), F.sum(F.octet_length("text").cast("long")).alias("text_bytes"))

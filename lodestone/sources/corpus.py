@@ -63,14 +63,20 @@ def source_files(spark: SparkSession, root: str, exclude: str = "", max_bytes: i
 
 
 def scan(spark: SparkSession, root: str, exclude: str = "", max_bytes: int = 400_000) -> DataFrame:
-    """path (relative to the root), type, length, sha256 and text of a source tree; undecodable and binary files are dropped."""
+    """path (relative to the root), type, length, sha256 and text of a source tree; undecodable and binary files are dropped.
+
+    Files in UTF-8 are decoded by Spark; only others go to Python, so a batch of large files is none of its.
+    """
 
     @F.pandas_udf("string")
     def decoded(raw: pd.Series) -> pd.Series:
         return raw.map(decode_bytes)
 
     kept = source_files(spark, root, exclude, max_bytes)
-    return kept.select("path", kind_of(F.col("path")).alias("type"), "length", F.sha2("content", 256).alias("sha256"), decoded("content").alias("text")).where("text is not null")
+    plain = F.col("content").cast("string")
+    valid = F.is_valid_utf8(plain)
+    text = F.when(valid, F.when(~F.contains(F.left(plain, F.lit(4096)), F.lit("\0")), plain)).otherwise(decoded(F.when(~valid, F.col("content"))))
+    return kept.select("path", kind_of(F.col("path")).alias("type"), "length", F.sha2("content", 256).alias("sha256"), text.alias("text")).where("text is not null")
 
 
 def suite(spark: SparkSession, path: str) -> DataFrame:

@@ -227,3 +227,40 @@ def test_equal_trees_change_nothing(spark):
     same = spark.createDataFrame([("a", "1", "x\n")], "path string, sha string, text string")
     assert similar.tree_changes(same, same).count() == 0
     assert history.renames(same, same).count() == 0
+
+
+def test_a_scan_decodes_utf8_in_spark(spark, tmp_path, monkeypatch):
+    """Texts as ``decode_bytes`` gives them, and no file in UTF-8 reaches Python."""
+    from lodestone.operators.chunks import decode_bytes
+    from lodestone.sources import corpus
+
+    files = {"a.txt": b"plain \xed\x95\x9c", "b.txt": b"\xef\xbb\xbfmark", "c.txt": "한글".encode("cp949"), "d.txt": b"caf\xe9 \xff\xfe\xfd", "e.txt": b"x\0y", "f.txt": b"y" * 5000 + b"\0", "h.txt": b"\xed\xa0\x80z"}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path: r.text for r in corpus.scan(spark, str(tmp_path)).collect()}
+    assert got == {name: text for name, raw in files.items() if (text := decode_bytes(raw)) is not None}
+
+    def refuse(raw):
+        if raw is not None:
+            raise AssertionError("a file in UTF-8 went to Python")
+
+    monkeypatch.setattr(corpus, "decode_bytes", refuse)
+    valid = corpus.scan(spark, str(tmp_path), "c.txt,d.txt,h.txt")
+    assert {r.path for r in valid.collect()} == {"a.txt", "b.txt", "f.txt"}
+
+
+def test_postings_look_tokens_up_in_slices(spark, monkeypatch):
+    """The same postings whatever the slice, and no more rows than it at once."""
+    rows = spark.createDataFrame([(i, f"w{i % 3} w{i % 3} x{i}") for i in range(50)] + [(50, None), (51, "")], "doc_id long, text string").coalesce(1)
+    whole = sorted(map(str, retrieval.postings(rows, ["w0", "w2", "x7"]).collect()))
+    monkeypatch.setattr(retrieval, "POSTING_ROWS", 7)
+    seen = {}
+    fake = type("Tokens", (), {"sparkSession": spark, "select": lambda self, *a: self, "mapInArrow": lambda self, f, schema: seen.update(f=f)})()
+    monkeypatch.setattr(retrieval, "document_tokens", lambda *a: fake)
+    retrieval.postings(fake, ["w0", "w2", "x7"])
+    import pyarrow as pa
+
+    tokens = pa.RecordBatch.from_pydict({"doc_id": list(range(52)), "tokens": [[f"w{i % 3}", f"w{i % 3}", f"x{i}"] for i in range(50)] + [[], []]})
+    parts = list(seen["f"]([tokens]))
+    assert max(p.num_rows for p in parts) == 7 and sum(p.num_rows for p in parts) == len(whole) == 52
+    assert sum(len(t) for p in parts for t in p.column(2).to_pylist()) == sum(i % 3 in (0, 2) for i in range(50)) + 1
