@@ -11,6 +11,8 @@ from ..lineage import cut, small
 
 K1, B, RRF_K = 1.5, 0.75, 60
 SYMBOL_POOL = 100
+#: Documents whose tokens are looked up at a time.
+POSTING_ROWS = 256
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...], order: list[Column]) -> DataFrame:
@@ -55,7 +57,7 @@ def postings(docs: DataFrame, terms: list[str]) -> DataFrame:
     handle = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))  # the terms of one block of questions
 
     def find(batches):
-        for batch in batches:
+        for batch in (b.slice(at, POSTING_ROWS) for b in batches for at in range(0, b.num_rows, POSTING_ROWS)):
             lists = batch.column(1)
             dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             place = pc.index_in(lists.flatten(), value_set=handle.value)
