@@ -11,7 +11,7 @@ ends where everything that is left is common. It touches the part of the history
 two differ, and not all their ancestors.
 
 Graphs whose counted edges fit ``local_bytes`` go to every task as arrays with their labels.
-Larger ones are compared by joins on ancestors that are walked level by level.
+Larger ones are compared by joins on ancestors that are walked block by block.
 """
 
 from __future__ import annotations
