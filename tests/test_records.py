@@ -118,3 +118,10 @@ def test_a_module_is_parsed_once(monkeypatch):
 def test_a_narrow_table_is_dealt_by_rows(spark):
     assert dealt(spark.range(100_000, numPartitions=1), 5_000).rdd.getNumPartitions() == 20
     assert dealt(spark.range(10, numPartitions=1), 5_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_edges_and_mounts_do_not_parse_again(spark):
+    """Facts are stored before they are used more than once."""
+    found = facts.python_facts(spark.createDataFrame([("a.py", "def f():\n    return g()\n")], "path string, text string"))
+    for made in (facts.call_edges(found), facts.mounted_routes(found)):
+        assert "MapInPandas" not in made._jdf.queryExecution().optimizedPlan().toString()
