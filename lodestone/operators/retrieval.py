@@ -224,10 +224,11 @@ def gate(hits: DataFrame, threshold: float, k: int, questions: DataFrame | None
     return out.select("qid", "top_score", evidence.alias("has_evidence"), F.when(evidence, "ok").when(F.col("top_score").isNull(), "empty_index").otherwise("below_threshold").alias("reason"), F.transform("passed", lambda h: h["id"]).alias("contexts"))
 
 
-def reranked(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, use_bm25: bool = True, cap: int = 0, demote: str = "", names: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+def reranked(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *, pool: int = 20, k: int = 4, use_bm25: bool = True, cap: int = 0, demote: str = "", cap_by: str = "path", names: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """qid, id, rank, score of all questions' hits: vector pool, lexical pool, fusion, rerank, symbol matches first.
 
-    ``names`` has qid and names (symbols that the question names), ``symbols`` id and symbol; both are needed for the last rerank.
+    ``cap_by`` is the column of ``docs`` of which ``cap`` hits come first. ``names`` has qid and names (symbols that the
+    question names), ``symbols`` id and symbol; both are needed for the last rerank.
     """
     own = max(pool if use_bm25 or cap or demote else k, k)
     widest = own
@@ -244,7 +245,7 @@ def reranked(questions: DataFrame, docs: DataFrame, query_vectors: DataFrame, ve
     semantic = pooled(vector_top_k(query_vectors, vectors, widest)).withColumnRenamed("vec_id", "id")
     hits = rrf(semantic, pooled(bm25(questions, docs, widest)).withColumnRenamed("doc_id", "id")) if use_bm25 else semantic
     if cap or demote:
-        hits = cap_rerank(hits.join(docs.select(F.col("doc_id").alias("id"), "path"), "id"), cap, demote).drop("rank").withColumnRenamed("new_rank", "rank")
+        hits = cap_rerank(hits.join(docs.select(F.col("doc_id").alias("id"), "path", F.col(cap_by).alias("_of")), "id"), cap, demote, cap_by="_of").drop("rank").withColumnRenamed("new_rank", "rank")
     if names is not None and symbols is not None:
         hits = grade_rerank(hits, symbol_grades(names, symbols)).drop("rank", "grade").withColumnRenamed("new_rank", "rank")
     if use_bm25:  # a question without vector hits has no evidence to order, whatever the lexical list says
