@@ -10,8 +10,13 @@ Merge bases and counts come from one walk down from both commits in order of gen
 ends where everything that is left is common. It touches the part of the history in which the
 two differ, and not all their ancestors.
 
-Graphs whose counted edges fit ``local_bytes`` go to every task as arrays with their labels.
-Larger ones are compared by joins on ancestors that are walked block by block.
+Graphs whose counted edges fit ``local_bytes`` go to every task as arrays with their labels,
+if pairs are few. But two commits may differ in most of the history, so many pairs, and pairs
+in larger graphs, are not walked one by one: a task takes a block of pairs and passes the graph once, children before parents, with
+an integer for each commit whose bits say which pairs' ends reach it. A pass costs what one
+walk does. Integers that are held at once fit ``MASK_BYTES``, or the block is halved.
+Graphs beyond ``array_bytes``, and large ones with a cycle, are compared by joins on ancestors that are
+walked block by block.
 """
 
 from __future__ import annotations
@@ -26,6 +31,14 @@ from ..lineage import cut
 from .history import ancestors
 
 LOCAL_BYTES = 8 << 20
+#: Pairs that are walked one by one.
+WALKED = 128
+#: Edges of a graph that every task holds, 16 bytes each.
+ARRAY_BYTES = 256 << 20
+#: Integers that a pass over the graph holds at once.
+MASK_BYTES = 384 << 20
+#: Commits whose integers are counted at a time.
+COUNTED = 1 << 13
 COMPARED = "base long, target long, base_is_ancestor boolean, merge_bases array<long>, ahead long, behind long"
 
 
@@ -126,15 +139,23 @@ class Labelled:
         return sorted(self.nodes[bases].tolist()), ahead, behind
 
 
-def compared(pairs: DataFrame, edges: DataFrame, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def compared(pairs: DataFrame, edges: DataFrame, local_bytes: int = LOCAL_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """base, target, base_is_ancestor, merge_bases (ascending), ahead, behind of every distinct pair; a commit without edges stands alone.
 
     ``edges`` has child and parent. Pairs with a null have null results.
     """
     edges = edges.where("parent is not null and child is not null").select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).distinct()
     pairs = pairs.select(F.col("base").cast("long").alias("base"), F.col("target").cast("long").alias("target")).distinct()
-    if edges.limit(local_bytes // 16 + 1).count() * 16 > local_bytes:
+    size = edges.limit(max(local_bytes, array_bytes) // 16 + 1).count() * 16
+    if size > max(local_bytes, array_bytes):
         return _joined(pairs, edges)
+    if size > local_bytes or pairs.limit(WALKED + 1).count() > WALKED:
+        try:
+            return _in_blocks(pairs, edges)
+        except ValueError:  # a cycle
+            if size <= local_bytes:
+                raise
+            return _joined(pairs, edges)
     import pyarrow as pa
 
     rows = edges.toArrow()
@@ -171,6 +192,157 @@ def _closure(graph: Labelled, v: int) -> int:
     return len(seen)
 
 
+class Ordered:
+    """A commit graph as arrays: sorted ids, each one's number (children before parents), the order of numbers, edges by number of the child."""
+
+    def __init__(self, child: np.ndarray, parent: np.ndarray):
+        self.nodes, ends = np.unique(np.concatenate([child, parent]), return_inverse=True)
+        n = len(self.nodes)
+        c, p = np.split(ends.astype(np.int32), 2)
+        if (c > p).all():
+            self.order = np.arange(n, dtype=np.int32)[::-1]
+        elif (c < p).all():
+            self.order = np.arange(n, dtype=np.int32)
+        else:
+            self.order = self._sorted(c, p, n)
+        self.number = np.empty(n, np.int32)
+        self.number[self.order] = np.arange(n, dtype=np.int32)
+        by = np.argsort(self.number[c], kind="stable")
+        self.child, self.parent = self.number[c[by]], self.number[p[by]]
+
+    @staticmethod
+    def _sorted(c: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+        up, begins = memoryview(p[np.argsort(c, kind="stable")]), memoryview(np.concatenate([[0], np.cumsum(np.bincount(c, minlength=n))]))
+        waits = np.bincount(p, minlength=n)
+        open_, order, at = np.flatnonzero(waits == 0).tolist(), np.empty(n, np.int32), 0
+        waits, out = memoryview(waits), memoryview(order)
+        while open_:
+            v = open_.pop()
+            out[at], at = v, at + 1
+            for x in up[begins[v] : begins[v + 1]]:
+                waits[x] -= 1
+                if not waits[x]:
+                    open_.append(x)
+        if at < n:
+            raise ValueError("the commit graph has a cycle")
+        return order
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of commits, -1 where one is unknown."""
+        if not len(self.nodes):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.nodes, ids), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == ids, self.number[at], -1)
+
+    def compare(self, base: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Ahead, behind and merge bases of pairs of numbers; an unknown end (-1) reaches nothing."""
+        found = self._passed(base, target)
+        if found is None:
+            half = len(base) // 2
+            (a, z, tops), (a2, z2, tops2) = self.compare(base[:half], target[:half]), self.compare(base[half:], target[half:])
+            found = np.concatenate([a, a2]), np.concatenate([z, z2]), tops + tops2
+        return found
+
+    def _passed(self, base: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]] | None:
+        """The same by one pass, nothing if more than 64 pairs need more than ``MASK_BYTES``.
+
+        Of a commit's integer, the bits of three fields of ``n`` stand for the pairs whose
+        base reaches it, whose target does, and of which a child of it is common to both.
+        """
+        n = -(-len(base) // 64) * 64
+        most = MASK_BYTES // _mask_bytes(n) if len(base) > 64 else len(self.nodes)
+        first = int(min((x[x >= 0].min() for x in (base, target) if (x >= 0).any()), default=len(self.nodes)))
+        masks, low = [0] * (len(self.nodes) - first), (1 << n) - 1
+        for shift, side in ((0, base), (n, target)):
+            for i, v in enumerate(side.tolist()):
+                if v >= 0:
+                    masks[v - first] |= 1 << (shift + i)
+        counts, bases = np.zeros(2 * n, np.int64), [[] for _ in base]
+        live = len(masks) - masks.count(0)
+        for at in range(0, len(masks), COUNTED):
+            begin, end = np.searchsorted(self.child, [first + at, first + at + COUNTED])
+            last = -1
+            for c, p in zip((self.child[begin:end] - first).tolist(), (self.parent[begin:end] - first).tolist(), strict=True):
+                if c != last:
+                    last, x = c, masks[c]
+                    x |= (x & x >> n & low) << 2 * n
+                if x:
+                    held = masks[p]
+                    masks[p] = held | x if held else x
+                    live += not held
+            if live > most:
+                return None
+            part = masks[at : at + COUNTED]
+            masks[at : at + COUNTED] = [0] * len(part)
+            reached = np.array([i for i, x in enumerate(part) if x], np.int64)
+            live -= len(reached)
+            b, t, below = np.hsplit(np.frombuffer(b"".join(x.to_bytes(3 * n // 8, "little") for x in part if x), "<u8").reshape(len(reached), 3 * n // 64), 3)
+            counts += _column_counts(np.hstack([t & ~b, b & ~t]))
+            tops = b & t & ~below
+            row, word = np.nonzero(tops)
+            which, bit = np.nonzero(np.unpackbits(tops[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            for i, node in zip((word[which] * 64 + bit).tolist(), self.nodes[self.order[first + at + reached[row[which]]]].tolist(), strict=True):
+                bases[i].append(node)
+        return counts[: len(base)], counts[n : n + len(base)], [sorted(x) for x in bases]
+
+
+def _mask_bytes(pairs: int) -> int:
+    """Bytes of an integer of three bits a pair, and of its place in a list."""
+    return 36 + 2 * pairs // 5
+
+
+def _column_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows of words have each bit; three rows are added to a sum and a carry of twice the weight."""
+    if len(rows) < 24:
+        return np.unpackbits(np.ascontiguousarray(rows).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    third = len(rows) // 3
+    a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+    odd = a ^ b
+    return 2 * _column_counts((a & b) | (odd & c)) + _column_counts(np.concatenate([odd ^ c, rows[3 * third :]]))
+
+
+def _in_blocks(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs compared in blocks by passes over the whole graph, which must have no cycle."""
+    import pyarrow as pa
+
+    rows, spark = edges.toArrow(), edges.sparkSession
+    graph = Ordered(rows.column(0).to_numpy(), rows.column(1).to_numpy())
+    handle, cores, n = spark.sparkContext.broadcast(graph), spark.sparkContext.defaultParallelism, pairs.count()
+    # a third of the commits is rarely held at once
+    width = next((w for w in (2048, 1024, 512, 256, 128) if len(graph.nodes) // 3 * _mask_bytes(w) <= MASK_BYTES), 64)
+    width = max(64, min(width, -(-n // cores) // 64 * 64))
+
+    def locate(batches):
+        for batch in batches:
+            ends = [handle.value.find(c.fill_null(0).to_numpy()) for c in batch.columns]
+            known = [np.where(c.is_valid().to_numpy(zero_copy_only=False), x, -1).astype(np.int32) for c, x in zip(batch.columns, ends, strict=True)]
+            first = np.minimum(*[np.where(x < 0, len(handle.value.nodes), x) for x in known]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (*known, first))], names=["base", "target", "b", "t", "first"])
+
+    def run(batches):
+        for batch in batches:
+            parts = -(-batch.num_rows // width)
+            cuts = [i * batch.num_rows // parts for i in range(parts + 1)] if parts else []
+            for rows in (batch.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)):
+                b, t = rows.column(2).to_numpy(), rows.column(3).to_numpy()
+                ahead, behind, bases = handle.value.compare(b, t)
+                out = []
+                for x, y, known, a, z, tops in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), zip(b.tolist(), t.tolist(), strict=True), ahead.tolist(), behind.tolist(), bases, strict=True):
+                    if x is None or y is None:
+                        out.append((None, None, None, None))
+                    elif x == y:
+                        out.append((True, [x], 0, 0))
+                    else:  # a commit without edges stands alone; a base that has nothing of its own is an ancestor
+                        a, z = a + (known[1] < 0), z + (known[0] < 0)
+                        out.append((z == 0, tops, a, z))
+                lists = [list(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lists[0], pa.bool_()), pa.array(lists[1], pa.list_(pa.int64())), pa.array(lists[2], pa.int64()), pa.array(lists[3], pa.int64())], names=["base", "target", "base_is_ancestor", "merge_bases", "ahead", "behind"])
+
+    # ends of a block lie near each other, so a pass begins late in the graph for most of them
+    located = pairs.mapInArrow(locate, "base long, target long, b int, t int, first int")
+    return located.repartitionByRange(max(1, -(-4 * n // (3 * width))), "first", "base", "target").mapInArrow(run, COMPARED)
+
+
 def _joined(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     known = pairs.where("base is not null and target is not null")
     starts = known.select(F.explode(F.array("base", "target")).alias("node")).distinct()

@@ -264,3 +264,40 @@ def test_postings_look_tokens_up_in_slices(spark, monkeypatch):
     parts = list(seen["f"]([tokens]))
     assert max(p.num_rows for p in parts) == 7 and sum(p.num_rows for p in parts) == len(whole) == 52
     assert sum(len(t) for p in parts for t in p.column(2).to_pylist()) == sum(i % 3 in (0, 2) for i in range(50)) + 1
+
+
+def test_many_pairs_pass_the_graph_in_blocks(spark, monkeypatch):
+    """Many pairs, and pairs beyond the local bound, share passes over the graph: no join on ancestors, several blocks, ids in no order."""
+    rng = random.Random(4)
+    name = rng.sample(range(1000), 170)
+    edges = [(name[c], name[p]) for c, p in random_dag(rng, 160)]
+    pairs = sorted({(rng.choice(name), rng.choice(name)) for _ in range(300)})
+    frames = spark.createDataFrame([*pairs, (None, 4)], "base long, target long"), spark.createDataFrame(edges, "child long, parent long")
+    expected = {p: plain_compare(edges, *p) for p in pairs} | {(None, 4): (None, None, None, None)}
+
+    def compared(**bounds):
+        return {(r.base, r.target): (r.base_is_ancestor, r.merge_bases, r.ahead, r.behind) for r in compare.compared(*frames, **bounds).collect()}
+
+    assert compared(local_bytes=0, array_bytes=0) == expected
+    monkeypatch.setattr(compare, "_joined", lambda *a: pytest.fail("ancestors were joined"))
+    monkeypatch.setattr(compare, "Labelled", lambda *a: pytest.fail("pairs were walked one by one"))
+    monkeypatch.setattr(compare, "MASK_BYTES", 0)
+    assert compared(local_bytes=0) == expected
+    assert compared() == expected
+    # integers are counted and given up a few commits at a time, and blocks that hold too many are halved
+    monkeypatch.setattr(compare, "COUNTED", 5)
+    graph = compare.Ordered(*map(np.array, zip(*edges, strict=True)))
+    at = [graph.find(np.array(side)) for side in zip(*pairs, strict=True)]
+    found = zip(*at, *graph.compare(*at), strict=True)
+    assert all((bases, ahead, behind) == expected[p][1:] for p, (b, t, ahead, behind, bases) in zip(pairs, found, strict=True) if b >= 0 and t >= 0 and p[0] != p[1])
+
+
+def test_many_commits_without_edges(spark):
+    pairs = spark.range(200).selectExpr("id AS base", "id - id % 2 AS target")
+    got = {(r.base, r.target): tuple(r)[2:] for r in compare.compared(pairs, spark.createDataFrame([], "child long, parent long")).collect()}
+    assert got == {(i, i - i % 2): (False, [], 1, 1) if i % 2 else (True, [i], 0, 0) for i in range(200)}
+
+
+def test_a_large_graph_with_a_cycle_is_joined(spark):
+    frame = compare.compared(spark.createDataFrame([(1, 3)], "base long, target long"), spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child long, parent long"), local_bytes=0)
+    assert [(r.base_is_ancestor, r.ahead, r.behind) for r in frame.collect()] == [(True, 1, 0)]
