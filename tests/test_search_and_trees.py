@@ -301,3 +301,48 @@ def test_many_commits_without_edges(spark):
 def test_a_large_graph_with_a_cycle_is_joined(spark):
     frame = compare.compared(spark.createDataFrame([(1, 3)], "base long, target long"), spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child long, parent long"), local_bytes=0)
     assert [(r.base_is_ancestor, r.ahead, r.behind) for r in frame.collect()] == [(True, 1, 0)]
+
+
+def counted_cuts(monkeypatch):
+    """The columns of each table that similar renames write."""
+    seen, cut = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df: (seen.append(df.columns), cut(df))[1])
+    return seen
+
+
+@pytest.mark.parametrize("rest_rows", [None, 40, 0])
+def test_copies_of_a_content_are_matched_at_once(spark, monkeypatch, rest_rows):
+    """Thirty equal files meet thirty similar ones of other names: one pair of contents, and no round for each file."""
+    seen = counted_cuts(monkeypatch)
+    if rest_rows is not None:
+        monkeypatch.setattr(similar, "REST_ROWS", rest_rows)
+    lines = [f"line number {i}" for i in range(12)]
+    text, edited = "\n".join(lines), "\n".join([*lines[:-1], "changed"])
+    old = [(f"a/o{i:02}", "s1", text) for i in range(30)] + [("a/n07", "s1", text), ("a/solo", "s3", "x y\nz")]
+    new = [(f"b/n{i:02}", "s2", edited) for i in range(30)] + [("b/solo", "s4", "x y\nzz")]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, sha string, text string")
+    got = {r.path: (r.old_path, r.status, r.score) for r in similar.tree_changes(frame(old), frame(new)).collect()}
+    assert len(seen) < 30
+    score = got["b/n07"][2]
+    news = [f"b/n{i:02}" for i in range(30) if i != 7]
+    expected = {"b/n07": ("a/n07", "renamed", score)} | {n: (f"a/o{i:02}", "renamed", score) for i, n in enumerate(news)}
+    assert got == expected | {"b/solo": ("a/solo", "renamed", 57), "a/o29": (None, "deleted", None)}
+
+
+@pytest.mark.parametrize("rest_rows", [0, 12, 1 << 18])
+def test_all_ways_of_matching_agree(spark, monkeypatch, rest_rows):
+    """Ties, copies and equal base names in several groups: at once, one by one and in rounds give the greedy pairs."""
+    monkeypatch.setattr(similar, "REST_ROWS", rest_rows)
+    rng = random.Random(8)
+    pairs = {(g, f"o{rng.randrange(5)}", f"n{rng.randrange(5)}"): rng.choice([60, 70, 70, 90]) for g in (1, 2) for _ in range(9)}
+    old = [(g, f"{rng.choice('xyz')}/{i}{rng.choice('ab')}", f"o{i % 5}") for g in (1, 2) for i in range(14)]
+    new = [(g, f"{rng.choice('uvw')}/{i}{rng.choice('ab')}", f"n{i % 4}") for g in (1, 2) for i in range(14)]
+    base = lambda p: p.rsplit("/")[-1]
+    order = sorted((g, -s, base(o) != base(n), o, n) for (g, a, b), s in pairs.items() for g2, o, x in old if (g2, x) == (g, a) for g3, n, y in new if (g3, y) == (g, b))
+    expected, taken = [], set()
+    for g, s, _, o, n in order:
+        if not {(g, 0, o), (g, 1, n)} & taken:
+            taken |= {(g, 0, o), (g, 1, n)}
+            expected.append((g, o, n, -s))
+    frames = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "repo int, old_sha string, new_sha string, score int"), spark.createDataFrame(old, "repo int, old_path string, old_sha string"), spark.createDataFrame(new, "repo int, new_path string, new_sha string")
+    assert ranked(similar.best_matching(*frames, ("repo",)), "repo", "old_path", "new_path", "score") == sorted(expected)
