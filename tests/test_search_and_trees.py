@@ -346,3 +346,14 @@ def test_all_ways_of_matching_agree(spark, monkeypatch, rest_rows):
             expected.append((g, o, n, -s))
     frames = spark.createDataFrame([(*k, s) for k, s in pairs.items()], "repo int, old_sha string, new_sha string, score int"), spark.createDataFrame(old, "repo int, old_path string, old_sha string"), spark.createDataFrame(new, "repo int, new_path string, new_sha string")
     assert ranked(similar.best_matching(*frames, ("repo",)), "repo", "old_path", "new_path", "score") == sorted(expected)
+
+
+def test_copies_of_many_files_take_the_source_of_their_name(spark):
+    """Twenty equal new files with six best sources of three contents: each has the least path, or the one of its own name."""
+    lines = [f"line number {i}" for i in range(12)]
+    texts = {f"s{i}": "\n".join([*lines[:-1], f"end {i}"]) for i in range(3)}
+    old = [(f"a/{i}", f"s{i % 3}", texts[f"s{i % 3}"]) for i in range(1, 7)]
+    new = [*old, *((f"b/{i}", "n", "\n".join([*lines[:-1], "end x"])) for i in range(20))]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, sha string, text string")
+    got = {r.path: (r.old_path, r.status) for r in similar.tree_changes(frame(old), frame(new), copies=True).collect()}
+    assert got == {f"b/{i}": (f"a/{i}" if 1 <= i < 7 else "a/1", "copied") for i in range(20)}
